@@ -59,8 +59,9 @@ class Words:
         return np.arange(len(self.code)) + size <= np.repeat(self.first[1:], np.diff(self.first))
 
 
-def words_of(texts: list[bytes | None]) -> Words:
-    """Word codes of every text, whole; equal words have equal codes."""
+def words_of(texts: list[bytes | None], is_space: np.ndarray = _IS_SPACE) -> Words:
+    """Word codes of every text, whole; equal words have equal codes. ``is_space`` has a flag for each byte
+    value that separates words; that of the line feed must be set."""
     joined = b"\n".join(x or b"" for x in texts) + b"\n"
     ends_at = np.cumsum([len(x or b"") + 1 for x in texts], dtype=np.int64)
     codes, starts = [], []
@@ -68,10 +69,10 @@ def words_of(texts: list[bytes | None]) -> Words:
     while at < len(joined):
         stop = at + _CHUNK
         if stop < len(joined):  # a chunk ends behind a space, so no word is cut
-            while stop < len(joined) and joined[stop - 1] not in SPACES:
+            while stop < len(joined) and not is_space[joined[stop - 1]]:
                 stop += 1
         part = np.frombuffer(joined, np.uint8, min(stop, len(joined)) - at, at)
-        space = _IS_SPACE[part]
+        space = is_space[part]
         edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
         begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         total, inverse = _rolled(_BYTE_CODE[part], _BYTE_BASE)
