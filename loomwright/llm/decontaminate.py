@@ -212,31 +212,47 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     so what a task holds does not grow with the benchmark.
     """
     schema = "doc_id long, item_id long, n_words long, edit_distance long, end_word long"
-    bench = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text")
-    passes = max(1, -(-bench.count() // ITEMS_PER_PASS))
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     out = None
-    for p in range(passes):
-        own = sorted(bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).collect())
-        ids, items = [r.item_id for r in own], item_codes([r.text for r in own])
-
-        classes = size_classes(items)
+    for ids, items, classes in item_passes(benchmark):
 
         def search(batches: Iterator[pa.RecordBatch], ids=ids, items=items, classes=classes) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, b.num_rows, 512):
-                    part = b.slice(at, 512)
-                    doc_ids = part.column("doc_id").to_pylist()
-                    found = [(doc_ids[t], ids[k], len(items[k]), d, e) for t, k, d, e in find_in(part.column("text").to_pylist(), items, classes)]
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
+            for part in _small(batches):
+                doc_ids = part.column("doc_id").to_pylist()
+                found = [(doc_ids[t], ids[k], len(items[k]), d, e) for t, k, d, e in find_in(part.column("text").to_pylist(), items, classes)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
 
         made = rows.mapInArrow(search, schema)
         out = made if out is None else out.unionByName(made)
     return out
 
 
+def item_passes(benchmark: DataFrame) -> Iterator[tuple[list[int], list[np.ndarray], list[SizeClass]]]:
+    """Ids, word codes and size classes of the items, ITEMS_PER_PASS or so at a time."""
+    bench = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text")
+    passes = max(1, -(-bench.count() // ITEMS_PER_PASS))
+    for p in range(passes):
+        own = sorted(bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).collect())
+        items = item_codes([r.text for r in own])
+        yield [r.item_id for r in own], items, size_classes(items)
+
+
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows without doc_id are kept only if nothing can be found in them."""
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("leaked"), "left_anti")
+    """``docs`` without the rows that hold an item; all columns stay."""
+    at = docs.columns.index("text")
+    for _, items, classes in item_passes(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], items=items, classes=classes) -> Iterator[pa.RecordBatch]:
+            for part in _small(batches):
+                bad = {t for t, *_ in find_in(part.column(at).to_pylist(), items, classes)}
+                yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -183,3 +183,15 @@ def score(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(_crc("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that score under ``threshold``; all columns stay."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([text_features(v) for v in byte_values(b.column(at))], dtype=float).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, mixing, quality, secrets, simhash, substring
+from . import decontaminate, html_text, langid, mixing, quality, secrets, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected toxicity severity of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document keeps when repeated runs of 35 words go."""
     return substring.remove_repeats(_table(spark, sf_dir, "documents"))
@@ -57,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_simhash_near_dedup, op4_language_id, op5_mixing, op6_html_extraction, op7_secret_scan, op9_decontamination, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_simhash_near_dedup, op4_language_id, op5_mixing, op6_html_extraction, op7_secret_scan, op9_decontamination, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
