@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, mixing, quality, secrets, simhash, substring, toxicity
+from . import decontaminate, html_text, langid, media, mixing, quality, secrets, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(_table(spark, sf_dir, "documents"))
 
 
+def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among pictures drawn from every embedding."""
+    return media.copies(media.pictures(_table(spark, sf_dir, "embeddings")))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents."""
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -63,7 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_simhash_near_dedup, op4_language_id, op5_mixing, op6_html_extraction, op7_secret_scan, op9_decontamination, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_simhash_near_dedup, op4_language_id, op5_mixing, op6_html_extraction, op7_secret_scan, op8_media_copies, op9_decontamination, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
