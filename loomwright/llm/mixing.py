@@ -130,7 +130,7 @@ def placed(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
     sums = sums.select(F.col("source_no").alias("s"), F.col("grp").alias("g"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
     within = Window.partitionBy("source_no", "grp").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return rows.join(sums, (F.col("s") == F.col("source_no")) & (F.col("g") == F.col("grp"))).select("doc_id", "source_no", "size", (F.col("before") + F.col("inside")).alias("start")), sources
+    return rows.join(sums.hint("merge"), (F.col("s") == F.col("source_no")) & (F.col("g") == F.col("grp"))).select("doc_id", "source_no", "size", (F.col("before") + F.col("inside")).alias("start")), sources
 
 
 def slots(spark, sources: list[dict]) -> DataFrame:
@@ -173,7 +173,7 @@ def mix(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     uses = slots(spark, sources).groupBy("source_no", "block").agg(F.count("*").alias("uses"))
     cut = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest(F.col("start"), F.col("block") * BLOCK)
-    parts = _blocks_of(rows).join(uses, ["source_no", "block"], "left").select("doc_id", "source_no", "size", "start", (cut * F.coalesce("uses", F.lit(0))).alias("part"))
+    parts = _blocks_of(rows).join(uses.hint("merge"), ["source_no", "block"], "left").select("doc_id", "source_no", "size", "start", (cut * F.coalesce("uses", F.lit(0))).alias("part"))
     taken = parts.groupBy("doc_id", "source_no", "size", "start").agg(F.sum("part").alias("taken")).drop("start")
     taken = taken.unionByName(rows.where("size = 0").select("doc_id", "source_no", "size", F.lit(0).cast("long").alias("taken")))
     about = spark.createDataFrame([(s["no"], s["size"], s["target"]) for s in sources], "source_no int, source_size long, target double")
