@@ -57,25 +57,27 @@ def link_changes(a_links: DataFrame, b_links: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [_rows(x.join(y, ["id", "to"], "left_anti"), name, "link", F.col("to")) for name, x, y in parts])
 
 
-def changes(a: DataFrame, b: DataFrame, a_links: DataFrame, b_links: DataFrame) -> DataFrame:
-    """``section, segs, id, kind, key, old, new``: a and b are concepts of two snapshots, the links their resolved links."""
-    added, removed = b.join(a.select("id"), "id", "left_anti"), a.join(b.select("id"), "id", "left_anti")
-    moved = renames(added, removed)
-    new = added.join(moved.select("id"), "id", "left_anti")
-    gone = removed.join(moved.select(F.col("old_id").alias("id")), "id", "left_anti")
-    pick = lambda d, s: d.select("id", *([] if s == "b" else ["id_segs"]), *(F.col(c).alias(f"{s}_{c}") for c in ("body", "fm", "tier_rank", "status")))
-    both = pick(a, "a").join(pick(b, "b"), "id")
-    parts = [
-        _rows(new, "added"),
-        _rows(gone, "removed"),
-        _rows(moved, "renamed", "", None, F.col("old_id"), F.col("id")),
-        _rows(both.where("a_body <> b_body"), "content"),
-        frontmatter_changes(both),
-        _rows(both.where("a_tier_rank <> b_tier_rank"), "trust", "tier", F.lit("tier"), tier_name(F.col("a_tier_rank")), tier_name(F.col("b_tier_rank"))),
-        _rows(both.where("a_status <> b_status"), "trust", "status", F.lit("status"), F.col("a_status"), F.col("b_status")),
-        link_changes(a_links, b_links),
-    ]
-    return reduce(DataFrame.unionByName, [p.select(*DIFF) for p in parts])
+def changes(a: DataFrame, b: DataFrame, a_links: DataFrame, b_links: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
+    """``section, segs, id, kind, key, old, new``: a and b are concepts of two snapshots, the links their resolved
+    links. Only what ``sections`` asks for is planned."""
+    parts = []
+    if set(sections) & {"added", "removed", "renamed"}:
+        added, removed = b.join(a.select("id"), "id", "left_anti"), a.join(b.select("id"), "id", "left_anti")
+        moved = renames(added, removed)
+        parts.append(_rows(added.join(moved.select("id"), "id", "left_anti"), "added"))
+        parts.append(_rows(removed.join(moved.select(F.col("old_id").alias("id")), "id", "left_anti"), "removed"))
+        parts.append(_rows(moved, "renamed", "", None, F.col("old_id"), F.col("id")))
+    if set(sections) & {"content", "frontmatter", "trust"}:
+        pick = lambda d, s, *more: d.select("id", *more, *(F.col(c).alias(f"{s}_{c}") for c in ("body", "fm", "tier_rank", "status")))
+        both = pick(a, "a", "id_segs").join(pick(b, "b"), "id")
+        parts.append(_rows(both.where("a_body <> b_body"), "content"))
+        if "frontmatter" in sections:
+            parts.append(frontmatter_changes(both))
+        parts.append(_rows(both.where("a_tier_rank <> b_tier_rank"), "trust", "tier", F.lit("tier"), tier_name(F.col("a_tier_rank")), tier_name(F.col("b_tier_rank"))))
+        parts.append(_rows(both.where("a_status <> b_status"), "trust", "status", F.lit("status"), F.col("a_status"), F.col("b_status")))
+    if any(s.endswith("links") for s in sections):
+        parts.append(link_changes(a_links, b_links))
+    return reduce(DataFrame.unionByName, [p.select(*DIFF) for p in parts]).where(F.col("section").isin(*sections))
 
 
 def rendered(found: DataFrame) -> str:

@@ -114,9 +114,9 @@ class Bundle:
     def index_texts(self, synthesize=None) -> DataFrame:
         return indexes.texts(indexes.entries(self.rows, self.files, synthesize), self.rows)
 
-    def diff(self, other: Bundle) -> DataFrame:
+    def diff(self, other: Bundle, sections: tuple[str, ...] = diff.SECTIONS) -> DataFrame:
         """Changes from this bundle to ``other``; each holds one snapshot."""
-        return diff.changes(self.concepts, other.concepts, self.links, other.links)
+        return diff.changes(self.concepts, other.concepts, self.links, other.links, sections)
 
     def summary(self, today: str | None = None) -> DataFrame:
         """``bundle, measure, value``: the counts of a bundle, a row for each measure."""
