@@ -75,18 +75,21 @@ class AdditiveModel:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def _best_cut(grad: np.ndarray, hess: np.ndarray) -> tuple[float, int]:
-    """Gain and place of the best cut of a row of bins."""
-    g, h = np.cumsum(grad), np.cumsum(hess)
-    left, right = g[:-1] ** 2 / (h[:-1] + 1), (g[-1] - g[:-1]) ** 2 / (h[-1] - h[:-1] + 1)
-    gain = left + right - g[-1] ** 2 / (h[-1] + 1)
-    at = int(np.argmax(gain)) if len(gain) else 0
-    return (float(gain[at]), at + 1) if len(gain) else (0.0, 0)
+def _best_cut(grad: np.ndarray, hess: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gain and place of the best cut of each row of bins (the last axis)."""
+    g, h = np.cumsum(grad, axis=-1), np.cumsum(hess, axis=-1)
+    if g.shape[-1] < 2:
+        return np.zeros(g.shape[:-1]), np.zeros(g.shape[:-1], dtype=int)
+    all_g, all_h = g[..., -1:], h[..., -1:]
+    gain = g[..., :-1] ** 2 / (h[..., :-1] + 1) + (all_g - g[..., :-1]) ** 2 / (all_h - h[..., :-1] + 1) - all_g**2 / (all_h + 1)
+    at = np.argmax(gain, axis=-1)
+    return np.take_along_axis(gain, at[..., None], -1)[..., 0], at + 1
 
 
 def _tree(grad: np.ndarray, hess: np.ndarray, levels: int) -> np.ndarray:
     """Leaf value of each bin for a tree of so many levels."""
-    gain, at = _best_cut(grad, hess) if levels else (0.0, 0)
+    gain, at = map(float, _best_cut(grad, hess)) if levels else (0.0, 0)
+    at = int(at)
     if gain <= 1e-9:
         return np.full(len(grad), grad.sum() / (hess.sum() + 1))
     return np.concatenate([_tree(grad[:at], hess[:at], levels - 1), _tree(grad[at:], hess[at:], levels - 1)])
@@ -120,13 +123,15 @@ def fit_additive(x: np.ndarray, y: np.ndarray, bins: int = 24, rounds: int = 120
         return np.bincount(cell, grad, shape[0] * shape[1]).reshape(shape), np.bincount(cell, hess, shape[0] * shape[1]).reshape(shape)
 
     def pair_tree(grad: np.ndarray, hess: np.ndarray) -> tuple[float, np.ndarray]:
-        """Cut the rows, then the columns of each half."""
-        gain, at = _best_cut(grad.sum(axis=1), hess.sum(axis=1))
+        """Cut the rows where the best column cuts of both halves gain most."""
+        sides = [(np.cumsum(x, axis=0)[:-1], x.sum(axis=0) - np.cumsum(x, axis=0)[:-1]) for x in (grad, hess)]
+        halves = [_best_cut(g, h)[0] + g.sum(axis=1) ** 2 / (h.sum(axis=1) + 1) for g, h in zip(*sides, strict=True)]
+        gains = halves[0] + halves[1] - grad.sum() ** 2 / (hess.sum() + 1)
+        at = int(np.argmax(gains)) + 1
         out = np.zeros(grad.shape)
         for rows in (slice(0, at), slice(at, None)):
-            gain += _best_cut(grad[rows].sum(axis=0), hess[rows].sum(axis=0))[0]
             out[rows] = _tree(grad[rows].sum(axis=0), hess[rows].sum(axis=0), 1)
-        return gain, out
+        return float(gains[at - 1]), out
 
     every = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1, len(FEATURES)) if len(edges[i]) and len(edges[j])]
     for i, j in sorted(every, key=lambda k: -pair_tree(*grid(*k))[0])[:pairs]:

@@ -89,7 +89,8 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def meet(fp: np.ndarray, value: np.ndarray, left: np.ndarray, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (a spanning forest) of rows whose variants meet; ``value`` has the first ``bits`` bits final."""
+    """Index pairs that tie each row to the first row it reaches over variants that meet; ``value`` has the first
+    ``bits`` bits final."""
     size = sum(int((left >= n).sum()) * math.comb(64 - bits, n) for n in range(int(left.max(initial=0)) + 1))
     if size > CHUNK and bits < 60:
         deep = min(60, bits + 4)
@@ -118,10 +119,10 @@ def meet(fp: np.ndarray, value: np.ndarray, left: np.ndarray, bits: int, radius:
 
 
 def links(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
-    """Edges ``a, b`` that connect fingerprints at ``radius`` or fewer bits; ``distinct`` has ``fp, node``.
+    """Edges ``a, b`` whose components are those of the links at ``radius`` or fewer bits; ``distinct`` has ``fp, node``.
 
-    The edges of a shared leading part are a spanning forest, so thousands of near copies give
-    thousands of edges and not their square.
+    Within a shared leading part each fingerprint is tied to the smallest node that its links reach there,
+    so thousands of near copies give thousands of edges and not their square.
     """
     half = radius // 2
     bits = min(44, max(4, round(math.log2(max(1, count) / 800))))

@@ -1,0 +1,51 @@
+"""The pipeline, stage by stage, against plain Python."""
+
+import re
+
+import corpus_pipeline
+from loomwright.llm import decontaminate, mixing, quality, queries, secrets, simhash
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark, tmp_path):
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality", "simhash_dedup", "decontamination", "secrets", "mixing"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = stage(spark, docs, SF)
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = (before, docs)
+        assert name == "mixing" or docs.columns == columns
+    ids = lambda d: {r.doc_id for r in d.select("doc_id").collect()}
+
+    before, after = kept["quality"]
+    model = quality.fit(before, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert ids(after) == {r.doc_id for r in quality.score(before, model).where("predicted = 1").collect()}
+
+    before, after = kept["simhash_dedup"]
+    assert ids(after) == {r.component_id for r in simhash.near_duplicates(before).collect()}
+
+    before, after = kept["decontamination"]
+    items = [" ".join(re.findall(r"\w+", r.text.lower())) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    gone = ids(before) - ids(after)
+    for r in before.collect():
+        if any(i in " ".join(re.findall(r"\w+", r.text.lower())) for i in items):
+            assert r.doc_id in gone
+    assert gone == {r.doc_id for r in decontaminate.matches(before, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+
+    before, after = kept["secrets"]
+    assert {(r.doc_id, secrets.redact(r.text)) for r in before.collect()} == {(r.doc_id, r.text) for r in after.collect()}
+    assert all(not secrets.base_spans(r.text) and r.n_chars == len(r.text) for r in after.collect())
+
+    before, after = kept["mixing"]
+    assert ids(before) == ids(after) and sorted(map(tuple, mixing.mix(before).collect())) == sorted(map(tuple, after.collect()))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, after.collect()))
+
+
+def test_every_operator_has_one_query():
+    numbers = sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.queries())
+    assert numbers == list(range(1, 11))
