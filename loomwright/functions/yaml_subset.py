@@ -415,7 +415,7 @@ def emit(value, indent: int = 0) -> str:
     """Block style with two spaces a level. A list within a list is written in brackets, as it reads back."""
     pad = " " * indent
     if isinstance(value, Pairs) and value.items:
-        return "".join(f"{pad}{inline(k)}:\n{emit(v, indent + 2)}" if _nests(v) else f"{pad}{inline(k)}: {inline(v)}\n" for k, v in value.items)
+        return "".join(f"{pad}{_key(k)}:\n{emit(v, indent + 2)}" if _nests(v) else f"{pad}{_key(k)}: {inline(v)}\n" for k, v in value.items)
     if isinstance(value, list) and value:
         out = ""
         for item in value:
@@ -427,6 +427,12 @@ def emit(value, indent: int = 0) -> str:
     return pad + inline(value) + "\n"
 
 
+def _key(key) -> str:
+    """A key as written: quoted too where brackets or quotes in it would hide its colon."""
+    text = inline(key)
+    return _quote(key) if isinstance(key, str) and split_pair(f"{text}: x") != (text, "x") else text
+
+
 def _nests(value) -> bool:
     return bool(value.items if isinstance(value, Pairs) else isinstance(value, list) and value)
 

@@ -76,7 +76,7 @@ def read_tree(spark: SparkSession, root: str, bundle: str = "main") -> DataFrame
 
 def read_lake(spark: SparkSession, path: str, bundle: str = "main") -> DataFrame:
     """The same from any store Spark can read, by its binary file source: names with a leading dot or underscore
-    are not seen there."""
+    are not seen there, and symbolic links are followed."""
     from pyspark.sql import functions as F
 
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

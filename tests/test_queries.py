@@ -1,0 +1,41 @@
+"""Registered queries against DuckDB, and the entry points without the optional subpackage."""
+
+import glob
+import subprocess
+import sys
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from loomwright.plans import queries as bundle_queries
+
+SF = "/root/testdata/sf0.001"
+QUICK = ["p1_core_columns", "p9_trust_tiers", "f4_broken_links", "j1_resolve_links", "j2_derivations", "a1_backlinks", "a3_tags", "a5_groups", "a6_summary", "a8_validate_codes", "a8_lint_codes", "l15_orphans", "l16_stale_indexes", "w2_log_problems", "k6_index_texts", "k9_graph_mermaid", "j12_renames", "j13_frontmatter_diff", "x4_link_diff"]
+
+
+def rows(frame):
+    frame = frame[sorted(frame.columns)].astype(object)
+    return sorted(map(tuple, frame.where(frame.notna(), None).values.tolist()), key=repr)
+
+
+@pytest.mark.parametrize("name", QUICK)
+def test_query_matches_duckdb(spark, name):
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {f.rpartition('/')[2].removesuffix('.parquet')} AS SELECT * FROM '{f}'")
+    mine = bundle_queries.queries()[name](spark, SF).toPandas()
+    other = con.execute(bundle_queries.oracle_sql()[name]).df()
+    assert sorted(mine.columns) == sorted(other.columns)
+    assert rows(mine) == rows(other)
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(bundle_queries.oracle_sql()) <= set(bundle_queries.queries())
+
+
+def test_works_without_the_optional_subpackage():
+    code = "import sys; sys.modules['loomwright.llm'] = None; import __spark_entry__ as e; print(sorted(k for k in e.queries() if k.startswith('op') or k == 'pipeline'))"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.strip() == "[]"
