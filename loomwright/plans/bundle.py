@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import field_paths
 from ..operators import concepts as typed_columns
 from ..operators import diff, graph, indexes, lint, logs, validate
 from ..sources.parse import parsed
@@ -87,6 +88,35 @@ class Bundle:
     def links_from(self, concept: str) -> DataFrame:
         return self.links.where(F.col("src_id") == concept).orderBy("seq")
 
+    def get(self, concept: str) -> DataFrame:
+        return self.concepts.where(F.col("id") == concept)
+
+    def contains(self, concept: str) -> bool:
+        return not self.get(concept).isEmpty()
+
+    def backlinks_of(self, concept: str) -> DataFrame:
+        return self.backlinks().where(F.col("target_id") == concept).orderBy("src_path")
+
+    def sources_of(self, concept: str) -> DataFrame:
+        return self.sources.where(F.col("src_id") == concept).orderBy("seq")
+
+    def citations(self) -> DataFrame:
+        """A row for each line of a legacy citation list."""
+        return self.concepts.select("bundle", "id", F.posexplode("citations").alias("pos", "c")).select("bundle", "id", "pos", "c.*")
+
+    def footnotes(self) -> DataFrame:
+        """A row for each footnote reference and definition, with its line."""
+        refs = self.concepts.select("bundle", "id", F.explode("refs").alias("f")).select("bundle", "id", F.lit(False).alias("is_def"), "f.label", F.lit(None).cast("string").alias("text"), "f.line")
+        defs = self.concepts.select("bundle", "id", F.explode("defs").alias("f")).select("bundle", "id", F.lit(True).alias("is_def"), "f.label", "f.text", "f.line")
+        return refs.unionByName(defs)
+
+    def resolve_paths(self, raw: DataFrame) -> DataFrame:
+        """``bundle, id, raw, rel_path``: the first file that a path field of a concept can mean, null if none. ``raw``
+        has ``bundle, id, raw``."""
+        ways = raw.join(self.concepts.select("bundle", "id", "id_segs"), ["bundle", "id"]).select("bundle", "id", "raw", F.posexplode(field_paths(F.col("raw"), F.col("id_segs"))).alias("pos", "way"))
+        hits = ways.join(self.files.select("bundle", F.col("rel_path").alias("way")).distinct(), ["bundle", "way"])
+        return raw.join(hits.groupBy("bundle", "id", "raw").agg(F.min_by("way", "pos").alias("rel_path")), ["bundle", "id", "raw"], "left")
+
     def derived_from(self, concept: str) -> DataFrame:
         return graph.derivations(self.sources).where(F.col("src_id") == concept).orderBy("seq")
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import columns
 from ..operators import concepts as typed_columns
 from ..operators import diff, graph, indexes, lint, logs, validate
 from ..streaming import snapshots
@@ -63,6 +64,21 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p11_contracts": _query(lambda b: b.contracts.select("id", "source", "code", "language", "runtime", _long(F.size("required_parameters")).alias("n_required"), "has_redundant_inline")),
     "p13_extension_and_legacy_keys": _query(lambda b: b.concepts.select("id", F.array_join("extension_keys", ",").alias("extension"), F.array_join("legacy_keys", ",").alias("legacy"))),
     "p14_preferred_key_order": _query(lambda b: typed_columns.reordered(b.concepts).select("id", F.array_join("keys", ",").alias("keys"))),
+    "p3_sources": _query(lambda b: b.sources.select("src_id", _long("seq").alias("seq"), F.col("source.id").alias("source_id"), F.col("source.resource").alias("resource"), columns.resource_kind(F.col("source.resource")).alias("kind"))),
+    "p10_contract_parts": _query(lambda b: b.contracts.select("id", F.explode("parameters").alias("p"), "executor", "attester").select("id", "p.name", "p.type", "p.required", F.col("executor.resource").alias("runs"), F.array_join("executor.receipt", ",").alias("receipt"), F.coalesce("attester.resource", F.lit("-")).alias("checks"))),
+    "p12_path_fields": _query(lambda b: b.concepts.select("id", F.explode(typed_columns.path_fields()).alias("f")).select("id", "f.field", "f.raw")),
+    "p18_id_parts": _query(lambda b: b.concepts.select("id", F.element_at("id_segs", -1).alias("name"), F.array_join(columns.parent(F.col("id_segs")), "/").alias("parent"), _long(F.size("id_segs")).alias("depth"))),
+    "p19_actors": _query(lambda b: b.concepts.where("generated is not null").select("id", F.col("generated.by").alias("by_whom"), F.col("generated.by_kind").alias("kind"), F.substring_index("generated.by", "/", 1).alias("producer"), F.substring_index("generated.by", "/", -1).alias("version"))),
+    "c8_path_candidates": _query(lambda b: b.sources.select("src_id", _long("seq").alias("seq"), F.array_join(columns.field_paths(F.col("source.resource"), F.col("src_segs")), "|").alias("ways"))),
+    "c11_footnotes": _query(lambda b: b.footnotes().groupBy("id", "label", "is_def").agg(F.count("*").alias("n"))),
+    "c21_citations": _query(lambda b: b.citations().select("id", _long("number").alias("number"), "text", "target", "raw")),
+    "f9_valid_events": _query(lambda b: b.concepts.select("id", _long(F.size("verified")).alias("n_events"), _long(F.size(F.filter("verified", lambda v: v["valid"]))).alias("n_valid"))),
+    "j16_point_lookups": _query(lambda b: b.links_from("d7/doc_7").select("target_id", "raw")),
+    "s20_resolve_paths": _query(lambda b: b.resolve_paths(b.sources.where("source.id = 's1'").select("bundle", F.col("src_id").alias("id"), F.col("source.resource").alias("raw"))).select("id", F.coalesce("rel_path", F.lit("-")).alias("rel_path"))),
+    "x8_candidates": _query(lambda b: graph.raw_links(b.concepts).select("src_id", _long("seq").alias("seq"), "kind", _long(F.size("candidates")).alias("n_candidates"))),
+    "x3_common_ids": lambda spark, sf_dir: bundle_of(spark, sf_dir).concepts.select("id").intersect(bundle_of(spark, sf_dir, True).concepts.select("id")),
+    "k10_graph_rows": _query(lambda b: render.graph_rows(b, True).select("id", _long(F.coalesce(F.size("links"), F.lit(0))).alias("n_links"), F.coalesce(F.array_join("links.target", ","), F.lit("")).alias("targets"), F.coalesce(F.array_join("sources", ","), F.lit("")).alias("sources"))),
+    "k13_diagnostic_lines": _query(lambda b: validate.unresolved_paths(b.concepts, b.files).select(render.diagnostic_line().alias("line"))),
     "f1_concepts_of_type": _query(lambda b: b.of_type("Metric").select("id")),
     "f3_stale_on": _query(lambda b: b.stale_on(TODAY).select("id")),
     "f4_broken_links": _query(lambda b: b.broken_links().select("src_id", "raw")),
@@ -184,6 +200,36 @@ _ORACLES: dict[str, str] = {
     "p11_contracts": "SELECT id, 'inline' AS source, 'SELECT ' || n AS code, 'sql' AS language, 'sql' AS runtime, 1::BIGINT AS n_required, FALSE AS has_redundant_inline FROM a WHERE type = 'Attested Computation'",
     "p13_extension_and_legacy_keys": "SELECT id, '' AS extension, CASE WHEN n % 45 = 0 THEN 'timestamp' ELSE '' END AS legacy FROM a",
     "p14_preferred_key_order": "SELECT id, array_to_string(list_concat(list_filter(['type', 'resource', 'title', 'description', 'tags', 'status', 'generated', 'verified', 'stale_after', 'sources', 'usage_window'], lambda p: list_contains(k, p)), list_filter(k, lambda x: NOT list_contains(['type', 'resource', 'title', 'description', 'tags', 'status', 'generated', 'verified', 'stale_after', 'sources', 'usage_window'], x))), ',') AS keys FROM keys",
+    "p3_sources": _query(lambda b: b.sources.select("src_id", _long("seq").alias("seq"), F.col("source.id").alias("source_id"), F.col("source.resource").alias("resource"), columns.resource_kind(F.col("source.resource")).alias("kind"))),
+    "p10_contract_parts": _query(lambda b: b.contracts.select("id", F.explode("parameters").alias("p"), "executor", "attester").select("id", "p.name", "p.type", "p.required", F.col("executor.resource").alias("runs"), F.array_join("executor.receipt", ",").alias("receipt"), F.coalesce("attester.resource", F.lit("-")).alias("checks"))),
+    "p12_path_fields": _query(lambda b: b.concepts.select("id", F.explode(typed_columns.path_fields()).alias("f")).select("id", "f.field", "f.raw")),
+    "p18_id_parts": _query(lambda b: b.concepts.select("id", F.element_at("id_segs", -1).alias("name"), F.array_join(columns.parent(F.col("id_segs")), "/").alias("parent"), _long(F.size("id_segs")).alias("depth"))),
+    "p19_actors": _query(lambda b: b.concepts.where("generated is not null").select("id", F.col("generated.by").alias("by_whom"), F.col("generated.by_kind").alias("kind"), F.substring_index("generated.by", "/", 1).alias("producer"), F.substring_index("generated.by", "/", -1).alias("version"))),
+    "c8_path_candidates": _query(lambda b: b.sources.select("src_id", _long("seq").alias("seq"), F.array_join(columns.field_paths(F.col("source.resource"), F.col("src_segs")), "|").alias("ways"))),
+    "c11_footnotes": _query(lambda b: b.footnotes().groupBy("id", "label", "is_def").agg(F.count("*").alias("n"))),
+    "c21_citations": _query(lambda b: b.citations().select("id", _long("number").alias("number"), "text", "target", "raw")),
+    "f9_valid_events": _query(lambda b: b.concepts.select("id", _long(F.size("verified")).alias("n_events"), _long(F.size(F.filter("verified", lambda v: v["valid"]))).alias("n_valid"))),
+    "j16_point_lookups": _query(lambda b: b.links_from("d7/doc_7").select("target_id", "raw")),
+    "s20_resolve_paths": _query(lambda b: b.resolve_paths(b.sources.where("source.id = 's1'").select("bundle", F.col("src_id").alias("id"), F.col("source.resource").alias("raw"))).select("id", F.coalesce("rel_path", F.lit("-")).alias("rel_path"))),
+    "x8_candidates": _query(lambda b: graph.raw_links(b.concepts).select("src_id", _long("seq").alias("seq"), "kind", _long(F.size("candidates")).alias("n_candidates"))),
+    "x3_common_ids": lambda spark, sf_dir: bundle_of(spark, sf_dir).concepts.select("id").intersect(bundle_of(spark, sf_dir, True).concepts.select("id")),
+    "k10_graph_rows": _query(lambda b: render.graph_rows(b, True).select("id", _long(F.coalesce(F.size("links"), F.lit(0))).alias("n_links"), F.coalesce(F.array_join("links.target", ","), F.lit("")).alias("targets"), F.coalesce(F.array_join("sources", ","), F.lit("")).alias("sources"))),
+    "k13_diagnostic_lines": _query(lambda b: validate.unresolved_paths(b.concepts, b.files).select(render.diagnostic_line().alias("line"))),
+    "p3_sources": "SELECT id AS src_id, 0::BIGINT AS seq, 's1' AS source_id, '../d' || ((n + 1) % 10) || '/doc_' || (n + 1) || '.md' AS resource, 'path' AS kind FROM a WHERE n % 5 = 0 UNION ALL SELECT id, 1, 's2', 'https://example.com/' || n, 'url' FROM a WHERE n % 5 = 0",
+    "p10_contract_parts": "SELECT id, 'year' AS name, 'integer' AS type, TRUE AS required, 'run.md' AS runs, 'log' AS receipt, CASE WHEN n % 14 = 0 THEN '-' ELSE 'check.py' END AS checks FROM a WHERE type = 'Attested Computation'",
+    "p12_path_fields": "SELECT id, 'executor.resource' AS field, 'run.md' AS raw FROM a WHERE n % 7 = 0 UNION ALL SELECT id, 'attester.resource', 'check.py' FROM a WHERE n % 7 = 0 AND n % 14 <> 0",
+    "p18_id_parts": "SELECT id, 'doc_' || n AS name, 'd' || (n % 10) AS parent, 2::BIGINT AS depth FROM a",
+    "p19_actors": "SELECT id, 'writer/1.0' AS by_whom, 'agent' AS kind, 'writer' AS producer, '1.0' AS version FROM a WHERE n % 9 <> 0",
+    "c8_path_candidates": "SELECT id AS src_id, 0::BIGINT AS seq, 'd' || ((n + 1) % 10) || '/doc_' || (n + 1) || '.md' AS ways FROM a WHERE n % 5 = 0 UNION ALL SELECT id, 1, '' FROM a WHERE n % 5 = 0",
+    "c11_footnotes": "SELECT id, 's1' AS label, FALSE AS is_def, 1::BIGINT AS n FROM a WHERE n % 5 = 0 UNION ALL SELECT id, 'zz', FALSE, 1 FROM a WHERE n % 5 = 0 UNION ALL SELECT id, 's1', TRUE, 1 FROM a WHERE n % 5 = 0",
+    "c21_citations": "SELECT id, 1::BIGINT AS number, 'Site' AS text, 'https://example.com/' || n AS target, '[Site](https://example.com/' || n || ')' AS raw FROM a WHERE n % 11 = 0",
+    "f9_valid_events": "SELECT id, CASE WHEN n % 3 < 2 THEN 1 ELSE 0 END::BIGINT AS n_events, CASE WHEN tier > 0 THEN 1 ELSE 0 END::BIGINT AS n_valid FROM a",
+    "j16_point_lookups": "SELECT target AS target_id, raw FROM links WHERE src_id = 'd7/doc_7'",
+    "s20_resolve_paths": "SELECT a.id, coalesce(t.id || '.md', '-') AS rel_path FROM a LEFT JOIN a t ON t.n = a.n + 1 WHERE a.n % 5 = 0",
+    "x8_candidates": "SELECT src_id, seq::BIGINT AS seq, CASE WHEN raw LIKE '/%' THEN 'absolute' ELSE 'relative' END AS kind, 1::BIGINT AS n_candidates FROM links UNION ALL SELECT id, 2 + CASE WHEN n % 20 = 0 THEN 1 ELSE 0 END + CASE WHEN n % 97 = 0 THEN 1 ELSE 0 END, 'external', 0 FROM a WHERE n % 11 = 0",
+    "x3_common_ids": "SELECT a.id FROM a JOIN b ON a.id = b.id",
+    "k10_graph_rows": "SELECT a.id, count(l.target) AS n_links, string_agg(l.target, ',' ORDER BY l.seq) AS targets, coalesce(max(d.concept_id), '') AS sources FROM a JOIN links l ON l.src_id = a.id LEFT JOIN derived d ON d.src_id = a.id GROUP BY a.id",
+    "k13_diagnostic_lines": f"SELECT '[info] ' || concept || '.md: ' || message AS line FROM ({_V15})",
     "f1_concepts_of_type": "SELECT id FROM a WHERE type = 'Metric'",
     "f3_stale_on": "SELECT id FROM stale_now",
     "f4_broken_links": "SELECT src_id, raw FROM links WHERE NOT ok",
@@ -230,6 +276,7 @@ _ORACLES: dict[str, str] = {
     "j13_frontmatter_diff": _FRONT_DIFF,
     "j14_trust_diff": f"SELECT id, 'status' AS kind, status AS \"old\", 'archived' AS \"new\" FROM ({_ARCHIVED})",
     "x4_link_diff": _LINK_DIFF,
+    "stream_log_entries": "SELECT date_text, count(*) AS n FROM days GROUP BY date_text",
     "a14_diff_size": f"SELECT section, count(*) AS changes FROM (SELECT 'removed' AS section, id AS i FROM a WHERE n % 50 = 0 UNION ALL SELECT 'renamed', id FROM a WHERE n % 50 = 1 UNION ALL SELECT 'content', id FROM a WHERE n % 50 = 2 UNION ALL SELECT 'frontmatter', id FROM a WHERE n % 50 IN (3, 4) UNION ALL SELECT 'trust', id FROM a WHERE n % 50 = 3 UNION ALL SELECT section, id FROM ({_LINK_DIFF})) GROUP BY section",
 }
 
