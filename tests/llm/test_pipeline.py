@@ -49,3 +49,12 @@ def test_stages(spark, tmp_path):
 def test_every_operator_has_one_query():
     numbers = sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.queries())
     assert numbers == list(range(1, 11))
+
+
+def test_substring_matches_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(queries.oracle_sql()["op2_substring_dedup"]).fetchall()
+    assert sorted(want) == sorted(map(tuple, queries.op2_substring_dedup(spark, SF).collect()))
