@@ -66,3 +66,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The row of ``docs`` with the smallest doc_id of each class (``doc_id, component_id``), and of rows with equal
+    doc_id the one with the smallest text. Rows without doc_id stay. All columns stay."""
+    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("row"))
+    rows = rows.select(*[F.col(c) if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns])
+    return rows.unionByName(docs.where("doc_id is null"))

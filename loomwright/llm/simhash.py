@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, connected_components, cut_lineage
+from .common import byte_values, connected_components, cut_lineage, one_of_each
 
 SHINGLE = 4
 SEED = 42
@@ -182,11 +182,5 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each near-duplicate class of ``docs``: the one with the smallest doc_id, and of rows with
-    equal doc_id the one with the smallest text. Rows without doc_id link nothing and stay. All columns stay."""
-    kept = near_duplicates(docs, radius, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("row"))
-    rows = rows.select(*[F.col(c) if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns])
-    return rows.unionByName(docs.where("doc_id is null"))
+    """One row of each near-duplicate class of ``docs``; rows without doc_id link nothing and stay. All columns stay."""
+    return one_of_each(docs, near_duplicates(docs, radius, shingle))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from loomwright.llm import decontaminate, html_text, langid, media, mixing, quality, secrets, simhash, substring, toxicity
+from loomwright.llm import decontaminate, html_text, langid, media, mixing, quality, secrets, simhash, similar, substring, toxicity
 from loomwright.llm.common import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -184,14 +184,49 @@ def test_ball_join_finds_every_pair(spark, monkeypatch):
     assert plain_components(range(len(fps)), edges) == want
 
 
-def test_keep_one(spark):
+def test_similar_classes(spark, monkeypatch):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    docs, truth = [], []
+    for i in range(150):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([60, 200, 500]))]
+        docs.append(base)
+        truth.append(i)
+        for _ in range(i % 3):
+            copy = list(base)
+            for _ in range(len(base) // 100):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            docs.append(copy)
+            truth.append(i)
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")
+    monkeypatch.setattr(similar, "CHUNK", 50_000)
+    got = {r.doc_id: r.component_id for r in similar.similar(d).collect()}
+    pairs = [(a, b) for a in range(len(docs)) for b in range(a) if truth[a] == truth[b]]
+    shingles = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in docs]
+    close = [(a, b) for a, b in pairs if len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) >= 0.85]
+    assert len(close) > 50 and np.mean([got[a] == got[b] for a, b in close]) >= 0.97
+    assert all(truth[got[k]] == truth[k] for k in got)  # no stranger is taken for a copy
+
+
+def test_tables_reach_recall():
+    for count, similarity in ((1000, 0.8), (10**6, 0.9), (10**9, 0.8)):
+        bits, tables = similar.tables_for(count, similarity)
+        rng = np.random.Generator(np.random.PCG64(2))
+        flips = rng.random((2000, tables, bits)) < similar.differing_share(similarity)
+        assert np.mean((flips.sum(axis=2) <= 4).any(axis=1)) >= 0.95
+        assert 2 ** (bits - 12) >= count or bits == 60
+
+
+@pytest.mark.parametrize("module", [simhash, similar])
+def test_keep_one(spark, module):
     d = odd_docs(spark)
-    kept = simhash.keep_one(d)
+    kept = module.keep_one(d)
     assert kept.columns == d.columns
     rows = kept.collect()
     ids = [r.doc_id for r in rows if r.doc_id is not None]
     assert len(ids) == len(set(ids)) and 6 not in ids and 5 in ids
     assert sum(r.doc_id is None for r in rows) == 2
+    assert module.keep_one(d.limit(0)).count() == 0
 
 
 # --- language

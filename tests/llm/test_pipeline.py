@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from loomwright.llm import decontaminate, mixing, quality, queries, secrets, simhash
+from loomwright.llm import decontaminate, mixing, quality, queries, secrets, similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,7 +27,7 @@ def test_stages(spark, tmp_path):
     assert ids(after) == {r.doc_id for r in quality.score(before, model).where("predicted = 1").collect()}
 
     before, after = kept["simhash_dedup"]
-    assert ids(after) == {r.component_id for r in simhash.near_duplicates(before).collect()}
+    assert ids(after) == {r.component_id for r in similar.similar(before).collect()}
 
     before, after = kept["decontamination"]
     items = [" ".join(re.findall(r"\w+", r.text.lower())) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
