@@ -33,7 +33,7 @@ def concept_rules(concepts: DataFrame, today: str | None) -> DataFrame:
             _rule(F.col("timestamp").isNotNull(), 5, "warning", "`timestamp` is a v0.1 key superseded by `generated: { by, at }`"),
             _rule(F.size("citations") > 0, 6, "warning", "body `# Citations` list is superseded by `sources` + footnote attribution"),
             _rule(empty, 7, "warning", "body is empty; a concept should carry at least one line of prose or code"),
-            _rule(~empty & ~F.col("body").rlike(r"(?m)(?:\A|(?<=\n))[^\S\n]*# "), 8, "warning", "body has no top-level `#` heading; OKF docs conventionally open with one"),
+            _rule(~empty & ~F.col("body").rlike(r"(?m)(?:\A|(?<=\n))[^\S\n]*# "), 8, "warning", "body has no top-level `#` heading; documents conventionally open with one"),
             _rule(latest.isNotNull() & made.isNotNull() & (F.struct(latest["second"], latest["nano"]) < F.struct(made["second"], made["nano"])), 9, "warning", "latest verification (", F.coalesce(latest["text"], F.lit("")), ") predates `generated.at` (", F.coalesce(made["text"], F.lit("")), "); the current content was never re-verified"),
             _rule(day >= F.col("stale_after.effective"), 11, "warning", "stale since ", shown, " (`stale_after` passed)"),
             _rule(F.col("status") == "draft", 12, "info", "`status: draft`; a draft concept is not ready for production consumption"),

@@ -184,7 +184,7 @@ def declared_version(rows: DataFrame) -> DataFrame:
 def version_rule(rows: DataFrame) -> DataFrame:
     """V19."""
     v = trimmed(F.col("version"))
-    message = F.when(v.isin(*READABLE_VERSIONS), text_of("bundle targets OKF v", v, f"; read as v{FORMAT_VERSION} under the §13.1 fallbacks")).otherwise(text_of("bundle declares an unrecognized `okf_version: ", v, f"`; consuming it best-effort as v{FORMAT_VERSION} (§12)"))
+    message = F.when(v.isin(*READABLE_VERSIONS), text_of("bundle targets format v", v, f"; read as v{FORMAT_VERSION} under the §13.1 fallbacks")).otherwise(text_of("bundle declares an unrecognized `okf_version: ", v, f"`; consuming it best-effort as v{FORMAT_VERSION} (§12)"))
     odd = declared_version(rows).where(v != FORMAT_VERSION)
     return odd.select("bundle", F.lit(6).alias("phase"), F.array(F.lit("index.md")).alias("path_segs"), F.lit(0).alias("rule"), F.lit(0).alias("item"), F.lit(0).alias("sub"), F.lit("info").alias("severity"), F.lit("V19").alias("code"), F.lit("index.md").alias("path"), F.lit(None).cast("string").alias("concept"), message.alias("message"))
 
