@@ -377,8 +377,13 @@ def canonical(value) -> str:
     return f"{kind_of(value)[0]}{len(text)}={text}"
 
 
+_WORDS = re.compile(r"[A-Za-z][A-Za-z0-9_./ -]*(?<! )", re.ASCII)
+
+
 def _safe(text: str) -> bool:
     """Whether a string may stand unquoted."""
+    if _WORDS.fullmatch(text):  # most texts; none of these characters means anything here
+        return text not in _SPECIAL
     try:
         same = parse(text) == text
     except YamlError:
