@@ -6,6 +6,11 @@ So a document gets a long fingerprint, which is cut into tables of a few dozen b
 fingerprint emits all variants within two bits, as in ``simhash``, and those that meet, at four differing bits
 or fewer, are candidates; enough tables reach the target recall. A candidate pair is verified on separate bits
 of the long fingerprint, whose share of differing bits measures the similarity.
+
+Fingerprints travel by blocks of a table's bits: of five blocks, one is equal in any two fingerprints that differ
+in four bits, so each fingerprint is sent once for each block, however many documents there are, and the task that
+gets a block's value writes out the ball over all other bits. Where blocks of a fifth of the bits are too few values
+for the number of documents, two longer blocks take their place, each sent with one bit flipped as well.
 """
 
 from __future__ import annotations
@@ -29,8 +34,10 @@ RECALL = 0.97
 HALF = 2
 #: 64-bit words of the fingerprint that verify a pair.
 CHECK_WORDS = 4
-#: Fingerprints of a leading part of a table, and variants that a task holds at once.
+#: Fingerprints of a block's value: as aimed at, and at most before longer blocks are taken; and variants that a
+#: task holds at once.
 PART_ROWS = 25_000
+MOST_PART_ROWS = 400_000
 CHUNK = 3_000_000
 
 
@@ -47,6 +54,22 @@ def tables_for(count: int, similarity: float, recall: float = RECALL) -> tuple[i
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meets))
 
 
+def routing(count: int, bits: int) -> tuple[int, int, int]:
+    """(blocks, bits of a block, flips): of so many disjoint blocks one differs so little between any two values within
+    ``2 * HALF`` bits that both sides, flipping so many of its bits at most, send it alike."""
+    lead = max(2, math.ceil(math.log2(max(1, count) / PART_ROWS + 1)))
+    blocks = 2 * HALF + 1
+    if count >> min(lead, bits // blocks) <= MOST_PART_ROWS:
+        return blocks, min(lead, bits // blocks), 0
+    return 2, min(20, lead, bits // 2), (HALF + 1) // 2
+
+
+def turned(values: np.ndarray, by: int, bits: int) -> np.ndarray:
+    """The leading ``bits`` bits rotated left."""
+    window = np.uint64(((1 << bits) - 1) << (64 - bits))
+    return ((values << np.uint64(by)) | (values >> np.uint64(bits - by))) & window
+
+
 def long_fingerprint(data: bytes | None, words: int, shingle: int = SHINGLE) -> np.ndarray:
     """``words`` 64-bit words: for each, the bitwise majority of differently mixed shingle hashes."""
     tokens = (data or b"").lower().split()
@@ -127,8 +150,8 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     The similarity is the one that the checking bits measure (a standard error of 0.02 at 0.8), on shingles
     of ``shingle`` words, repeats counted. Texts without words are alike. A row without doc_id links nothing
     and has a null component. Repeated rows come back as often as they are given; an empty table gives an
-    empty result. A leading part that very many fingerprints share is cut further inside its task, so memory
-    stays bounded.
+    empty result. The variants of a block's value that very many fingerprints share are written out a part at a
+    time; its fingerprints themselves, 57 bytes each, are in one task.
     """
     bits, tables = tables_for(docs.count(), similarity)
     words = CHECK_WORDS + -(-bits * tables // 64)
@@ -136,7 +159,7 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     most = int(64 * CHECK_WORDS * differing_share(similarity) + 0.8 * math.sqrt(64 * CHECK_WORDS * differing_share(similarity)))
     prints = cut_lineage(long_fingerprints(docs, words, shingle))
     distinct = cut_lineage(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    lead = min(20, max(2, math.ceil(math.log2(max(1, distinct.count()) / PART_ROWS + 1))))
+    blocks, lead, flips = routing(distinct.count(), bits)
 
     checks = [f"check{k}" for k in range(CHECK_WORDS)]
 
@@ -145,10 +168,11 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
             fp = b.column("fp").flatten().to_numpy().view(np.uint64).reshape(-1, words)
             node = b.column("node").to_numpy()
             for t, values in enumerate(table_values(fp, bits, tables).T):
-                rows, value, left = spread(values, np.full(len(fp), HALF), 0, lead)
-                part = (value >> np.uint64(64 - lead)).astype(np.int64) * tables + t
-                columns = (pa.array(part), pa.array(value.view(np.int64)), pa.array(left.astype(np.int8)), pa.array(node[rows]), *(pa.array(fp[rows, k].view(np.int64)) for k in range(CHECK_WORDS)))
-                yield pa.RecordBatch.from_arrays(list(columns), names=["part", "value", "left", "node", *checks])
+                for block in range(blocks):
+                    rows, value, left = spread(turned(values, block * lead, bits), np.full(len(fp), flips), 0, lead)
+                    part = ((value >> np.uint64(64 - lead)).astype(np.int64) * blocks + block) * tables + t
+                    columns = (pa.array(part), pa.array(value.view(np.int64)), pa.array((left + HALF - flips).astype(np.int8)), pa.array(node[rows]), *(pa.array(fp[rows, k].view(np.int64)) for k in range(CHECK_WORDS)))
+                    yield pa.RecordBatch.from_arrays(list(columns), names=["part", "value", "left", "node", *checks])
 
     def collide(group: pa.Table) -> pa.Table:
         order = np.argsort(group["node"].to_numpy(), kind="stable")

@@ -208,6 +208,39 @@ def test_similar_classes(spark, monkeypatch):
     assert all(truth[got[k]] == truth[k] for k in got)  # no stranger is taken for a copy
 
 
+@pytest.mark.parametrize("most", [similar.MOST_PART_ROWS, 0])
+def test_routing_loses_no_pair(monkeypatch, most):
+    """Values within four bits meet in a part, with five blocks and with two; brute force over all placements of flips."""
+    monkeypatch.setattr(similar, "MOST_PART_ROWS", most)
+    bits = 32
+    blocks, lead, flips = similar.routing(100_000, bits)
+    assert blocks == (5 if most else 2) and blocks * lead <= bits
+    rng = np.random.Generator(np.random.PCG64(5))
+    for _ in range(400):
+        base = int(rng.integers(0, 1 << bits))
+        other = base
+        for at in rng.choice(bits, int(rng.integers(1, 5)), replace=False):
+            other ^= 1 << int(at)
+        pair = np.array([base, other], dtype=np.uint64) << np.uint64(64 - bits)
+        met = False
+        for block in range(blocks):
+            rows, value, left = similar.spread(similar.turned(pair, block * lead, bits), np.full(2, flips), 0, lead)
+            part = value >> np.uint64(64 - lead)
+            for p in np.unique(part):
+                own = np.flatnonzero(part == p)
+                a, b = similar.meet(value[own], left[own] + similar.HALF - flips, lead, bits)
+                met |= any(rows[own[x]] != rows[own[y]] for x, y in zip(a, b, strict=True))
+        assert met
+
+
+def test_rows_sent_do_not_grow_with_documents():
+    sent = lambda n: similar.routing(n, 32)[0] * (1 + similar.routing(n, 32)[2] * similar.routing(n, 32)[1])
+    assert sent(1000) == sent(44_000) == sent(220_000) == sent(10**7) == 5
+    for n in (10**8, 10**9, 10**10):
+        blocks, lead, flips = similar.routing(n, similar.tables_for(n, 0.8)[0])
+        assert blocks * (1 + flips * lead) <= 42 and blocks * lead <= similar.tables_for(n, 0.8)[0]
+
+
 def test_tables_reach_recall():
     for count, similarity in ((1000, 0.8), (10**6, 0.9), (10**9, 0.8)):
         bits, tables = similar.tables_for(count, similarity)
