@@ -200,21 +200,6 @@ _ORACLES: dict[str, str] = {
     "p11_contracts": "SELECT id, 'inline' AS source, 'SELECT ' || n AS code, 'sql' AS language, 'sql' AS runtime, 1::BIGINT AS n_required, FALSE AS has_redundant_inline FROM a WHERE type = 'Attested Computation'",
     "p13_extension_and_legacy_keys": "SELECT id, '' AS extension, CASE WHEN n % 45 = 0 THEN 'timestamp' ELSE '' END AS legacy FROM a",
     "p14_preferred_key_order": "SELECT id, array_to_string(list_concat(list_filter(['type', 'resource', 'title', 'description', 'tags', 'status', 'generated', 'verified', 'stale_after', 'sources', 'usage_window'], lambda p: list_contains(k, p)), list_filter(k, lambda x: NOT list_contains(['type', 'resource', 'title', 'description', 'tags', 'status', 'generated', 'verified', 'stale_after', 'sources', 'usage_window'], x))), ',') AS keys FROM keys",
-    "p3_sources": _query(lambda b: b.sources.select("src_id", _long("seq").alias("seq"), F.col("source.id").alias("source_id"), F.col("source.resource").alias("resource"), columns.resource_kind(F.col("source.resource")).alias("kind"))),
-    "p10_contract_parts": _query(lambda b: b.contracts.select("id", F.explode("parameters").alias("p"), "executor", "attester").select("id", "p.name", "p.type", "p.required", F.col("executor.resource").alias("runs"), F.array_join("executor.receipt", ",").alias("receipt"), F.coalesce("attester.resource", F.lit("-")).alias("checks"))),
-    "p12_path_fields": _query(lambda b: b.concepts.select("id", F.explode(typed_columns.path_fields()).alias("f")).select("id", "f.field", "f.raw")),
-    "p18_id_parts": _query(lambda b: b.concepts.select("id", F.element_at("id_segs", -1).alias("name"), F.array_join(columns.parent(F.col("id_segs")), "/").alias("parent"), _long(F.size("id_segs")).alias("depth"))),
-    "p19_actors": _query(lambda b: b.concepts.where("generated is not null").select("id", F.col("generated.by").alias("by_whom"), F.col("generated.by_kind").alias("kind"), F.substring_index("generated.by", "/", 1).alias("producer"), F.substring_index("generated.by", "/", -1).alias("version"))),
-    "c8_path_candidates": _query(lambda b: b.sources.select("src_id", _long("seq").alias("seq"), F.array_join(columns.field_paths(F.col("source.resource"), F.col("src_segs")), "|").alias("ways"))),
-    "c11_footnotes": _query(lambda b: b.footnotes().groupBy("id", "label", "is_def").agg(F.count("*").alias("n"))),
-    "c21_citations": _query(lambda b: b.citations().select("id", _long("number").alias("number"), "text", "target", "raw")),
-    "f9_valid_events": _query(lambda b: b.concepts.select("id", _long(F.size("verified")).alias("n_events"), _long(F.size(F.filter("verified", lambda v: v["valid"]))).alias("n_valid"))),
-    "j16_point_lookups": _query(lambda b: b.links_from("d7/doc_7").select("target_id", "raw")),
-    "s20_resolve_paths": _query(lambda b: b.resolve_paths(b.sources.where("source.id = 's1'").select("bundle", F.col("src_id").alias("id"), F.col("source.resource").alias("raw"))).select("id", F.coalesce("rel_path", F.lit("-")).alias("rel_path"))),
-    "x8_candidates": _query(lambda b: graph.raw_links(b.concepts).select("src_id", _long("seq").alias("seq"), "kind", _long(F.size("candidates")).alias("n_candidates"))),
-    "x3_common_ids": lambda spark, sf_dir: bundle_of(spark, sf_dir).concepts.select("id").intersect(bundle_of(spark, sf_dir, True).concepts.select("id")),
-    "k10_graph_rows": _query(lambda b: render.graph_rows(b, True).select("id", _long(F.coalesce(F.size("links"), F.lit(0))).alias("n_links"), F.coalesce(F.array_join("links.target", ","), F.lit("")).alias("targets"), F.coalesce(F.array_join("sources", ","), F.lit("")).alias("sources"))),
-    "k13_diagnostic_lines": _query(lambda b: validate.unresolved_paths(b.concepts, b.files).select(render.diagnostic_line().alias("line"))),
     "p3_sources": "SELECT id AS src_id, 0::BIGINT AS seq, 's1' AS source_id, '../d' || ((n + 1) % 10) || '/doc_' || (n + 1) || '.md' AS resource, 'path' AS kind FROM a WHERE n % 5 = 0 UNION ALL SELECT id, 1, 's2', 'https://example.com/' || n, 'url' FROM a WHERE n % 5 = 0",
     "p10_contract_parts": "SELECT id, 'year' AS name, 'integer' AS type, TRUE AS required, 'run.md' AS runs, 'log' AS receipt, CASE WHEN n % 14 = 0 THEN '-' ELSE 'check.py' END AS checks FROM a WHERE type = 'Attested Computation'",
     "p12_path_fields": "SELECT id, 'executor.resource' AS field, 'run.md' AS raw FROM a WHERE n % 7 = 0 UNION ALL SELECT id, 'attester.resource', 'check.py' FROM a WHERE n % 7 = 0 AND n % 14 <> 0",
