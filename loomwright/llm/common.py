@@ -26,8 +26,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``; only where it is unset take a temporary one."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomwright-ckpt-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwright-ckpt-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -151,12 +151,13 @@ def _crc(column: str, modulus: int):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int = FIT_ROWS) -> DataFrame:
     """``doc_id, text, y`` of at most ``limit`` labelled documents, those with the smallest hash of doc_id.
 
-    A document with several labels takes the largest. The labels that join are at most ``limit`` rows of
-    two numbers, so they are broadcast and no text is shuffled.
+    A document with several labels takes the largest, and of rows with equal doc_id the smallest text counts. The
+    labels that join are at most ``limit`` rows of two numbers, so they are broadcast; only the sample is shuffled.
     """
     some = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("r")).select("doc_id", "r.*")
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> AdditiveModel:

@@ -124,6 +124,8 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     Within a shared leading part each fingerprint is tied to the smallest node that its links reach there,
     so thousands of near copies give thousands of edges and not their square.
     """
+    if radius % 2:
+        raise ValueError("the radius must be even: both sides flip half of it")
     half = radius // 2
     bits = min(44, max(4, round(math.log2(max(1, count) / 800))))
     usual = max(4096, 6 * count >> bits)

@@ -208,6 +208,18 @@ def test_similar_classes(spark, monkeypatch):
     assert all(truth[got[k]] == truth[k] for k in got)  # no stranger is taken for a copy
 
 
+def test_radius_must_be_even(spark):
+    with pytest.raises(ValueError, match="even"):
+        simhash.links(spark.createDataFrame([(1, 1)], "fp long, node long"), 1, radius=3)
+
+
+def test_sample_is_bounded_under_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"t{i}") for i in range(300)] + [(2, None), (3, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1)], "doc_id long, quality int")
+    rows = quality.labelled_sample(docs, labels, "quality", 2).collect()
+    assert sorted((r.doc_id, r.text, r.y) for r in rows) == [(1, "t0", 1), (2, None, 1)]
+
+
 @pytest.mark.parametrize("most", [similar.MOST_PART_ROWS, 0])
 def test_routing_loses_no_pair(monkeypatch, most):
     """Values within four bits meet in a part, with five blocks and with two; brute force over all placements of flips."""
