@@ -112,7 +112,8 @@ def meet(fp: np.ndarray, value: np.ndarray, left: np.ndarray, bits: int, radius:
         variants, rows = variants[order], rows[order]
         same = variants[1:] == variants[:-1]
         a, b = rows[:-1][same], rows[1:][same]
-    a, b = a[ok := np.bitwise_count(fp[a] ^ fp[b]) <= radius], b[ok]  # the check of each colliding pair
+        # the check of each colliding pair; the pairs of row and root above can be further apart
+        a, b = a[ok := np.bitwise_count(fp[a] ^ fp[b]) <= radius], b[ok]
     root = local_roots(len(fp), a, b)
     other = np.flatnonzero(root != np.arange(len(fp)))
     return other, root[other]

@@ -184,6 +184,20 @@ def test_ball_join_finds_every_pair(spark, monkeypatch):
     assert plain_components(range(len(fps)), edges) == want
 
 
+def test_chain_in_a_crowded_part(monkeypatch):
+    """A chain of links whose ends are far apart stays whole where a part is cut further inside the task."""
+    rng = random.Random(3)
+    fps = [rng.getrandbits(40)]
+    for _ in range(150):
+        fps.append(fps[-1] ^ sum(1 << k for k in rng.sample(range(40), 4)))
+    rng.shuffle(fps)
+    fp = np.array(fps, dtype=np.uint64)
+    for chunk in (simhash.CHUNK, 20_000):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        a, b = simhash.meet(fp, fp, np.full(len(fp), 2), 6, 4)
+        assert set(plain_components(range(len(fp)), list(zip(a.tolist(), b.tolist(), strict=True))).values()) == {0}
+
+
 def test_similar_classes(spark, monkeypatch):
     rng = random.Random(12)
     vocabulary = [f"w{i}" for i in range(3000)]
