@@ -16,7 +16,7 @@ for the number of documents, two longer blocks take their place, each sent with
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -39,6 +39,8 @@ CHECK_WORDS = 4
 PART_ROWS = 25_000
 MOST_PART_ROWS = 400_000
 CHUNK = 3_000_000
+#: Rows and columns of the pairs that a task compares at once.
+TILE = (256, 8192)
 
 
 def differing_share(similarity: float) -> float:
@@ -144,6 +146,29 @@ def meet(value: np.ndarray, left: np.ndarray, have: int, bits: int) -> tuple[np.
     return pairs[0], pairs[1]
 
 
+def sweep(value: np.ndarray, left: np.ndarray, root: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Roots after every pair of rows with unlike roots that shares a variant was checked by ``near``; the rows of a
+    part have equal leading bits. Members of a found component are not compared with each other again."""
+    order = np.argsort(root, kind="stable")
+    v, flips, r = value[order], left[order].astype(np.uint8), root[order]
+    found, waiting = [np.stack((np.arange(len(root)), root))], 0
+    for at in range(0, len(v), TILE[0]):
+        own = slice(at, at + TILE[0])
+        for col in range(int(np.searchsorted(r, r[at], "right")), len(v), TILE[1]):
+            cols = slice(col, col + TILE[1])
+            i, j = np.nonzero(np.bitwise_count(v[own, None] ^ v[None, cols]) <= flips[own, None] + flips[None, cols])
+            i, j = i + at, j + col
+            pair = (i < j) & (r[i] != r[j])
+            a, b = order[i[pair]], order[j[pair]]
+            ok = near(a, b)
+            found.append(np.stack((a[ok], b[ok])))
+            waiting += int(ok.sum())
+            if waiting > CHUNK:
+                root = local_roots(len(root), *np.concatenate(found, axis=1))
+                found, waiting = [np.stack((np.arange(len(root)), root))], 0
+    return local_roots(len(root), *np.concatenate(found, axis=1))
+
+
 def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, component_id`` for every row of ``docs``: the smallest doc_id reachable over links of ``similarity`` or more.
 
@@ -178,9 +203,14 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
         order = np.argsort(group["node"].to_numpy(), kind="stable")
         node, left = group["node"].to_numpy()[order], group["left"].to_numpy()[order].astype(np.int64)
         value, *check = (group[c].to_numpy()[order].view(np.uint64) for c in ("value", *checks))
+
+        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return sum(np.bitwise_count(c[a] ^ c[b]).astype(int) for c in check) <= most
+
+        # neighbours first, which ties true groups in linear time; then every other pair that meets
         a, b = meet(value, left, lead, bits)
-        near = sum(np.bitwise_count(c[a] ^ c[b]).astype(int) for c in check) <= most
-        root = local_roots(len(node), a[near], b[near])
+        ok = near(a, b)
+        root = sweep(value, left, local_roots(len(node), a[ok], b[ok]), near)
         other = np.flatnonzero(node[root] != node)
         return pa.table({"a": node[other], "b": node[root[other]]})
 
