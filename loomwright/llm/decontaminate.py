@@ -17,6 +17,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ RECALL = 0.95
 SAMPLED = 2
 #: Items searched for in one pass over the documents; more items take more passes.
 ITEMS_PER_PASS = 20_000
-#: Items with fewer words are not searched for: they are ordinary phrases.
-MIN_WORDS = 3
+#: Items of a single word are not searched for.
+MIN_WORDS = 2
 
 _BREAKS = np.array([not (chr(b).isalnum() and b < 128 or b >= 128) for b in range(256)])
 _WIDE_PUNCTUATION = re.compile("[ -¿ -⁯　-〃]")
@@ -64,20 +65,32 @@ def allowed(words: int) -> int:
     return int(words * EDIT_SHARE + 1e-9)
 
 
-def repetitions(size: int, recall: float = RECALL) -> int:
-    """How many repetitions find a window with the most edits allowed, measured on seeded random edits."""
+def class_bounds(words: int) -> tuple[int, int]:
+    """(fewest, most) words of the items that share a class with those of ``words``: none is more than a quarter longer
+    than another. They are the same for any set of items."""
+    low = 1
+    while (high := int(low * 1.25)) < words:
+        low = high + 1
+    return low, high
+
+
+@lru_cache(maxsize=None)
+def repetitions(size: int, most: int, recall: float = RECALL) -> int:
+    """How many repetitions of windows of ``size`` words find items of ``size`` to ``most`` words with the most edits
+    allowed, measured on seeded random edits of those that allow the most for their length."""
     rng = np.random.Generator(np.random.PCG64(size))
-    edits, trials, seeds = allowed(size), 200, 8
+    words = max(range(size, most + 1), key=lambda n: (allowed(n) / n, n))
+    edits, trials, seeds = allowed(words), 200, 8
     if not edits:
         return 1
     ones, twos = [], []
     for _ in range(trials):
-        one = rng.integers(1, 2**63, size, dtype=np.uint64)
+        one = rng.integers(1, 2**63, words, dtype=np.uint64)
         two = one.tolist()
         for _ in range(edits):
             at, kind = int(rng.integers(len(two))), int(rng.integers(3))
             two[at : at + (kind != 1)] = [] if kind == 0 and len(two) > 1 else [int(rng.integers(1, 2**63))]
-        ones.append(one)
+        ones.append(one[:size])
         twos.append(np.concatenate((np.array(two, dtype=np.uint64), rng.integers(1, 2**63, size, dtype=np.uint64)))[:size])
     starts = np.arange(trials) * size
     met = sum(int((walk_keys(np.concatenate(ones), starts, size, r) == walk_keys(np.concatenate(twos), starts, size, r)).sum()) for r in range(seeds))
@@ -87,7 +100,7 @@ def repetitions(size: int, recall: float = RECALL) -> int:
 
 @dataclass
 class SizeClass:
-    """Items of similar size: windows have the size of the smallest."""
+    """Items of similar size: windows have the smallest size of the class."""
 
     size: int
     most: int
@@ -120,19 +133,19 @@ def _full_windows(hits: np.ndarray, size: int, need: int) -> np.ndarray:
 
 
 def size_classes(items: list[np.ndarray]) -> list[SizeClass]:
-    """Group items, none more than a quarter longer than the first of its class."""
-    order, classes, at = sorted((k for k in range(len(items)) if len(items[k]) >= MIN_WORDS), key=lambda k: (len(items[k]), k)), [], 0
-    while at < len(order):
-        size = len(items[order[at]])
-        own = [k for k in order[at:] if len(items[k]) <= size * 1.25]
-        at += len(own)
+    """Group items by ``class_bounds``; items under MIN_WORDS words are in none."""
+    members: dict[tuple[int, int], list[int]] = {}
+    for k in sorted((k for k in range(len(items)) if len(items[k]) >= MIN_WORDS), key=lambda k: (len(items[k]), k)):
+        members.setdefault(class_bounds(len(items[k])), []).append(k)
+    classes = []
+    for (size, most), own in members.items():
         tables = []
-        for r in range(repetitions(size)):
+        for r in range(repetitions(size, most)):
             table: dict[int, list[int]] = {}
             for k in own:
                 table.setdefault(int(walk_keys(items[k], np.zeros(1, np.int64), size, r)[0]), []).append(k)
             tables.append(table)
-        classes.append(SizeClass(size, len(items[own[-1]]), own, np.unique(np.concatenate([_pair_codes(items[k]) for k in own])), tables))
+        classes.append(SizeClass(size, most, own, np.unique(np.concatenate([_pair_codes(items[k]) for k in own])), tables))
     return classes
 
 
@@ -207,7 +220,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     An item is found where its words are at an edit distance of EDIT_SHARE of their number or less from some
     part of the text; letter case and punctuation do not count. Null and blank texts and items match nothing,
-    nor do items under MIN_WORDS words. Items with equal text all match. Rows with equal doc_id are reported
+    nor do items of a single word. Items under five words allow no edit. Items with equal text all match. Rows with equal doc_id are reported
     each; an empty table on either side gives an empty result. Items are taken in passes of a fixed number,
     so what a task holds does not grow with the benchmark.
     """
