@@ -1,9 +1,10 @@
 """Secret spans: three exact patterns, and values in a credential context judged by their guess cost.
 
 The guess cost of a value is the cheapest way to write it as dictionary words, dates, repeats, keyboard
-walks and brute-force characters, in bits, found by dynamic programming over its positions. A value behind
-words such as "passphrase" or "login" is a secret if even the cheapest way is expensive; "login: monday"
-is not.
+walks and brute-force characters, in bits, found by dynamic programming over its positions. In a value without
+digits, letters that follow each other as in words count as one word of a large dictionary, so that prose is cheap. A value behind words such
+as "passphrase" or "login", up to white space or its closing quote, is a secret if even the cheapest way is
+expensive; "login: monday" is not.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +35,7 @@ _CONTEXT_WORDS = (
     "access key", "access_key", "private key", "private_key", "credential", "login", "bearer",
 )
 _CONTEXT = re.compile(
-    r"(?<![A-Za-z])(?:" + "|".join(map(re.escape, _CONTEXT_WORDS)) + r")s?(?![A-Za-z])[\"']?(?:\x20{0,3}(?::=|=>|[:=])\x20{0,3}|\x20is:?\x20|\x20)(?:\"([^\"\s]{8,})\"|'([^'\s]{8,})'|([^\s\"'<>,;]{8,}))",
+    r"(?<![A-Za-z])(?:" + "|".join(map(re.escape, _CONTEXT_WORDS)) + r")s?(?![A-Za-z])[\"']?(?:\x20{0,3}(?::=|=>|[:=])\x20{0,3}|\x20is:?\x20|\x20)(?:\"([^\"\s]{8,})|'([^'\s]{8,})|([^\s\"']\S{7,}))",
     re.IGNORECASE | re.ASCII,
 )
 
@@ -47,12 +49,25 @@ ninja mustang access flower summer winter spring autumn monday tuesday wednesday
 february march april june july august september october november december love money computer internet test user root
 guest default changeme token cheese pepper ginger soccer hockey killer tiger michael jennifer thomas robert daniel andrew
 charlie maria database server example service system account public private key value name none null true false unknown
+required incorrect invalid important expired protected protection security credentials credential username email address
+authentication authorization authenticated information management generated generator generation classification
+embedding embeddings sequence sequences prediction representation identifier configuration environment application
+production development developer documentation function variable parameter parameters property settings provided because
+between through without something everything nothing another different following available necessary possible
+understanding recovery verification encryption encrypted algorithm manager storage strength changed reset missing
+undefined optional placeholder string integer number https http www com org net html
 """.split()
 _RANK = {w: k + 1 for k, w in enumerate(dict.fromkeys(_WORDS))}
 _LONGEST_WORD = max(map(len, _RANK))
 # Characters that stand for letters (fixed values).
 _LEET = str.maketrans({"4": "a", "@": "a", "8": "b", "3": "e", "6": "g", "1": "l", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t", "2": "z"})
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
+_PAIRS = Counter(a + b for w in _RANK for a, b in zip(" " + w, w, strict=False))
+_HEADS = Counter(c for w in _RANK for c in " " + w[:-1])
+#: In a value without digits, a run of so many letters that costs so many bits a letter by the letter pairs of the words above is taken for a word
+#: of a large dictionary of so many bits.
+_WORD_LETTERS, _PAIR_BITS, _DICTIONARY_BITS = (4, 18), 4.3, 18.0
+_LETTERS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _NEXT = {pair for row in _ROWS for a, b in zip(row, row[1:], strict=False) for pair in (a + b, b + a)}
 _DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)", re.ASCII)
 
@@ -65,6 +80,12 @@ def _brute_bits(c: str) -> float:
     return math.log2(100)
 
 
+def _word_like(low: str) -> bool:
+    """Whether letters follow each other as in words."""
+    bits = sum(-math.log2((_PAIRS[a + b] + 0.3) / (_HEADS[a] + 0.3 * 26)) for a, b in zip(" " + low, low, strict=False))
+    return bits <= _PAIR_BITS * len(low)
+
+
 def guess_bits(value: str) -> float:
     """Bits of the cheapest segmentation of the whole value; linear in its length."""
     n, low = len(value), value.lower()
@@ -72,6 +93,9 @@ def guess_bits(value: str) -> float:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
+    fewest, most = _WORD_LETTERS
+    prose = not re.search(r"[0-9]", value)
+    runs = {m.end(): m.start() for m in _LETTERS.finditer(value) if prose and fewest <= m.end() - m.start() <= most and _word_like(m[0].lower())}
     run_start, walk_start = 0, 0  # of the repeat and of the keyboard walk that end at i
     for i in range(1, n + 1):
         if i >= 2 and value[i - 1] != value[i - 2]:
@@ -88,6 +112,8 @@ def guess_bits(value: str) -> float:
                 cost = min(cost, best[j] + math.log2(rank) + (value[j:i] != low[j:i]) + 1)
             elif rank := _RANK.get(plain[j:i]):
                 cost = min(cost, best[j] + math.log2(rank) + (value[j:i] != low[j:i]) + 3)
+        if i in runs:
+            cost = min(cost, best[runs[i]] + _DICTIONARY_BITS + (not value[i - 1].islower() or value[runs[i]].isupper()))
         for m in (4, 8, 10):
             if i >= m and _DATE.fullmatch(value, i - m, i):
                 cost = min(cost, best[i - m] + math.log2(120 * (365 if m > 4 else 1)) + (m == 10) * 2)
@@ -112,19 +138,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guessed_spans(text: str, base: list[tuple[int, int, int]], min_bits: float = MIN_BITS) -> list[tuple[int, int, int]]:
-    """Values in a credential context that cost ``min_bits`` or more and overlap no base span."""
+    """Values in a credential context that cost ``min_bits`` or more and reach beyond every base span."""
     low = text.lower()
     if not any(w in low for w in _CONTEXT_WORDS):
         return []
-    found = []
-    for m in _CONTEXT.finditer(text):
+    found, at = [], 0
+    while m := _CONTEXT.search(text, at):
         start, end = m.span(m.lastindex)
-        if not m[1] and not m[2]:
-            end = start + len(text[start:end].rstrip(".!?:)*#$%&"))
-        value = text[start:end]
-        mixed = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")) > 1 and not value.isalpha()
-        if end - start >= 8 and mixed and re.search(r"[0-9]", value) and guess_bits(value) >= min_bits and not any(s < end and start < e for s, _, e in base):
+        if m[3]:
+            end = start + len(text[start:end].rstrip(".,;:?)]}>\"'"))
+        if end - start >= 8 and guess_bits(text[start:end]) >= min_bits and not any(s <= start and end <= e for s, _, e in base):
             found.append((start, 3, end))
+            at = end
+        else:
+            at = start  # the value can be a context word itself
     return found
 
 
