@@ -9,7 +9,8 @@ from .yaml_subset import lines_of
 _ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})")
 _HEADING = re.compile(r"\s*(#{1,6})(?!#)(?:[ \t](.*))?", re.DOTALL)
 _DEFINITION = re.compile(r"\s{0,3}\[\^([^\]]*)\]:")
-_LABEL = re.compile(r"\[\^([^\]]*)\]")
+_LABEL = re.compile(r"\[\^([^\[\]]*)\]")
+_BRACKET = re.compile(r"\\.|[\[\]()]", re.DOTALL)
 
 
 def split_document(text: str) -> tuple[str | None, str, str | None]:
@@ -50,49 +51,48 @@ def code_free(body: str) -> list[tuple[int, str]]:
     return out
 
 
-def _balanced(line: str, at: int, opener: str, closer: str) -> int:
-    """Position of the bracket that closes the one before ``at``; -1 if none does."""
-    depth = 1
-    while at < len(line):
-        if line[at] == "\\":
-            at += 1
-        elif line[at] == opener:
-            depth += 1
-        elif line[at] == closer:
-            depth -= 1
-            if not depth:
-                return at
-        at += 1
-    return -1
-
-
-def _link_at(line: str, at: int) -> tuple[str, str, int] | None:
-    """(text, target, end) of the link whose bracket opens at ``at``."""
-    close = _balanced(line, at + 1, "[", "]")
-    if close < 0 or line[close + 1 : close + 2] != "(":
-        return None
-    end = _balanced(line, close + 2, "(", ")")
-    if end < 0:
-        return None
-    target = line[close + 2 : end].strip()
-    if target.startswith("<") and ">" in target:
-        target = target[1 : target.index(">")]
-    elif m := re.match(r"([^ \t]*)[ \t]\s*[\"']", target):
-        target = m[1]
-    return line[at + 1 : close], target, end + 1
+class _Brackets:
+    """Links of one line. One pass pairs up all its brackets, so that a line takes time in proportion to its length."""
+
+    def __init__(self, line: str) -> None:
+        self.line = line
+        self.openers: list[int] = []  # of square brackets, in order
+        self.closer: dict[int, int] = {}
+        waiting: dict[str, list[int]] = {"]": [], ")": []}
+        for m in _BRACKET.finditer(line):
+            mark, at = m[0], m.start()
+            if mark in ("[", "("):
+                waiting["]" if mark == "[" else ")"].append(at)
+                if mark == "[":
+                    self.openers.append(at)
+            elif mark in waiting and waiting[mark]:
+                self.closer[waiting[mark].pop()] = at
+
+    def link(self, at: int) -> tuple[str, str, int] | None:
+        """(text, target, end) of the link whose bracket opens at ``at``."""
+        close = self.closer.get(at, -1)
+        end = self.closer.get(close + 1, -1)
+        if close < 0 or end < 0 or self.line[close + 1] != "(":
+            return None
+        target = self.line[close + 2 : end].strip()
+        if target.startswith("<") and ">" in target:
+            target = target[1 : target.index(">")]
+        elif m := re.match(r"([^ \t]*)[ \t]\s*[\"']", target):
+            target = m[1]
+        return self.line[at + 1 : close], target, end + 1
 
 
 def links(body: str) -> list[tuple[str, str, str | None]]:
     """(text, target, percent-decoded target without anchor or None) of each inline link, in order."""
     out = []
     for _, line in code_free(body):
-        at = line.find("[")
-        while at >= 0:
-            before = line[:at]
-            found = None if (len(before) - len(before.rstrip("\\"))) % 2 else _link_at(line, at)
-            if found:
+        if "](" not in line:
+            continue
+        brackets, done = _Brackets(line), 0
+        for at in brackets.openers:
+            if at >= done and (found := brackets.link(at)):
                 out.append((found[0], found[1], percent_decoded(found[1].split("#")[0])))
-            at = line.find("[", found[2] if found else at + 1)
+                done = found[2]
     return out
 
 
@@ -104,13 +104,7 @@ def footnotes(body: str) -> tuple[list[tuple[str, int]], list[tuple[str, str, in
         if m and m[1].strip():
             defs.append((m[1].strip(), line[m.end() :].strip(), number))
             line = line[m.end() :]
-        at = 0
-        while found := _LABEL.search(line, at):
-            label = found[1].strip()
-            good = label and "[" not in label
-            if good:
-                refs.append((label, number))
-            at = found.end() if good else found.start() + 1
+        refs += [(label, number) for m in _LABEL.finditer(line) if (label := m[1].strip())]
     return refs, defs
 
 
@@ -122,9 +116,9 @@ def citations(body: str) -> list[tuple[int, str | None, str | None, str]]:
             if inside:
                 break
             inside = line.lstrip("#").strip().lower() == "citations"
-        elif inside and (m := re.match(r"\[\s*(\+?[0-9]+)\s*\]", line, re.ASCII)) and int(m[1]) < 2**32:
+        elif inside and (m := re.match(r"\[\s*(\+?[0-9]+)\s*\]", line, re.ASCII)) and len(m[1]) < 4000 and int(m[1]) < 2**32:
             raw = line[m.end() :].strip()
-            link = _link_at(raw, raw.index("[")) if "[" in raw else None
+            link = _Brackets(raw).link(raw.index("[")) if "[" in raw else None
             out.append((int(m[1]), link[0] if link else None, link[1] if link else None, raw))
     return out
 

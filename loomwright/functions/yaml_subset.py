@@ -27,6 +27,11 @@ _COMMENT = re.compile(r"(?<=[ \t])#.*\Z", re.DOTALL)
 _DATETIME = re.compile(r"\d{4}-\d{1,2}-\d{1,2}(?:[Tt]|[ \t]+)\d{1,2}:\d\d:\d\d(?:\.\d*)?(?:[ \t]*(?:Z|[-+]\d{1,2}(?::\d\d)?))?", re.ASCII)
 
 
+#: Collections inside each other at most; a document nested deeper is reported as an error.
+MAX_DEPTH = 100
+TOO_DEEP = f"collections nested more than {MAX_DEPTH} deep"
+
+
 class YamlError(ValueError):
     """A reading error; ``line`` counts from one within the text."""
 
@@ -58,7 +63,7 @@ def plain(text: str):
     """Type of an unquoted scalar."""
     if text in _SPECIAL:
         return _SPECIAL[text]
-    if _INT.fullmatch(text) and -(2**63) <= int(text) < 2**63:
+    if len(text) <= 20 and _INT.fullmatch(text) and -(2**63) <= int(text) < 2**63:
         return int(text)
     return float(text) if _FLOAT.fullmatch(text) else text
 
@@ -85,13 +90,13 @@ def _unescaped(body: str, line: int) -> str:
     return "".join([*out, body[at:]])
 
 
-def _quoted(text: str, line: int) -> tuple[str, int]:
-    """Value and end of the quoted string that ``text`` starts with."""
-    double = text[0] == '"'
-    m = (_DOUBLE if double else _SINGLE).match(text)
+def _quoted(text: str, line: int, at: int = 0) -> tuple[str, int]:
+    """Value and end of the quoted string that starts at ``at``."""
+    double = text[at] == '"'
+    m = (_DOUBLE if double else _SINGLE).match(text, at)
     if m is None:
         if double:
-            _unescaped(text[1:], line)  # an escape that is wrong comes before the missing end
+            _unescaped(text[at + 1 :], line)  # an escape that is wrong comes before the missing end
         raise YamlError(line, f"unterminated {'double' if double else 'single'}-quoted string")
     body = m[0][1:-1]
     return (_unescaped(body, line) if double else body.replace("''", "'")), m.end()
@@ -140,7 +145,7 @@ class _Flow:
     """Bracketed collections, which stay on one line."""
 
     def __init__(self, text: str, line: int) -> None:
-        self.text, self.line, self.at = text, line, 0
+        self.text, self.line, self.at, self.depth = text, line, 0, 0
 
     def peek(self) -> str:
         while self.at < len(self.text) and self.text[self.at].isspace():
@@ -155,7 +160,9 @@ class _Flow:
 
     def collection(self, opener: str):
         closer, name = ("]", "sequence") if opener == "[" else ("}", "mapping")
-        self.at += 1
+        self.at, self.depth = self.at + 1, self.depth + 1
+        if self.depth > MAX_DEPTH:
+            raise YamlError(self.line, TOO_DEEP)
         out: list = []
         while self.peek() != closer:
             if not self.peek():
@@ -172,13 +179,12 @@ class _Flow:
                 self.at += 1
             elif self.peek() != closer:
                 raise YamlError(self.line, f"expected ',' or '{closer}' in flow {name}")
-        self.at += 1
+        self.at, self.depth = self.at + 1, self.depth - 1
         return out if opener == "[" else Pairs(out)
 
     def atom(self):
         if self.peek() in ("'", '"') and self.peek():
-            value, used = _quoted(self.text[self.at :], self.line)
-            self.at += used
+            value, self.at = _quoted(self.text, self.line, self.at)
             return value
         start = self.at
         while self.at < len(self.text) and self.text[self.at] not in ",]}":
@@ -193,11 +199,16 @@ class _Reader:
     """Block structure by indentation."""
 
     def __init__(self, text: str) -> None:
-        self.lines, self.at = lines_of(text), 0
+        self.lines, self.at, self.depth = lines_of(text), 0, 0
 
     def fail(self, message: str) -> YamlError:
         return YamlError(self.at + 1, message)
 
+    def deeper(self) -> None:
+        self.depth += 1
+        if self.depth > MAX_DEPTH:
+            raise self.fail(TOO_DEEP)
+
     def indent(self, tab: str = "tab character in indentation") -> int:
         line = self.lines[self.at]
         n = len(line) - len(line.lstrip(" "))
@@ -238,6 +249,7 @@ class _Reader:
 
     def mapping(self, indent: int) -> Pairs:
         out = Pairs()
+        self.deeper()
         while (text := self._level(indent, "mapping")) is not None and not (text == "-" or text.startswith("- ")):
             pair = split_pair(text)
             if pair is None:
@@ -245,10 +257,12 @@ class _Reader:
             key = scalar(pair[0], self.at + 1)
             self.at += 1
             out.items.append((key, self.inline(pair[1], indent) if pair[1] else self.nested(indent)))
+        self.depth -= 1
         return out
 
     def sequence(self, indent: int) -> list:
         out: list = []
+        self.deeper()
         while (text := self._level(indent, "sequence")) is not None and (text == "-" or text.startswith("- ")):
             item = text[1:].lstrip()
             if item and item[0] not in "|>" and split_pair(item):
@@ -258,6 +272,7 @@ class _Reader:
                 continue
             self.at += 1
             out.append(self.inline(item, indent) if item else self.nested(indent))
+        self.depth -= 1
         return out
 
     def inline(self, text: str, indent: int):
@@ -275,6 +290,7 @@ class _Reader:
         """A scalar with the lines that continue it."""
         if first[:1] in ("[", "{") and first:
             flow = _Flow(first.strip(), line)
+            flow.depth = self.depth
             value = flow.value()
             if flow.peek() not in ("", "#"):
                 raise YamlError(line, "unexpected content after flow collection")

@@ -1,6 +1,7 @@
 """Markdown scanner and dates."""
 
 import datetime
+import time
 
 import pytest
 from hypothesis import given
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 
 from loomwright.functions import dates
 from loomwright.functions import markdown as m
+from loomwright.sources.parse import parse_file
 
 
 @pytest.mark.parametrize(("body", "found"), [
@@ -84,3 +86,20 @@ def test_equal_instants_and_bad_ones():
     assert dates.instant("2026-06-20T00:00:00.123456789123Z")["nano"] == 123456789
     for bad in ("2026-06-20T25:00:00Z", "2026-06-20T22:53:05.Z", "2026-06-20X22:53", "2026-06-20T22", "2026-06-20T22:53:05+24:00", "é"):
         assert dates.instant(bad) is None
+
+
+@pytest.mark.parametrize("line", ["[" * 1_000_000, "[a](" * 250_000, "[^" * 500_000, "\\" * 1_000_000, "[a](b) " * 20_000])
+def test_long_lines_take_linear_time(line):
+    began = time.perf_counter()
+    found = m.links(line)
+    m.footnotes(line)
+    assert time.perf_counter() - began < 5 and len(found) == line.count("](b)")
+
+
+def test_deep_frontmatter_is_an_error_not_a_crash():
+    for front in ("a: " + "[" * 3000, "a: " + "[" * 3000 + "]" * 3000, "\n".join(" " * i + "a:" for i in range(1500)), "a: " + "{a: " * 300):
+        row = parse_file("main", "a.md", f"---\n{front}\n---\n".encode())
+        assert row["error_kind"] == "yaml" and "nested more than 100 deep" in row["error"]
+    deep = parse_file("main", "a.md", f"---\na: {'[' * 90 + ']' * 90}\n---\n".encode())
+    assert deep.get("error") is None and deep["serialized"]
+    assert parse_file("main", "a.md", f"---\na: {'1' * 5000}\n---\n".encode())["node"]["a"]["kind"] == "string"
