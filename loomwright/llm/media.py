@@ -1,14 +1,21 @@
 """Copies among pictures by local descriptors.
 
 Corners are found at several scales; each gets the direction of its patch's centre of mass and a row of
-binary tests (which of two points is brighter) turned by that direction. Tests are cut into bands, and two
-descriptors with few differing bits share a band, so descriptors meet in one table for each band. Members of a
-small table entry are compared with each other, those of a large one with two centres of the entry. Pairs of
-pictures are copies when several of their matching corners agree on one shift and scale.
+binary tests (which of two points is brighter) turned by that direction. Descriptors meet in tables: the key of
+a table is a seeded sample of the test bits, and so many tables are taken that two descriptors at MOST_BITS
+differing bits share one with the stated recall. Those that meet are compared on all bits. Two pictures are
+copies when several of their matching corners agree on one turn, scale and shift.
+
+Every pair that meets counts, however many members a table entry has. First each member is compared with one
+centre of its entry, in a few rounds of differently dealt tiles, which ties the pictures of a true group together
+in linear time. Then all pairs of members that are not yet of one class are compared, tile against tile, so
+that one entry's work is spread over many tasks.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,33 +24,46 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut_lineage
+from .common import connected_components, cut_lineage, mix64
 
-SCALES = (1.0, 0.75)
+SCALES = (1.0, 0.75, 0.5625)
 RADIUS = 15
-TESTS, BANDS = 192, 4
+TESTS = 192
 #: Differing bits at most, corners that must agree at least, and pixels of tolerance.
-MOST_BITS, LEAST_CORNERS, TOLERANCE = 24, 3, 4
-CORNERS = 20
-#: Members of a table entry up to which all are compared with each other.
-PAIRED = 8
-DIRECTIONS = 32
+MOST_BITS, LEAST_CORNERS, TOLERANCE = 12, 3, 3
+#: Share of the descriptor pairs at MOST_BITS that meet; a picture has many corners, so more of the pictures do.
+RECALL = 0.9
+#: A corner is the strongest within so many pixels.
+PEAK = 3
+#: Members of a tile.
+TILE = 512
+#: Rows of a task that compares.
+PART_ROWS = 100_000
+PICTURES_PER_TASK = 4096
 
 _RNG = np.random.Generator(np.random.PCG64(11))
 _POINTS = np.clip(_RNG.normal(0, RADIUS / 2, (TESTS, 2, 2)), -RADIUS + 3, RADIUS - 3)
+_WORDS = TESTS // 64
+_HEADER_PART = re.compile(rb"(?:\s|#[^\n]*\n)+(\d{1,6})")
 
 
 def read_pgm(data: bytes | None) -> np.ndarray | None:
-    """Grey values of a binary PGM picture (8 bits); None if it is not one."""
-    try:
-        head = data.split(maxsplit=4)
-        if head[0] != b"P5":
+    """Grey values of a binary PGM picture as 0 to 255; None if it is not one. Comments in the header are passed over."""
+    if data is None or not data.startswith(b"P5"):
+        return None
+    numbers, at = [], 2
+    while len(numbers) < 3:
+        m = _HEADER_PART.match(data, at)
+        if m is None:
             return None
-        width, height = int(head[1]), int(head[2])
-        pixels = np.frombuffer(data[len(data) - width * height :], np.uint8)
-        return pixels.reshape(height, width).astype(np.float32) if width * height and len(data) > width * height else None
-    except (AttributeError, IndexError, ValueError):
+        numbers.append(int(m[1]))
+        at = m.end()
+    width, height, most = numbers
+    depth = 1 if most < 256 else 2
+    if not (width and height and 0 < most < 65536) or len(data) < at + 1 + width * height * depth:
         return None
+    pixels = np.frombuffer(data, np.uint8 if depth == 1 else ">u2", width * height, at + 1)
+    return pixels.reshape(height, width).astype(np.float32) * np.float32(255 / most)
 
 
 def write_pgm(pixels: np.ndarray) -> bytes:
@@ -76,112 +96,260 @@ def _box(x: np.ndarray, r: int) -> np.ndarray:
 
 
 def corners(pixels: np.ndarray) -> np.ndarray:
-    """(row, column) of the strongest corners that a patch fits around, by the structure tensor."""
+    """(row, column) of all corners that a patch fits around: local peaks of the structure tensor's strength."""
     if min(pixels.shape) < 2 * RADIUS + 3:
         return np.zeros((0, 2), dtype=int)
     gy, gx = np.gradient(pixels)
     a, b, c = _box(gx * gx, 2), _box(gx * gy, 2), _box(gy * gy, 2)
     strength = a * c - b * b - 0.05 * (a + c) ** 2
-    r = 2
-    peak = strength.copy()
-    for dy in range(-r, r + 1):
-        for dx in range(-r, r + 1):
-            peak = np.maximum(peak, np.roll(strength, (dy, dx), (0, 1)))
+    peak = strength
+    for axis in (0, 1):
+        peak = np.maximum.reduce([np.roll(peak, d, axis) for d in range(-PEAK, PEAK + 1)])
     fit = np.zeros_like(strength, dtype=bool)
     fit[RADIUS + 1 : -RADIUS - 1, RADIUS + 1 : -RADIUS - 1] = True
-    at = np.argwhere(fit & (strength >= peak) & (strength > 1.0))
-    return at[np.argsort(-strength[at[:, 0], at[:, 1]], kind="stable")[:CORNERS]]
+    return np.argwhere(fit & (strength >= peak) & (strength > 1.0))
 
 
 def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each corner: (x, y, scale number) in the pixels of the whole picture, and its test bits."""
-    places, bits = [], []
+    places, bits = described(pixels)
+    return places[:, :3], bits
+
+
+def described(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each corner: (x, y, scale number, direction), and its test bits."""
+    places, bits = [np.zeros((0, 4))], [np.zeros((0, TESTS), bool)]
+    d = np.arange(-RADIUS, RADIUS + 1)
+    disc = d[:, None] ** 2 + d[None, :] ** 2 <= RADIUS**2
+    x, y = _POINTS[None, :, :, 0], _POINTS[None, :, :, 1]
     for number, scale in enumerate(SCALES):
         level = resized(pixels, scale)
-        at = corners(level)
-        if not len(at):
-            continue
-        smooth = _box(level, 1)
-        d = np.arange(-RADIUS, RADIUS + 1)
-        disc = d[:, None] ** 2 + d[None, :] ** 2 <= RADIUS**2
-        patch = smooth[at[:, 0, None, None] + d[None, :, None], at[:, 1, None, None] + d[None, None, :]] * disc
-        angle = np.arctan2((patch * d[None, :, None]).sum((1, 2)), (patch * d[None, None, :]).sum((1, 2)))
-        angle = np.round(angle / (2 * np.pi) * DIRECTIONS) * (2 * np.pi / DIRECTIONS)
-        cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-        x, y = _POINTS[None, :, :, 0], _POINTS[None, :, :, 1]
-        col = np.clip(np.rint(at[:, 1, None, None] + cos * x - sin * y).astype(int), 0, level.shape[1] - 1)
-        row = np.clip(np.rint(at[:, 0, None, None] + sin * x + cos * y).astype(int), 0, level.shape[0] - 1)
-        value = smooth[row, col]
-        bits.append(value[:, :, 0] + 2.0 < value[:, :, 1])
-        places.append(np.column_stack((at[:, 1] / scale, at[:, 0] / scale, np.full(len(at), number))))
-    return (np.concatenate(places), np.concatenate(bits)) if places else (np.zeros((0, 3)), np.zeros((0, TESTS), bool))
-
-
-_LOCAL = "media_id long, content long, x array<float>, y array<float>, level array<int>, bits array<array<long>>"
+        found = corners(level)
+        smooth = _box(_box(level, 1), 1)
+        for i in range(0, len(found), 1024):
+            at = found[i : i + 1024]
+            patch = smooth[at[:, 0, None, None] + d[None, :, None], at[:, 1, None, None] + d[None, None, :]] * disc
+            angle = np.arctan2((patch * d[None, :, None]).sum((1, 2)), (patch * d[None, None, :]).sum((1, 2)))
+            cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+            col = np.clip(np.rint(at[:, 1, None, None] + cos * x - sin * y).astype(int), 0, level.shape[1] - 1)
+            row = np.clip(np.rint(at[:, 0, None, None] + sin * x + cos * y).astype(int), 0, level.shape[0] - 1)
+            value = smooth[row, col]
+            bits.append(value[:, :, 0] < value[:, :, 1])
+            places.append(np.column_stack(((at[:, 1] + 0.5) / scale - 0.5, (at[:, 0] + 0.5) / scale - 0.5, np.full(len(at), number), angle)))
+    return np.concatenate(places), np.concatenate(bits)
+
+
+# A corner's place packed into a long: x and y in half pixels, scale number, direction in 4096ths of a turn.
+def packed_places(place: np.ndarray) -> np.ndarray:
+    x, y = (np.clip(np.rint(place[:, i] * 2), 0, 2**20 - 1).astype(np.int64) for i in (0, 1))
+    turn = np.rint(place[:, 3] / (2 * np.pi) * 4096).astype(np.int64) % 4096
+    return ((x << 20 | y) << 4 | place[:, 2].astype(np.int64)) << 12 | turn
+
+
+def unpacked_places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place as a complex number, scale, direction)."""
+    scale = np.array(SCALES)[(at >> 12) & 15]
+    return (at >> 36) / 2 + 1j * ((at >> 16 & 0xFFFFF) / 2), scale, (at & 4095) * (2 * np.pi / 4096)
+
+
+def tables_for(count: int) -> tuple[int, int]:
+    """(bits of a key, number of tables): keys grow with the number of descriptors, so that strangers seldom meet."""
+    bits = min(64, max(20, math.ceil(math.log2(max(2, count))) + 4))
+    meets = math.prod((TESTS - MOST_BITS - i) / (TESTS - i) for i in range(bits))
+    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - meets))
+
+
+def table_masks(bits: int, tables: int) -> np.ndarray:
+    """The sampled bits of each table, as words."""
+    rng = np.random.Generator(np.random.PCG64(bits))
+    chosen = np.zeros((tables, TESTS), dtype=np.uint8)
+    for t in range(tables):
+        chosen[t, rng.choice(TESTS, bits, replace=False)] = 1
+    return np.packbits(chosen, axis=1, bitorder="little").view("<u8")
+
+
+def agree(at_a: np.ndarray, at_b: np.ndarray) -> bool:
+    """Whether LEAST_CORNERS matches or more, of as many places in both pictures, agree on one turn, scale and shift."""
+    za, sa, da = unpacked_places(at_a)
+    zb, sb, db = unpacked_places(at_b)
+    turn, ratio = np.exp(1j * (da - db)), sb / sa
+    for i in np.unique(np.linspace(0, len(za) - 1, min(len(za), 64)).astype(int)):
+        step = turn[i] * ratio[i]
+        # a match alone knows its turn to some degrees; the fit over those it draws in knows more
+        near = np.abs(za - za[i] - step * (zb - zb[i])) <= TOLERANCE + 0.15 * np.abs(za - za[i])
+        near &= (np.abs(turn / turn[i] - 1) < 0.4) & (np.abs(ratio / ratio[i] - 1) < 0.01)
+        for _ in range(2):
+            if near.sum() < LEAST_CORNERS:
+                break
+            ma, mb = za[near].mean(), zb[near].mean()
+            spread = (np.abs(zb[near] - mb) ** 2).sum()
+            if spread < LEAST_CORNERS * 9:
+                near[:] = False
+                break
+            step = ((za[near] - ma) * np.conj(zb[near] - mb)).sum() / spread
+            good = (np.abs(za - ma - step * (zb - mb)) <= TOLERANCE) & (np.abs(turn * np.abs(step) / step - 1) < 0.4) & (np.abs(ratio / np.abs(step) - 1) < 0.3)
+            near = good
+        if near.sum() >= LEAST_CORNERS and min(len(np.unique(np.rint(z[near] / 4))) for z in (za, zb)) >= LEAST_CORNERS:
+            return True
+    return False
+
+
+_LOCAL = "media_id long, content long, at array<long>, " + ", ".join(f"w{i} array<long>" for i in range(_WORDS))
+_ENTRY = "key long, id long, at long, " + ", ".join(f"w{i} long" for i in range(_WORDS))
+_MATCH = "a long, b long, at_a long, at_b long"
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Content hash and local descriptors of each picture; bits are BANDS numbers of TESTS / BANDS bits."""
-    weights = 1 << np.arange(TESTS // BANDS, dtype=np.int64)
+    """Content hash and local descriptors of each picture; their bits are words of 64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            content, columns = [], [[] for _ in range(1 + _WORDS)]
             for data in b.column("image").to_pylist():
                 pixels = read_pgm(data)
-                place, bits = describe(pixels) if pixels is not None else (np.zeros((0, 3)), np.zeros((0, TESTS), bool))
-                words = bits.reshape(len(bits), BANDS, TESTS // BANDS) @ weights
-                content = None if data is None else xxhash.xxh64_intdigest(data) - 2**63
-                rows.append((content, place[:, 0].tolist(), place[:, 1].tolist(), place[:, 2].astype(int).tolist(), words.tolist()))
-            kinds = (pa.int64(), pa.list_(pa.float32()), pa.list_(pa.float32()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([b.column("media_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["media_id", "content", "x", "y", "level", "bits"])
+                place, bits = described(pixels) if pixels is not None else (np.zeros((0, 4)), np.zeros((0, TESTS), bool))
+                words = np.packbits(bits, axis=1, bitorder="little").view("<i8") if len(bits) else np.zeros((0, _WORDS), np.int64)
+                content.append(None if data is None else xxhash.xxh64_intdigest(data) - 2**63)
+                for column, values in zip(columns, (packed_places(place), *words.T), strict=True):
+                    column.append(values)
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("media_id"), pa.array(content, pa.int64()), *(pa.array(c, lists) for c in columns)], names=[c.split()[0] for c in _LOCAL.split(", ")])
 
     return media.select(F.col("media_id").cast("long"), "image").mapInArrow(run, _LOCAL)
 
 
+def entries(each: DataFrame, bits: int, tables: int) -> DataFrame:
+    """A row for each descriptor (``id, at, w0..``) and table, with the table's ``key``."""
+    masks = table_masks(bits, tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [b.column(f"w{i}").to_numpy().view(np.uint64) for i in range(_WORDS)]
+            for t in range(tables):
+                key = np.full(b.num_rows, mix64(np.array([t], dtype=np.uint64))[0], dtype=np.uint64)
+                for i, w in enumerate(words):
+                    key = mix64(key ^ (w & masks[t, i]))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], names=["key", *b.schema.names])
+
+    return each.mapInArrow(run, _ENTRY)
+
+
+def _compared(members: DataFrame, parts: int, masks: np.ndarray, every: bool) -> DataFrame:
+    """Descriptor pairs of unlike classes within MOST_BITS, each of them once in all tables.
+
+    ``members`` has ``key, tile, side, id, comp, rank, at, w0..``. With ``every`` all pairs of a (key, tile) are
+    compared, of two sides those across; else all others with the one that has the smallest rank.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        key, tile, rank = (group[c].to_numpy() for c in ("key", "tile", "rank"))
+        order = np.lexsort((rank, tile, key))
+        key, tile = key[order], tile[order]
+        ids, comp, side, at = (group[c].to_numpy()[order] for c in ("id", "comp", "side", "at"))
+        words = np.stack([group[f"w{i}"].to_numpy()[order].view(np.uint64) for i in range(_WORDS)])
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])))
+        run_of = np.cumsum(new) - 1
+        begin = np.flatnonzero(new)
+        out = [np.zeros((2, 0), np.int64)]
+
+        def check(i: np.ndarray, j: np.ndarray) -> None:
+            keep = (comp[i] != comp[j]) & (~two_sided[run_of[i]] | (side[i] != side[j]))
+            i, j = i[keep], j[keep]
+            differ = words[:, i] ^ words[:, j]
+            keep = np.bitwise_count(differ).sum(axis=0, dtype=np.int64) <= MOST_BITS
+            i, j, differ = i[keep], j[keep], differ[:, keep]
+            if not len(i):
+                return
+            # the first table in which they meet reports them: that of this key
+            meets = ((differ[None, :, :] & masks[:, :, None]) == 0).all(axis=1)
+            first = meets.argmax(axis=0)
+            expect = mix64(first.astype(np.uint64))
+            for k in range(_WORDS):
+                expect = mix64(expect ^ (words[k, i] & masks[first, k]))
+            keep = expect.view(np.int64) == key[i]
+            out.append(np.stack((i[keep], j[keep])))
+
+        two_sided = np.zeros(len(begin), dtype=bool)
+        np.logical_or.at(two_sided, run_of, side > 0)
+        if every:
+            size = np.diff(np.concatenate((begin, [len(key)])))
+            for d in range(1, int(size.max(initial=1))):
+                i = np.flatnonzero(run_of[d:] == run_of[:-d])
+                if not len(i):
+                    break
+                check(i, i + d)
+        else:
+            i = np.flatnonzero(~new)
+            check(begin[run_of[i]], i)
+        i, j = np.concatenate(out, axis=1)
+        swap = ids[i] > ids[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return pa.table({"a": ids[i], "b": ids[j], "at_a": at[i], "at_b": at[j]})
+
+    return members.groupBy(F.pmod(F.xxhash64("key", "tile"), F.lit(parts)).alias("part")).applyInArrow(run, _MATCH)
+
+
+def _links(matches: DataFrame, parts: int) -> DataFrame:
+    """``a, b`` of the pictures whose matching corners agree."""
+
+    def run(group: pa.Table) -> pa.Table:
+        a, b, at_a, at_b = (group[c].to_numpy() for c in ("a", "b", "at_a", "at_b"))
+        order = np.lexsort((at_b, at_a, b, a))
+        a, b, at_a, at_b = a[order], b[order], at_a[order], at_b[order]
+        cuts = np.concatenate(([0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, [len(a)]))
+        good = [i for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i >= LEAST_CORNERS and agree(at_a[i:j], at_b[i:j])]
+        return pa.table({"a": a[good], "b": b[good]})
+
+    return matches.groupBy(F.pmod(F.xxhash64("a", "b"), F.lit(parts)).alias("part")).applyInArrow(run, "a long, b long")
+
+
 def copies(media: DataFrame) -> DataFrame:
-    """``media_id, class_id, n_links, n_corners`` for every row of ``media`` (``media_id, image``).
+    """``media_id, class_id, n_corners`` for every row of ``media`` (``media_id, image``).
 
-    ``class_id`` is the smallest media_id reachable over links; equal bytes are always linked. ``n_links`` counts
-    the links of the picture's content to other contents. Null pictures, and bytes that are no picture, have no
-    corners; null ones link nothing and are their own class. A row without media_id has a null class. Repeated
-    rows are all returned; an empty table gives an empty result.
+    ``class_id`` is the smallest media_id reachable over links; equal bytes are always linked. Null pictures,
+    and bytes that are no picture, have no corners; null ones link nothing and are their own class. A row
+    without media_id has a null class. Repeated rows are all returned; an empty table gives an empty result.
     """
     local = cut_lineage(features(media))
     known = local.where("media_id is not null and content is not null")
-    one = known.groupBy("content").agg(F.min(F.struct("media_id", "x", "y", "level", "bits")).alias("r")).select("content", "r.*")
-    one = cut_lineage(one)
-    each = one.select(F.col("media_id").alias("id"), F.posexplode(F.arrays_zip("x", "y", "level", "bits")).alias("n", "c")).select("id", "n", "c.*")
-    entry = each.select("id", "n", "x", "y", "level", "bits", F.posexplode("bits").alias("band", "value"))
-    # small entries are compared in pairs; of larger ones each member with two centres: the first picture, and the
-    # first in a shuffled order of the table
-    point = F.struct("id", "x", "y", "level", "bits")
-    centres = entry.groupBy("band", "value").agg(F.min(point).alias("p"), F.min_by(point, F.xxhash64("id", "band")).alias("q"), F.count("*").alias("members")).where("members > 1")
-    key = (F.col("band") == F.col("b")) & (F.col("value") == F.col("v"))
-    shared = entry.join(centres.select(F.col("band").alias("b"), F.col("value").alias("v"), "p", "q", "members").hint("merge"), key)
-    small = shared.where(F.col("members") <= PAIRED)
-    others = small.select(F.col("b").alias("ob"), F.col("v").alias("ov"), point.alias("o"))
-    paired = small.drop("p", "q").join(others.hint("merge"), (F.col("b") == F.col("ob")) & (F.col("v") == F.col("ov"))).where("o.id < id").withColumnRenamed("o", "p")
-    large = shared.where(F.col("members") > PAIRED).withColumn("p", F.explode(F.array_distinct(F.array("p", "q")))).where("id <> p.id")
-    columns = ["id", "n", "x", "y", "level", "bits", "p"]
-    met = paired.select(*columns).unionByName(large.select(*columns))
-    differing = F.aggregate(F.zip_with("bits", "p.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    met = met.where(differing <= MOST_BITS)
-    ratio = F.element_at(F.array(*map(F.lit, SCALES)), F.col("level") + 1) / F.element_at(F.array(*map(F.lit, SCALES)), F.col("p.level") + 1)
-    votes = met.select(F.col("p.id").alias("a"), F.col("id").alias("b"), "n", F.round(ratio, 3).alias("ratio"), (F.col("p.x") - ratio * F.col("x")).alias("tx"), (F.col("p.y") - ratio * F.col("y")).alias("ty"))
-    cells = F.explode(F.array(*(F.struct(F.floor((F.col("tx") + i * TOLERANCE / 2) / TOLERANCE).alias("cx"), F.floor((F.col("ty") + j * TOLERANCE / 2) / TOLERANCE).alias("cy"), F.lit(2 * i + j).alias("g")) for i in (0, 1) for j in (0, 1))))
-    votes = votes.distinct().select("a", "b", "n", "ratio", cells.alias("cell"))
-    agreed = votes.groupBy("a", "b", "ratio", "cell").agg(F.countDistinct("n").alias("corners")).where(F.col("corners") >= LEAST_CORNERS)
-    links = cut_lineage(agreed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    found = one.select("content", F.col("media_id").alias("node")).join(connected_components(links), "node", "left").join(degree, "node", "left")
-    found = found.select(F.col("content").alias("same"), F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("links"))
-    rows = local.select("media_id", "content", F.size("x").alias("n_corners"))
-    return rows.join(found, F.col("content") == F.col("same"), "left").select(
+    columns = ["at", *(f"w{i}" for i in range(_WORDS))]
+    one = cut_lineage(known.groupBy("content").agg(F.min(F.struct("media_id", *columns)).alias("r")).select("content", "r.*"))
+    each = one.select(F.col("media_id").alias("id"), F.explode(F.arrays_zip(*columns)).alias("c")).select("id", "c.*")
+    bits, tables = tables_for(each.count())
+    masks = table_masks(bits, tables)
+    rows = entries(each, bits, tables)
+    shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = cut_lineage(rows.join(shared.hint("merge"), "key"))
+    size = shared.agg(F.count("*").alias("rows"), F.max("members").alias("most")).first()
+    parts = max(8, size.rows // PART_ROWS)
+    # one round of centres for each power of TILE that the largest entry holds
+    rounds = max(1, math.ceil(math.log(size.most or 1) / math.log(TILE)))
+    links, classes = None, None
+    for turn in range(rounds + 1):
+        last = turn == rounds
+        now = shared if classes is None else shared.join(classes.hint("merge"), shared.id == classes.node, "left").drop("node")
+        now = now.withColumn("comp", F.coalesce("component", "id") if classes is not None else F.col("id")).withColumn("rank", F.xxhash64("id", F.lit(turn)))
+        if last:  # entries of one class are done; the others are compared tile against tile
+            mixed = now.groupBy("key").agg(F.count("*").alias("left"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "left")
+            now = now.join(mixed.hint("merge"), "key")
+            tiles = F.ceil(F.col("left") / TILE).cast("long")
+            own = F.pmod(F.xxhash64("id", "at"), tiles)
+            now = now.withColumn("tiles", tiles).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+            low, high = F.least("own", "other"), F.greatest("own", "other")
+            now = now.withColumn("tile", low * F.col("tiles") + high).withColumn("side", F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2).cast("byte"))
+        else:
+            tiles = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("members") / TILE))).cast("long")
+            now = now.withColumn("tile", F.when(F.col("members") > TILE, F.pmod(F.xxhash64("id", F.lit(-1 - turn)), tiles)).otherwise(0).cast("long")).withColumn("side", F.lit(0).cast("byte"))
+        matches = _compared(now.select("key", "tile", "side", "id", "comp", "rank", *columns), parts, masks, last)
+        found = _links(matches, parts)
+        links = cut_lineage(found if links is None else found.unionByName(links))
+        classes = connected_components(links)
+    found = one.select("content", F.col("media_id").alias("node")).join(classes, "node", "left")
+    found = found.select(F.col("content").alias("same"), F.coalesce("component", "node").alias("component"))
+    return local.select("media_id", "content", F.size("at").cast("long").alias("n_corners")).join(found, F.col("content") == F.col("same"), "left").select(
         "media_id",
         F.when(F.col("media_id").isNotNull(), F.coalesce("component", "media_id")).alias("class_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        F.col("n_corners").cast("long"),
+        "n_corners",
     )
 
 
@@ -209,6 +377,8 @@ def pictures(vectors: DataFrame) -> DataFrame:
                 made.append(write_pgm(pixels))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(made, pa.binary())], names=["media_id", "image"])
 
-    rows = vectors.select(F.col("vec_id").cast("long"), "embedding")
-    source = rows.where("vec_id % 8 = 0").select((F.col("vec_id") + 7).alias("copy_id"), F.col("embedding").alias("other"))
+    # a picture is much work for few bytes: tasks are cut by rows
+    tasks = max(8, vectors.count() // PICTURES_PER_TASK)
+    rows = vectors.select(F.col("vec_id").cast("long"), "embedding").repartition(tasks, "vec_id")
+    source = rows.where("vec_id % 8 = 0").select((F.col("vec_id") + 7).alias("copy_id"), F.col("embedding").alias("other")).repartition(tasks, "copy_id")
     return rows.join(source, F.col("vec_id") == F.col("copy_id"), "left").select("vec_id", "embedding", "other").mapInArrow(draw, "media_id long, image binary")
