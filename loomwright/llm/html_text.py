@@ -3,8 +3,11 @@
 Every element gets its link-adjusted characters per tag (Sun, Song, Liao: "DOM Based Content Extraction
 via Text Density", 2011). The element whose children's densities have the largest sum heads the main
 text; the smallest density on the path from it to the body is the threshold from which other subtrees
-count as well. Everything under the lowest common parent of what was selected is the article, less what is
-no article by its markup: menus, adverts, forms, comments and the like count nothing and are left out.
+count as well. Everything under the lowest common parent of what was selected is the article.
+
+Elements that are no text by their tag (scripts, menus, fields) count nothing. Words in class, id and role
+values that speak of menus, adverts, notices or comments are weights, not verdicts: a marked element stays if
+it holds so large a share of the page's text that it must be the article, whatever it is called.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_MARK_END = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|([^\s=/"']+)""")
 _GAP = re.compile(r"\s+")
 # HTML element classes (fixed values).
@@ -26,7 +30,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img picture nobr".split()
 )
-_DROPPED = frozenset("script style noscript template iframe object svg canvas math head title select option button textarea input form nav aside menu dialog video audio map applet datalist".split())
+_DROPPED = frozenset("script style noscript template iframe object svg canvas math head title select option button textarea input nav aside menu dialog video audio map applet datalist".split())
 _RAW = frozenset("script style noscript template iframe textarea title svg xmp noembed noframes".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "body": ("head",)}
@@ -45,70 +49,93 @@ _MARKED = frozenset(
 _HEADER_WORDS = frozenset(("header", "siteheader"))
 
 
-def _no_article(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is left out by its tag or its attributes."""
+# Words before a marked word that deny it (fixed values).
+_DENIED = frozenset("with has no without non not".split())
+_COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+#: Share of the page's text from which an element stays although a part of a class name, a whole one, or one of reader comments marks it.
+WEAK, SURE, OF_READERS = 0.5, 0.8, 0.9
+#: Elements inside each other at most; what is nested deeper counts for the element at that depth.
+MAX_DEPTH = 512
+
+
+def _standing(tag: str, attributes: str, in_article: bool) -> float:
+    """Share of the page's text that an element needs to stay: 0 for an unmarked one, infinite for what is no text."""
     if tag in _DROPPED or (tag == "header" and not in_article) or tag == "footer":
-        return True
+        return math.inf
+    needed = SURE if tag == "form" else 0.0
     if not attributes.strip() or tag in _SEMANTIC:
-        return False
+        return needed
     for m in _ATTRIBUTE.finditer(attributes):
         name = (m[1] or m[5] or "").lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "")) or (name == "aria-hidden" and value == "true"):
-            return True
-        if name in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            if words & _MARKED or (not in_article and words & _HEADER_WORDS and tag in ("div", "section", "table")):
-                return True
-    return False
+            return math.inf
+        if name not in ("class", "id", "role"):
+            continue
+        for token in value.split():
+            words = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+            marked = [w for w in words if w in _MARKED or (w in _HEADER_WORDS and not in_article and tag in ("div", "section", "table"))]
+            if marked and not _DENIED.intersection(words):
+                of_readers = _COMMENTS.intersection(marked)
+                needed = max(needed, WEAK if len(marked) < len(words) and not of_readers else OF_READERS if of_readers else SURE)
+    return needed
 
 
 class _Page:
-    """Elements of a page in document order, and its text blocks with the element each stands in."""
+    """Elements of a page in document order, and its text blocks as pieces with the element each stands in."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.skip = ["#root"], [0], [False]
-        self.chars, self.links, self.tags, self.link_tags, self.own = [0], [0], [0], [0], [0]
-        self.blocks: list[tuple[int, str]] = []
+        self.source = source
+        self.tag, self.parent, self.needed = ["#root"], [0], [0.0]
+        self.own, self.own_links, self.own_tags = [0], [0], [0]
+        self.blocks: list[tuple[int, list[tuple[int, str]]]] = []
         self.body = 0
-        stack, piece, in_link, in_article = [0], [], 0, 0
-        at, lowered = 0, source.lower() if any(f"<{t}" in source.lower() for t in _RAW) else ""
+        self._quotes = True  # until a quote turns out not to be closed
+        self._read()
+        self._count()
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``: the next ``>`` outside quotes. If quotes are broken somewhere
+        behind, those count no more, so that the page is passed over once."""
+        first = self.source.find(">", at)
+        if first < 0 or not self._quotes:
+            return first
+        while m := _MARK_END.search(self.source, at):
+            if m[0] == ">":
+                return m.start()
+            at = self.source.find(m[0], m.end()) + 1
+            if not at:
+                break
+        self._quotes = False
+        return first
 
-        def holder() -> int:
-            return next(n for n in reversed(stack) if self.tag[n] not in _INLINE)
+    def _read(self) -> None:
+        source, stack, piece = self.source, [0], []
+        in_link, in_article, at, text_from = 0, 0, 0, 0
 
         def flush() -> None:
             if piece:
-                text = _GAP.sub(" ", html.unescape("".join(piece))).strip()
+                holder = next(n for n in reversed(stack) if self.tag[n] not in _INLINE)
+                self.blocks.append((holder, piece.copy()))
                 piece.clear()
-                if text:
-                    self.blocks.append((holder(), text))
 
         def add(raw: str) -> None:
-            if raw and not self.skip[stack[-1]]:
-                piece.append(raw)
+            own = stack[-1]
+            if raw and self.needed[own] < math.inf:
+                piece.append((own, raw))
                 n = len(_GAP.sub(" ", raw).strip())
-                own = stack[-1]
-                self.chars[own] += n
                 self.own[own] += n
                 if in_link:
-                    self.links[own] += n
+                    self.own_links[own] += n
 
         def close(depth: int) -> None:
             nonlocal in_link, in_article
             while len(stack) > depth:
-                n = stack[-1]
-                if self.tag[n] not in _INLINE:
+                if self.tag[stack[-1]] not in _INLINE:
                     flush()
-                stack.pop()
+                n = stack.pop()
                 in_link -= self.tag[n] == "a"
                 in_article -= self.tag[n] in ("article", "main")
-                up = self.parent[n]
-                if not self.skip[n]:
-                    self.chars[up] += self.chars[n]
-                    self.links[up] += self.links[n]
-                    self.tags[up] += self.tags[n] + 1
-                    self.link_tags[up] += self.link_tags[n] + (self.tag[n] == "a")
 
         def close_nearest(names: tuple[str, ...]) -> None:
             for k in range(len(stack) - 1, 0, -1):
@@ -118,16 +145,25 @@ class _Page:
                 if self.tag[stack[k]] in _SCOPE:
                     return
 
-        while at < len(source):
-            m = _TOKEN.search(source, at)
-            if m is None:
-                break
-            add(source[at : m.start()])
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
-            if not tag:
+        while (at := source.find("<", at)) >= 0:
+            mark = source[at + 1 : at + 2]
+            if mark and mark in "!?":
+                end = source.find("-->", at + 2) + 2 if source.startswith("<!--", at) else source.find(">", at)
+                end = end if end > at + 1 else len(source) - 1
+                add(source[text_from:at])
+                at = text_from = end + 1
+                continue
+            name = _NAME.match(source, at + 1 + (mark == "/"))
+            end = self._tag_end(name.end()) if name else -1
+            if end < 0:
+                if name:
+                    break  # no tag ends from here on
+                at += 1
                 continue
-            if m[1] or m[4]:
+            add(source[text_from:at])
+            tag, attributes = name[0].lower(), source[name.end() : end]
+            at = text_from = end + 1
+            if mark == "/":
                 for k in range(len(stack) - 1, 0, -1):
                     if self.tag[stack[k]] == tag:
                         close(k)
@@ -135,7 +171,6 @@ class _Page:
                     if tag in _INLINE and self.tag[stack[k]] not in _INLINE:
                         break  # an inline end tag closes nothing beyond its block
                 continue
-            attributes = m[3] or m[6] or ""
             if tag in _CLOSES_P:
                 close_nearest(("p",))
             if tag in _CLOSED_BY:
@@ -143,39 +178,62 @@ class _Page:
             if tag not in _INLINE:
                 flush()
             if tag in _VOID:
-                self.tags[stack[-1]] += tag not in ("br", "wbr") and not self.skip[stack[-1]]
+                self.own_tags[stack[-1]] += tag not in ("br", "wbr")
                 continue
+            needed = math.inf if self.needed[stack[-1]] == math.inf else _standing(tag, attributes, in_article > 0)
             n = len(self.tag)
             self.tag.append(tag)
             self.parent.append(stack[-1])
-            dropped = self.skip[stack[-1]] or _no_article(tag, attributes, in_article > 0)
-            if dropped and not self.skip[stack[-1]] and tag in _INLINE:
-                flush()
-            self.skip.append(dropped)
-            for counts in (self.chars, self.links, self.tags, self.link_tags, self.own):
+            self.needed.append(needed)
+            for counts in (self.own, self.own_links, self.own_tags):
                 counts.append(0)
             if tag == "body" and not self.body:
                 self.body = n
             if tag in _RAW:
-                end = lowered.find(f"</{tag}", at)
-                if end < 0:
-                    end = len(source)
-                if not self.skip[n]:
-                    stack.append(n)
-                    add(source[at:end])
-                    close(len(stack) - 1)
-                at = source.find(">", end) + 1 if 0 <= source.find(">", end) else len(source)
+                closed = re.compile(f"</{re.escape(tag)}", re.IGNORECASE | re.ASCII).search(source, at)
+                end = closed.start() if closed else len(source)
+                stack.append(n)
+                add(source[at:end])
+                close(len(stack) - 1)
+                at = text_from = source.find(">", end) + 1 or len(source)
                 continue
-            if attributes.rstrip().endswith("/") and tag not in _CLOSES_P and tag not in _INLINE:
+            if (attributes.rstrip().endswith("/") and tag not in _CLOSES_P and tag not in _INLINE) or len(stack) >= MAX_DEPTH:
                 continue
             stack.append(n)
             in_link += tag == "a"
             in_article += tag in ("article", "main")
-        add(source[at:])
-        flush()
+        add(source[text_from:])
         close(1)
         flush()
 
+    def _totals(self, values: list[int]) -> list[int]:
+        """Of each element with all that it holds, less what is left out."""
+        total = list(values)
+        for n in range(len(total) - 1, 0, -1):
+            if not self.skip[n]:
+                total[self.parent[n]] += total[n]
+            else:
+                total[n] = 0
+        return total
+
+    def _count(self) -> None:
+        size = len(self.tag)
+        self.skip = [x == math.inf for x in self.needed]
+        if any(0 < x < math.inf for x in self.needed):
+            text = [a - b for a, b in zip(self._totals(self.own), self._totals(self.own_links), strict=True)]
+            page = max(1, text[0])
+            self.skip = [x > 0 and not text[n] > x * page for n, x in enumerate(self.needed)]
+        for n in range(1, size):
+            self.skip[n] = self.skip[n] or self.skip[self.parent[n]]
+        self.chars, self.links = self._totals(self.own), self._totals(self.own_links)
+        below = [0] * size
+        link_below = [0] * size
+        for n in range(1, size):
+            below[self.parent[n]] += not self.skip[n]
+            link_below[self.parent[n]] += not self.skip[n] and self.tag[n] == "a"
+        self.tags = self._totals([a + b for a, b in zip(self.own_tags, below, strict=True)])
+        self.link_tags = self._totals(link_below)
+
     def density(self, n: int) -> float:
         """Composite text density of an element."""
         c, t, lc, lt = self.chars[n], max(1, self.tags[n]), max(1, self.links[n]), max(1, self.link_tags[n])
@@ -185,6 +243,9 @@ class _Page:
         base = math.log(c / max(1, c - self.links[n]) * self.links[n] + body_lc / body_c * c + math.e)
         return max(0.0, c / t * math.log(max(1.0, c / lc * (t / lt))) / max(base, 1e-9))
 
+    def _text_of(self, pieces: list[tuple[int, str]]) -> str:
+        return _GAP.sub(" ", html.unescape("".join(" " if self.skip[n] else raw for n, raw in pieces))).strip()
+
     def main_text(self) -> str:
         size = len(self.tag)
         if not self.blocks:
@@ -204,28 +265,24 @@ class _Page:
             path.append(density[n])
             n = self.parent[n]
         threshold = min([*path, density[self.body]])
-        chosen, open_nodes = {head}, [False] * size
+        chosen, is_open = {head}, [False] * size
         for n in range(self.body, size):
-            open_nodes[n] = density[n] >= threshold > 0 and (n == self.body or open_nodes[self.parent[n]])
-            if open_nodes[n]:
+            is_open[n] = density[n] >= threshold > 0 and (n == self.body or is_open[self.parent[n]])
+            if is_open[n]:
                 chosen.add(best[n])
-
-        def ancestors(n: int) -> list[int]:
-            found = [n]
-            while found[-1]:
-                found.append(self.parent[found[-1]])
-            return found[::-1]
-
-        paths = [ancestors(n) for n in chosen if self.chars[n]]
-        top = next((a[0] for a in reversed(list(zip(*paths, strict=False))) if len(set(a)) == 1), 0) if paths else 0
-        for n in reversed(ancestors(top)):
-            if self.tag[n] in ("article", "main") and not self.skip[n]:
-                top = n
-                break
+        top = head
+        for n in chosen:
+            while self.chars[n] and n != top:
+                n, top = (self.parent[n], top) if n > top else (n, self.parent[top])
+        # the text of an article is whole: from a part of it to the nearest article that the threshold leaves open
+        n = top
+        while n and not (self.tag[n] in ("article", "main") and is_open[n]):
+            n = self.parent[n]
+        top = n or top
         inside = [False] * size
         for n in range(size):
             inside[n] = n == top or (n > 0 and inside[self.parent[n]])
-        return " ".join(text for n, text in self.blocks if inside[n])
+        return " ".join(text for n, pieces in self.blocks if inside[n] and not self.skip[n] and (text := self._text_of(pieces)))
 
 
 def main_text(source: str | None) -> str:

@@ -1,0 +1,45 @@
+"""Main text where markup misleads, and of broken or hostile pages."""
+
+import time
+
+import pytest
+
+from loomwright.llm import html_text
+
+BLOCK = "Some words that make a paragraph of prose, with commas and more."
+PROSE = f"<p>{BLOCK}</p>"
+MENU = "<div class='nav'><a href=/>home</a> <a href=/b>news</a></div>"
+END = "<div class='footer'>contact us</div>"
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "no-sidebar main", "post hidden-print", "entry search-result", "col-md-8 has-sidebar", "popular-science story", "widget", "sidebar", "alert", "without-comments"])
+def test_a_class_name_does_not_drop_the_article(name):
+    page = f"<html><body>{MENU}<div class='{name}'>{PROSE * 6}</div>{END}</body></html>"
+    assert html_text.main_text(page) == " ".join([BLOCK] * 6)
+
+
+def test_marked_parts_go_where_the_article_is_elsewhere():
+    rest = "".join(f"<div class='{c}'>{PROSE}</div>" for c in ("cookie-notice", "sidebar", "related-posts", "newsletter-signup", "share-buttons", "site-footer"))
+    comments = f"<div class=comments>{'<div class=comment><p>thank you so much for this</p></div>' * 9}</div>"
+    page = f"<html><body>{MENU}<div id=text><h1>Head</h1>{PROSE * 7}</div>{rest}{comments}</body></html>"
+    assert html_text.main_text(page) == " ".join(["Head"] + [BLOCK] * 7)
+
+
+def test_pages_without_article():
+    page = f"<body>{MENU}<table><tr><td><a href=a>x</a><td>{PROSE * 4}</table>{END}</body>"
+    assert html_text.main_text(page) == " ".join([BLOCK] * 4)
+    assert html_text.main_text(f"<form><div>{PROSE * 5}</div><input></form>") == " ".join([BLOCK] * 5)
+    assert html_text.main_text(f"<p>a<span class='sidebar'>no</span>b {BLOCK}") == f"a b {BLOCK}"
+
+
+def test_quotes_in_tags():
+    assert html_text.main_text("<p title='a > b'>x</p>") == "x"
+    assert html_text.main_text('<p title="a > b>x y z</p><p>more') == "b>x y z more"
+    assert html_text.main_text("a <b c < d") == "a <b c < d"
+
+
+@pytest.mark.parametrize("unit", ['<a href="', "<a ", "<a '\"", "<b><p>", "<div>", "<", '<a ">', "<!--", "<script>", '"><a" ', "<i class=ad>x", "<title>"])
+def test_broken_pages_take_linear_time(unit):
+    began = time.perf_counter()
+    html_text.main_text(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - began < 10
