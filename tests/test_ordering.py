@@ -1,0 +1,29 @@
+"""Ranks over a whole table."""
+
+import random
+
+import pytest
+
+from loomwright.operators import ordering
+
+
+def test_numbered_is_the_sorted_place(spark):
+    rng = random.Random(4)
+    values = [None, ""] + [rng.choice("abcdé") * rng.randrange(9) + str(i) for i in range(500)]
+    rng.shuffle(values)
+    from pyspark.sql import functions as F
+
+    rows = ordering.numbered(spark.createDataFrame([(v,) for v in values], "v string").repartition(7), F.col("v").asc_nulls_last()).collect()
+    assert {r.v: r.number for r in rows} == {v: i for i, v in enumerate(sorted(values, key=lambda v: (v is None, (v or "").encode())))}
+    assert ordering.numbered(spark.createDataFrame([], "v string"), "v").count() == 0
+
+
+def test_no_local_folder_on_a_cluster():
+    class Box:
+        def __init__(self, **kw):
+            self.__dict__.update(kw)
+
+    folder = Box(isEmpty=lambda: True)
+    context = Box(_jsc=Box(sc=lambda: Box(getCheckpointDir=lambda: folder)), master="spark://somewhere:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ordering.ensure_checkpoint_dir(Box(sparkContext=context, conf=Box(get=lambda k, d: d)))
