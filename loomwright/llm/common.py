@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import cut_lineage as cut_lineage
+
 # 64-bit finaliser constants of the public SplitMix64 generator (fixed values).
 _MIX_ADD = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -24,18 +24,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset take a temporary one."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwright-ckpt-"))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a small or medium table."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def byte_values(column: pa.Array) -> list[bytes | None]:
     """Values of a string column as UTF-8 bytes."""
     return column.cast(pa.binary()).to_pylist()

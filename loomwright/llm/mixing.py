@@ -2,11 +2,12 @@
 
 The documents of a source, one behind another, are cut into blocks of a fixed number of words. The output is
 a row of shards with a fixed number of slots; each shard draws how many of its slots each source gets. The
-draws are multinomial under the condition that a source's slots add up to its share: a binary tree over
-the shards splits the counts at each node by a seeded multivariate hypergeometric draw, so that any task
-finds the counts of its own shards alone. The k-th slot of a source takes the block that a keyed
-permutation of the source's block numbers puts at k (with a new key once all blocks are used), and slots
-and blocks are joined by block number.
+draws are multinomial under the condition that a source's slots add up to its share. They form two binary
+trees, one over ranges of shards and one over ranges of sources: what a range of sources gets in the left half
+of a range of shards is a seeded hypergeometric draw, and so is how its own left half shares in that. A task
+therefore finds the counts of its own sources in its own shards alone. The k-th slot of a source takes the
+block that a keyed permutation of the source's block numbers puts at k (with a new key once all blocks are
+used), and slots and blocks are joined by block number.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ordering import numbered
 from .common import cut_lineage, mix64
 
 WEIGHTS = (3, 1, 2)
@@ -31,8 +33,10 @@ SHARD_SLOTS = 1024
 SEED = 20240607
 #: Rows of a group in which running sums are taken.
 GROUP_ROWS = 4000
-#: numpy's hypergeometric draws take counts below this; above it a node is split in proportion.
-_DRAWN_BELOW = 500_000_000
+#: Numbers that the driver sees of all sources, which are summed in ranges; and slots that a task fills.
+MOST_RANGES = 4096
+RANGE_SOURCES = 64
+TASK_SLOTS = 1 << 18
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -71,89 +75,207 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """How many of ``take`` draws without replacement are good; exact below a billion, else by the limits of the
+    distribution: binomial where one of the numbers is small beside the rest, normal elsewhere."""
+    if not (good and bad and take) or take == good + bad:
+        return 0 if not (good and take) else min(good, take)
+    total = good + bad
+    if total < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, take))
+    low, high = max(0, take - bad), min(good, take)
+    small = min(good, bad, take, total - take)
+    if small * 1000 < total and small < 1_000_000:
+        if small == good:
+            found = rng.binomial(good, take / total)
+        elif small == bad:
+            found = take - rng.binomial(bad, take / total)
+        elif small == take:
+            found = rng.binomial(take, good / total)
+        else:
+            found = good - rng.binomial(total - take, good / total)
+    else:
+        mean, share = take * good / total, take / total
+        found = round(rng.normal(mean, math.sqrt(mean * (bad / total) * (1 - share) * total / (total - 1))))
+    return int(min(high, max(low, found)))
+
+
 class ShardCounts:
-    """How many slots of each shard each source gets, and how many it got in the shards before."""
+    """How many slots of each shard each source gets, and how many it got in the shards before.
+
+    ``ranges`` has the slots of each range of ``width`` neighbouring sources. The sources of one range, its
+    ``quotas``, are all that ``within`` needs beside it.
+    """
 
-    def __init__(self, quotas: list[int], slots: int = SHARD_SLOTS, seed: int = SEED) -> None:
-        self.quotas, self.slots, self.seed = tuple(quotas), slots, seed
-        self.total = sum(quotas)
+    def __init__(self, ranges: list[int], width: int = 1, slots: int = SHARD_SLOTS, seed: int = SEED) -> None:
+        self.width, self.slots, self.seed = width, slots, seed
+        self.leaves = 1 << max(0, (len(ranges) - 1).bit_length())
+        # sums of the nodes of a binary tree over the ranges: children of n are 2 n and 2 n + 1
+        self.sums = [0] * self.leaves + list(ranges) + [0] * (self.leaves - len(ranges))
+        for n in range(self.leaves - 1, 0, -1):
+            self.sums[n] = self.sums[2 * n] + self.sums[2 * n + 1]
+        self.total = self.sums[1]
         self.shards = -(-self.total // slots)
-        self._left = lru_cache(4096)(self._draw_left)
+        self._path = lru_cache(1024)(self._draw_path)
 
-    def _draw_left(self, low: int, high: int, counts: tuple[int, ...]) -> tuple[int, ...]:
-        """Counts of the left half of shards low..high-1."""
+    def _draw(self, low: int, high: int, level: int, node: int, good: int, bad: int, take: int) -> int:
+        return hypergeometric(np.random.Generator(np.random.PCG64([self.seed, low, high, level, node])), good, bad, take) if good and bad and take else min(good, take) if good else 0
+
+    def _halves(self, low: int, high: int) -> tuple[int, int]:
+        """The middle of a range of shards, and the slots before it in the range."""
         mid = (low + high) // 2
-        take = min(mid * self.slots, self.total) - low * self.slots
-        if sum(counts) < _DRAWN_BELOW:
-            rng = np.random.Generator(np.random.PCG64([self.seed, low, high]))
-            return tuple(int(x) for x in rng.multivariate_hypergeometric(counts, take, method="marginals"))
-        part = [c * take // sum(counts) for c in counts]
-        for i in sorted(range(len(counts)), key=lambda i: (-(counts[i] * take % sum(counts)), i))[: take - sum(part)]:
-            part[i] += 1
-        return tuple(part)
+        return mid, min(mid * self.slots, self.total) - low * self.slots
+
+    def _draw_path(self, low: int, high: int, leaf: int, sums: tuple[tuple[int, int], ...]) -> tuple[tuple[tuple[int, int], ...], int]:
+        """Of the left half of shards: the children's counts at each node on the way to a leaf, and the leaf's own."""
+        _, take = self._halves(low, high)
+        out = []
+        depth = self.leaves.bit_length() - 1
+        for d, (left, right) in enumerate(sums):
+            node = (self.leaves + leaf) >> (depth - d)
+            first = self._draw(low, high, 0, node, left, right, take)
+            out.append((first, take - first))
+            take = out[-1][leaf >> (depth - d - 1) & 1]
+        return tuple(out), take
+
+    def _shared(self, low: int, high: int, leaf: int, counts: np.ndarray, take: int) -> np.ndarray:
+        """How the sources of a range share what it takes in the left half of shards."""
+        out = np.zeros(len(counts), dtype=np.int64)
+        todo = [(0, self.width, take)]
+        sums = np.concatenate(([0], np.cumsum(counts)))
+        while todo:
+            a, b, n = todo.pop()
+            b = min(b, len(counts))
+            if not n or a >= len(counts):
+                continue
+            if b - a == 1 or n == sums[b] - sums[a]:
+                out[a:b] = counts[a:b] if b - a > 1 else n
+                continue
+            mid = (a + b) // 2
+            first = self._draw(low, high, 1 + leaf, a * self.width + b, int(sums[mid] - sums[a]), int(sums[b] - sums[mid]), n)
+            todo += [(a, mid, first), (mid, b, n - first)]
+        return out
+
+    def within(self, leaf: int, quotas: np.ndarray, low: int = 0, high: int | None = None, every: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, counts, counts of all shards before) of the sources of range ``leaf`` in the shards low..high-1,
+        with ``every`` also those that hold nothing of them."""
+        depth = self.leaves.bit_length() - 1
+        top = tuple((self.sums[2 * n], self.sums[2 * n + 1]) for n in ((self.leaves + leaf) >> (depth - d) for d in range(depth)))
+        todo = [(0, self.shards, top, np.asarray(quotas, dtype=np.int64), np.zeros(len(quotas), dtype=np.int64))]
+        high = self.shards if high is None else high
+        while todo:
+            a, b, sums, counts, before = todo.pop()
+            if b <= low or a >= high or not (every or counts.any()):
+                continue
+            if b - a == 1:
+                yield a, counts, before
+                continue
+            mid, take = self._halves(a, b)
+            left_sums, take = self._path(a, b, leaf, sums) if sums else ((), take)
+            left = self._shared(a, b, leaf, counts, take)
+            right_sums = tuple((x - u, y - v) for (x, y), (u, v) in zip(sums, left_sums, strict=True))
+            todo += [(mid, b, right_sums, counts - left, before + left), (a, mid, left_sums, left, before)]
+
 
     def of(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        """(counts of the shard, counts of all shards before it)."""
-        low, high, counts, before = 0, self.shards, self.quotas, np.zeros(len(self.quotas), dtype=np.int64)
-        while high - low > 1:
-            left, mid = self._left(low, high, counts), (low + high) // 2
-            if shard < mid:
-                high, counts = mid, left
-            else:
-                before += np.array(left)
-                low, counts = mid, tuple(c - x for c, x in zip(counts, left, strict=True))
-        return np.array(counts, dtype=np.int64), before
-
-
-def placed(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
-    """(``doc_id, source_no, size, start`` [, text] of every document, the list of sources).
-
-    ``start`` counts the words of the source before this document. The list has a row for each source and is
-    all that the driver sees. Running sums are taken in hashed groups of a bounded number of rows, and over
-    the sums of those groups, so no task holds the rows of a source.
+        """(counts of the shard, counts of all shards before it) of all sources, where each range is one source."""
+        found = [next(self.within(k, np.array([self.sums[self.leaves + k]]), shard, shard + 1, every=True)) for k in range(self.leaves)]
+        return np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
+
+
+def _sources(base: DataFrame) -> DataFrame:
+    """``source, source_no, source_size, target, blocks, quota`` of each source.
+
+    The targets come from one aggregate over the table of sources for each round of resharing.
+    """
+    found = numbered(base.groupBy("source").agg(F.sum("size").alias("source_size")), F.col("source").asc_nulls_last(), name="source_no")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("source_no") % len(WEIGHTS) + 1).cast("int"))
+    found = cut_lineage(found.withColumn("weight", weight))
+    whole = found.agg(F.sum("source_size")).first()[0] or 0
+    unit = 0.0
+    while True:
+        over = F.col("source_size") * MOST < F.lit(unit) * F.col("weight")
+        r = found.agg(F.sum(F.when(over, F.col("source_size") * MOST)).alias("full"), F.sum(F.when(~over, F.col("weight"))).alias("free")).first()
+        now = (SHARE * whole - (r.full or 0)) / r.free if r.free else unit
+        if now <= unit:
+            break
+        unit = now
+    blocks = F.ceil(F.col("source_size") / BLOCK).cast("long")
+    found = found.withColumn("target", F.least((F.col("source_size") * MOST).cast("double"), F.lit(unit) * F.col("weight"))).withColumn("blocks", blocks)
+    quota = F.when(F.col("source_size") > 0, F.least(F.col("blocks") * MOST, F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"))).otherwise(F.lit(0))
+    return cut_lineage(found.withColumn("quota", quota.cast("long")).drop("weight"))
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id, source_no, source_size, target, size, start`` of every document, the table of sources).
+
+    ``start`` counts the words of the source before this document. Rows that agree in source, doc_id and size are
+    one row with a count until the sums are taken, so they are no hot key. Running sums are taken in hashed groups
+    of a bounded number of rows, and over the sums of those groups, so no task holds the rows of a source.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    base = cut_lineage(base)
-    found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
-    found.sort(key=lambda r: (r.source is None, r.source or ""))
-    weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(found))]
-    aims = targets([r["size"] for r in found], weights)
-    sources = []
-    for i, (r, aim) in enumerate(zip(found, aims, strict=True)):
-        blocks = -(-r["size"] // BLOCK)
-        sources.append({"no": i, "source": r.source, "size": r["size"], "target": aim, "blocks": blocks, "quota": min(MOST * blocks, round(aim * blocks / r["size"])) if r["size"] else 0})
-    groups = max(1, sum(r.docs for r in found) // GROUP_ROWS)
-    names = base.sparkSession.createDataFrame([(s["no"], s["source"]) for s in sources], "source_no int, name string")
-    rows = base.join(names, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source_no", "size", F.pmod(F.xxhash64("doc_id", "size"), F.lit(groups)).alias("grp"))
-    sums = rows.groupBy("source_no", "grp").agg(F.sum("size").alias("n"))
-    ahead = Window.partitionBy("source_no").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source_no").alias("s"), F.col("grp").alias("g"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    within = Window.partitionBy("source_no", "grp").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return rows.join(sums.hint("merge"), (F.col("s") == F.col("source_no")) & (F.col("g") == F.col("grp"))).select("doc_id", "source_no", "size", (F.col("before") + F.col("inside")).alias("start")), sources
-
-
-def slots(spark, sources: list[dict]) -> DataFrame:
-    """``shard, slot, source_no, block`` of every slot of the mix."""
-    quotas = [s["quota"] for s in sources]
-    blocks = [s["blocks"] for s in sources]
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plan = ShardCounts(quotas)
-        for batch in batches:
-            for shard in batch["id"]:
-                counts, before = plan.of(int(shard))
-                source = np.repeat(np.arange(len(counts)), counts)
-                nth = np.arange(len(source)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(before, counts)
-                block = np.zeros(len(source), dtype=np.int64)
-                for s in np.flatnonzero(counts):
-                    own = source == s
-                    turn = nth[own] // blocks[s]
-                    block[own] = np.concatenate([permuted(nth[own][turn == t] % blocks[s], blocks[s], int(s) * MOST + int(t)) for t in np.unique(turn)])
-                order = np.random.Generator(np.random.PCG64([SEED, int(shard), 1])).permutation(len(source))
-                yield pd.DataFrame({"shard": shard, "slot": np.argsort(order), "source_no": source, "block": block})
-
-    return spark.range(ShardCounts(quotas).shards).mapInPandas(fill, "shard long, slot int, source_no int, block long")
+    base = cut_lineage(base.groupBy("source", "doc_id", "size").agg(F.count("*").alias("copies")).withColumn("words", F.col("size") * F.col("copies")))
+    sources = _sources(base.select("source", F.col("words").alias("size")))
+    groups = max(1, base.count() // GROUP_ROWS)
+    rows = base.withColumn("grp", F.pmod(F.xxhash64("doc_id", "size"), F.lit(groups)))
+    sums = rows.groupBy("source", "grp").agg(F.sum("words").alias("n"))
+    # the groups of a source are themselves summed in steps, so that many groups are no long window either
+    step = F.floor(F.col("grp") / max(1, math.isqrt(groups)))
+    sums = sums.withColumn("step", step)
+    ahead = Window.partitionBy("source", "step").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    steps = sums.groupBy("source", "step").agg(F.sum("n").alias("n"))
+    steps_ahead = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select(F.col("source").alias("so"), F.col("step").alias("st"), F.coalesce(F.sum("n").over(steps_ahead), F.lit(0)).alias("earlier"))
+    steps = steps.join(sources.withColumnRenamed("source", "name"), F.col("so").eqNullSafe(F.col("name")))
+    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    sums = sums.join(steps, F.col("source").eqNullSafe(F.col("so")) & (F.col("step") == F.col("st"))).select(F.col("source").alias("s"), F.col("grp").alias("g"), (F.col("before") + F.col("earlier")).alias("before"), "source_no", "source_size", "target")
+    within = Window.partitionBy("source", "grp").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("words").over(within), F.lit(0)))
+    rows = rows.join(sums.hint("merge"), F.col("s").eqNullSafe(F.col("source")) & (F.col("g") == F.col("grp")))
+    rows = rows.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(65536).cast("long"))))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + 65535, F.col("copies") - 1))))
+    return rows.select("doc_id", "source_no", "source_size", "target", "size", (F.col("before") + F.col("inside") + F.col("copy") * F.col("size")).alias("start")), sources
+
+
+def slots(sources: DataFrame) -> DataFrame:
+    """``shard, slot, source_no, block`` of every slot of the mix; in a shard they stand in the order of ``slot``, a random code."""
+    last = sources.agg(F.max("source_no")).first()[0]
+    width = max(RANGE_SOURCES, 1 << max(0, ((0 if last is None else last) // MOST_RANGES).bit_length()))
+    near = sources.withColumn("leaf", F.floor(F.col("source_no") / width))
+    sums = {r.leaf: r.n for r in near.groupBy("leaf").agg(F.sum("quota").alias("n")).collect()}
+    plan = ([sums.get(i, 0) for i in range(1 + max(sums, default=0))], width)
+    shards = ShardCounts(*plan).shards
+    # each range of sources is filled by as many tasks as it has slots for, each for its own shards
+    filled = near.groupBy("leaf").agg(F.sum("quota").alias("n")).where("n > 0")
+    filled = filled.select(F.col("leaf").alias("l"), F.least(F.lit(max(1, shards)), F.ceil(F.col("n") / TASK_SLOTS).cast("long")).alias("cuts"))
+    filled = filled.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    dealt = near.join(filled, F.col("leaf") == F.col("l")).select("leaf", "cut", "cuts", "source_no", "quota", "blocks")
+
+    def fill(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        counts = ShardCounts(*plan)
+        leaf, cut, cuts = int(own["leaf"][0]), int(own["cut"][0]), int(own["cuts"][0])
+        first = leaf * width
+        quotas, blocks = np.zeros(width, dtype=np.int64), np.zeros(width, dtype=np.int64)
+        quotas[own["source_no"] - first], blocks[own["source_no"] - first] = own["quota"], own["blocks"]
+        made: dict[str, list[np.ndarray]] = {"shard": [], "source_no": [], "nth": []}
+        for shard, n, before in counts.within(leaf, quotas, shards * cut // cuts, shards * (cut + 1) // cuts):
+            source = np.repeat(np.arange(width), n)
+            made["shard"].append(np.full(len(source), shard))
+            made["source_no"].append(source)
+            made["nth"].append(np.arange(len(source)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(before, n))
+        shard, source, nth = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in made.values())
+        block = np.zeros(len(source), dtype=np.int64)
+        order = np.argsort(source, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(source[order])) + 1) if len(order) else ():
+            s = int(source[rows[0]])
+            turn = nth[rows] // blocks[s]
+            for t in np.unique(turn):
+                block[rows[turn == t]] = permuted(nth[rows[turn == t]] % blocks[s], int(blocks[s]), (first + s) * MOST + int(t))
+        # slots stand in a shard in the order of a keyed code of theirs
+        code = mix64(mix64(mix64(shard.astype(np.uint64) ^ np.uint64(SEED)) ^ (source + first).astype(np.uint64)) ^ nth.astype(np.uint64))
+        return pd.DataFrame({"shard": shard, "slot": (code >> np.uint64(1)).astype(np.int64), "source_no": source + first, "block": block})
+
+    return dealt.groupBy("leaf", "cut").applyInPandas(fill, "shard long, slot long, source_no long, block long")
 
 
 def _blocks_of(rows: DataFrame) -> DataFrame:
@@ -170,14 +292,14 @@ def mix(docs: DataFrame) -> DataFrame:
     empty result. The draws depend on the seed and the data alone, so reruns agree.
     """
     rows, sources = placed(docs)
-    spark = docs.sparkSession
-    uses = slots(spark, sources).groupBy("source_no", "block").agg(F.count("*").alias("uses"))
+    rows = cut_lineage(rows)
+    uses = slots(sources).groupBy("source_no", "block").agg(F.count("*").alias("uses"))
     cut = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest(F.col("start"), F.col("block") * BLOCK)
-    parts = _blocks_of(rows).join(uses.hint("merge"), ["source_no", "block"], "left").select("doc_id", "source_no", "size", "start", (cut * F.coalesce("uses", F.lit(0))).alias("part"))
-    taken = parts.groupBy("doc_id", "source_no", "size", "start").agg(F.sum("part").alias("taken")).drop("start")
-    taken = taken.unionByName(rows.where("size = 0").select("doc_id", "source_no", "size", F.lit(0).cast("long").alias("taken")))
-    about = spark.createDataFrame([(s["no"], s["size"], s["target"]) for s in sources], "source_no int, source_size long, target double")
-    return taken.join(about, "source_no").select("doc_id", "size", "source_size", "target", "taken")
+    about = ["doc_id", "source_no", "source_size", "target", "size", "start"]
+    parts = _blocks_of(rows).join(uses.hint("merge"), ["source_no", "block"], "left").select(*about, (cut * F.coalesce("uses", F.lit(0))).alias("part"))
+    taken = parts.groupBy(*about).agg(F.sum("part").alias("taken"))
+    taken = taken.unionByName(rows.where("size = 0").select(*about, F.lit(0).cast("long").alias("taken")))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_blocks(docs: DataFrame) -> DataFrame:
@@ -191,4 +313,5 @@ def mixed_blocks(docs: DataFrame) -> DataFrame:
     pieces = _blocks_of(rows).join(words, "doc_id").select("source_no", "block", "start", F.array_join(F.slice("words", (begin + 1).cast("int"), F.least(F.col("size") - begin, (F.col("block") + 1) * BLOCK - F.greatest("start", F.col("block") * BLOCK)).cast("int")), " ").alias("piece"))
     packed = pieces.groupBy("source_no", "block").agg(F.sort_array(F.collect_list(F.struct("start", "piece"))).alias("p"))
     packed = packed.select("source_no", "block", F.array_join(F.col("p.piece"), " ").alias("text"))
-    return slots(docs.sparkSession, sources).join(packed, ["source_no", "block"]).select("shard", "slot", "source_no", "block", "text")
+    place = F.row_number().over(Window.partitionBy("shard").orderBy("slot", "source_no", "block")) - 1
+    return slots(sources).withColumn("slot", place).join(packed, ["source_no", "block"]).select("shard", "slot", "source_no", "block", "text")
