@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import cut_lineage as cut_lineage
+from ..operators.ordering import written as written
 
 # 64-bit finaliser constants of the public SplitMix64 generator (fixed values).
 _MIX_ADD = np.uint64(0x9E3779B97F4A7C15)
