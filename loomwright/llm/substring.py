@@ -30,8 +30,9 @@ from .common import byte_values
 from .hashing import Words, words_of
 
 WINDOW = 35
-#: Bytes of text in a block, and bytes of text for each range of codes.
+#: Bytes of text in a block and in a task, and bytes of text for each range of codes.
 BLOCK_BYTES = 4 << 20
+TASK_BYTES = 16 << 20
 RANGE_BYTES = 8 << 20
 # Perfect difference sets by their period (fixed values).
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 6, 8, 18), 31: (1, 5, 11, 24, 25, 27)}
@@ -57,16 +58,16 @@ def anchors(words: Words, window: int) -> np.ndarray:
 
 
 def _packed(codes: np.ndarray, block: int, ranges: int) -> pa.Table:
-    """One row for each range of codes: those that the block has once, and those that it has more often."""
+    """One row for each range that the block has codes of: those that it has once, and those that it has more often.
+    The work follows the codes, not the number of ranges."""
     codes, count = np.unique(codes, return_counts=True)
     part = ((codes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    parts = part[np.diff(part, prepend=-1) > 0]
     columns = []
     for own in (count == 1, count > 1):
-        cuts = np.searchsorted(part[own], np.arange(ranges + 1)).astype(np.int32)
+        cuts = np.append(np.searchsorted(part[own], parts), own.sum()).astype(np.int32)
         columns.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(codes[own].view(np.int64))))
-    table = pa.table({"part": pa.array(np.arange(ranges)), "block": pa.array(np.full(ranges, block)), "once": columns[0], "more": columns[1]})
-    sizes = np.diff(columns[0].offsets.to_numpy()) + np.diff(columns[1].offsets.to_numpy())
-    return table.filter(pa.array(sizes > 0))
+    return pa.table({"part": pa.array(parts), "block": pa.array(np.full(len(parts), block)), "once": columns[0], "more": columns[1]})
 
 
 def _flat(column: pa.ChunkedArray) -> np.ndarray:
@@ -103,7 +104,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Each word covered by a window of ``window`` words that starts anywhere else too is removed; windows
     are judged on the input. Null and blank texts have no words and the digest of the empty string. Texts
     under ``window`` words lose none. Rows with equal or null doc_id count as separate documents; an
-    empty table gives an empty result. Texts are taken whole.
+    empty table gives an empty result. Texts are taken whole. Equal rows of one input partition share a block.
     """
     return _passes(docs, window, _digest, _OUT)
 
@@ -121,7 +122,9 @@ def _digest(words: list[bytes], mask: np.ndarray) -> tuple:
 def _passes(docs: DataFrame, window: int, finish, schema: str) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text").cast("decimal(38,0)"))).first()[0] or 0
     blocks, ranges = max(64, int(size) // BLOCK_BYTES), max(16, int(size) // RANGE_BYTES)
-    texts = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
+    # tasks have as many bytes at every size; rows that are equal go to as many blocks as they come from partitions
+    tasks = max(1, min(blocks, int(size) // TASK_BYTES))
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).alias("block")).repartition(tasks, "block")
     period, _, length = cover_for(window)
 
     def first(group: pa.Table) -> pa.Table:
@@ -163,6 +166,6 @@ def _passes(docs: DataFrame, window: int, finish, schema: str) -> DataFrame:
         return sent.groupBy("part").applyInArrow(_repeated, "block long, codes array<long>")
 
     by_block = texts.groupBy("block")
-    found = shared(by_block.applyInArrow(first, _SENT))
-    found = shared(by_block.cogroup(found.groupBy("block")).applyInArrow(second, _SENT))
+    found = shared(by_block.applyInArrow(first, _SENT)).repartition(tasks, "block")
+    found = shared(by_block.cogroup(found.groupBy("block")).applyInArrow(second, _SENT)).repartition(tasks, "block")
     return by_block.cogroup(found.groupBy("block")).applyInArrow(third, schema)

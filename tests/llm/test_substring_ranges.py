@@ -1,0 +1,27 @@
+"""The work of a block does not grow with the number of code ranges."""
+
+import time
+
+import numpy as np
+import pytest
+
+from loomwright.llm import substring
+
+
+@pytest.mark.parametrize("ranges", [64, 10**4, 10**7])
+def test_packing_follows_the_codes(ranges):
+    codes = np.random.Generator(np.random.PCG64(1)).integers(0, 2**64, 170_000, dtype=np.uint64)
+    codes = np.concatenate((codes, codes[:1000]))
+    began = time.perf_counter()
+    table = substring._packed(codes, 3, ranges)
+    assert time.perf_counter() - began < 0.5
+    once, more = (np.concatenate([np.array(x, dtype=np.int64) for x in table[c].to_pylist()]).view(np.uint64) for c in ("once", "more"))
+    assert len(more) == 1000 and set(more) == set(codes[:1000]) and len(once) == 169_000
+    parts = table["part"].to_numpy()
+    assert (np.diff(parts) > 0).all() and 0 <= parts[0] and parts[-1] < ranges
+    own = [(int(c) >> 32) * ranges >> 32 for c in table["once"][0].as_py() for c in [np.int64(c).view(np.uint64)]]
+    assert set(own) <= {int(parts[0])}
+
+
+def test_no_codes():
+    assert len(substring._packed(np.zeros(0, dtype=np.uint64), 1, 64)) == 0
