@@ -32,11 +32,12 @@ BLOCK = 128
 SHARD_SLOTS = 1024
 SEED = 20240607
 #: Rows of a group in which running sums are taken.
-GROUP_ROWS = 4000
-#: Numbers that the driver sees of all sources, which are summed in ranges; and slots that a task fills.
+GROUP_ROWS = 500
+#: Numbers that the driver sees of all sources, which are summed in ranges; slots of a group that is filled, and tasks for those.
 MOST_RANGES = 4096
 RANGE_SOURCES = 64
-TASK_SLOTS = 1 << 18
+TASK_SLOTS = 1 << 16
+MOST_TASKS = 1 << 15
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -249,7 +250,9 @@ def slots(sources: DataFrame) -> DataFrame:
     filled = near.groupBy("leaf").agg(F.sum("quota").alias("n")).where("n > 0")
     filled = filled.select(F.col("leaf").alias("l"), F.least(F.lit(max(1, shards)), F.ceil(F.col("n") / TASK_SLOTS).cast("long")).alias("cuts"))
     filled = filled.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-    dealt = near.join(filled, F.col("leaf") == F.col("l")).select("leaf", "cut", "cuts", "source_no", "quota", "blocks")
+    # few bytes make many slots, so the number of tasks follows the slots
+    tasks = max(1, min(MOST_TASKS, sum(-(-n // TASK_SLOTS) for n in sums.values())))
+    dealt = near.join(filled, F.col("leaf") == F.col("l")).select("leaf", "cut", "cuts", "source_no", "quota", "blocks").repartition(tasks, "leaf", "cut")
 
     def fill(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         counts = ShardCounts(*plan)
