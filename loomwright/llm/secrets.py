@@ -5,15 +5,21 @@ walks and brute-force characters, in bits, found by dynamic programming over its
 digits, letters that follow each other as in words count as one word of a large dictionary, so that prose is cheap. A value behind words such
 as "passphrase" or "login", up to white space or its closing quote, is a secret if even the cheapest way is
 expensive; "login: monday" is not.
+
+The dictionary is a ranked list: the words below and, behind them, the words of a public tokenizer's vocabulary, which
+is ordered by how common they are. The driver reads that file and broadcasts the list, of MOST_WORDS at most.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,6 +64,12 @@ understanding recovery verification encryption encrypted algorithm manager stora
 undefined optional placeholder string integer number https http www com org net html
 """.split()
 _RANK = {w: k + 1 for k, w in enumerate(dict.fromkeys(_WORDS))}
+#: Vocabulary whose whole words follow those, in its order; where the file is absent the words above are all.
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+MOST_WORDS = 50_000
+_WORD_LENGTHS = (4, 20)
+#: Starts behind the first that a repeat or a keyboard walk is tried from, counted back from its end.
+_STARTS = 24
 _LONGEST_WORD = max(map(len, _RANK))
 # Characters that stand for letters (fixed values).
 _LEET = str.maketrans({"4": "a", "@": "a", "8": "b", "3": "e", "6": "g", "1": "l", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t", "2": "z"})
@@ -86,8 +98,30 @@ def _word_like(low: str) -> bool:
     return bits <= _PAIR_BITS * len(low)
 
 
-def guess_bits(value: str) -> float:
+def _starts(first: int, end: int) -> list[int]:
+    """Where a stretch of three or more characters that ends at ``end`` can begin."""
+    return ([first] if end - first >= 3 else []) + list(range(max(first + 1, end - _STARTS), end - 2))
+
+
+@lru_cache(maxsize=4)
+def ranked_words(vocabulary: str | None = VOCABULARY) -> dict[str, int]:
+    """Word -> rank, from one; the words of a vocabulary file are those it marks as ending a word."""
+    ranks = dict(_RANK)
+    if vocabulary and os.path.exists(vocabulary):
+        with open(vocabulary, encoding="utf-8") as f:
+            ids = json.load(f)["model"]["vocab"]
+        fewest, most = _WORD_LENGTHS
+        for token in sorted(ids, key=ids.get):
+            word = token.removesuffix("</w>")
+            if word != token and fewest <= len(word) <= most and word.isascii() and word.isalpha() and len(ranks) < MOST_WORDS:
+                ranks.setdefault(word, len(ranks) + 1)
+    return ranks
+
+
+def guess_bits(value: str, ranks: dict[str, int] | None = None) -> float:
     """Bits of the cheapest segmentation of the whole value; linear in its length."""
+    ranks = ranked_words() if ranks is None else ranks
+    longest = max(_WORD_LENGTHS[1], _LONGEST_WORD)
     n, low = len(value), value.lower()
     if len(low) != n:  # a letter whose lower case is longer
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
@@ -103,14 +137,14 @@ def guess_bits(value: str) -> float:
         if i >= 2 and low[i - 2 : i] not in _NEXT:
             walk_start = i - 1
         cost = best[i - 1] + _brute_bits(value[i - 1])
-        if i - run_start >= 3:  # one character, so often
-            cost = min(cost, best[run_start] + _brute_bits(value[i - 1]) + math.log2(i - run_start) + 1)
-        if i - walk_start >= 3:  # where it starts, its direction and its length
-            cost = min(cost, best[walk_start] + math.log2(47) + math.log2(i - walk_start) + 2)
-        for j in range(max(0, i - _LONGEST_WORD), i - 2):
-            if rank := _RANK.get(low[j:i]):
+        for j in _starts(run_start, i):  # one character, so often
+            cost = min(cost, best[j] + _brute_bits(value[i - 1]) + math.log2(i - j) + 1)
+        for j in _starts(walk_start, i):  # where it starts, its direction and its length
+            cost = min(cost, best[j] + math.log2(47) + math.log2(i - j) + 2)
+        for j in range(max(0, i - longest), i - 2):
+            if rank := ranks.get(low[j:i]):
                 cost = min(cost, best[j] + math.log2(rank) + (value[j:i] != low[j:i]) + 1)
-            elif rank := _RANK.get(plain[j:i]):
+            elif rank := ranks.get(plain[j:i]):
                 cost = min(cost, best[j] + math.log2(rank) + (value[j:i] != low[j:i]) + 3)
         if i in runs:
             cost = min(cost, best[runs[i]] + _DICTIONARY_BITS + (not value[i - 1].islower() or value[runs[i]].isupper()))
@@ -137,7 +171,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def guessed_spans(text: str, base: list[tuple[int, int, int]], min_bits: float = MIN_BITS) -> list[tuple[int, int, int]]:
+def guessed_spans(text: str, base: list[tuple[int, int, int]], min_bits: float = MIN_BITS, ranks: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
     """Values in a credential context that cost ``min_bits`` or more and reach beyond every base span."""
     low = text.lower()
     if not any(w in low for w in _CONTEXT_WORDS):
@@ -147,7 +181,7 @@ def guessed_spans(text: str, base: list[tuple[int, int, int]], min_bits: float =
         start, end = m.span(m.lastindex)
         if m[3]:
             end = start + len(text[start:end].rstrip(".,;:?)]}>\"'"))
-        if end - start >= 8 and guess_bits(text[start:end]) >= min_bits and not any(s <= start and end <= e for s, _, e in base):
+        if end - start >= 8 and guess_bits(text[start:end], ranks) >= min_bits and not any(s <= start and end <= e for s, _, e in base):
             found.append((start, 3, end))
             at = end
         else:
@@ -155,29 +189,30 @@ def guessed_spans(text: str, base: list[tuple[int, int, int]], min_bits: float =
     return found
 
 
-def spans_of(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def spans_of(text: str | None, ranks: dict[str, int] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans), each sorted by start, then kind."""
     base = base_spans(text or "")
-    return base, sorted(base + guessed_spans(text or "", base))
+    return base, sorted(base + guessed_spans(text or "", base, ranks=ranks))
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, vocabulary: str | None = VOCABULARY) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` for every row of ``docs``.
 
     Spans are kind:start:end in code points, end exclusive, comma-joined by start and then by kind;
     ``base_sha256`` digests those of the three patterns alone. A null text counts as empty: no spans and the
     digest of the empty string. Repeated rows are all returned; an empty table gives an empty result.
     """
+    ranks = docs.sparkSession.sparkContext.broadcast(ranked_words(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text in b.column("text").to_pylist():
-                base, every = spans_of(text)
+                base, every = spans_of(text, ranks.value)
                 n = [sum(k == kind for _, k, _ in base) for kind in range(3)]
                 rows.append((*n, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(every)))
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
@@ -186,25 +221,26 @@ def find(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(text: str | None, mark: str = "[secret]") -> str | None:
+def redact(text: str | None, mark: str = "[secret]", ranks: dict[str, int] | None = None) -> str | None:
     """The text with each run of overlapping spans replaced by ``mark``; null stays null."""
     if text is None:
         return None
     out, at = [], 0
-    for s, _, e in spans_of(text)[1]:
+    for s, _, e in spans_of(text, ranks)[1]:
         if s >= at:
             out += [text[at:s], mark]
         at = max(at, e)
     return "".join([*out, text[at:]])
 
 
-def redacted(docs: DataFrame) -> DataFrame:
+def redacted(docs: DataFrame, vocabulary: str | None = VOCABULARY) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; all rows and columns stay."""
     names = docs.columns
     at = names.index("text")
+    ranks = docs.sparkSession.sparkContext.broadcast(ranked_words(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.set_column(at, b.schema.field(at), pa.array([redact(x) for x in b.column(at).to_pylist()], b.schema.field(at).type))
+            yield b.set_column(at, b.schema.field(at), pa.array([redact(x, ranks=ranks.value) for x in b.column(at).to_pylist()], b.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
