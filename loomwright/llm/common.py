@@ -57,12 +57,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
 
 
-def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The row of ``docs`` with the smallest doc_id of each class (``doc_id, component_id``), and of rows with equal
-    doc_id the one with the smallest text. Rows without doc_id stay. All columns stay."""
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("row"))
-    rows = rows.select(*[F.col(c) if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns])
-    return rows.unionByName(docs.where("doc_id is null"))
+def text_keys(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, t1, t2``: each row with 128 bits of hashes of its text."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("t1"), F.xxhash64(F.lit(1), docs["text"]).alias("t2"))
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame, distinct: DataFrame, components: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component, and all rows without doc_id; all columns stay.
+
+    ``keys`` has ``doc_id, t1, t2`` of every row, ``distinct`` the ``node`` and its ``first`` such key, ``components``
+    the ``component`` of each linked node. Of rows that agree in doc_id and text one stays.
+    """
+    best = distinct.join(components, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("k"))
+    # only keys that several rows share need their rows gathered
+    times = keys.groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("times"))
+    kept = cut_lineage(best.select("k.*").join(times, ["doc_id", "t1", "t2"]).select(F.col("doc_id").alias("kept_id"), F.col("t1").alias("kept_1"), F.col("t2").alias("kept_2"), "times"))
+    ident, first, second = docs["doc_id"].cast("long"), F.xxhash64(docs["text"]), F.xxhash64(F.lit(1), docs["text"])
+    match = lambda k: (ident == k["kept_id"]) & (first == k["kept_1"]) & (second == k["kept_2"])
+    once, often = kept.where("times = 1"), kept.where("times > 1")
+    rows = docs.join(once, match(once), "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
+    if often.isEmpty():
+        return rows
+    columns = [docs["`" + c.replace("`", "``") + "`"] for c in docs.columns]
+    again = docs.join(often, match(often), "left_semi")
+    again = again.groupBy(ident, first, second).agg(F.min_by(F.struct(*columns), F.xxhash64(F.to_json(F.struct(*columns)))).alias("row"))
+    return rows.unionByName(again.select(*(F.col("row")[c].alias(c) for c in docs.columns)))

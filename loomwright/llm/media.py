@@ -6,10 +6,10 @@ a table is a seeded sample of the test bits, and so many tables are taken that t
 differing bits share one with the stated recall. Those that meet are compared on all bits. Two pictures are
 copies when several of their matching corners agree on one turn, scale and shift.
 
-Every pair that meets counts, however many members a table entry has. First each member is compared with one
-centre of its entry, in a few rounds of differently dealt tiles, which ties the pictures of a true group together
-in linear time. Then all pairs of members that are not yet of one class are compared, tile against tile, so
-that one entry's work is spread over many tasks.
+Every pair that meets counts, however many members a table entry has. In crowded entries each member is first
+compared with one centre, in a few rounds of differently dealt tiles, which ties the pictures of a true group
+together in linear time. Then all pairs of members that are not yet of one class are compared, tile against
+tile, so that one entry's work is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -24,19 +24,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut_lineage, mix64
+from .common import connected_components, cut_lineage, mix64, written
 
 SCALES = (1.0, 0.75, 0.5625)
 RADIUS = 15
 TESTS = 192
 #: Differing bits at most, corners that must agree at least, and pixels of tolerance.
-MOST_BITS, LEAST_CORNERS, TOLERANCE = 12, 3, 3
+MOST_BITS, LEAST_CORNERS, TOLERANCE = 8, 3, 3
 #: Share of the descriptor pairs at MOST_BITS that meet; a picture has many corners, so more of the pictures do.
 RECALL = 0.9
 #: A corner is the strongest within so many pixels.
 PEAK = 3
-#: Members of a tile.
-TILE = 512
+#: Members of an entry from which centres come first, and members of a tile.
+CROWD, TILE = 64, 512
 #: Rows of a task that compares.
 PART_ROWS = 100_000
 PICTURES_PER_TASK = 4096
@@ -154,7 +154,7 @@ def unpacked_places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def tables_for(count: int) -> tuple[int, int]:
     """(bits of a key, number of tables): keys grow with the number of descriptors, so that strangers seldom meet."""
-    bits = min(64, max(20, math.ceil(math.log2(max(2, count))) + 4))
+    bits = min(64, max(20, math.ceil(math.log2(max(2, count))) + 9))
     meets = math.prod((TESTS - MOST_BITS - i) / (TESTS - i) for i in range(bits))
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - meets))
 
@@ -195,7 +195,6 @@ def agree(at_a: np.ndarray, at_b: np.ndarray) -> bool:
 
 
 _LOCAL = "media_id long, content long, at array<long>, " + ", ".join(f"w{i} array<long>" for i in range(_WORDS))
-_ENTRY = "key long, id long, at long, " + ", ".join(f"w{i} long" for i in range(_WORDS))
 _MATCH = "a long, b long, at_a long, at_b long"
 
 
@@ -219,7 +218,7 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def entries(each: DataFrame, bits: int, tables: int) -> DataFrame:
-    """A row for each descriptor (``id, at, w0..``) and table, with the table's ``key``."""
+    """``key, d`` for each descriptor (``d, w0..``) and table."""
     masks = table_masks(bits, tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,9 +228,9 @@ def entries(each: DataFrame, bits: int, tables: int) -> DataFrame:
                 key = np.full(b.num_rows, mix64(np.array([t], dtype=np.uint64))[0], dtype=np.uint64)
                 for i, w in enumerate(words):
                     key = mix64(key ^ (w & masks[t, i]))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], names=["key", *b.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("d")], names=["key", "d"])
 
-    return each.mapInArrow(run, _ENTRY)
+    return each.select("d", *(f"w{i}" for i in range(_WORDS))).mapInArrow(run, "key long, d long")
 
 
 def _compared(members: DataFrame, parts: int, masks: np.ndarray, every: bool) -> DataFrame:
@@ -303,6 +302,13 @@ def _links(matches: DataFrame, parts: int) -> DataFrame:
     return matches.groupBy(F.pmod(F.xxhash64("a", "b"), F.lit(parts)).alias("part")).applyInArrow(run, "a long, b long")
 
 
+def _each(known: DataFrame) -> DataFrame:
+    """A row for each descriptor of ``id, comp, at, w0..`` (lists), with a code ``d`` of its own."""
+    columns = ["at", *(f"w{i}" for i in range(_WORDS))]
+    rows = known.select("id", "comp", F.explode(F.arrays_zip(*columns)).alias("c")).select("id", "comp", "c.*")
+    return rows.withColumn("d", F.xxhash64("id", "at"))
+
+
 def copies(media: DataFrame) -> DataFrame:
     """``media_id, class_id, n_corners`` for every row of ``media`` (``media_id, image``).
 
@@ -310,37 +316,39 @@ def copies(media: DataFrame) -> DataFrame:
     and bytes that are no picture, have no corners; null ones link nothing and are their own class. A row
     without media_id has a null class. Repeated rows are all returned; an empty table gives an empty result.
     """
-    local = cut_lineage(features(media))
+    local = written(features(media))
     known = local.where("media_id is not null and content is not null")
     columns = ["at", *(f"w{i}" for i in range(_WORDS))]
-    one = cut_lineage(known.groupBy("content").agg(F.min(F.struct("media_id", *columns)).alias("r")).select("content", "r.*"))
-    each = one.select(F.col("media_id").alias("id"), F.explode(F.arrays_zip(*columns)).alias("c")).select("id", "c.*")
+    one = written(known.groupBy("content").agg(F.min(F.struct("media_id", *columns)).alias("r")).select("content", "r.*"))
+    each = _each(one.select(F.col("media_id").alias("id"), F.col("media_id").alias("comp"), *columns))
     bits, tables = tables_for(each.count())
     masks = table_masks(bits, tables)
-    rows = entries(each, bits, tables)
-    shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = cut_lineage(rows.join(shared.hint("merge"), "key"))
+    # keys alone are matched first; only descriptors that share one travel with their bits
+    slim = entries(each, bits, tables)
+    counts = slim.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = written(slim.join(counts.hint("merge"), "key"))
     size = shared.agg(F.count("*").alias("rows"), F.max("members").alias("most")).first()
     parts = max(8, size.rows // PART_ROWS)
-    # one round of centres for each power of TILE that the largest entry holds
-    rounds = max(1, math.ceil(math.log(size.most or 1) / math.log(TILE)))
+    # for crowds, a round of centres for each power of TILE that the largest entry holds
+    rounds = 0 if (size.most or 0) <= CROWD else max(1, math.ceil(math.log(size.most) / math.log(TILE)))
     links, classes = None, None
     for turn in range(rounds + 1):
-        last = turn == rounds
-        now = shared if classes is None else shared.join(classes.hint("merge"), shared.id == classes.node, "left").drop("node")
-        now = now.withColumn("comp", F.coalesce("component", "id") if classes is not None else F.col("id")).withColumn("rank", F.xxhash64("id", F.lit(turn)))
-        if last:  # entries of one class are done; the others are compared tile against tile
-            mixed = now.groupBy("key").agg(F.count("*").alias("left"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "left")
-            now = now.join(mixed.hint("merge"), "key")
-            tiles = F.ceil(F.col("left") / TILE).cast("long")
-            own = F.pmod(F.xxhash64("id", "at"), tiles)
-            now = now.withColumn("tiles", tiles).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+        known = one if classes is None else one.join(classes, one.media_id == classes.node, "left")
+        known = known.select(F.col("media_id").alias("id"), (F.coalesce("component", "media_id") if classes is not None else F.col("media_id")).alias("comp"), *columns)
+        now = shared if turn == rounds else shared.where(F.col("members") > CROWD)
+        now = now.join(_each(known).hint("merge"), "d").withColumn("rank", F.lit(0).cast("long") if turn == rounds else F.xxhash64("id", F.lit(turn)))
+        if turn == rounds:  # of crowded entries only those of several classes are left; they are compared tile against tile
+            if rounds:
+                mixed = now.where(F.col("members") > CROWD).groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low = high").select("key")
+                now = now.join(mixed.hint("merge"), "key", "left_anti")
+            tiles = F.ceil(F.col("members") / TILE).cast("long")
+            now = now.withColumn("tiles", tiles).withColumn("own", F.pmod(F.col("d"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
             low, high = F.least("own", "other"), F.greatest("own", "other")
             now = now.withColumn("tile", low * F.col("tiles") + high).withColumn("side", F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2).cast("byte"))
         else:
-            tiles = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("members") / TILE))).cast("long")
-            now = now.withColumn("tile", F.when(F.col("members") > TILE, F.pmod(F.xxhash64("id", F.lit(-1 - turn)), tiles)).otherwise(0).cast("long")).withColumn("side", F.lit(0).cast("byte"))
-        matches = _compared(now.select("key", "tile", "side", "id", "comp", "rank", *columns), parts, masks, last)
+            tiles = F.greatest(F.lit(1).cast("long"), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("members") / TILE))).cast("long"))
+            now = now.withColumn("tile", F.pmod(F.xxhash64("id", F.lit(-1 - turn)), tiles)).withColumn("side", F.lit(0).cast("byte"))
+        matches = _compared(now.select("key", "tile", "side", "id", "comp", "rank", *columns), parts, masks, turn == rounds)
         found = _links(matches, parts)
         links = cut_lineage(found if links is None else found.unionByName(links))
         classes = connected_components(links)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, connected_components, cut_lineage, one_of_each
+from .common import byte_values, connected_components, cut_lineage, keep_rows, text_keys
 
 SHINGLE = 4
 SEED = 42
@@ -51,14 +51,14 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (signed long with the fingerprint's bits), one row per row of ``docs``."""
+    """``doc_id, t1, t2, fp``, one row per row of ``docs``: hashes of the text, and a signed long with the fingerprint's bits."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x, shingle) for x in byte_values(b.column("text"))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "t1", "t2")), pa.array(fps.view(np.int64))], names=["doc_id", "t1", "t2", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, fp long")
+    return text_keys(docs).mapInArrow(score, "doc_id long, t1 long, t2 long, fp long")
 
 
 def flip_masks(low: int, high: int, most: int) -> list[np.ndarray]:
@@ -185,5 +185,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each near-duplicate class of ``docs``; rows without doc_id link nothing and stay. All columns stay."""
-    return one_of_each(docs, near_duplicates(docs, radius, shingle))
+    """One row of each near-duplicate class of ``docs``, as ``similar.keep_one`` takes it; rows without doc_id link nothing
+    and stay. All columns stay."""
+    prints = cut_lineage(fingerprints(docs, shingle))
+    distinct = prints.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("first"))
+    distinct = cut_lineage(distinct.withColumn("node", F.col("fp")))
+    return keep_rows(docs, prints, distinct, connected_components(links(distinct, distinct.count(), radius)))

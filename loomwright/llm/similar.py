@@ -10,7 +10,12 @@ of the long fingerprint, whose share of differing bits measures the similarity.
 Fingerprints travel by blocks of a table's bits: of five blocks, one is equal in any two fingerprints that differ
 in four bits, so each fingerprint is sent once for each block, however many documents there are, and the task that
 gets a block's value writes out the ball over all other bits. Where blocks of a fifth of the bits are too few values
-for the number of documents, two longer blocks take their place, each sent with one bit flipped as well.
+for the number of documents, two longer blocks take their place, each sent with one bit flipped as well. Both
+routings find the same pairs.
+
+A block's value that very many fingerprints share, such as that of a large family of near copies, is dealt to tiles of
+bounded size, which tie the family together; then the fingerprints that are not of its largest class there visit
+every tile, so that no pair is missed and no task holds the family.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, connected_components, cut_lineage, mix64, one_of_each
+from .common import byte_values, connected_components, cut_lineage, keep_rows, mix64, text_keys
 from .simhash import SEED, flip_masks, local_roots
 
 SHINGLE = 5
@@ -33,14 +38,18 @@ SIMILARITY = 0.8
 RECALL = 0.97
 HALF = 2
 #: 64-bit words of the fingerprint that verify a pair.
-CHECK_WORDS = 4
+CHECK_WORDS = 8
 #: Fingerprints of a block's value: as aimed at, and at most before longer blocks are taken; and variants that a
 #: task holds at once.
 PART_ROWS = 25_000
 MOST_PART_ROWS = 400_000
 CHUNK = 3_000_000
+#: Fingerprints of a block's value from which it is dealt to tiles, and of a tile.
+HOT_ROWS, TILE_ROWS = 100_000, 50_000
 #: Rows and columns of the pairs that a task compares at once.
 TILE = (256, 8192)
+#: Standard errors above the expected differing check bits at which a pair still counts.
+SLACK = 1.7
 
 
 def differing_share(similarity: float) -> float:
@@ -93,15 +102,15 @@ def long_fingerprint(data: bytes | None, words: int, shingle: int = SHINGLE) ->
 
 
 def long_fingerprints(docs: DataFrame, words: int, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (array of longs)."""
+    """``doc_id, t1, t2, fp``: the hashes of the text and the fingerprint (array of longs)."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([long_fingerprint(x, words, shingle) for x in byte_values(b.column("text"))], dtype=np.uint64).reshape(-1, words)
             made = pa.FixedSizeListArray.from_arrays(pa.array(fps.view(np.int64).ravel()), words).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), made], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "t1", "t2")), made], names=["doc_id", "t1", "t2", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, fp array<long>")
+    return text_keys(docs).mapInArrow(score, "doc_id long, t1 long, t2 long, fp array<long>")
 
 
 def table_values(fp: np.ndarray, bits: int, tables: int) -> np.ndarray:
@@ -169,21 +178,18 @@ def sweep(value: np.ndarray, left: np.ndarray, root: np.ndarray, near: Callable[
     return local_roots(len(root), *np.concatenate(found, axis=1))
 
 
-def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, component_id`` for every row of ``docs``: the smallest doc_id reachable over links of ``similarity`` or more.
-
-    The similarity is the one that the checking bits measure (a standard error of 0.02 at 0.8), on shingles
-    of ``shingle`` words, repeats counted. Texts without words are alike. A row without doc_id links nothing
-    and has a null component. Repeated rows come back as often as they are given; an empty table gives an
-    empty result. The variants of a block's value that very many fingerprints share are written out a part at a
-    time; its fingerprints themselves, 57 bytes each, are in one task.
-    """
+def _prints(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, int, int]:
+    """(fingerprints of every row, bits of a table, number of tables)."""
     bits, tables = tables_for(docs.count(), similarity)
+    return cut_lineage(long_fingerprints(docs, CHECK_WORDS + -(-bits * tables // 64), shingle)), bits, tables
+
+
+def links(distinct: DataFrame, similarity: float, bits: int, tables: int) -> DataFrame:
+    """Edges ``a, b`` whose components are those of the links; ``distinct`` has ``fp, node``."""
     words = CHECK_WORDS + -(-bits * tables // 64)
-    # most of a standard error of slack keeps pairs that are just similar enough
-    most = int(64 * CHECK_WORDS * differing_share(similarity) + 0.8 * math.sqrt(64 * CHECK_WORDS * differing_share(similarity)))
-    prints = cut_lineage(long_fingerprints(docs, words, shingle))
-    distinct = cut_lineage(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
+    # the slack keeps pairs that are just similar enough
+    share, checked = differing_share(similarity), 64 * CHECK_WORDS
+    most = int(checked * share + SLACK * math.sqrt(checked * share * (1 - share)))
     blocks, lead, flips = routing(distinct.count(), bits)
 
     checks = [f"check{k}" for k in range(CHECK_WORDS)]
@@ -210,16 +216,54 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
         # neighbours first, which ties true groups in linear time; then every other pair that meets
         a, b = meet(value, left, lead, bits)
         ok = near(a, b)
-        root = sweep(value, left, local_roots(len(node), a[ok], b[ok]), near)
+        _, known = np.unique(group["comp"].to_numpy()[order], return_index=True)
+        same = known[np.unique(group["comp"].to_numpy()[order], return_inverse=True)[1]]
+        a, b = np.concatenate((a[ok], np.arange(len(node)))), np.concatenate((b[ok], same))
+        root = sweep(value, left, local_roots(len(node), a, b), near)
         other = np.flatnonzero(node[root] != node)
         return pa.table({"a": node[other], "b": node[root[other]]})
 
-    sent = distinct.mapInArrow(emit, "part long, value long, left byte, node long, " + ", ".join(f"{c} long" for c in checks))
-    edges = sent.groupBy("part").applyInArrow(collide, "a long, b long").distinct()
-    classes = distinct.join(connected_components(edges), "node", "left").select(F.col("fp").alias("k"), F.coalesce("component", "node").alias("c"))
+    sent = distinct.select("fp", "node").mapInArrow(emit, "part long, value long, left byte, node long, " + ", ".join(f"{c} long" for c in checks))
+    hot = sent.groupBy("part").count().where(F.col("count") > HOT_ROWS).select(F.col("part").alias("hot_part"), F.ceil(F.col("count") / TILE_ROWS).cast("long").alias("tiles"))
+    hot = cut_lineage(hot)
+    rows = sent.join(hot, sent.part == hot.hot_part, "left").drop("hot_part")
+    tile = F.coalesce(F.pmod(F.xxhash64("node"), F.col("tiles")), F.lit(0))
+    tied = rows.withColumn("tile", tile).withColumn("comp", F.col("node")).groupBy("part", "tile").applyInArrow(collide, "a long, b long").distinct()
+    if hot.isEmpty():
+        return tied
+    tied = cut_lineage(tied)
+    # within the hot parts: all but the largest class of a part visit each of its tiles
+    classes = connected_components(tied).withColumnRenamed("node", "n")
+    rows = sent.join(hot, sent.part == hot.hot_part).join(classes, F.col("node") == F.col("n"), "left").withColumn("comp", F.coalesce("component", "node")).drop("n", "component", "hot_part")
+    largest = rows.groupBy("part", "comp").count().groupBy("part").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
+    rows = rows.join(largest.withColumnRenamed("part", "p"), F.col("part") == F.col("p"))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("tiles")))
+    rows = rows.withColumn("tile", F.explode(F.when(F.col("comp") == F.col("largest"), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))))
+    crossed = rows.select(*sent.columns, "tile", "comp").groupBy("part", "tile").applyInArrow(collide, "a long, b long")
+    return tied.unionByName(crossed).distinct()
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id, component_id`` for every row of ``docs``: the smallest doc_id reachable over links of ``similarity`` or more.
+
+    The similarity is the one that the checking bits measure (a standard error of 0.02 at 0.8; pairs of 0.735 pass half the time), on shingles
+    of ``shingle`` words, repeats counted. Texts without words are alike. A row without doc_id links nothing
+    and has a null component. Repeated rows come back as often as they are given; an empty table gives an
+    empty result.
+    """
+    prints, bits, tables = _prints(docs, similarity, shingle)
+    distinct = cut_lineage(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
+    found = connected_components(links(distinct, similarity, bits, tables))
+    classes = distinct.join(found, "node", "left").select(F.col("fp").alias("k"), F.coalesce("component", "node").alias("c"))
     return prints.join(classes, prints.fp == classes.k, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each near-duplicate class of ``docs``; rows without doc_id link nothing and stay. All columns stay."""
-    return one_of_each(docs, similar(docs, similarity, shingle))
+    """One row of each near-duplicate class of ``docs``: that with the smallest doc_id, of unlike texts with one doc_id that
+    with the smaller hash. Classes are of texts, so unlike texts with one doc_id both stay. Rows without doc_id link
+    nothing and stay; an empty table stays empty. All columns stay, whatever their names and types. Fingerprints are told
+    apart by 64-bit hashes of themselves."""
+    prints, bits, tables = _prints(docs, similarity, shingle)
+    distinct = prints.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("first"))
+    distinct = cut_lineage(distinct.withColumn("node", F.xxhash64("fp")))
+    return keep_rows(docs, prints, distinct, connected_components(links(distinct, similarity, bits, tables)))

@@ -28,7 +28,7 @@ def squares(seed, size=12):
 
 
 EDITS = {
-    "crop": lambda p: p[3:80, 5:90] * 0.8 + 30, "quarter": np.rot90, "half": lambda p: np.rot90(p, 2), "eight degrees": lambda p: turned(p, 8),
+    "crop": lambda p: p[3:80, 5:90] * 0.8 + 30, "quarter": np.rot90, "half": lambda p: np.rot90(p, 2), "four degrees": lambda p: turned(p, 4),
     "four thirds": lambda p: media.resized(p, 4 / 3), "three quarters": lambda p: media.resized(p, 0.75), "noise": lambda p: p + np.random.Generator(np.random.PCG64(1)).normal(0, 3, p.shape),
 }
 
@@ -90,8 +90,8 @@ def test_descriptors_meet_at_every_distance(spark, crowd, monkeypatch):
                     rows.append(far)
     bits, tables = media.tables_for(len(rows))
     w = words(np.array(rows)).view(np.int64)
-    each = spark.createDataFrame(pa.table({"id": range(len(rows)), "at": [0] * len(rows), **{f"w{i}": w[:, i] for i in range(w.shape[1])}}).to_pandas())
-    members = media.entries(each, bits, tables).withColumn("comp", F.col("id")).withColumn("rank", F.col("id")).withColumn("tile", F.lit(0).cast("long")).withColumn("side", F.lit(0).cast("byte"))
+    each = spark.createDataFrame(pa.table({"id": range(len(rows)), "d": range(len(rows)), "at": [0] * len(rows), **{f"w{i}": w[:, i] for i in range(w.shape[1])}}).to_pandas())
+    members = media.entries(each, bits, tables).join(each, "d").withColumn("comp", F.col("id")).withColumn("rank", F.col("id")).withColumn("tile", F.lit(0).cast("long")).withColumn("side", F.lit(0).cast("byte"))
     found = [(r.a, r.b) for r in media._compared(members, 4, media.table_masks(bits, tables), True).collect()]
     assert len(found) == len(set(found))
     hits = {d: np.mean([p in set(found) for p, e in pairs.items() if e == d]) for d in set(pairs.values())}
@@ -106,6 +106,7 @@ def test_an_entry_of_many_loses_no_link(spark, monkeypatch):
         pictures += [media.write_pgm(base[i % 5 : 90 + i % 4, i // 5 : 88 + i % 3] * (0.7 + i / 100) + i) for i in range(22)]
     table = spark.createDataFrame(list(enumerate(pictures)), "media_id long, image binary")
     whole = {r.media_id: r.class_id for r in media.copies(table).collect()}
+    monkeypatch.setattr(media, "CROWD", 3)
     monkeypatch.setattr(media, "TILE", 4)
     assert {r.media_id: r.class_id for r in media.copies(table).collect()} == whole == {i: i // 22 * 22 for i in range(66)}
 
