@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,107 +12,133 @@ from pyspark.sql.window import Window
 from ..functions.columns import tier_name
 
 SECTIONS = ("added", "removed", "renamed", "content", "frontmatter", "trust", "added_links", "removed_links", "mended_links", "broken_links")
-DIFF = ("section", "segs", "id", "kind", "key", "old", "new")
+DIFF = ("bundle", "section", "segs", "id", "kind", "key", "old", "new")
+_ROW = "struct<section:string,kind:string,key:string,old:string,new:string>"
 _VERBS = {"added": "+", "removed": "-", "added_links": "+", "removed_links": "-", "mended_links": "+", "broken_links": "-"}
 
 
-def _rows(df: DataFrame, section: str, kind: str = "", key: Column | None = None, old: Column | None = None, new: Column | None = None) -> DataFrame:
-    empty = F.lit(None).cast("string")
-    return df.select(F.lit(section).alias("section"), F.col("id_segs").alias("segs"), "id", F.lit(kind).alias("kind"), *(c.alias(n) if c is not None else empty.alias(n) for n, c in (("key", key), ("old", old), ("new", new))))
+def _row(section: str, kind: str = "", key: Column | None = None, old: Column | None = None, new: Column | None = None) -> Column:
+    parts = {"section": F.lit(section), "kind": F.lit(kind), "key": key, "old": old, "new": new}
+    return F.struct(*((c if c is not None else F.lit(None)).cast("string").alias(n) for n, c in parts.items()))
 
 
-def _content_key() -> Column:
-    """Equal for concepts with the same type, title, description and body."""
-    parts = [F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("+"), F.sha2(F.col(c), 256))) for c in ("type", "title", "description", "body")]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+def _if(when: Column, row: Column) -> Column:
+    return F.when(F.coalesce(when, F.lit(False)), row).otherwise(F.lit(None).cast(_ROW))
 
 
-def renames(added: DataFrame, removed: DataFrame) -> DataFrame:
-    """Pairs of a removed and an added concept with equal content, in the order of their ids."""
-    number = F.row_number().over(Window.partitionBy("ck").orderBy("id_segs"))
-    a = added.withColumn("ck", _content_key()).select("id", "id_segs", "ck").withColumn("n", number)
-    r = removed.withColumn("ck", _content_key()).select(F.col("id").alias("old_id"), "ck", F.col("id_segs")).withColumn("n", number).drop("id_segs")
-    return a.join(r, ["ck", "n"]).select("id", "id_segs", "old_id")
+def _side(concepts: DataFrame, side: str) -> DataFrame:
+    """What is compared of each concept: bodies and contents as digests."""
+    digest = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("+"), F.sha2(F.col(c), 256)))
+    texts = F.filter("fm", lambda e: e["is_text"])
+    first = F.filter(texts, lambda e, i: F.array_position(F.transform(texts, lambda x: x["key"]), e["key"]) == i + 1)
+    own = {"segs": F.col("id_segs"), "body": digest("body"), "content": F.sha2(F.concat_ws("|", *map(digest, ("type", "title", "description", "body"))), 256), "fm": first, "tier": F.col("tier_rank"), "status": F.col("status")}
+    return concepts.select("bundle", "id", *(c.alias(f"{side}_{n}") for n, c in own.items()))
 
 
-def frontmatter_changes(both: DataFrame) -> DataFrame:
-    """Keys that came, went or changed; only text keys count and the first of repeated ones."""
-    def keys(side: str) -> DataFrame:
-        each = both.select("id", "id_segs", F.posexplode(F.col(f"{side}_fm")).alias("pos", "e")).where("e.is_text")
-        return each.groupBy("id", "id_segs", F.col("e.key").alias("key")).agg(F.min_by(F.struct("e.canon", "e.yaml", "e.nan"), "pos").alias(side))
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The one join of both snapshots: a row for each concept of either."""
+    return _side(a, "a").join(_side(b, "b"), ["bundle", "id"], "full_outer")
+
 
-    met = keys("a").join(keys("b"), ["id", "id_segs", "key"], "full_outer")
-    shown = lambda side: F.trim(F.regexp_replace(F.col(f"{side}.yaml"), r"\s+", " "))
-    changed = (F.col("a.canon") != F.col("b.canon")) | F.col("a.nan") | F.col("b.nan")
-    return reduce(DataFrame.unionByName, [
-        _rows(met.where("a is null"), "frontmatter", "added", F.col("key")),
-        _rows(met.where("b is null"), "frontmatter", "removed", F.col("key")),
-        _rows(met.where("a is not null and b is not null").where(changed), "frontmatter", "changed", F.col("key"), shown("a"), shown("b")),
-    ])
+def renames(met: DataFrame) -> DataFrame:
+    """``bundle, id, segs, old_id``: pairs of a removed and an added concept with equal content, in the order of their ids."""
+    number = F.row_number().over(Window.partitionBy("bundle", "content").orderBy("segs"))
+    new = met.where("a_segs is null").select("bundle", "id", F.col("b_segs").alias("segs"), F.col("b_content").alias("content")).withColumn("n", number)
+    old = met.where("b_segs is null").select("bundle", F.col("id").alias("old_id"), F.col("a_segs").alias("segs"), F.col("a_content").alias("content")).withColumn("n", number).drop("segs")
+    return new.join(old, ["bundle", "content", "n"]).select("bundle", "id", "segs", "old_id")
+
+
+def _frontmatter() -> Column:
+    """Keys that came, went or changed; only text keys count and the first of repeated ones."""
+    shown = lambda e: F.trim(F.regexp_replace(e["yaml"], r"\s+", " "))
+    keys = lambda side: F.transform(f"{side}_fm", lambda e: e["key"])
+    other = lambda e: F.element_at(F.filter("b_fm", lambda x: x["key"] == e["key"]), 1)
+    came = F.filter("b_fm", lambda e: ~F.array_contains(keys("a"), e["key"]))
+    went = F.filter("a_fm", lambda e: ~F.array_contains(keys("b"), e["key"]))
+    stayed = F.filter("a_fm", lambda e: F.array_contains(keys("b"), e["key"]))
+    changed = F.filter(stayed, lambda e: (e["canon"] != other(e)["canon"]) | e["nan"] | other(e)["nan"])
+    return F.concat(
+        F.transform(came, lambda e: _row("frontmatter", "added", e["key"])),
+        F.transform(went, lambda e: _row("frontmatter", "removed", e["key"])),
+        F.transform(changed, lambda e: _row("frontmatter", "changed", e["key"], shown(e), shown(other(e)))),
+    )
 
 
 def link_changes(a_links: DataFrame, b_links: DataFrame) -> DataFrame:
-    edges = lambda d: d.where("exists").select(F.col("src_segs").alias("id_segs"), F.col("src_id").alias("id"), F.col("target_id").alias("to")).distinct()
-    lost = lambda d: d.where("not exists").select(F.col("src_segs").alias("id_segs"), F.col("src_id").alias("id"), F.col("raw").alias("to")).distinct()
-    parts = [("added_links", edges(b_links), edges(a_links)), ("removed_links", edges(a_links), edges(b_links)), ("mended_links", lost(a_links), lost(b_links)), ("broken_links", lost(b_links), lost(a_links))]
-    return reduce(DataFrame.unionByName, [_rows(x.join(y, ["id", "to"], "left_anti"), name, "link", F.col("to")) for name, x, y in parts])
+    """Edges that came and went, and targets that were mended and broken, by one grouping of both snapshots' links."""
+    side = lambda d, n: d.select("bundle", F.col("src_segs").alias("segs"), F.col("src_id").alias("id"), "exists", F.when(F.col("exists"), F.col("target_id")).otherwise(F.col("raw")).alias("key"), F.lit(n).alias("side"))
+    each = side(a_links, 1).unionByName(side(b_links, 2)).groupBy("bundle", "id", "exists", "key").agg(F.min("segs").alias("segs"), F.min("side").alias("low"), F.max("side").alias("high")).where("low = high")
+    names = F.when(F.col("exists"), F.when(F.col("low") == 2, "added_links").otherwise("removed_links")).otherwise(F.when(F.col("low") == 1, "mended_links").otherwise("broken_links"))
+    none = F.lit(None).cast("string")
+    return each.select("bundle", names.alias("section"), "segs", "id", F.lit("link").alias("kind"), "key", none.alias("old"), none.alias("new"))
 
 
 def changes(a: DataFrame, b: DataFrame, a_links: DataFrame, b_links: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
-    """``section, segs, id, kind, key, old, new``: a and b are concepts of two snapshots, the links their resolved
-    links. Only what ``sections`` asks for is planned."""
+    """``bundle, section, segs, id, kind, key, old, new``: a and b are concepts of two snapshots of the same bundles, the
+    links their resolved links. Only what ``sections`` asks for is planned. Concepts are joined once; what changed in
+    one of them is an array expression over its row."""
     parts = []
-    if set(sections) & {"added", "removed", "renamed"}:
-        added, removed = b.join(a.select("id"), "id", "left_anti"), a.join(b.select("id"), "id", "left_anti")
-        moved = renames(added, removed)
-        parts.append(_rows(added.join(moved.select("id"), "id", "left_anti"), "added"))
-        parts.append(_rows(removed.join(moved.select(F.col("old_id").alias("id")), "id", "left_anti"), "removed"))
-        parts.append(_rows(moved, "renamed", "", None, F.col("old_id"), F.col("id")))
+    met = _met(a, b)
     if set(sections) & {"content", "frontmatter", "trust"}:
-        pick = lambda d, s, *more: d.select("id", *more, *(F.col(c).alias(f"{s}_{c}") for c in ("body", "fm", "tier_rank", "status")))
-        both = pick(a, "a", "id_segs").join(pick(b, "b"), "id")
-        parts.append(_rows(both.where("a_body <> b_body"), "content"))
-        if "frontmatter" in sections:
-            parts.append(frontmatter_changes(both))
-        parts.append(_rows(both.where("a_tier_rank <> b_tier_rank"), "trust", "tier", F.lit("tier"), tier_name(F.col("a_tier_rank")), tier_name(F.col("b_tier_rank"))))
-        parts.append(_rows(both.where("a_status <> b_status"), "trust", "status", F.lit("status"), F.col("a_status"), F.col("b_status")))
+        rows = F.concat(
+            F.array(_if(F.col("a_body") != F.col("b_body"), _row("content"))),
+            _frontmatter() if "frontmatter" in sections else F.array().cast(f"array<{_ROW}>"),
+            F.array(
+                _if(F.col("a_tier") != F.col("b_tier"), _row("trust", "tier", F.lit("tier"), tier_name(F.col("a_tier")), tier_name(F.col("b_tier")))),
+                _if(F.col("a_status") != F.col("b_status"), _row("trust", "status", F.lit("status"), F.col("a_status"), F.col("b_status"))),
+            ),
+        )
+        both = met.where("a_segs is not null and b_segs is not null")
+        parts.append(both.select("bundle", "id", F.col("a_segs").alias("segs"), F.explode(F.array_compact(rows)).alias("r")).select("bundle", "id", "segs", "r.*"))
+    if set(sections) & {"added", "removed", "renamed"}:
+        moved = renames(met)
+        alone = met.where("a_segs is null or b_segs is null").select("bundle", "id", F.coalesce("a_segs", "b_segs").alias("segs"), F.when(F.col("a_segs").isNull(), "added").otherwise("removed").alias("section"))
+        paired = moved.select("bundle", "id").unionByName(moved.select("bundle", F.col("old_id").alias("id")))
+        none = F.lit(None).cast("string")
+        parts.append(alone.join(paired, ["bundle", "id"], "left_anti").select("bundle", "id", "segs", "section", F.lit("").alias("kind"), none.alias("key"), none.alias("old"), none.alias("new")))
+        parts.append(moved.select("bundle", "id", "segs", F.lit("renamed").alias("section"), F.lit("").alias("kind"), none.alias("key"), F.col("old_id").alias("old"), F.col("id").alias("new")))
     if any(s.endswith("links") for s in sections):
         parts.append(link_changes(a_links, b_links))
     return reduce(DataFrame.unionByName, [p.select(*DIFF) for p in parts]).where(F.col("section").isin(*sections))
 
 
 def rendered(found: DataFrame) -> str:
-    """The report as text. The table is small by nature and is brought to the driver."""
-    order = {s: i for i, s in enumerate(SECTIONS)}
-    kinds = {"added": 0, "removed": 1, "changed": 2, "tier": 0, "status": 1}
-    rows = sorted(found.collect(), key=lambda r: (order[r.section], list(r.segs), kinds.get(r.kind, 0), (r.key or "").split("/")))
-    if not rows:
-        return "no changes\n"
-    out: list[str] = []
-    for section in SECTIONS:
-        own = [r for r in rows if r.section == section]
-        if not own:
-            continue
-        by_id: dict[str, list] = {}
-        for r in own:
-            by_id.setdefault(r.id, []).append(r)
-        grouped = section in ("frontmatter", "trust")
-        out.append(f"{section.replace('_', ' ')} ({len(by_id) if grouped else len(own)}):")
+    """The report as one text."""
+    return "".join(f"{line}\n" for line in report_lines(found))
+
+
+def report_lines(found: DataFrame) -> Iterator[str]:
+    """The report, line by line: the driver holds a part of the sorted changes at a time."""
+    totals = {r.section: r.changes for r in size(found).collect()}
+    if not totals:
+        yield "no changes"
+    order = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section"))
+    kinds = F.array_position(F.array(*map(F.lit, ("added", "removed", "changed", "tier", "status"))), F.col("kind"))
+    section = name = None
+    texts = F.concat("kind", F.lit(" "), "old", F.lit(" -> "), "new")
+    trust = found.where("section = 'trust'").groupBy("bundle", "section", "segs", "id").agg(F.array_join(F.sort_array(F.collect_list(F.struct(kinds.alias("k"), texts.alias("t"))))["t"], " ").alias("new"))
+    found = found.where("section <> 'trust'").unionByName(trust, allowMissingColumns=True)
+    for r in found.orderBy("bundle", order, "segs", kinds, F.split(F.coalesce("key", F.lit("")), "/")).toLocalIterator():
+        grouped = r.section in ("frontmatter", "trust")
+        if r.section != section:
+            yield f"{r.section.replace('_', ' ')} ({totals[r.section]}):"
+            section, name = r.section, None
+        if grouped and r.id != name:
+            if section == "frontmatter":
+                yield f"  {r.id}:"
+            name = r.id
         if section == "frontmatter":
-            for name, found_rows in by_id.items():
-                out.append(f"  {name}:")
-                out += [f"    + {r.key}" if r.kind == "added" else f"    - {r.key}" if r.kind == "removed" else f"    ~ {r.key}: {r.old} -> {r.new}" for r in found_rows]
+            yield f"    + {r.key}" if r.kind == "added" else f"    - {r.key}" if r.kind == "removed" else f"    ~ {r.key}: {r.old} -> {r.new}"
         elif section == "trust":
-            out += [f"  {name}:" + "".join(f" {r.kind} {r.old} -> {r.new}" for r in found_rows) for name, found_rows in by_id.items()]
+            yield f"  {r.id}: {r.new}"
         elif section == "renamed":
-            out += [f"  ~ {r.old} -> {r.new}" for r in own]
+            yield f"  ~ {r.old} -> {r.new}"
         elif section == "content":
-            out += [f"  ~ {r.id} (body)" for r in own]
+            yield f"  ~ {r.id} (body)"
         elif section.endswith("links"):
-            out += [f"  {_VERBS[section]} {r.id} -> {r.key}" for r in own]
+            yield f"  {_VERBS[section]} {r.id} -> {r.key}"
         else:
-            out += [f"  {_VERBS[section]} {r.id}" for r in own]
-    return "\n".join(out) + "\n"
+            yield f"  {_VERBS[section]} {r.id}"
 
 
 def size(found: DataFrame) -> DataFrame:

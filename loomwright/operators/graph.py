@@ -85,10 +85,14 @@ def derived_by(sources: DataFrame) -> DataFrame:
     return derivations(sources).select("bundle", "concept_id", "src_id", "src_path").dropDuplicates(["bundle", "concept_id", "src_id"])
 
 
+def tag_edges(concepts: DataFrame) -> DataFrame:
+    """``bundle, tag, path_segs, pos, id``: an edge for each time a concept names a tag."""
+    return concepts.select("bundle", "id", "path_segs", F.posexplode("tags").alias("pos", "tag")).select("bundle", "tag", "path_segs", "pos", "id")
+
+
 def tags(concepts: DataFrame) -> DataFrame:
-    """``bundle, tag, ids``: concepts of each tag in path order, once for each time they name it."""
-    each = concepts.select("bundle", "id", "path_segs", F.posexplode("tags").alias("pos", "tag"))
-    listed = each.groupBy("bundle", "tag").agg(F.sort_array(F.collect_list(F.struct("path_segs", "pos", "id"))).alias("x"))
+    """``bundle, tag, ids``: the edges of each tag as one list in path order, for tags that few concepts have."""
+    listed = tag_edges(concepts).groupBy("bundle", "tag").agg(F.sort_array(F.collect_list(F.struct("path_segs", "pos", "id"))).alias("x"))
     return listed.select("bundle", "tag", F.col("x.id").alias("ids"))
 
 

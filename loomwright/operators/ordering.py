@@ -28,14 +28,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's path in the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table of its own in the checkpoint folder: for tables that are too large to be kept row by row."""
-    ensure_checkpoint_dir(df.sparkSession)
-    folder = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    folder = shared_folder(df.sparkSession, "table")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def numbered_within(df: DataFrame, by: str, *order, name: str = "number") -> DataFrame:
+    """The same within each value of ``by``, which need not fit one task either."""
+    every = cut_lineage(numbered(df, by, *order, name="_place"))
+    first = every.groupBy(F.col(by).alias("_by")).agg(F.min("_place").alias("_first"))
+    return every.join(first, F.col(by).eqNullSafe(F.col("_by"))).withColumn(name, F.col("_place") - F.col("_first")).drop("_by", "_place", "_first")
+
+
 def numbered(df: DataFrame, *order, name: str = "number") -> DataFrame:
     """``df`` with the place of each row in the order of all rows, from zero, as ``name``.
 

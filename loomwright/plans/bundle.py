@@ -157,7 +157,7 @@ class Bundle:
             F.count_if("is_contract").alias("computations"),
             F.count_if(F.coalesce(F.lit(today).cast("date") >= F.col("stale_after.effective"), F.lit(False))).alias("stale"),
         ).unpivot("bundle", ["concepts", "with_sources", "computations", "stale"], "measure", "value")
-        parts = [count(self.indexes, "index_files"), count(self.logs, "log_files"), count(self.links, "links"), count(self.broken_links(), "broken_links"), count(graph.derivations(self.sources), "derivation_edges"), count(self.tags(), "tags")]
+        parts = [count(self.indexes, "index_files"), count(self.logs, "log_files"), count(self.links, "links"), count(self.broken_links(), "broken_links"), count(graph.derivations(self.sources), "derivation_edges"), count(graph.tag_edges(self.concepts).select("bundle", "tag").distinct(), "tags")]
         for p in parts:
             one = one.unionByName(p)
         return one

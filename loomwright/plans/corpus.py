@@ -70,4 +70,4 @@ def corpus_files(spark: SparkSession, sf_dir: str, edited: bool = False) -> Data
     logs = spark.range(10).select(F.expr("concat('d', id, '/log.md')").alias("rel_path"), F.expr(log).alias("content"))
     root = spark.range(1).select(F.lit("index.md").alias("rel_path"), F.lit('---\nokf_version: "0.1"\n---\n\n# Parts\n\n* [d0](d0/index.md)\n').alias("content"))
     every = pages.unionByName(indexes).unionByName(logs).unionByName(root)
-    return every.select(F.lit("b" if edited else "a").alias("bundle"), "rel_path", F.encode("content", "utf-8").alias("content"))
+    return every.select(F.lit("a").alias("bundle"), "rel_path", F.encode("content", "utf-8").alias("content"))

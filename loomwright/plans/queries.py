@@ -9,13 +9,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import columns
 from ..operators import concepts as typed_columns
 from ..operators import diff, graph, indexes, lint, logs, validate
+from ..operators.ordering import numbered_within
+from ..sources.bundle import written_tree
 from ..streaming import snapshots
-from . import render
+from . import forms, render
 from .bundle import Bundle
 from .corpus import LINK_SPAN, corpus_files
 
@@ -23,12 +24,30 @@ TODAY = "2026-07-01"
 _bundles: dict[tuple, Bundle] = {}
 
 
+def _kept(spark: SparkSession, sf_dir: str, what: str, files: Callable[[], DataFrame]) -> Bundle:
+    """A bundle, parsed once for a session and folder; those of other folders are let go."""
+    home = (spark.sparkContext.applicationId, sf_dir)
+    for key in [k for k in _bundles if k[:2] != home]:
+        old = _bundles.pop(key)
+        if key[0] == home[0]:
+            old.release()
+    if (*home, what) not in _bundles:
+        _bundles[(*home, what)] = Bundle(files())
+    return _bundles[(*home, what)]
+
+
 def bundle_of(spark: SparkSession, sf_dir: str, edited: bool = False) -> Bundle:
-    """The written bundle, parsed once for each session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, edited)
-    if key not in _bundles:
-        _bundles[key] = Bundle(corpus_files(spark, sf_dir, edited))
-    return _bundles[key]
+    """The written bundle, or the later snapshot of it."""
+    return _kept(spark, sf_dir, "edited" if edited else "plain", lambda: corpus_files(spark, sf_dir, edited))
+
+
+def forms_of(spark: SparkSession, sf_dir: str) -> Bundle:
+    """The bundle of unusual forms."""
+    return _kept(spark, sf_dir, "forms", lambda: forms.forms_files(spark, sf_dir))
+
+
+def _form(make: Callable[[Bundle], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: make(forms_of(spark, sf_dir))
 
 
 def _query(make: Callable[[Bundle], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -48,7 +67,7 @@ def _codes(found: DataFrame) -> DataFrame:
 
 
 def _concepts_in_order(b: Bundle) -> DataFrame:
-    return b.concepts.select("id", _long(F.row_number().over(Window.partitionBy("bundle").orderBy("path_segs"))).alias("seq"))
+    return numbered_within(b.concepts.select("bundle", "path_segs", "id"), "bundle", "path_segs").select("id", (F.col("number") + 1).alias("seq"))
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -89,7 +108,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j15_computation_users": _query(lambda b: b.contracts.join(b.backlinks().select(F.col("target_id").alias("id"), "src_id"), "id", "left").groupBy("id").agg(F.count("src_id").alias("n_users"))),
     "a1_backlinks": _query(lambda b: b.backlinks().groupBy("target_id").agg(F.count("*").alias("n"), F.min("src_id").alias("first_src"))),
     "a2_derived_by": _query(lambda b: graph.derived_by(b.sources).groupBy("concept_id").agg(F.count("*").alias("n"))),
-    "a3_tags": _query(lambda b: b.tags().select("tag", _long(F.size("ids")).alias("n"), F.col("ids")[0].alias("first_id"))),
+    "a3_tags": _query(lambda b: graph.tag_edges(b.concepts).groupBy("tag").agg(F.count("*").alias("n"), F.min_by("id", F.struct("path_segs", "pos")).alias("first_id"))),
     "a5_groups": _query(lambda b: b.groups().select("what", "name", "n")),
     "a6_summary": _query(lambda b: b.summary(TODAY).select("measure", "value")),
     "a8_validate_codes": _query(lambda b: _codes(b.validate(TODAY))),
@@ -118,7 +137,17 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j14_trust_diff": _diff(lambda d: d.select("id", "kind", "old", "new"), "trust"),
     "x4_link_diff": _diff(lambda d: d.select("section", "id", F.col("key").alias("to")), *diff.SECTIONS[-4:]),
     "a14_diff_size": _diff(lambda d: diff.size(d)),
-    "stream_log_entries": lambda spark, sf_dir: snapshots.demo(spark, sf_dir),
+    "stream_log_entries": lambda spark, sf_dir: snapshots.log_table(spark, corpus_files(spark, sf_dir)).groupBy("date_text").agg(F.count("*").alias("n")),
+    "stream_concept_types": lambda spark, sf_dir: snapshots.type_table(spark, corpus_files(spark, sf_dir)).select("type", "n"),
+    "s2_tree_load": lambda spark, sf_dir: written_tree(forms.forms_files(spark, sf_dir)).select("rel_path", F.decode("content", "utf-8").alias("content")),
+    "c2_link_forms": _form(lambda b: b.links.select(F.col("src_id").alias("id"), _long("seq").alias("seq"), "text", "raw", F.col("target_id").alias("target"), "exists")),
+    "p16_value_forms": _form(lambda b: b.concepts.where(r"id rlike '^v(9|1[0-5])/'").select("id", F.coalesce("title", F.lit("-")).alias("title"), F.coalesce("description", F.lit("-")).alias("description"), F.array_join("tags", "|").alias("tags"))),
+    "v1_unreadable_files": _form(lambda b: validate.unparsed(b.rows).select(F.regexp_replace("path", r"\.md$", "").alias("id"), "path", "message")),
+    "v5_odd_values": _form(lambda b: b.validate().where("code in ('V5', 'V9', 'V10', 'V16', 'V17')").select(F.regexp_replace("path", r"\.md$", "").alias("id"), "code", "message")),
+    "l7_body_forms": _form(lambda b: b.lint().where("code in ('L7', 'L8')").select(F.col("concept").alias("id"), "code")),
+    "l15_orphan_forms": _form(lambda b: lint.orphans(b.concepts, b.links, graph.index_listings(b.indexes)).select(F.col("concept").alias("id"))),
+    "k1_written_forms": _form(lambda b: b.concepts.where(r"id rlike '^v1[1-6]/'").select("id", "serialized")),
+    "d4_latest_instants": _form(lambda b: b.concepts.where("latest_verification is not null").select("id", F.col("latest_verification.by").alias("by_whom"), F.col("latest_verification.moment.text").alias("at_time"))),
 }
 
 
@@ -187,6 +216,44 @@ _ENTRIES = f"""SELECT * FROM files UNION ALL SELECT '' AS dir, 'Subdirectories'
 _NODES = """SELECT id, (row_number() OVER (ORDER BY dir, file, seq)) - 1 AS n FROM (SELECT id, first(dir ORDER BY dir, file, seq) AS dir, first(file ORDER BY dir, file, seq) AS file, first(seq ORDER BY dir, file, seq) AS seq FROM
 (SELECT id, 'd' || (n % 10) AS dir, 'doc_' || n || '.md' AS file, -1 AS seq FROM a UNION ALL SELECT target, 'd' || (n % 10), 'doc_' || n || '.md', seq FROM links) GROUP BY id)"""
 
+_NL = "chr(10)"
+#: The normal form of a document, from its number: every collection in block style, moments quoted.
+_FRONT_LINES = [
+    "CASE WHEN typed THEN 'type: ' || type END",
+    "CASE WHEN title <> '-' THEN 'title: ' || title END",
+    "CASE WHEN description <> '-' THEN 'description: ' || description END",
+    f"CASE WHEN n % 29 = 0 THEN 'tags: ' || lang ELSE 'tags:' || {_NL} || '  - ' || lang || {_NL} || '  - s' || (n % 4) END",
+    f"CASE WHEN n % 9 <> 0 THEN 'generated:' || {_NL} || '  by: writer/1.0' || {_NL} || '  at: \"2026-05-' || (10 + n % 17) || 'T08:00:00Z\"' END",
+    f"CASE WHEN n % 3 < 2 THEN 'verified:' || {_NL} || '  - by: ' || CASE WHEN n % 3 = 0 THEN 'human:reviewer' ELSE 'process:nightly' END || {_NL} || '    at: ' || CASE WHEN n % 31 = 0 THEN '2026-05-' || (10 + n % 20) ELSE '\"2026-05-' || (10 + n % 20) || 'T00:00:00Z\"' END END",
+    "CASE WHEN n % 8 <> 3 THEN 'status: ' || status END",
+    "CASE WHEN stale LIKE '%T%' THEN 'stale_after: \"' || stale || '\"' WHEN stale <> '-' THEN 'stale_after: ' || stale END",
+    f"CASE WHEN n % 5 = 0 THEN 'sources:' || {_NL} || '  - id: s1' || {_NL} || '    resource: ../d' || ((n + 1) % 10) || '/doc_' || (n + 1) || '.md' || {_NL} || '  - id: s2' || {_NL} || '    resource: https://example.com/' || n END",
+    "CASE WHEN n % 45 = 0 THEN 'timestamp: \"2026-05-01T00:00:00Z\"' END",
+    f"CASE WHEN n % 7 = 0 THEN 'runtime: sql' || {_NL} || 'parameters:' || {_NL} || '  - name: year' || {_NL} || '    type: integer' || {_NL} || '    required: true' || {_NL} || 'executor:' || {_NL} || '  resource: run.md' || {_NL} || '  receipt:' || {_NL} || '    - log' || CASE WHEN n % 14 = 0 THEN '' ELSE {_NL} || 'attester:' || {_NL} || '  resource: check.py' END END",
+]
+_BODY_LINES = [
+    f"'# Document ' || n || {_NL} || {_NL} || coalesce(text, '') || {_NL}",
+    f"'[next](/d' || ((n * 7 + 3) % {LINK_SPAN} % 10) || '/doc_' || ((n * 7 + 3) % {LINK_SPAN}) || '.md) [peer](../d' || ((n + 1) % 10) || '/doc_' || (n + 1) || '.md#part)'",
+    "CASE WHEN n % 20 = 0 THEN '[gone](/gone/x' || n || '.md)' END",
+    "CASE WHEN n % 97 = 0 THEN '[me](doc_' || n || '.md)' END",
+    f"CASE WHEN n % 5 = 0 THEN {_NL} || 'Claim[^s1] and other[^zz].' || {_NL} || {_NL} || '[^s1]: first source' END",
+    f"CASE WHEN n % 11 = 0 THEN {_NL} || '# Citations' || {_NL} || {_NL} || '[1] [Site](https://example.com/' || n || ')' END",
+    f"CASE WHEN n % 7 = 0 THEN {_NL} || '# Computation' || {_NL} || {_NL} || '```sql' || {_NL} || 'SELECT ' || n || {_NL} || '```' END",
+]
+_WRITTEN = f"'---' || {_NL} || concat_ws({_NL}, {', '.join(_FRONT_LINES)}) || {_NL} || '---' || {_NL} || {_NL} || concat_ws({_NL}, {', '.join(_BODY_LINES)}) || {_NL}"
+
+_FORM_ORACLES: dict[str, str] = {
+    "s2_tree_load": "SELECT rel_path, content FROM (" + forms.expected(tuple((v, *f) for v, f in enumerate(forms.FORMS)), "rel_path", "content") + ") UNION ALL SELECT 'index.md', '---\nokf_version: \"0.2\"\n---\n\n# Parts\n'",
+    "c2_link_forms": forms.expected(forms.LINKS, "seq", "text", "raw", "target", "exists").replace('e."seq"', 'e."seq"::BIGINT AS "seq"'),
+    "p16_value_forms": forms.expected(forms.VALUES, "title", "description", "tags"),
+    "v1_unreadable_files": forms.expected(forms.BROKEN, "path", "message"),
+    "v5_odd_values": forms.expected(forms.FINDINGS, "code", "message"),
+    "l7_body_forms": forms.expected(forms.BODIES, "code"),
+    "l15_orphan_forms": forms.expected(tuple((v,) for v in forms.ORPHANS)),
+    "k1_written_forms": forms.expected(forms.WRITTEN, "serialized"),
+    "d4_latest_instants": forms.expected(((16, "process:b", "2026-06-20T07:30:00Z"),), "by_whom", "at_time"),
+}
+
 _ORACLES: dict[str, str] = {
     "s1_files_by_role": "SELECT 'concept' AS role, count(*) AS n, 0::BIGINT AS n_errors FROM a UNION ALL SELECT 'log', 10, 0 UNION ALL SELECT 'index', 1 + count(DISTINCT n % 10), 0 FROM listed",
     "s15_declared_version": "SELECT '0.1' AS version",
@@ -262,10 +329,12 @@ _ORACLES: dict[str, str] = {
     "j14_trust_diff": f"SELECT id, 'status' AS kind, status AS \"old\", 'archived' AS \"new\" FROM ({_ARCHIVED})",
     "x4_link_diff": _LINK_DIFF,
     "stream_log_entries": "SELECT date_text, count(*) AS n FROM days GROUP BY date_text",
+    "stream_concept_types": "SELECT CASE WHEN type = '-' THEN '(none)' ELSE type END AS type, count(*) AS n FROM a GROUP BY type",
+    "k1_serialized": f"SELECT id, sha256({_WRITTEN}) AS sha FROM (SELECT a.*, d.text FROM a JOIN documents d ON d.doc_id = a.n)",
     "a14_diff_size": f"SELECT section, count(*) AS changes FROM (SELECT 'removed' AS section, id AS i FROM a WHERE n % 50 = 0 UNION ALL SELECT 'renamed', id FROM a WHERE n % 50 = 1 UNION ALL SELECT 'content', id FROM a WHERE n % 50 = 2 UNION ALL SELECT 'frontmatter', id FROM a WHERE n % 50 IN (3, 4) UNION ALL SELECT 'trust', id FROM a WHERE n % 50 = 3 UNION ALL SELECT section, id FROM ({_LINK_DIFF})) GROUP BY section",
 }
 
 
 def oracle_sql() -> dict[str, str]:
     extra = {"k9_graph_mermaid": f", nodes AS ({_NODES}), ordered AS (SELECT id, row_number() OVER (ORDER BY 'd' || (n % 10), 'doc_' || n || '.md') AS seq FROM a)"}
-    return {k: _PRELUDE + extra.get(k, "") + "\n" + v for k, v in _ORACLES.items()}
+    return {k: _PRELUDE + extra.get(k, "") + "\n" + v for k, v in _ORACLES.items()} | _FORM_ORACLES

@@ -7,9 +7,9 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import graph
+from ..operators.ordering import numbered_within
 from .bundle import Bundle
 
 _SECTION = r"§[0-9]+(?:\.[0-9]+)*"
@@ -51,7 +51,7 @@ def node_numbers(bundle: Bundle) -> DataFrame:
     own = bundle.concepts.select("bundle", "id", F.struct("path_segs", F.lit(-1).alias("seq")).alias("at"))
     targets = bundle.links.select("bundle", F.col("target_id").alias("id"), F.struct(F.col("src_path").alias("path_segs"), "seq").alias("at"))
     first = own.unionByName(targets).groupBy("bundle", "id").agg(F.min("at").alias("at"))
-    return first.select("bundle", "id", "at", (F.row_number().over(Window.partitionBy("bundle").orderBy("at")) - 1).alias("n"))
+    return numbered_within(first, "bundle", "at", name="n").select("bundle", "id", "at", "n")
 
 
 def graph_mermaid(bundle: Bundle, sources: bool = False) -> DataFrame:
@@ -65,7 +65,7 @@ def graph_mermaid(bundle: Bundle, sources: bool = False) -> DataFrame:
     edges = bundle.links.select("bundle", F.col("src_id").alias("f_id"), F.col("target_id").alias("t_id"), F.lit(0).alias("b"), "seq", F.when(F.col("exists"), "-->").otherwise("-.->|broken|").alias("arrow"))
     if sources:
         edges = edges.unionByName(graph.derivations(bundle.sources).select("bundle", F.col("src_id").alias("f_id"), F.col("concept_id").alias("t_id"), F.lit(1).alias("b"), "seq", F.lit("-.->|source|").alias("arrow")))
-    order = bundle.concepts.select("bundle", F.col("id").alias("f_id"), F.row_number().over(Window.partitionBy("bundle").orderBy("path_segs")).alias("a"))
+    order = numbered_within(bundle.concepts.select("bundle", "path_segs", F.col("id").alias("f_id")), "bundle", "path_segs", name="a").select("bundle", "f_id", (F.col("a") + 1).alias("a"))
     edges = edges.join(of("f"), ["bundle", "f_id"]).join(of("t"), ["bundle", "t_id"]).join(order, ["bundle", "f_id"])
     arrows = edges.select("bundle", F.lit(2).alias("part"), "a", "b", F.col("seq").alias("c"), F.concat(F.lit("  "), name(F.col("f_n")), F.lit(" "), "arrow", F.lit(" "), name(F.col("t_n"))).alias("line"))
     return head.unionByName(shown).unionByName(arrows).orderBy("bundle", "part", "a", "b", "c")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +85,32 @@ def read_lake(spark: SparkSession, path: str, bundle: str = "main") -> DataFrame
     return found.select(F.lit(bundle).alias("bundle"), F.element_at(F.split(F.url_decode("path"), base), -1).alias("rel_path"), "content")
 
 
+def written_tree(files: DataFrame) -> DataFrame:
+    """``files`` written out as a directory tree in the shared checkpoint folder, by the tasks that hold them, and read back
+    from there. The folder must be one that executors reach by path."""
+    from ..operators.ordering import ensure_checkpoint_dir
+
+    spark = files.sparkSession
+    ensure_checkpoint_dir(spark)
+    base = str(spark.sparkContext._jsc.sc().getCheckpointDir().get())
+    if base.startswith("file:"):
+        base = "/" + base[5:].lstrip("/")
+    if "://" in base:
+        raise NotABundle(f"not a folder that can be reached by path: {base}")
+    root = os.path.join(base, f"tree-{uuid.uuid4().hex}")
+
+    def write(rows: Iterator) -> None:
+        for r in rows:
+            path = os.path.join(root, r.rel_path)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as f:
+                f.write(r.content)
+
+    os.makedirs(root, exist_ok=True)
+    files.select("rel_path", "content").foreachPartition(write)
+    return read_tree(spark, root)
+
+
 def from_rows(spark: SparkSession, rows: Iterable[tuple[str, str | bytes]], bundle: str = "main") -> DataFrame:
     """The same from (path, content) pairs."""
     made = [(bundle, p, c.encode() if isinstance(c, str) else c) for p, c in rows]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,19 @@ PARSED = (
 )
 
 
+_LONG, _INT, _TEXT, _FLAG = pa.int64(), pa.int32(), pa.string(), pa.bool_()
+_MOMENT = pa.struct({"day": _INT, "has_time": _FLAG, "second": _LONG, "nano": _INT, "text": _TEXT})
+#: The same columns for Arrow.
+_BATCH = pa.schema({
+    "bundle": _TEXT, "rel_path": _TEXT, "role": _TEXT, "utf8_ok": _FLAG, "error_kind": _TEXT, "yaml_line": _INT, "error": _TEXT, "has_frontmatter": _FLAG, "body": _TEXT, "text": _TEXT,
+    "fm": pa.list_(pa.struct({"key": _TEXT, "is_text": _FLAG, "kind": _TEXT, "text": _TEXT, "empty": _FLAG, "canon": _TEXT, "yaml": _TEXT, "nan": _FLAG})),
+    "node": pa.map_(_TEXT, pa.struct({"kind": _TEXT, "text": _TEXT, "empty": _FLAG, "n": _INT, "day": _INT, "moment": _MOMENT})),
+    "links": pa.list_(pa.struct({"text": _TEXT, "raw": _TEXT, "decoded": _TEXT})), "refs": pa.list_(pa.struct({"label": _TEXT, "line": _INT})),
+    "defs": pa.list_(pa.struct({"label": _TEXT, "text": _TEXT, "line": _INT})), "citations": pa.list_(pa.struct({"number": _LONG, "text": _TEXT, "target": _TEXT, "raw": _TEXT})),
+    "inline": pa.struct({"code": _TEXT, "language": _TEXT, "fenced": _FLAG}), "serialized": _TEXT,
+})
+
+
 def flatten(value, path: str, out: dict) -> None:
     """Every value inside ``value`` by its path; the first of repeated keys wins, other than text keys have none."""
     items = value.items if isinstance(value, yaml.Pairs) else value if isinstance(value, list) else ()
@@ -87,20 +100,22 @@ def parse_file(bundle: str, rel_path: str, content: bytes) -> dict:
     }
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """A row for each markdown file of ``bundle, rel_path, content``, with ``path_segs`` and, for concepts, ``id`` and ``id_segs``."""
-    names = [c.split()[0] for c in PARSED.split(", ")]
+def parsed(files: DataFrame, keep: str | None = None) -> DataFrame:
+    """A row for each markdown file of ``bundle, rel_path, content``, with ``path_segs`` and, for concepts, ``id`` and ``id_segs``;
+    ``keep`` (a name and a type) is a further column that stays."""
+    kept = keep.split()[0] if keep else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                rows = [parse_file(b, p, c) for b, p, c in zip(part["bundle"], part["rel_path"], part["content"], strict=True)]
-                frame = pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)
-                frame["yaml_line"] = frame["yaml_line"].astype("Int32")
-                yield frame
-
-    rows = files.where(F.element_at(F.split("rel_path", "/"), -1).rlike(r"(?s).\.md\z")).select("bundle", "rel_path", "content").mapInPandas(run, PARSED)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = [parse_file(*r) for r in zip(*(part.column(c).to_pylist() for c in ("bundle", "rel_path", "content")), strict=True)]
+                for r in rows:
+                    r["node"] = list(r["node"].items())
+                made = pa.RecordBatch.from_pylist(rows, schema=_BATCH)
+                yield pa.RecordBatch.from_arrays([*made.columns, part.column(kept)], names=[*_BATCH.names, kept]) if kept else made
+
+    rows = files.where(F.element_at(F.split("rel_path", "/"), -1).rlike(r"(?s).\.md\z")).select("bundle", "rel_path", "content", *([kept] if kept else [])).mapInArrow(run, PARSED + (f", {keep}" if keep else ""))
     segs = F.split("rel_path", "/")
     rows = rows.withColumn("path_segs", segs)
     own = valid_id(F.transform(segs, lambda s, i: F.when(i == F.size(segs) - 1, F.regexp_replace(s, r"\.md$", "")).otherwise(s)))
