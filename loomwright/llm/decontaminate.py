@@ -38,6 +38,8 @@ SAMPLED = 2
 #: Bits of the bitmap at most (64 MB), and bits for each pair below that.
 FILTER_BITS, PAIR_BITS = 1 << 29, 32
 _BLOCK_BITS = 1 << 16
+#: Regions of a task that writes keys or checks pairs, and such tasks at most.
+TASK_REGIONS, MOST_TASKS = 4000, 1 << 15
 #: Words of an item from which it is searched for. Items of one word are found exactly too, if asked for: they are in
 #: so many texts that a search for them says little.
 MIN_WORDS = 2
@@ -190,11 +192,16 @@ def regions_in(texts: list[str | None], classes: list[SizeClass], bitmap: np.nda
                 yield t, c, low - int(first[t]), codes[low:high], starts[run] - low
 
 
-def window_keys(codes: np.ndarray, starts: np.ndarray, c: SizeClass) -> Iterator[np.ndarray]:
-    """For each repetition, the keys of the windows that start at ``starts``; a window may reach beyond the codes."""
-    room = np.concatenate((codes, np.zeros(c.size, dtype=np.uint64)))
+def window_keys(codes: list[np.ndarray], starts: list[np.ndarray], c: SizeClass) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each repetition: the keys of the windows that start at ``starts`` in each of many code sequences, which of
+    the sequences they are in, and the starts. A window may reach beyond its sequence."""
+    room = np.zeros(c.size, dtype=np.uint64)
+    whole = np.concatenate([x for own in codes for x in (own, room)]) if codes else room
+    first = np.cumsum([0] + [len(x) + c.size for x in codes])[:-1]
+    owner = np.repeat(np.arange(len(codes)), [len(x) for x in starts])
+    at = np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)
     for r in range(c.repetitions):
-        yield mix64(walk_keys(room, starts, c.size, r) ^ np.uint64(c.size << 32 | r))
+        yield mix64(walk_keys(whole, at + first[owner], c.size, r) ^ np.uint64(c.size << 32 | r)), owner, at
 
 
 def best_in(codes: np.ndarray, starts: np.ndarray, item: np.ndarray) -> tuple[int, int] | None:
@@ -230,12 +237,12 @@ def find_in(texts: list[str | None], items: list[np.ndarray], classes: list[Size
     table: dict[int, list[int]] = {}
     for k, x, c in own:
         flags[filter_places(x, c.size, bits)] = 1
-        for keys in window_keys(x, np.zeros(1, dtype=np.int64), c):
+        for keys, _, _ in window_keys([x], [np.zeros(1, dtype=np.int64)], c):
             table.setdefault(int(keys[0]), []).append(k)
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for t, c, offset, codes, starts in regions_in(texts, classes, np.packbits(flags, bitorder="little")):
         met: dict[int, set[int]] = {}
-        for keys in window_keys(codes, starts, c):
+        for keys, _, _ in window_keys([codes], [starts], c):
             for start, key in zip(starts.tolist(), keys.tolist(), strict=True):
                 for k in table.get(key, ()):
                     met.setdefault(k, set()).add(start)
@@ -314,16 +321,21 @@ def _found(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield _arrow([(*ids[t], c.size, at, codes.view(np.int64), starts) for t, c, at, codes, starts in regions_in(b.column("text").to_pylist(), classes, shared.value)], _REGION)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for rid, size, codes, starts in zip(b.column("rid").to_pylist(), b.column("size").to_pylist(), _codes(b.column("codes")), b.column("starts").to_pylist(), strict=True):
-                at = np.array(starts, dtype=np.int64)
-                for keys in window_keys(codes, at, of[size]):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(at), rid)), pa.array(at)], names=["key", "rid", "start"])
+        for b in _small(batches, 2048):
+            sizes, every, starts, rid = b.column("size").to_numpy(), _codes(b.column("codes")), b.column("starts"), b.column("rid").to_numpy()
+            for size in np.unique(sizes):
+                own = np.flatnonzero(sizes == size)
+                at = [starts[int(i)].values.to_numpy().astype(np.int64) for i in own]
+                for keys, owner, start in window_keys([every[i] for i in own], at, of[int(size)]):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(rid[own][owner]), pa.array(start)], names=["key", "rid", "start"])
 
     def item_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(b.column("iid").to_pylist(), b.column("size").to_pylist(), _codes(b.column("codes")), strict=True)
-            yield _arrow([(int(k.view(np.int64)[0]), iid) for iid, size, codes in rows for k in window_keys(codes, np.zeros(1, np.int64), of[size])], "key long, iid long")
+            sizes, every, iid = b.column("size").to_numpy(), _codes(b.column("codes")), b.column("iid").to_numpy()
+            for size in np.unique(sizes):
+                own = np.flatnonzero(sizes == size)
+                for keys, _, _ in window_keys([every[i] for i in own], [np.zeros(1, np.int64)] * len(own), of[int(size)]):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(iid[own])], names=["key", "iid"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -332,7 +344,9 @@ def _found(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
     regions = cut_lineage(texts.mapInArrow(search, _REGION).withColumn("rid", F.xxhash64("size", "codes", "starts")))
-    one = regions.select("rid", "size", "codes", "starts").dropDuplicates(["rid"])
+    # few bytes make much work: tasks follow the number of regions
+    tasks = max(1, min(MOST_TASKS, regions.count() // TASK_REGIONS))
+    one = regions.select("rid", "size", "codes", "starts").dropDuplicates(["rid"]).repartition(tasks, "rid")
     keys = distinct.select("iid", "size", "codes").mapInArrow(item_keys, "key long, iid long").distinct()
     met = one.mapInArrow(keyed, "key long, rid long, start long").join(keys, "key").groupBy("rid", "iid").agg(F.sort_array(F.collect_set("start")).alias("at"))
     pairs = met.join(one.select("rid", "codes"), "rid").join(distinct.select("iid", F.col("codes").alias("item")), "iid")
