@@ -57,6 +57,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
 
 
+def smallest_hashes(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """The ``limit`` rows with the smallest hash of ``key``. Of many rows, those with hashes too large to be among them are
+    left out before they are sorted, so that the last sort is of little more than ``limit`` rows."""
+    count = rows.count()
+    if count > 4 * limit:
+        rows = rows.where(F.xxhash64(key) <= int(2**64 * (limit + 10 * limit**0.5 + 100) / count) - 2**63)
+    return rows.orderBy(F.xxhash64(key), key).limit(limit)
+
+
 def text_keys(docs: DataFrame) -> DataFrame:
     """``doc_id, text, t1, t2``: each row with 128 bits of hashes of its text."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("t1"), F.xxhash64(F.lit(1), docs["text"]).alias("t2"))

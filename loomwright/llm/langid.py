@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values
+from .common import byte_values, smallest_hashes
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, limit: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     mod 3 is not 1. The tasks add up their documents' vectors; the driver gets a few vectors a task.
     """
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    some = own.select(F.col("doc_id").alias("chosen")).orderBy(F.xxhash64("chosen"), "chosen").limit(limit).distinct()
+    some = smallest_hashes(own.select(F.col("doc_id").alias("chosen")), "chosen", limit).distinct()
     sample = own.select("doc_id", "text", "lang").join(F.broadcast(some), F.col("doc_id") == F.col("chosen"), "left_semi")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

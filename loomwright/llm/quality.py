@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values
+from .common import byte_values, smallest_hashes
 
 #: Labelled rows that a fit uses at most: those with the smallest hash of doc_id.
 FIT_ROWS = 20_000
@@ -155,7 +155,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int =
     labels that join are at most ``limit`` rows of two numbers, so they are broadcast; only the sample is shuffled.
     """
     some = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    some = smallest_hashes(some, "doc_id", limit)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
     return rows.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("r")).select("doc_id", "r.*")
 
