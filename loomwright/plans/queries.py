@@ -138,7 +138,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "x4_link_diff": _diff(lambda d: d.select("section", "id", F.col("key").alias("to")), *diff.SECTIONS[-4:]),
     "a14_diff_size": _diff(lambda d: diff.size(d)),
     "stream_log_entries": lambda spark, sf_dir: snapshots.log_table(spark, corpus_files(spark, sf_dir)).groupBy("date_text").agg(F.count("*").alias("n")),
-    "stream_concept_types": lambda spark, sf_dir: snapshots.type_table(spark, corpus_files(spark, sf_dir)).select("type", "n"),
+    "stream_concept_types": lambda spark, sf_dir: snapshots.type_table(spark, corpus_files(spark, sf_dir).where("rel_path not rlike '(^|/)(index|log)[.]md$'")).select("type", "n"),
     "s2_tree_load": lambda spark, sf_dir: written_tree(forms.forms_files(spark, sf_dir)).select("rel_path", F.decode("content", "utf-8").alias("content")),
     "c2_link_forms": _form(lambda b: b.links.select(F.col("src_id").alias("id"), _long("seq").alias("seq"), "text", "raw", F.col("target_id").alias("target"), "exists")),
     "p16_value_forms": _form(lambda b: b.concepts.where(r"id rlike '^v(9|1[0-5])/'").select("id", F.coalesce("title", F.lit("-")).alias("title"), F.coalesce("description", F.lit("-")).alias("description"), F.array_join("tags", "|").alias("tags"))),

@@ -23,8 +23,9 @@ def file_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFra
 
 
 def concept_types(stream: DataFrame, late: str = "1 hour", window: str = "10 minutes") -> DataFrame:
-    """How many documents of each type arrived in each window; rows later than ``late`` no longer count."""
-    rows = parsed(stream.withWatermark("arrived", late), keep="arrived timestamp").where("role = 'concept' and error is null")
+    """How many markdown files of each type arrived in each window, ``(none)`` without one; rows later than ``late`` no
+    longer count."""
+    rows = parsed(stream.withWatermark("arrived", late), keep="arrived timestamp")
     kind = trimmed(F.try_element_at("node", F.lit("type"))["text"])
     return rows.groupBy(F.window("arrived", window), F.coalesce(F.nullif(kind, F.lit("")), F.lit("(none)")).alias("type")).agg(F.count("*").alias("n"))
 
