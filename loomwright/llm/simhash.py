@@ -129,13 +129,15 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
         raise ValueError("the radius must be even: both sides flip half of it")
     half = radius // 2
     bits = min(44, max(4, round(math.log2(max(1, count) / 800))))
-    usual = max(4096, 6 * count >> bits)
-    # Leading parts that many fingerprints share: at most count / usual rows, and a hint for speed only.
-    hot_rows = distinct.groupBy(F.shiftrightunsigned("fp", 64 - bits).alias("p")).count().where(F.col("count") > usual).orderBy(F.desc("count")).limit(1024).collect()
-    hot = np.sort(np.array([r.p for r in hot_rows], dtype=np.uint64))
+    # Leading parts that more fingerprints share are cut further. There are at most 2**20 of them (8 MB), since each has
+    # more than a 2**20th of all rows.
+    usual = max(4096, 6 * count >> bits, count >> 20)
+    parts = distinct.groupBy(F.shiftrightunsigned("fp", 64 - bits).alias("p")).count().where(F.col("count") > usual)
+    shared = distinct.sparkSession.sparkContext.broadcast(np.sort(parts.select("p").toPandas()["p"].to_numpy().astype(np.uint64)))
     deep = min(56, bits + 16)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
         for b in batches:
             fp = b.column("fp").to_numpy().view(np.uint64)
             node = b.column("node").to_numpy()
