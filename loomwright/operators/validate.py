@@ -11,6 +11,7 @@ from ..functions.columns import STEP, blank, field_paths, portable, quoted, reso
 from . import logs
 from .concepts import CONTRACT_TYPE, KNOWN_STATUS, entries, filled, kind, node, path_fields, text
 
+# The wording of messages, here and in the health rules, is a fixed value: users and tests match on it.
 FORMAT_VERSION, READABLE_VERSIONS = "0.2", ("0.1", "0.2")
 REPORT = ("bundle", "phase", "path_segs", "rule", "item", "sub", "severity", "code", "path", "concept", "message")
 _FINDING = "struct<rule:int,item:int,sub:int,severity:string,code:string,message:string>"
@@ -210,9 +211,11 @@ def in_order(found: DataFrame) -> DataFrame:
     return found.orderBy("bundle", "phase", "path_segs", "rule", "item", "sub")
 
 
-def totals(found: DataFrame) -> DataFrame:
-    """``bundle, errors, warnings, infos, conformant``; a bundle without findings has no row."""
+def totals(found: DataFrame, bundles: DataFrame | None = None) -> DataFrame:
+    """``bundle, errors, warnings, infos, conformant``. With ``bundles`` (``bundle``) each of those has a row, one without findings
+    too, which is conformant; else only bundles with findings have one."""
     count = lambda s: F.count_if(F.col("severity") == s)
-    return found.groupBy("bundle").agg(count("error").alias("errors"), count("warning").alias("warnings"), count("info").alias("infos"), F.bool_and(F.col("severity") != "error").alias("conformant"))
-
-
+    rows = found.select("bundle", "severity")
+    if bundles is not None:
+        rows = rows.unionByName(bundles.select("bundle", F.lit("none").alias("severity")).distinct())
+    return rows.groupBy("bundle").agg(count("error").alias("errors"), count("warning").alias("warnings"), count("info").alias("infos"), F.bool_and(F.col("severity") != "error").alias("conformant"))

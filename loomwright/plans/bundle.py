@@ -138,6 +138,10 @@ class Bundle:
     def validate(self, today: str | None = None) -> DataFrame:
         return validate.report(self.rows, self.concepts, self.files, self.links, today)
 
+    def totals(self, today: str | None = None) -> DataFrame:
+        """Findings by severity and whether a bundle conforms, a row for each bundle."""
+        return validate.totals(self.validate(today), self.rows.select("bundle"))
+
     def lint(self, today: str | None = None) -> DataFrame:
         return lint.report(self.rows, self.concepts, self.links, today)
 

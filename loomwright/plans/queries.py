@@ -101,6 +101,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "f1_concepts_of_type": _query(lambda b: b.of_type("Metric").select("id")),
     "f3_stale_on": _query(lambda b: b.stale_on(TODAY).select("id")),
     "f4_broken_links": _query(lambda b: b.broken_links().select("src_id", "raw")),
+    "f5_totals": _query(lambda b: b.totals(TODAY).select("errors", "warnings", "infos", "conformant")),
     "c1_link_kinds": _query(lambda b: graph.raw_links(b.concepts).groupBy("kind").agg(F.count("*").alias("n"))),
     "j1_resolve_links": _query(lambda b: b.links.select("src_id", _long("seq").alias("seq"), "target_id", "exists", "raw")),
     "j2_derivations": _query(lambda b: graph.derivations(b.sources).select("src_id", "concept_id")),
@@ -337,4 +338,7 @@ _ORACLES: dict[str, str] = {
 
 def oracle_sql() -> dict[str, str]:
     extra = {"k9_graph_mermaid": f", nodes AS ({_NODES}), ordered AS (SELECT id, row_number() OVER (ORDER BY 'd' || (n % 10), 'doc_' || n || '.md') AS seq FROM a)"}
-    return {k: _PRELUDE + extra.get(k, "") + "\n" + v for k, v in _ORACLES.items()} | _FORM_ORACLES
+    severity = "sum(n) FILTER (severity = '{}')"
+    sums = ", ".join(f"coalesce({severity.format(s)}, 0)::BIGINT AS {s}s" for s in ("error", "warning", "info"))
+    totals = f"SELECT {sums}, {severity.format('error')} IS NULL AS conformant FROM ({_ORACLES['a8_validate_codes']})"
+    return {"f5_totals": _PRELUDE + totals} | {k: _PRELUDE + extra.get(k, "") + "\n" + v for k, v in _ORACLES.items()} | _FORM_ORACLES

@@ -117,3 +117,10 @@ def test_without_a_date_nothing_is_stale(spark):
     assert bundle.validate().count() == 0
     assert bundle.lint().where("code = 'L11'").count() == 0
     bundle.release()
+
+
+def test_totals_of_bundles_without_findings(spark):
+    found = spark.createDataFrame([("a", "error"), ("a", "info"), ("b", "warning")], "bundle string, severity string")
+    bundles = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "bundle string")
+    assert {tuple(r) for r in validate.totals(found, bundles).collect()} == {("a", 1, 0, 1, False), ("b", 0, 1, 0, True), ("c", 0, 0, 0, True)}
+    assert validate.totals(found).count() == 2
