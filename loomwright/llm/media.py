@@ -30,7 +30,7 @@ SCALES = (1.0, 0.75, 0.5625)
 RADIUS = 15
 TESTS = 192
 #: Differing bits at most, corners that must agree at least, and pixels of tolerance.
-MOST_BITS, LEAST_CORNERS, TOLERANCE = 8, 3, 3
+MOST_BITS, LEAST_CORNERS, TOLERANCE = 6, 3, 3
 #: Share of the descriptor pairs at MOST_BITS that meet; a picture has many corners, so more of the pictures do.
 RECALL = 0.9
 #: A corner is the strongest within so many pixels.
@@ -154,7 +154,7 @@ def unpacked_places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def tables_for(count: int) -> tuple[int, int]:
     """(bits of a key, number of tables): keys grow with the number of descriptors, so that strangers seldom meet."""
-    bits = min(64, max(20, math.ceil(math.log2(max(2, count))) + 9))
+    bits = min(64, max(20, math.ceil(math.log2(max(2, count))) + 15))
     meets = math.prod((TESTS - MOST_BITS - i) / (TESTS - i) for i in range(bits))
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - meets))
 

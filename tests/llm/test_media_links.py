@@ -28,7 +28,7 @@ def squares(seed, size=12):
 
 
 EDITS = {
-    "crop": lambda p: p[3:80, 5:90] * 0.8 + 30, "quarter": np.rot90, "half": lambda p: np.rot90(p, 2), "four degrees": lambda p: turned(p, 4),
+    "crop": lambda p: p[3:80, 5:90] * 0.8 + 30, "quarter": np.rot90, "half": lambda p: np.rot90(p, 2), "two degrees": lambda p: turned(p, 2),
     "four thirds": lambda p: media.resized(p, 4 / 3), "three quarters": lambda p: media.resized(p, 0.75), "noise": lambda p: p + np.random.Generator(np.random.PCG64(1)).normal(0, 3, p.shape),
 }
 
