@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, mix64
+from .common import cut_lineage, mix64, written
 from .hashing import words_of
 
 #: Edits allowed, as a share of an item's words (a similarity of 0.8), and the recall aimed at there.
@@ -378,8 +378,9 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the rows that hold an item, which their texts alone decide; all columns stay, and so do rows
-    without text. Texts are told apart by 128 bits of hashes."""
+    without text. Texts are told apart by 128 bits of hashes. Those of bad texts are written out, so that Spark knows their
+    size and sends them to the documents where they are few."""
     bare = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
     regions, verified = _found(bare, _items(benchmark, min_words))
-    bad = cut_lineage(regions.join(verified, "rid").select(F.col("t1").alias("_bad1"), F.col("t2").alias("_bad2")).distinct())
+    bad = written(regions.join(verified, "rid").select(F.col("t1").alias("_bad1"), F.col("t2").alias("_bad2")).distinct())
     return docs.join(bad, (F.xxhash64(docs["text"]) == bad["_bad1"]) & (F.xxhash64(F.lit(1), docs["text"]) == bad["_bad2"]), "left_anti")
