@@ -211,7 +211,12 @@ def links(distinct: DataFrame, similarity: float, bits: int, tables: int) -> Dat
         value, *check = (group[c].to_numpy()[order].view(np.uint64) for c in ("value", *checks))
 
         def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return sum(np.bitwise_count(c[a] ^ c[b]).astype(int) for c in check) <= most
+            differ = np.zeros(len(a), dtype=np.int16)
+            at = np.arange(len(a))
+            for c in check:  # most pairs are told apart by the first words
+                differ[at] += np.bitwise_count(c[a[at]] ^ c[b[at]])
+                at = at[differ[at] <= most]
+            return differ <= most
 
         # neighbours first, which ties true groups in linear time; then every other pair that meets
         a, b = meet(value, left, lead, bits)
