@@ -30,9 +30,9 @@ from .common import byte_values
 from .hashing import Words, words_of
 
 WINDOW = 35
-#: Bytes of text in a block and in a task, and bytes of text for each range of codes.
+#: Bytes of text in a block, tasks at most (each has a block or few), and bytes of text for each range of codes.
 BLOCK_BYTES = 4 << 20
-TASK_BYTES = 16 << 20
+MOST_TASKS = 1 << 17
 RANGE_BYTES = 8 << 20
 # Perfect difference sets by their period (fixed values).
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 6, 8, 18), 31: (1, 5, 11, 24, 25, 27)}
@@ -121,9 +121,10 @@ def _digest(words: list[bytes], mask: np.ndarray) -> tuple:
 
 def _passes(docs: DataFrame, window: int, finish, schema: str) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text").cast("decimal(38,0)"))).first()[0] or 0
-    blocks, ranges = max(64, int(size) // BLOCK_BYTES), max(16, int(size) // RANGE_BYTES)
-    # tasks have as many bytes at every size; rows that are equal go to as many blocks as they come from partitions
-    tasks = max(1, min(blocks, int(size) // TASK_BYTES))
+    blocks, ranges = max(8, int(size) // BLOCK_BYTES), max(16, int(size) // RANGE_BYTES)
+    # tasks have as many bytes at every size that MOST_TASKS can serve, and always work a block at a time; rows that are
+    # equal go to as many blocks as they come from partitions
+    tasks = min(blocks, MOST_TASKS)
     texts = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).alias("block")).repartition(tasks, "block")
     period, _, length = cover_for(window)
 
