@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, importance, langid, media, mixing, quality, secrets, simhash, substring, toxicity
+from . import alignment, bpe, decontaminate, html_text, importance, langid, media, mixing, quality, secrets, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document, scored by their counts in all documents."""
+    return alignment.align(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How every document is encoded by a vocabulary with word ends, and what that decodes to."""
     return bpe.digests(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
@@ -85,7 +90,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_simhash_near_dedup, op4_language_id, op5_mixing, op6_html_extraction, op7_secret_scan, op8_media_copies, op9_decontamination, op10_quality, op12_bpe, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_simhash_near_dedup, op4_language_id, op5_mixing, op6_html_extraction, op7_secret_scan, op8_media_copies, op9_decontamination, op10_quality, op11_tokenizer_alignment, op12_bpe, op13_importance_resampling)}
 
 
 #: op2 in DuckDB: every window of 35 words as text, counted; the words that repeated windows cover are left out.
