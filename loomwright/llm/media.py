@@ -2,7 +2,7 @@
 
 Corners are found at several scales; each gets the direction of its patch's centre of mass and a row of
 binary tests (which of two points is brighter) turned by that direction. Descriptors meet in tables: the key of
-a table is a seeded sample of the test bits, and so many tables are taken that two descriptors at MOST_BITS
+a table is a seeded sample of the test bits, and so many tables are taken that two descriptors at MEET_BITS
 differing bits share one with the stated recall. Those that meet are compared on all bits. Two pictures are
 copies when several of their matching corners agree on one turn, scale and shift.
 
@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, cut_lineage, mix64, written
 
-SCALES = (1.0, 0.75, 0.5625)
+#: Steps so close that a copy at a size between two of them still meets one of its own.
+SCALES = (1.0, 0.87, 0.75, 0.65, 0.5625)
 RADIUS = 15
 TESTS = 192
 #: Differing bits at most, corners that must agree at least, and pixels of tolerance.
-MOST_BITS, LEAST_CORNERS, TOLERANCE = 6, 3, 3
-#: Share of the descriptor pairs at MOST_BITS that meet; a picture has many corners, so more of the pictures do.
-RECALL = 0.9
+MOST_BITS, LEAST_CORNERS, TOLERANCE = 24, 3, 3
+#: Share of the descriptor pairs at MEET_BITS that meet in a table. Farther ones up to MOST_BITS count wherever they meet; three of a
+#: picture's many corners are enough.
+RECALL, MEET_BITS = 0.9, 12
 #: A corner is the strongest within so many pixels.
 PEAK = 3
 #: Members of an entry from which centres come first, and members of a tile.
@@ -154,8 +156,8 @@ def unpacked_places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def tables_for(count: int) -> tuple[int, int]:
     """(bits of a key, number of tables): keys grow with the number of descriptors, so that strangers seldom meet."""
-    bits = min(64, max(20, math.ceil(math.log2(max(2, count))) + 15))
-    meets = math.prod((TESTS - MOST_BITS - i) / (TESTS - i) for i in range(bits))
+    bits = min(64, max(20, math.ceil(math.log2(max(2, count))) + 9))
+    meets = math.prod((TESTS - MEET_BITS - i) / (TESTS - i) for i in range(bits))
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - meets))
 
 
@@ -169,15 +171,31 @@ def table_masks(bits: int, tables: int) -> np.ndarray:
 
 
 def agree(at_a: np.ndarray, at_b: np.ndarray) -> bool:
-    """Whether LEAST_CORNERS matches or more, of as many places in both pictures, agree on one turn, scale and shift."""
+    """Whether LEAST_CORNERS matches or more, of as many places in both pictures, agree on one turn, scale and shift.
+
+    Matches vote on (turn, scale) first; every match whose cell and its neighbours hold enough of them is tried, those of
+    the fullest cells before others."""
     za, sa, da = unpacked_places(at_a)
     zb, sb, db = unpacked_places(at_b)
     turn, ratio = np.exp(1j * (da - db)), sb / sa
-    for i in np.unique(np.linspace(0, len(za) - 1, min(len(za), 64)).astype(int)):
+    cell = np.floor(np.mod(da - db, 2 * np.pi) / (2 * np.pi / 12)).astype(int) % 12
+    _, size = np.unique(np.rint(np.log(ratio) * 100), return_inverse=True)
+    held = np.zeros((size.max(initial=0) + 1, 12), dtype=int)
+    np.add.at(held, (size, cell), 1)
+    votes = (held + np.roll(held, 1, axis=1) + np.roll(held, -1, axis=1))[size, cell]
+    for i in np.argsort(-votes, kind="stable")[: int((votes >= LEAST_CORNERS).sum())]:
         step = turn[i] * ratio[i]
-        # a match alone knows its turn to some degrees; the fit over those it draws in knows more
+        # a match alone knows its turn to some degrees; together with another, which it draws in, it knows more
         near = np.abs(za - za[i] - step * (zb - zb[i])) <= TOLERANCE + 0.15 * np.abs(za - za[i])
         near &= (np.abs(turn / turn[i] - 1) < 0.4) & (np.abs(ratio / ratio[i] - 1) < 0.01)
+        drawn = np.flatnonzero(near)
+        from_a, from_b = za[drawn] - za[i], zb[drawn] - zb[i]
+        best = np.zeros(0, dtype=int)
+        for k in np.array_split(np.flatnonzero(np.abs(from_b) >= TOLERANCE), 1 + len(drawn) // 256):
+            fits = np.abs(from_a - (from_a[k] / from_b[k])[:, None] * from_b) <= TOLERANCE
+            if len(k) and fits.sum(axis=1).max() > len(best):
+                best = drawn[fits[fits.sum(axis=1).argmax()]]
+        near = np.isin(np.arange(len(za)), best)
         for _ in range(2):
             if near.sum() < LEAST_CORNERS:
                 break

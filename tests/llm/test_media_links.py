@@ -28,7 +28,8 @@ def squares(seed, size=12):
 
 
 EDITS = {
-    "crop": lambda p: p[3:80, 5:90] * 0.8 + 30, "quarter": np.rot90, "half": lambda p: np.rot90(p, 2), "two degrees": lambda p: turned(p, 2),
+    "crop": lambda p: p[3:80, 5:90] * 0.8 + 30, "quarter": np.rot90, "half": lambda p: np.rot90(p, 2), "two degrees": lambda p: turned(p, 2), "four degrees": lambda p: turned(p, 4), "eight degrees": lambda p: turned(p, 8),
+    "nine tenths": lambda p: media.resized(p, 0.9), "larger": lambda p: media.resized(p, 1.15), "smaller": lambda p: media.resized(p, 0.85), "blurred twice": lambda p: media._box(media._box(p, 1), 1),
     "four thirds": lambda p: media.resized(p, 4 / 3), "three quarters": lambda p: media.resized(p, 0.75), "noise": lambda p: p + np.random.Generator(np.random.PCG64(1)).normal(0, 3, p.shape),
 }
 
@@ -37,7 +38,7 @@ EDITS = {
 def album():
     pictures, origin = [], []
     for k in range(36):
-        for edit in [lambda p: p, *(EDITS[e] for e in list(EDITS)[k % 7 :: 3])]:
+        for edit in [lambda p: p, *(EDITS[e] for e in list(EDITS)[k % 13 :: 5])]:
             pictures.append(media.write_pgm(np.asarray(edit(squares(k).astype(np.float32)))))
             origin.append(k)
     return pictures, origin
@@ -76,7 +77,7 @@ def test_descriptors_meet_at_every_distance(spark, crowd, monkeypatch):
     rng = np.random.Generator(np.random.PCG64(crowd))
     monkeypatch.setattr(media, "TILE", 16)
     rows, pairs = [], {}
-    for distance in range(media.MOST_BITS + 1):
+    for distance in range(media.MEET_BITS + 1):
         for _ in range(60):
             base = rng.integers(0, 2, media.TESTS, dtype=np.uint8)
             other = base.copy()
@@ -111,6 +112,18 @@ def test_an_entry_of_many_loses_no_link(spark, monkeypatch):
     assert {r.media_id: r.class_id for r in media.copies(table).collect()} == whole == {i: i // 22 * 22 for i in range(66)}
 
 
+def test_few_true_matches_among_many():
+    """Three matches that agree are found among thousands that do not."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    random = lambda n: np.column_stack((rng.uniform(0, 4000, n), rng.uniform(0, 4000, n), rng.integers(0, len(media.SCALES), n), rng.uniform(0, 2 * np.pi, n)))
+    one, two = random(2000), random(2000)
+    assert not media.agree(media.packed_places(one[:40]), media.packed_places(two[:40]))
+    true = np.array([[100.0, 200.0, 0, 0.3], [400.0, 90.0, 0, 1.3], [250.0, 700.0, 0, 2.3]])
+    order = rng.permutation(2003)
+    a, b = np.concatenate((one, true))[order], np.concatenate((two, true + [30, -20, 0, 0]))[order]
+    assert media.agree(media.packed_places(a), media.packed_places(b))
+
+
 def test_headers_of_pictures():
     pixels = np.arange(6, dtype=np.uint8).reshape(2, 3)
     assert (media.read_pgm(b"P5 3 2 255\n" + pixels.tobytes()) == pixels).all()
