@@ -11,8 +11,10 @@ Codes that repeat return to their blocks, where every window around such an anch
 candidates' own codes take the same way, which extends each shared anchor to the windows that really
 repeat. The texts are shuffled once; Spark reuses that exchange for the three passes.
 
-Codes have 64 bits: among n candidate windows about n * n / 2**65 pairs of different windows are
-expected to be taken for equal.
+Words have codes of 128 bits (XXH3), and so have candidate windows, put together from their words' codes without a relation that
+sequences of few words could use; 64 bits of them deal codes out, and only windows equal in all 128 count. Anchors
+have 64 bits: a wrong one costs a needless candidate, never a word. Among n candidates about n * n / 2**129 pairs of
+different windows are expected to be taken for equal.
 """
 
 from __future__ import annotations
@@ -30,15 +32,18 @@ from .common import byte_values
 from .hashing import Words, words_of
 
 WINDOW = 35
-#: Bytes of text in a block, tasks at most (each has a block or few), and bytes of text for each range of codes.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a block, tasks at most (each has a block or few), and bytes of text for each range of codes. Both grow with the
+#: root of the input beyond ROOT_BYTES, up to the second figure, so that a block has several codes of a range at any size.
+BLOCK_BYTES, MOST_BLOCK_BYTES = 4 << 20, 32 << 20
 MOST_TASKS = 1 << 17
-RANGE_BYTES = 8 << 20
+RANGE_BYTES, MOST_RANGE_BYTES = 8 << 20, 256 << 20
+ROOT_BYTES = 50 << 30
 # Perfect difference sets by their period (fixed values).
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 6, 8, 18), 31: (1, 5, 11, 24, 25, 27)}
 
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _SENT = "part long, block long, once array<long>, more array<long>"
+_CHECKED = _SENT + ", once_check array<long>, more_check array<long>"
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -57,17 +62,42 @@ def anchors(words: Words, window: int) -> np.ndarray:
     return np.flatnonzero(np.isin(within, cover) & words.fits(length))
 
 
-def _packed(codes: np.ndarray, block: int, ranges: int) -> pa.Table:
-    """One row for each range that the block has codes of: those that it has once, and those that it has more often.
-    The work follows the codes, not the number of ranges."""
-    codes, count = np.unique(codes, return_counts=True)
+def cuts_for(size: int) -> tuple[int, int]:
+    """(blocks, ranges of codes) for so many bytes of text."""
+    grown = max(1.0, (size / ROOT_BYTES) ** 0.5)
+    return max(8, int(size / min(MOST_BLOCK_BYTES, BLOCK_BYTES * grown))), max(16, int(size / min(MOST_RANGE_BYTES, RANGE_BYTES * grown)))
+
+
+def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def _runs(code: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(order by code and check, whether a new code begins at each place of that order)."""
+    order = np.argsort(code, kind="stable") if check is None else np.lexsort((check, code))
+    code = code[order]
+    new = np.concatenate(([True], code[1:] != code[:-1])) if len(code) else np.zeros(0, bool)
+    if check is not None and len(code):
+        check = check[order]
+        new[1:] |= check[1:] != check[:-1]
+    return order, new
+
+
+def _packed(codes: np.ndarray, block: int, ranges: int, check: np.ndarray | None = None) -> pa.Table:
+    """One row for each range that the block has codes of: those that it has once, and those that it has more often, with
+    their further 64 bits if given. The work follows the codes, not the number of ranges."""
+    order, new = _runs(codes, check)
+    count = np.diff(np.append(np.flatnonzero(new), len(new)))
+    codes, check = codes[order][new], None if check is None else check[order][new]
     part = ((codes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
     parts = part[np.diff(part, prepend=-1) > 0]
-    columns = []
-    for own in (count == 1, count > 1):
-        cuts = np.append(np.searchsorted(part[own], parts), own.sum()).astype(np.int32)
-        columns.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(codes[own].view(np.int64))))
-    return pa.table({"part": pa.array(parts), "block": pa.array(np.full(len(parts), block)), "once": columns[0], "more": columns[1]})
+    columns = {"part": pa.array(parts), "block": pa.array(np.full(len(parts), block))}
+    for name, own in (("once", count == 1), ("more", count > 1)):
+        cuts = np.append(np.searchsorted(part[own], parts), own.sum())
+        columns[name] = _lists(codes[own], cuts)
+        if check is not None:
+            columns[f"{name}_check"] = _lists(check[own], cuts)
+    return pa.table(columns).select([n for n in ("part", "block", "once", "more", "once_check", "more_check") if n in columns])
 
 
 def _flat(column: pa.ChunkedArray) -> np.ndarray:
@@ -76,26 +106,34 @@ def _flat(column: pa.ChunkedArray) -> np.ndarray:
 
 def _repeated(group: pa.Table) -> pa.Table:
     """Of one range of codes: to each block its codes that are elsewhere too, or that it has more than once."""
-    rows, lengths, codes = [], [], []
-    for name in ("once", "more"):
-        flat = _flat(group[name])
-        n = np.diff(np.concatenate(([0], np.cumsum([len(x) if x is not None else 0 for x in group[name]]))))
-        codes.append(flat)
-        rows.append(np.repeat(np.arange(len(group)), n))
-        lengths.append(len(flat))
-    code, row = np.concatenate(codes), np.concatenate(rows)
-    twice = np.arange(len(code)) >= lengths[0]
-    order = np.argsort(code, kind="stable")
-    code, row, twice = code[order], row[order], twice[order]
-    if not len(code):
-        return pa.table({"block": pa.array([], pa.int64()), "codes": pa.array([], pa.list_(pa.int64()))})
-    new = np.concatenate(([True], code[1:] != code[:-1]))
+    checked = "once_check" in group.column_names
+    lengths = [np.array(group[name].combine_chunks().value_lengths(), dtype=np.int64) for name in ("once", "more")]
+    code = np.concatenate([_flat(group[name]) for name in ("once", "more")])
+    check = np.concatenate([_flat(group[f"{name}_check"]) for name in ("once", "more")]) if checked else None
+    row = np.concatenate([np.repeat(np.arange(len(group)), n) for n in lengths])
+    twice = np.arange(len(code)) >= lengths[0].sum()
+    order, new = _runs(code, check)
+    run = np.cumsum(new) - 1
+    keep = ((np.bincount(run) > 1) | (np.bincount(run, twice[order]) > 0))[run] if len(run) else new
+    order = order[keep]
+    order = order[np.argsort(row[order], kind="stable")]
+    cuts = np.searchsorted(row[order], np.arange(len(group) + 1))
+    columns = {"block": group["block"], "codes": _lists(code[order], cuts)} | ({"checks": _lists(check[order], cuts)} if checked else {})
+    return pa.table(columns).filter(pa.array(np.diff(cuts) > 0))
+
+
+def _among(code: np.ndarray, check: np.ndarray, known: np.ndarray, known_check: np.ndarray) -> np.ndarray:
+    """Whether each pair (code, check) is among the known ones."""
+    out = np.isin(code, known)
+    some = np.flatnonzero(out)
+    both = np.concatenate((code[some], known)), np.concatenate((check[some], known_check))
+    order, new = _runs(*both)
     run = np.cumsum(new) - 1
-    keep = ((np.bincount(run) > 1) | (np.bincount(run, twice) > 0))[run]
-    code, row = code[keep], row[keep]
-    order = np.argsort(row, kind="stable")
-    cuts = np.searchsorted(row[order], np.arange(len(group) + 1)).astype(np.int32)
-    return pa.table({"block": group["block"], "codes": pa.ListArray.from_arrays(pa.array(cuts), pa.array(code[order].view(np.int64)))}).filter(pa.array(np.diff(cuts) > 0))
+    is_known = np.bincount(run, order >= len(some)) > 0 if len(run) else new
+    hit = np.zeros(len(order), dtype=bool)
+    hit[order] = is_known[run]
+    out[some] = hit[: len(some)]
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -121,7 +159,7 @@ def _digest(words: list[bytes], mask: np.ndarray) -> tuple:
 
 def _passes(docs: DataFrame, window: int, finish, schema: str) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text").cast("decimal(38,0)"))).first()[0] or 0
-    blocks, ranges = max(8, int(size) // BLOCK_BYTES), max(16, int(size) // RANGE_BYTES)
+    blocks, ranges = cuts_for(int(size))
     # tasks have as many bytes at every size that MOST_TASKS can serve, and always work a block at a time; rows that are
     # equal go to as many blocks as they come from partitions
     tasks = min(blocks, MOST_TASKS)
@@ -143,7 +181,7 @@ def _passes(docs: DataFrame, window: int, finish, schema: str) -> DataFrame:
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
         words = words_of(byte_values(left["text"]))
         starts = candidates(words, _flat(right["codes"]))
-        return _packed(words.windows(window)[starts], left["block"][0].as_py(), ranges)
+        return _packed(words.windows(window)[starts], left["block"][0].as_py(), ranges, words.windows(window, 1)[starts])
 
     def third(left: pa.Table, right: pa.Table) -> pa.Table:
         values = byte_values(left["text"])
@@ -152,7 +190,7 @@ def _passes(docs: DataFrame, window: int, finish, schema: str) -> DataFrame:
         cover = np.zeros(len(words.code) + 1, dtype=np.int64)
         if len(shared):
             starts = np.flatnonzero(words.fits(window))
-            starts = starts[np.isin(words.windows(window)[starts], shared)]
+            starts = starts[_among(words.windows(window)[starts], words.windows(window, 1)[starts], shared, _flat(right["checks"]))]
             np.add.at(cover, starts, 1)
             np.add.at(cover, starts + window, -1)
         keep = np.cumsum(cover)[:-1] == 0
@@ -164,9 +202,10 @@ def _passes(docs: DataFrame, window: int, finish, schema: str) -> DataFrame:
         return pa.Table.from_arrays([left["doc_id"].combine_chunks(), *(pa.array(list(c)) for c in zip(*rows, strict=True))], names=names)
 
     def shared(sent: DataFrame) -> DataFrame:
-        return sent.groupBy("part").applyInArrow(_repeated, "block long, codes array<long>")
+        checks = ", checks array<long>" if "once_check" in sent.columns else ""
+        return sent.groupBy("part").applyInArrow(_repeated, "block long, codes array<long>" + checks)
 
     by_block = texts.groupBy("block")
     found = shared(by_block.applyInArrow(first, _SENT)).repartition(tasks, "block")
-    found = shared(by_block.cogroup(found.groupBy("block")).applyInArrow(second, _SENT)).repartition(tasks, "block")
+    found = shared(by_block.cogroup(found.groupBy("block")).applyInArrow(second, _CHECKED)).repartition(tasks, "block")
     return by_block.cogroup(found.groupBy("block")).applyInArrow(third, schema)

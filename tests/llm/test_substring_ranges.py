@@ -25,3 +25,37 @@ def test_packing_follows_the_codes(ranges):
 
 def test_no_codes():
     assert len(substring._packed(np.zeros(0, dtype=np.uint64), 1, 64)) == 0
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_sums_of_powers_confuse(spark):
+    """The Thue-Morse word and its complement have equal sums of powers modulo any power of two; they are unlike words, and so
+    are windows that such sequences of two words make."""
+    shared = " ".join(f"w{i}" for i in range(34))
+    docs = [(1, f"{shared} {thue_morse(1024)}"), (2, f"{shared} {thue_morse(1024, 'ba')}"), (3, " ".join(thue_morse(32)) + " x y z"), (4, " ".join(thue_morse(32, "ba")) + " x y z"), (5, f"{shared} {thue_morse(1024)} end")]
+    made = {r.doc_id: r.n_removed for r in substring.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert made == {1: 35, 2: 0, 3: 0, 4: 0, 5: 35}
+
+
+def test_windows_equal_in_one_half_are_told_apart():
+    """Windows that agree in their first 64 bits alone do not count as repeated."""
+    code = np.array([5, 5, 5, 9, 9], dtype=np.uint64)
+    check = np.array([1, 2, 1, 4, 3], dtype=np.uint64)
+    sent = [substring._packed(code[[0, 3]], 1, 16, check[[0, 3]]), substring._packed(code[[1, 4]], 2, 16, check[[1, 4]]), substring._packed(code[[2, 2]], 3, 16, check[[2, 2]])]
+    back = substring._repeated(substring.pa.concat_tables(sent)).to_pylist()
+    assert back == [{"block": 1, "codes": [5], "checks": [1]}, {"block": 3, "codes": [5], "checks": [1]}]
+    assert substring._among(code, check, code[[0, 3]], check[[0, 3]]).tolist() == [True, False, True, True, False]
+    none = np.zeros(0, dtype=np.uint64)
+    assert not substring._among(code, check, none, none).any() and not len(substring._among(none, none, code, check))
+
+
+@pytest.mark.parametrize("size", [10**8, 3 * 10**10, 10**12, 10**14, 10**16])
+def test_blocks_have_several_codes_of_a_range_at_any_size(size):
+    blocks, ranges = substring.cuts_for(size)
+    period, cover, _ = substring.cover_for(substring.WINDOW)
+    codes = size / 6 * len(cover) / period  # of anchors, words of six bytes
+    assert codes / blocks / ranges >= (3 if size <= 10**14 else 0) and size / blocks <= 33 << 20
+    assert codes / ranges * 8 <= 128 << 20 or size > 10**14
