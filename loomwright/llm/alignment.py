@@ -241,25 +241,45 @@ def _sent(links: DataFrame, sizes: tuple[int, int]) -> DataFrame:
     return links.select("block", "pairs").mapInArrow(run, "stripe long, block long, pairs array<long>, docs array<long>")
 
 
-def _counted(sent: DataFrame, sizes: tuple[int, int]) -> DataFrame:
-    """``stripe, pairs, counts, best``: of each pair how many documents have it, and whether that is the most of its A id's."""
+def _parted(sent: DataFrame, sizes: tuple[int, int]) -> tuple[DataFrame, int]:
+    """``sent`` with a ``part``, so many that a part of a stripe has about TASK_PAIRS pairs, beside one block's."""
+    pairs = sent.agg(F.sum(F.size("pairs").cast("long"))).first()[0] or 0
+    parts = max(1, -(-pairs // _stripes(sizes) // TASK_PAIRS))
+    return sent.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts))), parts
+
+
+def _counted(sent: DataFrame, parts: int, sizes: tuple[int, int]) -> DataFrame:
+    """``stripe, pairs, counts, best``: of each pair how many documents have it, and whether that is the most of its A id's.
+
+    Where a stripe has several parts, each of them is summed by a task of its own first."""
     stripes = _stripes(sizes)
 
-    def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(stripe: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(pairs, counts, whether best) of the cells of a stripe that are not zero, a slice at a time."""
         dense = np.zeros((-(-sizes[0] // stripes), sizes[1]), dtype=np.int64)
         for b in batches:
             pair = _flat(b.column("pairs"))
             np.add.at(dense, (pair // sizes[1] // stripes, pair % sizes[1]), _flat(b.column("docs")))
         most = dense.max(axis=1)
         row, column = np.nonzero(dense)
-        counts = dense[row, column]
-        pair = (row * stripes + key[0].as_py()) * sizes[1] + column
-        for i in range(0, len(pair), _SLICE_PAIRS):
-            part = slice(i, i + _SLICE_PAIRS)
-            cuts = np.array([0, len(pair[part])])
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), _lists(pair[part], cuts), _lists(counts[part], cuts), _lists(counts[part] == most[row[part]], cuts, pa.bool_())], names=["stripe", "pairs", "counts", "best"])
+        for i in range(0, len(row), _SLICE_PAIRS):
+            r, c = row[i : i + _SLICE_PAIRS], column[i : i + _SLICE_PAIRS]
+            yield (r * stripes + stripe) * sizes[1] + c, dense[r, c], dense[r, c] == most[r]
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair, counts, _ in cells(key[0].as_py(), batches):
+            cuts = np.array([0, len(pair)])
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), _lists(pair, cuts), _lists(counts, cuts)], names=["stripe", "pairs", "docs"])
+
+    def finish(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair, counts, best in cells(key[0].as_py(), batches):
+            cuts = np.array([0, len(pair)])
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), _lists(pair, cuts), _lists(counts, cuts), _lists(best, cuts, pa.bool_())], names=["stripe", "pairs", "counts", "best"])
 
-    return sent.select("stripe", "pairs", "docs").groupBy("stripe").applyInArrow(count, "stripe long, pairs array<long>, counts array<long>, best array<boolean>")
+    rows = sent.select("stripe", "part", "pairs", "docs")
+    if parts > 1:
+        rows = rows.groupBy("stripe", "part").applyInArrow(add, "stripe long, pairs array<long>, docs array<long>")
+    return rows.select("stripe", "pairs", "docs").groupBy("stripe").applyInArrow(finish, "stripe long, pairs array<long>, counts array<long>, best array<boolean>")
 
 
 def _sorted_by_pair(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,11 +290,8 @@ def _sorted_by_pair(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return pair[order], counts[order], best.astype(bool)[order]
 
 
-def _scored(sent: DataFrame, counted: DataFrame) -> DataFrame:
+def _scored(sent: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
     """``block, pairs, counts, best``: the pairs of each block, scored where their stripe's counts are."""
-    stripes, pairs = counted.select("stripe").distinct().count(), sent.agg(F.sum(F.size("pairs").cast("long"))).first()[0] or 0
-    parts = max(1, -(-pairs // max(1, stripes) // TASK_PAIRS))
-    rows = sent.select("stripe", F.pmod(F.xxhash64("block"), F.lit(parts)).alias("part"), "block", "pairs")
     every = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -284,7 +301,7 @@ def _scored(sent: DataFrame, counted: DataFrame) -> DataFrame:
         cuts = np.concatenate(([0], np.cumsum(np.array(left["pairs"].combine_chunks().value_lengths() if len(left) else [], dtype=np.int64))))
         return pa.table({"block": left["block"], "pairs": _lists(own, cuts), "counts": _lists(counts[at], cuts), "best": _lists(best[at], cuts, pa.bool_())})
 
-    return rows.groupBy("stripe", "part").cogroup(every.groupBy("stripe", "part")).applyInArrow(score, "block long, pairs array<long>, counts array<long>, best array<boolean>")
+    return sent.select("stripe", "part", "block", "pairs").groupBy("stripe", "part").cogroup(every.groupBy("stripe", "part")).applyInArrow(score, "block long, pairs array<long>, counts array<long>, best array<boolean>")
 
 
 def align(docs: DataFrame, byte_level: str, piece_model: str) -> DataFrame:
@@ -297,8 +314,8 @@ def align(docs: DataFrame, byte_level: str, piece_model: str) -> DataFrame:
     """
     links = written(linked(docs, byte_level, piece_model))
     sizes = _shared(docs, byte_level, piece_model)().sizes
-    sent = written(_sent(links, sizes))
-    back = _scored(sent, written(_counted(sent, sizes)))
+    sent, parts = _parted(written(_sent(links, sizes)), sizes)
+    back = _scored(sent, written(_counted(sent, parts, sizes)), parts)
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         pair, counts, best = _sorted_by_pair(right)
@@ -317,7 +334,7 @@ def align(docs: DataFrame, byte_level: str, piece_model: str) -> DataFrame:
 def pair_counts(docs: DataFrame, byte_level: str, piece_model: str) -> DataFrame:
     """``a, b, documents, best`` for every id pair that some document has linked."""
     sizes = _shared(docs, byte_level, piece_model)().sizes
-    counted = _counted(_sent(linked(docs, byte_level, piece_model), sizes), sizes)
+    counted = _counted(*_parted(written(_sent(linked(docs, byte_level, piece_model), sizes)), sizes), sizes)
     rows = counted.select(F.explode(F.arrays_zip("pairs", "counts", "best")).alias("p"))
     return rows.select(F.expr(f"p.pairs div {sizes[1]}").cast("int").alias("a"), (F.col("p.pairs") % sizes[1]).cast("int").alias("b"), F.col("p.counts").alias("documents"), F.col("p.best").alias("best"))
 
