@@ -6,8 +6,9 @@ text; the smallest density on the path from it to the body is the threshold from
 count as well. Everything under the lowest common parent of what was selected is the article.
 
 Elements that are no text by their tag (scripts, menus, fields) count nothing. Words in class, id and role
-values that speak of menus, adverts, notices or comments are weights, not verdicts: a marked element stays if
-it holds so large a share of the page's text that it must be the article, whatever it is called.
+values that speak of menus, adverts, notices or comments give an element a level, which all that it holds has too. The
+lowest level at which there is text to read (an article or main element with any, or a sentence) is that of the article, and
+whatever stands above it is left out, however long it is. Reader comments are never taken while there is other text.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ _GAP = re.compile(r"\s+")
 # HTML element classes (fixed values).
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img picture nobr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math button meter mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mstyle semantics output q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img picture nobr".split()
 )
-_DROPPED = frozenset("script style noscript template iframe object svg canvas math head title select option button textarea input nav aside menu dialog video audio map applet datalist".split())
+_DROPPED = frozenset("script style noscript template iframe object svg canvas annotation annotation-xml head title select option textarea input nav aside menu dialog video audio map applet datalist".split())
 _RAW = frozenset("script style noscript template iframe textarea title svg xmp noembed noframes".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "body": ("head",)}
@@ -52,17 +53,21 @@ _HEADER_WORDS = frozenset(("header", "siteheader"))
 # Words before a marked word that deny it (fixed values).
 _DENIED = frozenset("with has no without non not".split())
 _COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
-#: Share of the page's text from which an element stays although a part of a class name, a whole one, or one of reader comments marks it.
-WEAK, SURE, OF_READERS = 0.5, 0.8, 0.9
+#: Levels of elements that a part of a class name marks, a whole one, or one of reader comments.
+WEAK, SURE, OF_READERS = 1, 2, 3
+#: Text that is read rather than a label: it ends as a sentence does, or has so many characters.
+_SENTENCE_END = re.compile(r"[.!?:;\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)\]]*$")
+READ_CHARS = 25
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements inside each other at most; what is nested deeper counts for the element at that depth.
 MAX_DEPTH = 512
 
 
-def _standing(tag: str, attributes: str, in_article: bool) -> float:
-    """Share of the page's text that an element needs to stay: 0 for an unmarked one, infinite for what is no text."""
+def _level(tag: str, attributes: str, in_article: bool) -> float:
+    """Level of an element: 0 for an unmarked one, infinite for what is no text."""
     if tag in _DROPPED or (tag == "header" and not in_article) or tag == "footer":
         return math.inf
-    needed = SURE if tag == "form" else 0.0
+    needed = SURE if tag == "form" else 0
     if not attributes.strip() or tag in _SEMANTIC:
         return needed
     for m in _ATTRIBUTE.finditer(attributes):
@@ -86,8 +91,9 @@ class _Page:
 
     def __init__(self, source: str) -> None:
         self.source = source
-        self.tag, self.parent, self.needed = ["#root"], [0], [0.0]
+        self.tag, self.parent, self.level = ["#root"], [0], [0]
         self.own, self.own_links, self.own_tags = [0], [0], [0]
+        self.linked = [False]
         self.blocks: list[tuple[int, list[tuple[int, str]]]] = []
         self.body = 0
         self._quotes = True  # until a quote turns out not to be closed
@@ -110,10 +116,16 @@ class _Page:
         return first
 
     def _read(self) -> None:
-        source, stack, piece = self.source, [0], []
+        source, stack, piece, in_button = self.source, [0], [], [False]
         in_link, in_article, at, text_from = 0, 0, 0, 0
 
         def flush() -> None:
+            if piece and all(in_button[own] or not raw.strip() for own, raw in piece):  # a button is text only within a sentence
+                for own, raw in piece:
+                    n = len(_GAP.sub(" ", raw).strip())
+                    self.own[own] -= n
+                    self.own_links[own] -= n if self.linked[own] else 0
+                piece.clear()
             if piece:
                 holder = next(n for n in reversed(stack) if self.tag[n] not in _INLINE)
                 self.blocks.append((holder, piece.copy()))
@@ -121,11 +133,11 @@ class _Page:
 
         def add(raw: str) -> None:
             own = stack[-1]
-            if raw and self.needed[own] < math.inf:
+            if raw and self.level[own] < math.inf:
                 piece.append((own, raw))
                 n = len(_GAP.sub(" ", raw).strip())
                 self.own[own] += n
-                if in_link:
+                if self.linked[own]:
                     self.own_links[own] += n
 
         def close(depth: int) -> None:
@@ -180,11 +192,13 @@ class _Page:
             if tag in _VOID:
                 self.own_tags[stack[-1]] += tag not in ("br", "wbr")
                 continue
-            needed = math.inf if self.needed[stack[-1]] == math.inf else _standing(tag, attributes, in_article > 0)
+            level = math.inf if self.level[stack[-1]] == math.inf else max(self.level[stack[-1]], _level(tag, attributes, in_article > 0))
             n = len(self.tag)
             self.tag.append(tag)
             self.parent.append(stack[-1])
-            self.needed.append(needed)
+            self.level.append(level)
+            self.linked.append(tag == "a" or in_link > 0)
+            in_button.append(tag == "button" or in_button[stack[-1]])
             for counts in (self.own, self.own_links, self.own_tags):
                 counts.append(0)
             if tag == "body" and not self.body:
@@ -197,7 +211,7 @@ class _Page:
                 close(len(stack) - 1)
                 at = text_from = source.find(">", end) + 1 or len(source)
                 continue
-            if (attributes.rstrip().endswith("/") and tag not in _CLOSES_P and tag not in _INLINE) or len(stack) >= MAX_DEPTH:
+            if (attributes.rstrip().endswith("/") and tag not in _CLOSES_P and tag not in _INLINE) or (len(stack) >= MAX_DEPTH and not (level == math.inf and self.level[stack[-1]] < math.inf)):
                 continue
             stack.append(n)
             in_link += tag == "a"
@@ -218,13 +232,8 @@ class _Page:
 
     def _count(self) -> None:
         size = len(self.tag)
-        self.skip = [x == math.inf for x in self.needed]
-        if any(0 < x < math.inf for x in self.needed):
-            text = [a - b for a, b in zip(self._totals(self.own), self._totals(self.own_links), strict=True)]
-            page = max(1, text[0])
-            self.skip = [x > 0 and not text[n] > x * page for n, x in enumerate(self.needed)]
-        for n in range(1, size):
-            self.skip[n] = self.skip[n] or self.skip[self.parent[n]]
+        lowest = self._lowest()
+        self.skip = [x > lowest for x in self.level]
         self.chars, self.links = self._totals(self.own), self._totals(self.own_links)
         below = [0] * size
         link_below = [0] * size
@@ -234,6 +243,22 @@ class _Page:
         self.tags = self._totals([a + b for a, b in zip(self.own_tags, below, strict=True)])
         self.link_tags = self._totals(link_below)
 
+    def _lowest(self) -> float:
+        """The level of the article: the lowest with text to read; else the lowest with any text."""
+        if not any(0 < x < math.inf for x in self.level):
+            return 0
+        article = [t in ("article", "main") for t in self.tag]
+        for n in range(1, len(article)):
+            article[n] = article[n] or article[self.parent[n]]
+        read, held = {math.inf}, {math.inf}
+        for holder, pieces in self.blocks:
+            text = _GAP.sub(" ", html.unescape("".join(raw for n, raw in pieces if not self.linked[n]))).strip()
+            if text:
+                held.add(self.level[holder])
+                if self.tag[holder] not in _HEADINGS and (article[holder] or len(text) >= READ_CHARS or _SENTENCE_END.search(text)):
+                    read.add(self.level[holder])
+        return min(read) if min(read) < OF_READERS else min(held)
+
     def density(self, n: int) -> float:
         """Composite text density of an element."""
         c, t, lc, lt = self.chars[n], max(1, self.tags[n]), max(1, self.links[n]), max(1, self.link_tags[n])
@@ -282,7 +307,16 @@ class _Page:
         inside = [False] * size
         for n in range(size):
             inside[n] = n == top or (n > 0 and inside[self.parent[n]])
-        return " ".join(text for n, pieces in self.blocks if inside[n] and not self.skip[n] and (text := self._text_of(pieces)))
+        kept = [(n, text) for n, pieces in self.blocks if not self.skip[n] and (text := self._text_of(pieces))]
+        first = next((k for k, (n, _) in enumerate(kept) if inside[n]), 0)
+        # a headline stands right before the text, beside it or beside what holds it, where the text has none itself
+        above, n = set(), top
+        while n:
+            n = self.parent[n]
+            above.add(n)
+        if first and self.tag[kept[first - 1][0]] == "h1" and self.parent[kept[first - 1][0]] in above and not any(self.tag[n] == "h1" for n in range(size) if inside[n]):
+            inside[kept[first - 1][0]] = True
+        return " ".join(text for n, text in kept if inside[n])
 
 
 def main_text(source: str | None) -> str:
