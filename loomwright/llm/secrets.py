@@ -1,13 +1,12 @@
 """Secret spans: three exact patterns, and values in a credential context judged by their guess cost.
 
 The guess cost of a value is the cheapest way to write it as dictionary words, dates, repeats, keyboard
-walks and brute-force characters, in bits, found by dynamic programming over its positions. In a value without
-digits, letters that follow each other as in words count as one word of a large dictionary, so that prose is cheap. A value behind words such
+walks and brute-force characters, in bits, found by dynamic programming over its positions. A value behind words such
 as "passphrase" or "login", up to white space or its closing quote, is a secret if even the cheapest way is
-expensive; "login: monday" is not.
+expensive; "login: monday" is not. Addresses of mail name an account and are none.
 
 The dictionary is a ranked list: the words below and, behind them, the words of a public tokenizer's vocabulary, which
-is ordered by how common they are. The driver reads that file and broadcasts the list, of MOST_WORDS at most.
+is ordered by how common they are. The driver reads that file, which must be there, and broadcasts the list, of MOST_WORDS at most.
 """
 
 from __future__ import annotations
@@ -15,9 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,10 +38,12 @@ _CONTEXT_WORDS = (
     "access key", "access_key", "private key", "private_key", "credential", "login", "bearer",
 )
 _CONTEXT = re.compile(
-    r"(?<![A-Za-z])(?:" + "|".join(map(re.escape, _CONTEXT_WORDS)) + r")s?(?![A-Za-z])[\"']?(?:\x20{0,3}(?::=|=>|[:=])\x20{0,3}|\x20is:?\x20|\x20)(?:\"([^\"\s]{8,})|'([^'\s]{8,})|([^\s\"']\S{7,}))",
+    r"(?<![A-Za-z])(?:" + "|".join(map(re.escape, _CONTEXT_WORDS)) + r")s?(?![A-Za-z])[\"']?(?:\x20{0,3}(?::=|=>|[:=])\x20{0,3}|\x20is:?\x20|\x20)(?:\"([^\"\s]{6,})|'([^'\s]{6,})|([^\s\"']\S{5,}))",
     re.IGNORECASE | re.ASCII,
 )
 
+_MAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", re.ASCII)
+
 # Common parts of passwords, most common first (fixed values).
 _WORDS = """
 the and you that for with have this from they will would there their what about which when make can like time just know
@@ -64,22 +63,14 @@ understanding recovery verification encryption encrypted algorithm manager stora
 undefined optional placeholder string integer number https http www com org net html
 """.split()
 _RANK = {w: k + 1 for k, w in enumerate(dict.fromkeys(_WORDS))}
-#: Vocabulary whose whole words follow those, in its order; where the file is absent the words above are all.
+#: Vocabulary whose whole words follow those, in its order, on the driver.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 MOST_WORDS = 50_000
 _WORD_LENGTHS = (4, 20)
-#: Starts behind the first that a repeat or a keyboard walk is tried from, counted back from its end.
-_STARTS = 24
 _LONGEST_WORD = max(map(len, _RANK))
 # Characters that stand for letters (fixed values).
 _LEET = str.maketrans({"4": "a", "@": "a", "8": "b", "3": "e", "6": "g", "1": "l", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t", "2": "z"})
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
-_PAIRS = Counter(a + b for w in _RANK for a, b in zip(" " + w, w, strict=False))
-_HEADS = Counter(c for w in _RANK for c in " " + w[:-1])
-#: In a value without digits, a run of so many letters that costs so many bits a letter by the letter pairs of the words above is taken for a word
-#: of a large dictionary of so many bits.
-_WORD_LETTERS, _PAIR_BITS, _DICTIONARY_BITS = (4, 18), 4.3, 18.0
-_LETTERS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _NEXT = {pair for row in _ROWS for a, b in zip(row, row[1:], strict=False) for pair in (a + b, b + a)}
 _DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)", re.ASCII)
 
@@ -92,22 +83,36 @@ def _brute_bits(c: str) -> float:
     return math.log2(100)
 
 
-def _word_like(low: str) -> bool:
-    """Whether letters follow each other as in words."""
-    bits = sum(-math.log2((_PAIRS[a + b] + 0.3) / (_HEADS[a] + 0.3 * 26)) for a, b in zip(" " + low, low, strict=False))
-    return bits <= _PAIR_BITS * len(low)
+class _Stretch:
+    """Where stretches of three or more characters that end at some place may begin, as far as a beginning can still be the
+    cheapest: the cost of a stretch is that of its beginning and the logarithm of its length."""
+
+    def __init__(self) -> None:
+        self.begin: list[tuple[int, float]] = []
 
+    def add(self, start: int, bits: float) -> None:
+        while self.begin and self.begin[-1][1] >= bits:  # an earlier beginning that isn't cheaper makes longer stretches of no less cost
+            self.begin.pop()
+        self.begin.append((start, bits))
 
-def _starts(first: int, end: int) -> list[int]:
-    """Where a stretch of three or more characters that ends at ``end`` can begin."""
-    return ([first] if end - first >= 3 else []) + list(range(max(first + 1, end - _STARTS), end - 2))
+    def cheapest(self, end: int) -> float:
+        """Least cost at ``end``. A beginning dearer than an earlier one, and no better here, is no better at any later end."""
+        best, kept = math.inf, []
+        for start, bits in self.begin:
+            cost = bits + math.log2(end - start)
+            if cost < best:
+                best = cost
+                kept.append((start, bits))
+        self.begin = kept
+        return best
 
 
 @lru_cache(maxsize=4)
 def ranked_words(vocabulary: str | None = VOCABULARY) -> dict[str, int]:
-    """Word -> rank, from one; the words of a vocabulary file are those it marks as ending a word."""
+    """Word -> rank, from one; the words of a vocabulary file are those it marks as ending a word. Without a name the words above are
+    all; a file that is named and not there is an error."""
     ranks = dict(_RANK)
-    if vocabulary and os.path.exists(vocabulary):
+    if vocabulary:
         with open(vocabulary, encoding="utf-8") as f:
             ids = json.load(f)["model"]["vocab"]
         fewest, most = _WORD_LENGTHS
@@ -119,7 +124,7 @@ def ranked_words(vocabulary: str | None = VOCABULARY) -> dict[str, int]:
 
 
 def guess_bits(value: str, ranks: dict[str, int] | None = None) -> float:
-    """Bits of the cheapest segmentation of the whole value; linear in its length."""
+    """Bits of the cheapest segmentation of the whole value, in time about linear in its length."""
     ranks = ranked_words() if ranks is None else ranks
     longest = max(_WORD_LENGTHS[1], _LONGEST_WORD)
     n, low = len(value), value.lower()
@@ -127,27 +132,24 @@ def guess_bits(value: str, ranks: dict[str, int] | None = None) -> float:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
-    fewest, most = _WORD_LETTERS
-    prose = not re.search(r"[0-9]", value)
-    runs = {m.end(): m.start() for m in _LETTERS.finditer(value) if prose and fewest <= m.end() - m.start() <= most and _word_like(m[0].lower())}
-    run_start, walk_start = 0, 0  # of the repeat and of the keyboard walk that end at i
+    run_start, walk_start, runs, walks = 0, 0, _Stretch(), _Stretch()  # the repeat and the keyboard walk that end at i
     for i in range(1, n + 1):
         if i >= 2 and value[i - 1] != value[i - 2]:
-            run_start = i - 1
+            run_start, runs = i - 1, _Stretch()
         if i >= 2 and low[i - 2 : i] not in _NEXT:
-            walk_start = i - 1
+            walk_start, walks = i - 1, _Stretch()
         cost = best[i - 1] + _brute_bits(value[i - 1])
-        for j in _starts(run_start, i):  # one character, so often
-            cost = min(cost, best[j] + _brute_bits(value[i - 1]) + math.log2(i - j) + 1)
-        for j in _starts(walk_start, i):  # where it starts, its direction and its length
-            cost = min(cost, best[j] + math.log2(47) + math.log2(i - j) + 2)
+        if i - run_start >= 3:  # one character, so often
+            runs.add(i - 3, best[i - 3])
+            cost = min(cost, runs.cheapest(i) + _brute_bits(value[i - 1]) + 1)
+        if i - walk_start >= 3:  # where it starts, its direction and its length
+            walks.add(i - 3, best[i - 3])
+            cost = min(cost, walks.cheapest(i) + math.log2(47) + 2)
         for j in range(max(0, i - longest), i - 2):
             if rank := ranks.get(low[j:i]):
                 cost = min(cost, best[j] + math.log2(rank) + (value[j:i] != low[j:i]) + 1)
             elif rank := ranks.get(plain[j:i]):
                 cost = min(cost, best[j] + math.log2(rank) + (value[j:i] != low[j:i]) + 3)
-        if i in runs:
-            cost = min(cost, best[runs[i]] + _DICTIONARY_BITS + (not value[i - 1].islower() or value[runs[i]].isupper()))
         for m in (4, 8, 10):
             if i >= m and _DATE.fullmatch(value, i - m, i):
                 cost = min(cost, best[i - m] + math.log2(120 * (365 if m > 4 else 1)) + (m == 10) * 2)
@@ -181,7 +183,7 @@ def guessed_spans(text: str, base: list[tuple[int, int, int]], min_bits: float =
         start, end = m.span(m.lastindex)
         if m[3]:
             end = start + len(text[start:end].rstrip(".,;:?)]}>\"'"))
-        if end - start >= 8 and guess_bits(text[start:end], ranks) >= min_bits and not any(s <= start and end <= e for s, _, e in base):
+        if end - start >= 6 and not _MAIL.fullmatch(text, start, end) and guess_bits(text[start:end], ranks) >= min_bits and not any(s <= start and end <= e for s, _, e in base):
             found.append((start, 3, end))
             at = end
         else:
