@@ -198,7 +198,7 @@ def broken(resolved: DataFrame) -> DataFrame:
 
 def unparsed(rows: DataFrame) -> DataFrame:
     """V1."""
-    return _file_report(rows.where("role = 'concept' and error is not null"), 1, "V1", F.col("error"))
+    return _file_report(rows.where("role = 'concept' and error is not null"), 1, "V1", text_of("unparseable concept document: ", F.col("error")))
 
 
 def report(rows: DataFrame, concepts: DataFrame, files: DataFrame, resolved: DataFrame, today: str | None = None) -> DataFrame:

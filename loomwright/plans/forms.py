@@ -45,6 +45,11 @@ FORMS: tuple[tuple[str, str], ...] = (
     ("v24/n{n}.md", _front("title: T{n}", "Just prose.\n")),
     ("v25/n{n}/index.md", "---\ntitle: no\n---\n\n# Parts\n"),
     ("v26/n{n}.md", _front("title: T{n}\na: " + "[" * 101 + "]" * 101)),
+    ("v27/n{n}.md", _front("title: T{n}\ngenerated: { at: '2026-01-01T00:00:00Z' }")),
+    ("v28/n{n}.md", _front("title: T{n}\ngenerated: { by: human:a, at: 2026-01-01 }")),
+    ("v29/n{n}.md", _front("title: T{n}\nsources: plain")),
+    ("v30/n{n}.md", _front("title: T{n}\nusage_window: { from: soon, to: later{n} }\nsources:\n- { id: s, resource: a.md }")),
+    ("v31/n{n}.md", _front("title: T{n}\nsources:\n- { id: s }\n- { id: t, resource: b.md, last_modified: never, usage_count: {n} }")),
 )
 
 #: (form, place, text, raw, target, exists) of every link that is a link.
@@ -60,10 +65,10 @@ VALUES = (
 )
 #: (form, path, message) of the files that cannot be read, and their conformance finding.
 BROKEN = (
-    (17, "v17/n{n}.md", "Unterminated YAML frontmatter block"),
-    (18, "v18/n{n}.md", "Invalid YAML in frontmatter: YAML error at line 3: tab character in indentation"),
-    (19, "v19/n{n}.md", "Frontmatter must be a YAML mapping"),
-    (26, "v26/n{n}.md", "Invalid YAML in frontmatter: YAML error at line 3: collections nested more than 100 deep"),
+    (17, "v17/n{n}.md", "unparseable concept document: Unterminated YAML frontmatter block"),
+    (18, "v18/n{n}.md", "unparseable concept document: Invalid YAML in frontmatter: YAML error at line 3: tab character in indentation"),
+    (19, "v19/n{n}.md", "unparseable concept document: Frontmatter must be a YAML mapping"),
+    (26, "v26/n{n}.md", "unparseable concept document: Invalid YAML in frontmatter: YAML error at line 3: collections nested more than 100 deep"),
 )
 #: (form, code, message) of the findings under V5, V9, V10, V16 and V17.
 FINDINGS = (
@@ -73,12 +78,20 @@ FINDINGS = (
     (22, "V10", "`sources[0]` should be a mapping entry, found a string (§5.1)"),
     (22, "V10", 'duplicate `sources[].id` "s"; ids are the join key for attribution (§5.1)'),
     (22, "V10", "`sources[2].usage_count` should be an integer, found a string (§5.1)"),
+    (27, "V5", "`generated.by` is required within `generated` (§5.2)"),
+    (28, "V5", '`generated.at` is not an ISO-8601 datetime: "2026-01-01" (§5.2)'),
+    (29, "V9", "`sources` should be a list of entries, found a string (§5.1)"),
+    (30, "V9", '`usage_window.from` is not a `YYYY-MM-DD` date: "soon" (§5.1)'),
+    (30, "V9", '`usage_window.to` is not a `YYYY-MM-DD` date: "later{n}" (§5.1)'),
+    (31, "V10", "`sources[0].resource` is required within an entry (§5.1)"),
+    (31, "V10", '`sources[1].last_modified` is not a `YYYY-MM-DD` date: "never" (§5.1)'),
+    (31, "V10", "`sources[1].usage_count` has no `usage_window` to frame it (§5.1)"),
     (25, "V17", "index.md should not contain frontmatter (§8)"),
 )
 #: (form, code) of the health findings L7 and L8.
 BODIES = ((23, "L7"), (24, "L8"))
 #: Forms that no link and no index names.
-ORPHANS = (3, 7, 8, *range(9, 17), *range(20, 25))
+ORPHANS = (3, 7, 8, *range(9, 17), *range(20, 25), *range(27, 32))
 #: (form, normal form) of documents as written back.
 WRITTEN = (
     (11, '---\ntype: Note\ntitle: T{n}\ndescription: "a b{n}\\nc"\n---\n\n# H\n\nText.\n'),

@@ -16,7 +16,7 @@ from ..operators import diff, graph, indexes, lint, logs, validate
 from ..operators.ordering import numbered_within
 from ..sources.bundle import written_tree
 from ..streaming import snapshots
-from . import forms, render
+from . import forms, histories, render
 from .bundle import Bundle
 from .corpus import LINK_SPAN, corpus_files
 
@@ -46,6 +46,15 @@ def forms_of(spark: SparkSession, sf_dir: str) -> Bundle:
     return _kept(spark, sf_dir, "forms", lambda: forms.forms_files(spark, sf_dir))
 
 
+def histories_of(spark: SparkSession, sf_dir: str) -> Bundle:
+    """The small bundles with logs and declared versions."""
+    return _kept(spark, sf_dir, "histories", lambda: histories.history_files(spark, sf_dir))
+
+
+def _history(make: Callable[[Bundle], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: make(histories_of(spark, sf_dir))
+
+
 def _form(make: Callable[[Bundle], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: make(forms_of(spark, sf_dir))
 
@@ -72,8 +81,8 @@ def _concepts_in_order(b: Bundle) -> DataFrame:
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s1_files_by_role": _query(lambda b: b.rows.groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("n_errors"))),
-    "s15_declared_version": _query(lambda b: b.version.select("version")),
-    "s17_log_entries": _query(lambda b: b.log_entries().select("rel_path", _long("day").alias("day"), "date_text", _long("pos").alias("pos"), F.coalesce("kind", F.lit("-")).alias("kind"), "text")),
+    "s15_declared_version": _history(lambda b: b.version.select("bundle", "version")),
+    "s17_log_entries": _history(lambda b: b.log_entries().select("bundle", _long("day").alias("day"), "date_text", _long("pos").alias("pos"), F.coalesce("kind", F.lit("-")).alias("kind"), "text")),
     "s19_directories": _query(lambda b: indexes.directories(b.files).select("dir", _long("depth").alias("depth"))),
     "o1_path_order": _query(_concepts_in_order),
     "p1_core_columns": _query(lambda b: b.concepts.select("id", F.coalesce("type", F.lit("-")).alias("type"), F.coalesce("title", F.lit("-")).alias("title"), "display_title", F.coalesce("description", F.lit("-")).alias("description"), F.array_join("tags", ",").alias("tags"))),
@@ -122,15 +131,16 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "l14_duplicate_titles": _query(lambda b: lint.shared_titles(b.concepts).select("concept", "message")),
     "l15_orphans": _query(lambda b: lint.orphans(b.concepts, b.links, graph.index_listings(b.indexes)).select("concept")),
     "l16_stale_indexes": _query(lambda b: lint.stale_indexes(b.concepts, b.indexes, graph.index_listings(b.indexes)).select("path", "message")),
-    "w1_log_order": _query(lambda b: logs.out_of_order(logs.days(logs.lines(b.logs))).select("rel_path", "date_text", "before")),
-    "w2_log_problems": _query(lambda b: logs.problems(b.logs).select("rel_path", "message")),
+    "w1_log_order": _history(lambda b: logs.out_of_order(logs.days(logs.lines(b.logs))).select("bundle", "date_text", "before")),
+    "w2_log_problems": _history(lambda b: logs.problems(b.logs).select("bundle", "message")),
     "w9_node_numbers": _query(lambda b: render.node_numbers(b).select("id", _long("n").alias("n"))),
     "k1_serialized": _query(lambda b: b.concepts.select("id", F.sha2("serialized", 256).alias("sha"))),
     "k5_index_entries": _query(lambda b: indexes.entries(b.rows, b.files).select("dir", "type", "title", "link", "description")),
     "k6_index_texts": _query(lambda b: b.index_texts().select("rel_path", "content")),
     "k8_graph_text": _query(lambda b: render.graph_text(b, True).select(F.array_join("path_segs", "/").alias("path"), _long("part").alias("part"), _long("seq").alias("seq"), "line")),
     "k9_graph_mermaid": _query(lambda b: render.graph_mermaid(b, True).select(_long("part").alias("part"), _long("a").alias("a"), _long("b").alias("b"), _long("c").alias("c"), "line")),
-    "k11_log_markdown": _query(lambda b: logs.to_markdown(b.logs).select("rel_path", "markdown")),
+    "k11_log_markdown": _history(lambda b: logs.to_markdown(b.logs).select("bundle", "markdown")),
+    "v17_reserved_files": _history(lambda b: validate.reserved_files(b.rows).select("bundle", "code", "message").unionByName(validate.version_rule(b.rows).select("bundle", "code", "message"))),
     "x1_added_and_removed": _diff(lambda d: d.select("section", "id"), "added", "removed"),
     "j12_renames": _diff(lambda d: d.select("old", "new"), "renamed"),
     "j11_changed_bodies": _diff(lambda d: d.select("id"), "content"),
@@ -138,7 +148,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j14_trust_diff": _diff(lambda d: d.select("id", "kind", "old", "new"), "trust"),
     "x4_link_diff": _diff(lambda d: d.select("section", "id", F.col("key").alias("to")), *diff.SECTIONS[-4:]),
     "a14_diff_size": _diff(lambda d: diff.size(d)),
-    "stream_log_entries": lambda spark, sf_dir: snapshots.log_table(spark, corpus_files(spark, sf_dir)).groupBy("date_text").agg(F.count("*").alias("n")),
+    "stream_log_entries": lambda spark, sf_dir: snapshots.log_table(spark, histories.history_files(spark, sf_dir).where("rel_path = 'log.md'")).groupBy("date_text").agg(F.count("*").alias("n")),
     "stream_concept_types": lambda spark, sf_dir: snapshots.type_table(spark, corpus_files(spark, sf_dir).where("rel_path not rlike '(^|/)(index|log)[.]md$'")).select("type", "n"),
     "s2_tree_load": lambda spark, sf_dir: written_tree(forms.forms_files(spark, sf_dir)).select("rel_path", F.decode("content", "utf-8").alias("content")),
     "c2_link_forms": _form(lambda b: b.links.select(F.col("src_id").alias("id"), _long("seq").alias("seq"), "text", "raw", F.col("target_id").alias("target"), "exists")),
@@ -257,8 +267,6 @@ _FORM_ORACLES: dict[str, str] = {
 
 _ORACLES: dict[str, str] = {
     "s1_files_by_role": "SELECT 'concept' AS role, count(*) AS n, 0::BIGINT AS n_errors FROM a UNION ALL SELECT 'log', 10, 0 UNION ALL SELECT 'index', 1 + count(DISTINCT n % 10), 0 FROM listed",
-    "s15_declared_version": "SELECT '0.1' AS version",
-    "s17_log_entries": "SELECT 'd' || k || '/log.md' AS rel_path, day::BIGINT AS day, date_text, 1::BIGINT AS pos, kind, text FROM days",
     "s19_directories": "SELECT '' AS dir, 0::BIGINT AS depth UNION ALL SELECT 'd' || k, 1 FROM logs",
     "o1_path_order": "SELECT id, row_number() OVER (ORDER BY 'd' || (n % 10), 'doc_' || n || '.md') AS seq FROM a",
     "p1_core_columns": "SELECT id, type, title, CASE WHEN title = '-' THEN 'doc_' || n ELSE title END AS display_title, description, CASE WHEN n % 29 = 0 THEN '' ELSE lang || ',s' || (n % 4) END AS tags FROM a",
@@ -311,8 +319,6 @@ _ORACLES: dict[str, str] = {
     "l14_duplicate_titles": "SELECT id AS concept, '[L14] `title` \"' || title || '\" is shared with another concept; titles should disambiguate' AS message FROM a WHERE title IN (SELECT title FROM a WHERE title <> '-' GROUP BY title HAVING count(*) > 1)",
     "l15_orphans": "SELECT id AS concept FROM a WHERE id NOT IN (SELECT target FROM links WHERE ok) AND id NOT IN (SELECT id FROM listed)",
     "l16_stale_indexes": "SELECT 'd' || k || '/index.md' AS path, '[L16] index.md is out of sync with its directory (' || CASE WHEN missing IS NULL THEN '' ELSE 'missing from index: ' || missing || '; ' END || 'listed but not on disk: d' || k || '/gone_' || k || ')' AS message FROM (SELECT DISTINCT n % 10 AS k FROM listed) LEFT JOIN (SELECT n % 10 AS j, string_agg(id, ', ' ORDER BY id) AS missing FROM a WHERE n % 3 = 0 GROUP BY n % 10) ON j = k",
-    "w1_log_order": f"SELECT 'd' || k || '/log.md' AS rel_path, date_text, before FROM ({_OUT_OF_ORDER})",
-    "w2_log_problems": _LOG_PROBLEMS,
     "w9_node_numbers": _NODES,
     "k5_index_entries": f"SELECT dir, type, title, link, description FROM (WITH files AS ({_FILES}) {_ENTRIES})",
     "k6_index_texts": f"""SELECT CASE WHEN dir = '' THEN 'index.md' ELSE dir || '/index.md' END AS rel_path, CASE WHEN dir = '' THEN '---' || chr(10) || 'okf_version: "0.1"' || chr(10) || '---' || chr(10) || chr(10) ELSE '' END || string_agg(g, chr(10) || chr(10) ORDER BY type) || chr(10) AS content FROM
@@ -322,14 +328,12 @@ _ORACLES: dict[str, str] = {
     "k9_graph_mermaid": f"""SELECT 0::BIGINT AS part, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, 'flowchart LR' AS line UNION ALL SELECT 1, n, 0, 0, '  n' || n || '["' || id || '"]' FROM (SELECT * FROM nodes)
         UNION ALL SELECT 2, o.seq, 0, l.seq, '  n' || f.n || CASE WHEN ok THEN ' --> n' ELSE ' -.->|broken| n' END || t.n FROM links l JOIN nodes f ON f.id = l.src_id JOIN nodes t ON t.id = l.target JOIN ordered o ON o.id = l.src_id
         UNION ALL SELECT 2, o.seq, 1, 0, '  n' || f.n || ' -.->|source| n' || t.n FROM derived l JOIN nodes f ON f.id = l.src_id JOIN nodes t ON t.id = l.concept_id JOIN ordered o ON o.id = l.src_id""",
-    "k11_log_markdown": "SELECT 'd' || k || '/log.md' AS rel_path, '# Log ' || k || chr(10) || chr(10) || string_agg('## ' || date_text || chr(10) || '* ' || CASE WHEN kind = '-' THEN '' ELSE '**' || kind || '**: ' END || text || chr(10), chr(10) ORDER BY day) AS markdown FROM days GROUP BY k",
     "x1_added_and_removed": "SELECT 'removed' AS section, id FROM a WHERE n % 50 = 0",
     "j12_renames": "SELECT a.id AS \"old\", b.id AS \"new\" FROM a JOIN b ON a.n = b.n WHERE a.n % 50 = 1",
     "j11_changed_bodies": "SELECT id FROM a WHERE n % 50 = 2",
     "j13_frontmatter_diff": _FRONT_DIFF,
     "j14_trust_diff": f"SELECT id, 'status' AS kind, status AS \"old\", 'archived' AS \"new\" FROM ({_ARCHIVED})",
     "x4_link_diff": _LINK_DIFF,
-    "stream_log_entries": "SELECT date_text, count(*) AS n FROM days GROUP BY date_text",
     "stream_concept_types": "SELECT CASE WHEN type = '-' THEN '(none)' ELSE type END AS type, count(*) AS n FROM a GROUP BY type",
     "k1_serialized": f"SELECT id, sha256({_WRITTEN}) AS sha FROM (SELECT a.*, d.text FROM a JOIN documents d ON d.doc_id = a.n)",
     "a14_diff_size": f"SELECT section, count(*) AS changes FROM (SELECT 'removed' AS section, id AS i FROM a WHERE n % 50 = 0 UNION ALL SELECT 'renamed', id FROM a WHERE n % 50 = 1 UNION ALL SELECT 'content', id FROM a WHERE n % 50 = 2 UNION ALL SELECT 'frontmatter', id FROM a WHERE n % 50 IN (3, 4) UNION ALL SELECT 'trust', id FROM a WHERE n % 50 = 3 UNION ALL SELECT section, id FROM ({_LINK_DIFF})) GROUP BY section",
@@ -341,4 +345,4 @@ def oracle_sql() -> dict[str, str]:
     severity = "sum(n) FILTER (severity = '{}')"
     sums = ", ".join(f"coalesce({severity.format(s)}, 0)::BIGINT AS {s}s" for s in ("error", "warning", "info"))
     totals = f"SELECT {sums}, {severity.format('error')} IS NULL AS conformant FROM ({_ORACLES['a8_validate_codes']})"
-    return {"f5_totals": _PRELUDE + totals} | {k: _PRELUDE + extra.get(k, "") + "\n" + v for k, v in _ORACLES.items()} | _FORM_ORACLES
+    return {"f5_totals": _PRELUDE + totals} | {k: _PRELUDE + extra.get(k, "") + "\n" + v for k, v in _ORACLES.items()} | {k: histories.PRELUDE + v for k, v in histories.ORACLES.items()} | _FORM_ORACLES
