@@ -79,6 +79,13 @@ def _concepts_in_order(b: Bundle) -> DataFrame:
     return numbered_within(b.concepts.select("bundle", "path_segs", "id"), "bundle", "path_segs").select("id", (F.col("number") + 1).alias("seq"))
 
 
+def _forms_in_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forms of even numbers, then those of odd ones."""
+    files = forms.forms_files(spark, sf_dir).where("rel_path <> 'index.md'")
+    odd = F.regexp_extract("rel_path", r"(\d+)(/index)?\.md$", 1).cast("long") % 2
+    return snapshots.arrivals(spark, [files.where(odd == k) for k in (0, 1)])
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s1_files_by_role": _query(lambda b: b.rows.groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("n_errors"))),
     "s15_declared_version": _history(lambda b: b.version.select("bundle", "version")),
@@ -151,6 +158,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_log_entries": lambda spark, sf_dir: snapshots.log_table(spark, histories.history_files(spark, sf_dir).where("rel_path = 'log.md'")).groupBy("date_text").agg(F.count("*").alias("n")),
     "stream_concept_types": lambda spark, sf_dir: snapshots.type_table(spark, corpus_files(spark, sf_dir).where("rel_path not rlike '(^|/)(index|log)[.]md$'")).select("type", "n"),
     "s2_tree_load": lambda spark, sf_dir: written_tree(forms.forms_files(spark, sf_dir)).select("rel_path", F.decode("content", "utf-8").alias("content")),
+    "s2_tree_stream": lambda spark, sf_dir: _forms_in_steps(spark, sf_dir).select("rel_path", F.decode("content", "utf-8").alias("content"), "step"),
+    "k7_written_indexes": lambda spark, sf_dir: written_tree(bundle_of(spark, sf_dir).index_texts().withColumn("content", F.encode("content", "utf-8"))).select("rel_path", F.decode("content", "utf-8").alias("content")),
+    "k4_written_documents": lambda spark, sf_dir: written_tree(bundle_of(spark, sf_dir).concepts.select("bundle", "rel_path", F.encode("serialized", "utf-8").alias("content"))).select(F.regexp_replace("rel_path", r"\.md$", "").alias("id"), F.sha2("content", 256).alias("sha")),
     "c2_link_forms": _form(lambda b: b.links.select(F.col("src_id").alias("id"), _long("seq").alias("seq"), "text", "raw", F.col("target_id").alias("target"), "exists")),
     "p16_value_forms": _form(lambda b: b.concepts.where(r"id rlike '^v(9|1[0-5])/'").select("id", F.coalesce("title", F.lit("-")).alias("title"), F.coalesce("description", F.lit("-")).alias("description"), F.array_join("tags", "|").alias("tags"))),
     "v1_unreadable_files": _form(lambda b: validate.unparsed(b.rows).select(F.regexp_replace("path", r"\.md$", "").alias("id"), "path", "message")),
@@ -255,6 +265,7 @@ _WRITTEN = f"'---' || {_NL} || concat_ws({_NL}, {', '.join(_FRONT_LINES)}) || {_
 
 _FORM_ORACLES: dict[str, str] = {
     "s2_tree_load": "SELECT rel_path, content FROM (" + forms.expected(tuple((v, *f) for v, f in enumerate(forms.FORMS)), "rel_path", "content") + ") UNION ALL SELECT 'index.md', '---\nokf_version: \"0.2\"\n---\n\n# Parts\n'",
+    "s2_tree_stream": "SELECT rel_path, content, step FROM (" + forms.expected(tuple((v, *f) for v, f in enumerate(forms.FORMS)), "rel_path", "content").replace("SELECT CASE", "SELECT (d.doc_id % 2)::BIGINT AS step, CASE", 1) + ")",
     "c2_link_forms": forms.expected(forms.LINKS, "seq", "text", "raw", "target", "exists").replace('e."seq"', 'e."seq"::BIGINT AS "seq"'),
     "p16_value_forms": forms.expected(forms.VALUES, "title", "description", "tags"),
     "v1_unreadable_files": forms.expected(forms.BROKEN, "path", "message"),
@@ -345,4 +356,5 @@ def oracle_sql() -> dict[str, str]:
     severity = "sum(n) FILTER (severity = '{}')"
     sums = ", ".join(f"coalesce({severity.format(s)}, 0)::BIGINT AS {s}s" for s in ("error", "warning", "info"))
     totals = f"SELECT {sums}, {severity.format('error')} IS NULL AS conformant FROM ({_ORACLES['a8_validate_codes']})"
+    _ORACLES["k7_written_indexes"], _ORACLES["k4_written_documents"] = _ORACLES["k6_index_texts"], _ORACLES["k1_serialized"]
     return {"f5_totals": _PRELUDE + totals} | {k: _PRELUDE + extra.get(k, "") + "\n" + v for k, v in _ORACLES.items()} | {k: histories.PRELUDE + v for k, v in histories.ORACLES.items()} | _FORM_ORACLES

@@ -11,7 +11,7 @@ from ..functions.columns import trimmed
 from ..operators import logs
 from ..operators.ordering import shared_folder
 from ..plans.bundle import Bundle
-from ..sources.bundle import FILES
+from ..sources.bundle import FILES, tree_stream, write_tree
 from ..sources.parse import parsed
 
 STREAM = FILES + ", arrived timestamp"
@@ -92,3 +92,18 @@ def type_table(spark: SparkSession, files: DataFrame) -> DataFrame:
     counts = concept_types(_arriving(spark, files, folder))
     counts.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/table").groupBy("window", "type").agg(F.max_by("n", "update").alias("n"))
+
+
+def arrivals(spark: SparkSession, steps: list[DataFrame]) -> DataFrame:
+    """``rel_path, content, step``: a tree that grows by each of ``steps`` (``bundle, rel_path, content``), read by a stream that is
+    started anew after each and goes on from its checkpoint; ``step`` says in which run a file arrived."""
+    folder = shared_folder(spark, "growing")
+    for number, files in enumerate(steps):
+        write_tree(files, f"{folder}/tree")
+        stream = tree_stream(spark, f"{folder}/tree", f"{folder}/listings")
+
+        def keep(batch: DataFrame, epoch: int, number: int = number) -> None:
+            batch.select("rel_path", "content").write.mode("overwrite").parquet(f"{folder}/table/step={number}/epoch={epoch}")
+
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select("rel_path", "content", F.col("step").cast("long").alias("step"))
