@@ -1,6 +1,7 @@
 """Mixing sources to target weights by block permutations.
 
-The documents of a source, one behind another, are cut into blocks of a fixed number of words. The output is
+The documents of a source, one behind another, are cut into blocks of a fixed number of words, a smaller one for sources
+that would have too few blocks to come near their target. The output is
 a row of shards with a fixed number of slots; each shard draws how many of its slots each source gets. The
 draws are multinomial under the condition that a source's slots add up to its share. They form two binary
 trees, one over ranges of shards and one over ranges of sources: what a range of sources gets in the left half
@@ -30,6 +31,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 BLOCK = 128
+#: Blocks that a source has at least, as far as it has so many words.
+LEAST_BLOCKS = 48
 SHARD_SLOTS = 1024
 SEED = 20240607
 #: Rows of a group in which running sums are taken.
@@ -80,28 +83,49 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
-    """How many of ``take`` draws without replacement are good; exact below a billion, else by the limits of the
-    distribution: binomial where one of the numbers is small beside the rest, normal elsewhere."""
+    """How many of ``take`` draws without replacement are good, at any size."""
     if not (good and bad and take) or take == good + bad:
         return 0 if not (good and take) else min(good, take)
-    total = good + bad
-    if total < 1_000_000_000:
+    if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, take))
+    return outward(rng.random(), good, bad, take)
+
+
+def outward(u: float, good: int, bad: int, take: int, step: int = 1 << 16) -> int:
+    """The same from one uniform number, by the ratios of neighbouring probabilities: they are added up from the likeliest outcome
+    outwards until what is left is below the precision of their sum."""
     low, high = max(0, take - bad), min(good, take)
-    small = min(good, bad, take, total - take)
-    if small * 1000 < total and small < 1_000_000:
-        if small == good:
-            found = rng.binomial(good, take / total)
-        elif small == bad:
-            found = take - rng.binomial(bad, take / total)
-        elif small == take:
-            found = rng.binomial(take, good / total)
-        else:
-            found = good - rng.binomial(total - take, good / total)
-    else:
-        mean, share = take * good / total, take / total
-        found = round(rng.normal(mean, math.sqrt(mean * (bad / total) * (1 - share) * total / (total - 1))))
-    return int(min(high, max(low, found)))
+    middle = min(high, max(low, (take + 1) * (good + 1) // (good + bad + 2)))
+
+    def side(sign: int) -> list[np.ndarray]:
+        """Weights of the outcomes beyond the middle, which itself has weight one."""
+        out, last, k = [], 1.0, middle
+        end = high if sign > 0 else low
+        while k != end and last > 1e-18:
+            n = min(step, abs(end - k))
+            at = k + sign * np.arange(n, dtype=np.float64)  # exact: outcomes are below 2 ** 53
+            if sign > 0:
+                ratio = (good - at) * (take - at) / ((at + 1) * (bad - take + at + 1))
+            else:
+                ratio = at * (bad - take + at) / ((good - at + 1) * (take - at + 1))
+            out.append(last * np.cumprod(ratio))
+            last, k = float(out[-1][-1]), k + sign * n
+        return out
+
+    below, above = side(-1), side(1)
+    left = u * (1.0 + sum(float(x.sum()) for x in below) + sum(float(x.sum()) for x in above))
+    if left < 1.0:
+        return middle
+    left -= 1.0
+    for parts, sign in ((below, -1), (above, 1)):
+        k = middle
+        for x in parts:
+            whole = float(x.sum())
+            if left < whole:
+                return k + sign * (1 + min(len(x) - 1, int(np.searchsorted(np.cumsum(x), left, side="right"))))
+            left -= whole
+            k += sign * len(x)
+    return middle
 
 
 def few_of(u: float, good: int, bad: int, take: int) -> int:
@@ -205,6 +229,11 @@ class ShardCounts:
         return np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
 
 
+def block_words(source_size: Column) -> Column:
+    """Words of a source's blocks."""
+    return F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(source_size / LEAST_BLOCKS))).cast("long")
+
+
 def _sources(base: DataFrame) -> DataFrame:
     """``source, source_no, source_size, target, blocks, quota`` of each source.
 
@@ -222,7 +251,7 @@ def _sources(base: DataFrame) -> DataFrame:
         if now <= unit:
             break
         unit = now
-    blocks = F.ceil(F.col("source_size") / BLOCK).cast("long")
+    blocks = F.ceil(F.col("source_size") / block_words(F.col("source_size"))).cast("long")
     found = found.withColumn("target", F.least((F.col("source_size") * MOST).cast("double"), F.lit(unit) * F.col("weight"))).withColumn("blocks", blocks)
     quota = F.when(F.col("source_size") > 0, F.least(F.col("blocks") * MOST, F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"))).otherwise(F.lit(0))
     return cut_lineage(found.withColumn("quota", quota.cast("long")).drop("weight"))
@@ -304,8 +333,8 @@ def slots(sources: DataFrame) -> DataFrame:
 
 def _blocks_of(rows: DataFrame) -> DataFrame:
     """A row for each block that a document with words lies in."""
-    last = F.expr(f"(start + size - 1) div {BLOCK}")
-    return rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), last)))
+    rows = rows.where("size > 0").withColumn("words", block_words(F.col("source_size")))
+    return rows.withColumn("block", F.explode(F.sequence(F.expr("start div words"), F.expr("(start + size - 1) div words"))))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -318,7 +347,7 @@ def mix(docs: DataFrame) -> DataFrame:
     rows, sources = placed(docs)
     rows = cut_lineage(rows)
     uses = slots(sources).groupBy("source_no", "block").agg(F.count("*").alias("uses"))
-    cut = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest(F.col("start"), F.col("block") * BLOCK)
+    cut = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("words")) - F.greatest(F.col("start"), F.col("block") * F.col("words"))
     about = ["doc_id", "source_no", "source_size", "target", "size", "start"]
     parts = _blocks_of(rows).join(uses.hint("merge"), ["source_no", "block"], "left").select(*about, (cut * F.coalesce("uses", F.lit(0))).alias("part"))
     taken = parts.groupBy(*about).agg(F.sum("part").alias("taken"))
@@ -333,8 +362,8 @@ def mixed_blocks(docs: DataFrame) -> DataFrame:
     """
     rows, sources = placed(docs)
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all("text", F.lit(f"({_WORD})"), F.lit(1)).alias("words"))
-    begin = F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0))
-    pieces = _blocks_of(rows).join(words, "doc_id").select("source_no", "block", "start", F.array_join(F.slice("words", (begin + 1).cast("int"), F.least(F.col("size") - begin, (F.col("block") + 1) * BLOCK - F.greatest("start", F.col("block") * BLOCK)).cast("int")), " ").alias("piece"))
+    begin, first = F.greatest(F.col("block") * F.col("length") - F.col("start"), F.lit(0)), F.greatest("start", F.col("block") * F.col("length"))
+    pieces = _blocks_of(rows).withColumnRenamed("words", "length").join(words, "doc_id").select("source_no", "block", "start", F.array_join(F.slice("words", (begin + 1).cast("int"), F.least(F.col("size") - begin, (F.col("block") + 1) * F.col("length") - first).cast("int")), " ").alias("piece"))
     packed = pieces.groupBy("source_no", "block").agg(F.sort_array(F.collect_list(F.struct("start", "piece"))).alias("p"))
     packed = packed.select("source_no", "block", F.array_join(F.col("p.piece"), " ").alias("text"))
     place = F.row_number().over(Window.partitionBy("shard").orderBy("slot", "source_no", "block")) - 1

@@ -95,7 +95,34 @@ def test_mix_in_plain_python(spark):
     assert used == {(r.source_no, r.block): r["count"] for r in mixing.slots(mixing.placed(d)[1]).groupBy("source_no", "block").count().collect()}
     want = {}
     for r in rows.collect():
-        want[r.doc_id] = sum(used[r.source_no, (r.start + i) // mixing.BLOCK] for i in range(r["size"]))
+        want[r.doc_id] = sum(used[r.source_no, (r.start + i) // max(1, min(mixing.BLOCK, r.source_size // mixing.LEAST_BLOCKS))] for i in range(r["size"]))
     assert want == {r.doc_id: r.taken for r in mixing.mix(d).collect()}
     per_shard = mixing.slots(sources=mixing.placed(d)[1]).groupBy("shard").count().collect()
     assert sorted(r["count"] for r in per_shard)[1:] == [mixing.SHARD_SLOTS] * (len(per_shard) - 1)
+
+
+@pytest.mark.parametrize("numbers", [(7, 5, 6), (40, 200, 60), (3, 1000, 500), (200, 3, 150), (1, 1, 1)])
+def test_outward_sums_are_the_distribution(numbers):
+    good, bad, take = numbers
+    whole = math.comb(good + bad, take)
+    mass = collections.Counter(mixing.outward((i + 0.5) / 20_000, good, bad, take, step=16) for i in range(20_000))
+    for k in range(max(0, take - bad), min(good, take) + 1):
+        assert abs(mass[k] / 20_000 - math.comb(good, k) * math.comb(bad, take - k) / whole) < 2e-3
+
+
+def test_small_sources_come_near_their_targets(spark):
+    """Sources of 40 to 300 words, far below a block each, in documents of 1 to 60 words."""
+    rng = np.random.Generator(np.random.PCG64(9))
+    docs, n = [], 0
+    for source, size in enumerate([40, 60, 75, 100, 130, 165, 200, 250, 300]):
+        while size:
+            own = min(size, int(rng.integers(1, 60)))
+            docs.append((n, f"s{source}", "w " * own))
+            n, size = n + 1, size - own
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()
+    taken, target = collections.Counter(), {}
+    for r in rows:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+        assert r.taken <= 2 * r["size"]
+    assert len(target) == 9 and all(abs(taken[s] / target[s] - 1) <= 0.05 for s in target)
