@@ -12,6 +12,10 @@ so a window within the distance keeps a known number of an item's word pairs. A
 at most FILTER_BITS whatever their number, tells which may be one; it never misses a pair. What is left are regions
 of texts with the starts of their windows. Equal regions, such as a passage that a third of all documents share,
 are keyed, joined and checked once. The documents are read once, however many items there are.
+
+Items that share a template have keys in common with each other and with all its uses. In such a key an item is told apart by
+its words that most of the key's items lack: of more than the edits allowed at least one is left in any match, so pairs
+meet on key and such a word; only items within their edits of the template meet all its uses, which they match.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ FILTER_BITS, PAIR_BITS = 1 << 29, 32
 _BLOCK_BITS = 1 << 16
 #: Regions of a task that writes keys or checks pairs, and such tasks at most.
 TASK_REGIONS, MOST_TASKS = 4000, 1 << 15
+#: Items of a key from which pairs must also share a word that tells those items apart.
+HOT_ITEMS = 64
 #: Words of an item from which it is searched for. Items of one word are found exactly too, if asked for: they are in
 #: so many texts that a search for them says little.
 MIN_WORDS = 2
@@ -102,7 +108,7 @@ def repetitions(size: int, most: int, recall: float = RECALL) -> int:
     starts = np.arange(trials) * size
     met = sum(int((walk_keys(np.concatenate(ones), starts, size, r) == walk_keys(np.concatenate(twos), starts, size, r)).sum()) for r in range(seeds))
     trials *= seeds
-    return math.ceil(math.log(1 - recall) / math.log(1 - min(max(met / trials, 0.01), 0.99)))
+    return math.ceil(math.log(1 - recall) / math.log(1 - min(max(met, 1) / trials, 0.99)))
 
 
 @dataclass(frozen=True)
@@ -348,11 +354,32 @@ def _found(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     tasks = max(1, min(MOST_TASKS, regions.count() // TASK_REGIONS))
     one = regions.select("rid", "size", "codes", "starts").dropDuplicates(["rid"]).repartition(tasks, "rid")
     keys = distinct.select("iid", "size", "codes").mapInArrow(item_keys, "key long, iid long").distinct()
-    met = one.mapInArrow(keyed, "key long, rid long, start long").join(keys, "key").groupBy("rid", "iid").agg(F.sort_array(F.collect_set("start")).alias("at"))
+    windows = one.mapInArrow(keyed, "key long, rid long, start long")
+    met = _met(windows, cut_lineage(keys), one, distinct).groupBy("rid", "iid").agg(F.sort_array(F.collect_set("start")).alias("at"))
     pairs = met.join(one.select("rid", "codes"), "rid").join(distinct.select("iid", F.col("codes").alias("item")), "iid")
     return regions, pairs.select("rid", "iid", "at", "codes", "item").mapInArrow(verify, "rid long, iid long, edit_distance long, end long")
 
 
+def _met(windows: DataFrame, keys: DataFrame, regions: DataFrame, items: DataFrame) -> DataFrame:
+    """``rid, iid, start`` of the windows and items that meet on ``key``, less those that cannot match in keys of many items."""
+    hot = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ITEMS))
+    if hot.isEmpty():
+        return windows.join(keys, "key").select("rid", "iid", "start")
+    # the items of a hot key stand as one row until its windows are known
+    few = keys.join(hot.select("key"), "key", "left_anti").unionByName(hot.select("key", F.lit(None).cast("long").alias("iid")))
+    found = written(windows.join(few, "key"))
+    words = keys.join(hot, "key").join(items.select("iid", F.floor(F.size("codes") * EDIT_SHARE + 1e-9).cast("int").alias("edits"), F.array_distinct("codes").alias("codes")), "iid").select("key", "n", "iid", "edits", F.explode("codes").alias("word"))
+    common = words.groupBy("key", "word").agg(F.count("*").alias("held"))
+    own = words.join(common, ["key", "word"]).groupBy("key", "iid", "edits").agg(F.sort_array(F.collect_list(F.when(F.col("held") * 2 <= F.col("n"), F.struct("held", "word")))).alias("own"))
+    # one word more than the edits, the rarest; 0 stands for any text
+    enough = F.when(F.size("own") > F.col("edits"), F.transform(F.slice("own", F.lit(1), F.col("edits") + 1), lambda x: x["word"])).otherwise(F.array(F.lit(0).cast("long")))
+    marked = own.select("key", "iid", F.explode(enough).alias("word"))
+    crowded = found.where("iid is null").select("key", "rid", "start")
+    told = crowded.select("key", "rid").distinct().join(regions.select("rid", "codes"), "rid").select("key", "rid", F.explode(F.array_append(F.array_distinct("codes"), F.lit(0).cast("long"))).alias("word"))
+    pairs = told.join(marked, ["key", "word"]).select("key", "rid", "iid").distinct()
+    return found.where("iid is not null").select("rid", "iid", "start").unionByName(crowded.join(pairs, ["key", "rid"]).select("rid", "iid", "start"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, item_id, n_words, edit_distance, end_word`` for each document and item found in it.
 

@@ -1,0 +1,51 @@
+"""Benchmark items that share a template: no match is lost, and unlike ones do not meet in pairs."""
+
+import random
+import time
+
+import pytest
+
+from loomwright.llm import decontaminate
+
+
+def made(items, docs, shared, tail, seed=1):
+    rng = random.Random(seed)
+    head = " ".join(f"t{i}" for i in range(shared))
+    tails = [" ".join(f"x{rng.randrange(10**6)}" for _ in range(tail)) for _ in range(items)]
+    bench = [(i, f"{head} {t}") for i, t in enumerate(tails)]
+    texts = [(d, f"before {head} " + " ".join(f"y{rng.randrange(10**6)}" for _ in range(12)) + " behind") for d in range(docs)]
+    return bench, texts, head, tails
+
+
+@pytest.mark.parametrize("hot", [3, 64])
+def test_matches_are_those_of_plain_search(spark, monkeypatch, hot):
+    monkeypatch.setattr(decontaminate, "HOT_ITEMS", hot)
+    bench, texts, head, tails = made(120, 40, 17, 9)
+    # items within their edits of the template, edited and exact uses
+    bench += [(500, head + " a b c"), (501, head + " a b c d"), (502, "quite another item of some ten words in a row")]
+    texts += [(100 + i, f"z {head} {tails[i]} q") for i in range(20)] + [(200 + i, f"{head} " + tails[i].replace("x", "x", 1).rsplit(" ", 2)[0] + " other words") for i in range(20)]
+    texts += [(300, "some quite another item of some ten words in a row here"), (301, head), (302, None)]
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.edit_distance, r.end_word) for r in decontaminate.matches(d, b).collect()}
+    codes = decontaminate.item_codes([t for _, t in bench])
+    plain = set()
+    for (doc, _), own in zip(texts, decontaminate.item_codes([t for _, t in texts]), strict=True):
+        for (item, _), c in zip(bench, codes, strict=True):
+            edits, end = decontaminate.edit_distance(c, own)
+            if edits <= decontaminate.allowed(len(c)):
+                plain.add((doc, item, edits))
+    got = {f[:3] for f in found}
+    assert got <= plain and len(got) >= 0.95 * len(plain) and len(plain) > 60
+    exact = {p for p in plain if p[2] == 0}
+    assert exact <= got
+
+
+def test_thousands_of_templated_items_take_no_pairs(spark):
+    bench, texts, head, tails = made(2000, 500, 17, 9)
+    texts.append((900, f"{head} {tails[77]}"))
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    items = decontaminate._items(b, 2)
+    began = time.perf_counter()
+    found = [(r.doc_id, r.item_id) for r in decontaminate.matches(d, b).collect()]
+    assert found == [(900, 77)] and time.perf_counter() - began < 60
+    assert items.count() == 2000
