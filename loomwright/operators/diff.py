@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.columns import tier_name
+from .ordering import cut_lineage, numbered_within
 
 SECTIONS = ("added", "removed", "renamed", "content", "frontmatter", "trust", "added_links", "removed_links", "mended_links", "broken_links")
 DIFF = ("bundle", "section", "segs", "id", "kind", "key", "old", "new")
@@ -42,10 +42,12 @@ def _met(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def renames(met: DataFrame) -> DataFrame:
     """``bundle, id, segs, old_id``: pairs of a removed and an added concept with equal content, in the order of their ids."""
-    number = F.row_number().over(Window.partitionBy("bundle", "content").orderBy("segs"))
-    new = met.where("a_segs is null").select("bundle", "id", F.col("b_segs").alias("segs"), F.col("b_content").alias("content")).withColumn("n", number)
-    old = met.where("b_segs is null").select("bundle", F.col("id").alias("old_id"), F.col("a_segs").alias("segs"), F.col("a_content").alias("content")).withColumn("n", number).drop("segs")
-    return new.join(old, ["bundle", "content", "n"]).select("bundle", "id", "segs", "old_id")
+    met = cut_lineage(met.where("a_segs is null or b_segs is null").select("bundle", "id", "a_segs", "a_content", "b_segs", "b_content"))
+    side = lambda which, other: met.where(f"{other}_segs is null").select(F.struct("bundle", F.col(f"{which}_content").alias("content")).alias("same"), "id", F.col(f"{which}_segs").alias("segs"))
+    # equal contents are numbered by ranges of their order, so very many of them are no single task's
+    new, old = (numbered_within(side(*s), "same", "segs", name="n") for s in (("b", "a"), ("a", "b")))
+    pairs = new.join(old.select(F.col("same").alias("other"), F.col("n").alias("m"), F.col("id").alias("old_id")), (F.col("same") == F.col("other")) & (F.col("n") == F.col("m")))
+    return pairs.select("same.bundle", "id", "segs", "old_id")
 
 
 def _frontmatter() -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import field_paths
 from ..operators import concepts as typed_columns
-from ..operators import diff, graph, indexes, lint, logs, validate
+from ..operators import diff, graph, indexes, lint, logs, strict, validate
 from ..sources.parse import parsed
 
 
@@ -47,6 +47,11 @@ class Bundle:
             if name in self.__dict__:
                 self.__dict__.pop(name).unpersist()
 
+    @cached_property
+    def valid_concepts(self) -> DataFrame:
+        """Concepts, or an error: a file that cannot be read or lacks a required key ends the query that reads them."""
+        return strict.valid_or_fail(typed_columns.typed(strict.parsed_or_fail(self.rows).where("role = 'concept'")))
+
     @cached_property
     def indexes(self) -> DataFrame:
         return self.rows.where("role = 'index'")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns
 from ..operators import concepts as typed_columns
-from ..operators import diff, graph, indexes, lint, logs, validate
+from ..operators import diff, edits, graph, indexes, lint, logs, strict, validate
 from ..operators.ordering import numbered_within
 from ..sources.bundle import written_tree
 from ..streaming import snapshots
@@ -86,6 +86,14 @@ def _forms_in_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.arrivals(spark, [files.where(odd == k) for k in (0, 1)])
 
 
+def _edited(b: Bundle) -> DataFrame:
+    """Every document with a new title, one key renamed, one removed and one set to a list, written out again."""
+    own = edits.rename(edits.entries(), "description", "summary")
+    own = edits.set_value(edits.remove(own, "tags"), "title", edits.value_of(F.concat(F.lit("Title: "), F.regexp_extract("id", r"(\d+)$", 1))))
+    own = edits.set_value(own, "reviewers", edits.value_of(F.array(F.lit("ann"), F.lit("b: ob"), F.element_at("id_segs", 1))))
+    return b.concepts.select("id", F.sha2(edits.document(own), 256).alias("sha"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s1_files_by_role": _query(lambda b: b.rows.groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("n_errors"))),
     "s15_declared_version": _history(lambda b: b.version.select("bundle", "version")),
@@ -158,6 +166,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_log_entries": lambda spark, sf_dir: snapshots.log_table(spark, histories.history_files(spark, sf_dir).where("rel_path = 'log.md'")).groupBy("date_text").agg(F.count("*").alias("n")),
     "stream_concept_types": lambda spark, sf_dir: snapshots.type_table(spark, corpus_files(spark, sf_dir).where("rel_path not rlike '(^|/)(index|log)[.]md$'")).select("type", "n"),
     "s2_tree_load": lambda spark, sf_dir: written_tree(forms.forms_files(spark, sf_dir)).select("rel_path", F.decode("content", "utf-8").alias("content")),
+    "p15_edited_documents": _query(_edited),
+    "f15_document_errors": _query(lambda b: b.concepts.select("id", strict.document_error().alias("error")).where("error is not null")),
     "s2_tree_stream": lambda spark, sf_dir: _forms_in_steps(spark, sf_dir).select("rel_path", F.decode("content", "utf-8").alias("content"), "step"),
     "k7_written_indexes": lambda spark, sf_dir: written_tree(bundle_of(spark, sf_dir).index_texts().withColumn("content", F.encode("content", "utf-8"))).select("rel_path", F.decode("content", "utf-8").alias("content")),
     "k4_written_documents": lambda spark, sf_dir: written_tree(bundle_of(spark, sf_dir).concepts.select("bundle", "rel_path", F.encode("serialized", "utf-8").alias("content"))).select(F.regexp_replace("rel_path", r"\.md$", "").alias("id"), F.sha2("content", 256).alias("sha")),
@@ -263,6 +273,11 @@ _BODY_LINES = [
 ]
 _WRITTEN = f"'---' || {_NL} || concat_ws({_NL}, {', '.join(_FRONT_LINES)}) || {_NL} || '---' || {_NL} || {_NL} || concat_ws({_NL}, {', '.join(_BODY_LINES)}) || {_NL}"
 
+_EDITED = [
+    _FRONT_LINES[0], "CASE WHEN title <> '-' THEN 'title: \"Title: ' || n || '\"' END", _FRONT_LINES[2].replace("'description: '", "'summary: '"), *_FRONT_LINES[4:],
+    "CASE WHEN title = '-' THEN 'title: \"Title: ' || n || '\"' END", f"'reviewers:' || {_NL} || '  - ann' || {_NL} || '  - \"b: ob\"' || {_NL} || '  - d' || (n % 10)",
+]
+
 _FORM_ORACLES: dict[str, str] = {
     "s2_tree_load": "SELECT rel_path, content FROM (" + forms.expected(tuple((v, *f) for v, f in enumerate(forms.FORMS)), "rel_path", "content") + ") UNION ALL SELECT 'index.md', '---\nokf_version: \"0.2\"\n---\n\n# Parts\n'",
     "s2_tree_stream": "SELECT rel_path, content, step FROM (" + forms.expected(tuple((v, *f) for v, f in enumerate(forms.FORMS)), "rel_path", "content").replace("SELECT CASE", "SELECT (d.doc_id % 2)::BIGINT AS step, CASE", 1) + ")",
@@ -277,6 +292,8 @@ _FORM_ORACLES: dict[str, str] = {
 }
 
 _ORACLES: dict[str, str] = {
+    "p15_edited_documents": f"SELECT id, sha256({_WRITTEN.replace(', '.join(_FRONT_LINES), ', '.join(_EDITED))}) AS sha FROM (SELECT a.*, d.text FROM a JOIN documents d ON d.doc_id = a.n)",
+    "f15_document_errors": "SELECT id, 'Missing required frontmatter keys: type' AS error FROM a WHERE n % 53 = 0",
     "s1_files_by_role": "SELECT 'concept' AS role, count(*) AS n, 0::BIGINT AS n_errors FROM a UNION ALL SELECT 'log', 10, 0 UNION ALL SELECT 'index', 1 + count(DISTINCT n % 10), 0 FROM listed",
     "s19_directories": "SELECT '' AS dir, 0::BIGINT AS depth UNION ALL SELECT 'd' || k, 1 FROM logs",
     "o1_path_order": "SELECT id, row_number() OVER (ORDER BY 'd' || (n % 10), 'doc_' || n || '.md') AS seq FROM a",

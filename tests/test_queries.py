@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from loomwright.plans import queries as bundle_queries
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["p1_core_columns", "p9_trust_tiers", "f4_broken_links", "j1_resolve_links", "j2_derivations", "a1_backlinks", "a3_tags", "a5_groups", "a6_summary", "a8_validate_codes", "a8_lint_codes", "l15_orphans", "l16_stale_indexes", "w2_log_problems", "k6_index_texts", "k9_graph_mermaid", "j12_renames", "j13_frontmatter_diff", "x4_link_diff", "k1_serialized", "c2_link_forms", "p16_value_forms", "v1_unreadable_files", "v5_odd_values", "l7_body_forms", "l15_orphan_forms", "k1_written_forms", "d4_latest_instants", "s2_tree_load", "stream_log_entries", "stream_concept_types", "o1_path_order"]
+QUICK = ["p1_core_columns", "p9_trust_tiers", "f4_broken_links", "j1_resolve_links", "j2_derivations", "a1_backlinks", "a3_tags", "a5_groups", "a6_summary", "a8_validate_codes", "a8_lint_codes", "l15_orphans", "l16_stale_indexes", "w2_log_problems", "k6_index_texts", "k9_graph_mermaid", "j12_renames", "j13_frontmatter_diff", "x4_link_diff", "k1_serialized", "c2_link_forms", "p16_value_forms", "v1_unreadable_files", "v5_odd_values", "l7_body_forms", "l15_orphan_forms", "k1_written_forms", "d4_latest_instants", "s2_tree_load", "stream_log_entries", "stream_concept_types", "s2_tree_stream", "k7_written_indexes", "p15_edited_documents", "v17_reserved_files", "s15_declared_version", "k11_log_markdown", "o1_path_order"]
 
 
 def rows(frame):
