@@ -15,7 +15,7 @@ from ..operators import concepts as typed_columns
 from ..operators import diff, edits, graph, indexes, lint, logs, strict, validate
 from ..operators.ordering import numbered_within
 from ..sources.bundle import written_tree
-from ..streaming import snapshots
+from ..streaming import linked, snapshots
 from . import forms, histories, render
 from .bundle import Bundle
 from .corpus import LINK_SPAN, corpus_files
@@ -82,10 +82,30 @@ def _concepts_in_order(b: Bundle) -> DataFrame:
 def _forms_in_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forms of even numbers, then those of odd ones."""
     files = forms.forms_files(spark, sf_dir).where("rel_path <> 'index.md'")
-    odd = F.regexp_extract("rel_path", r"(\d+)(/index)?\.md$", 1).cast("long") % 2
+    odd = F.regexp_extract("rel_path", r"(\d+)(/index)?\.md$", 1).try_cast("long") % 2
     return snapshots.arrivals(spark, [files.where(odd == k) for k in (0, 1)])
 
 
+def _links_in_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of the written bundle when its concepts arrive in three parts."""
+    files = corpus_files(spark, sf_dir).where("rel_path not rlike '(^|/)(index|log)[.]md$'")
+    part = F.regexp_extract("rel_path", r"(\d+)\.md$", 1).try_cast("long") % 3
+    *_, last = linked.linked_steps(spark, [files.where(part == k) for k in range(3)])
+    return last.select("src_id", "seq", "target_id", "exists", "raw")
+
+
+def _late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the events in two parts by time. Of the first part every seventh event is late and comes with the second, which repeats
+    every fifth event of both. A last event, ten years on, closes all sessions and is not one itself."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("long").alias("user_id"))
+    half = events.agg(F.expr("timestamp_seconds(floor((unix_micros(min(ts)) + unix_micros(max(ts))) / 2e6))")).first()[0]
+    first, late, again = F.col("ts") < F.lit(half), F.col("event_id") % 7 == 0, F.col("event_id") % 5 == 0
+    second = events.where(~first | late).unionByName(events.where(again & ~(first & late)))
+    last = events.agg((F.max("event_id") + 1).alias("event_id"), (F.max("ts") + F.expr("interval 10 years")).alias("ts")).withColumn("user_id", F.lit(-1).cast("long"))
+    made = linked.session_table(spark, [events.where(first & ~late), second, last, last.where("false")])
+    return made.select("user_id", F.date_format("began", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("began"), "n")
+
+
 def _edited(b: Bundle) -> DataFrame:
     """Every document with a new title, one key renamed, one removed and one set to a list, written out again."""
     own = edits.rename(edits.entries(), "description", "summary")
@@ -166,6 +186,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_log_entries": lambda spark, sf_dir: snapshots.log_table(spark, histories.history_files(spark, sf_dir).where("rel_path = 'log.md'")).groupBy("date_text").agg(F.count("*").alias("n")),
     "stream_concept_types": lambda spark, sf_dir: snapshots.type_table(spark, corpus_files(spark, sf_dir).where("rel_path not rlike '(^|/)(index|log)[.]md$'")).select("type", "n"),
     "s2_tree_load": lambda spark, sf_dir: written_tree(forms.forms_files(spark, sf_dir)).select("rel_path", F.decode("content", "utf-8").alias("content")),
+    "j1_stream_links": _links_in_steps,
+    "stream_late_sessions": _late_sessions,
     "p15_edited_documents": _query(_edited),
     "f15_document_errors": _query(lambda b: b.concepts.select("id", strict.document_error().alias("error")).where("error is not null")),
     "s2_tree_stream": lambda spark, sf_dir: _forms_in_steps(spark, sf_dir).select("rel_path", F.decode("content", "utf-8").alias("content"), "step"),
@@ -273,6 +295,14 @@ _BODY_LINES = [
 ]
 _WRITTEN = f"'---' || {_NL} || concat_ws({_NL}, {', '.join(_FRONT_LINES)}) || {_NL} || '---' || {_NL} || {_NL} || concat_ws({_NL}, {', '.join(_BODY_LINES)}) || {_NL}"
 
+#: Late rows are those of the first part that the watermark has passed when the second comes.
+_SESSIONS = """WITH e AS (SELECT event_id, ts, user_id FROM events), m AS (SELECT make_timestamp((floor((epoch_us(min(ts)) + epoch_us(max(ts))) / 2e6) * 1000000)::BIGINT) AS half FROM e),
+first AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM e, m WHERE ts < half AND event_id % 7 <> 0),
+kept AS (SELECT e.* FROM e, m, first WHERE ts >= half OR event_id % 7 <> 0 OR ts > mark),
+gaps AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM kept WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM gaps)
+SELECT user_id::BIGINT AS user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS began, count(*) AS n FROM numbered GROUP BY user_id, k"""
+
 _EDITED = [
     _FRONT_LINES[0], "CASE WHEN title <> '-' THEN 'title: \"Title: ' || n || '\"' END", _FRONT_LINES[2].replace("'description: '", "'summary: '"), *_FRONT_LINES[4:],
     "CASE WHEN title = '-' THEN 'title: \"Title: ' || n || '\"' END", f"'reviewers:' || {_NL} || '  - ann' || {_NL} || '  - \"b: ob\"' || {_NL} || '  - d' || (n % 10)",
@@ -373,5 +403,6 @@ def oracle_sql() -> dict[str, str]:
     severity = "sum(n) FILTER (severity = '{}')"
     sums = ", ".join(f"coalesce({severity.format(s)}, 0)::BIGINT AS {s}s" for s in ("error", "warning", "info"))
     totals = f"SELECT {sums}, {severity.format('error')} IS NULL AS conformant FROM ({_ORACLES['a8_validate_codes']})"
-    _ORACLES["k7_written_indexes"], _ORACLES["k4_written_documents"] = _ORACLES["k6_index_texts"], _ORACLES["k1_serialized"]
-    return {"f5_totals": _PRELUDE + totals} | {k: _PRELUDE + extra.get(k, "") + "\n" + v for k, v in _ORACLES.items()} | {k: histories.PRELUDE + v for k, v in histories.ORACLES.items()} | _FORM_ORACLES
+    for name, same in (("k7_written_indexes", "k6_index_texts"), ("k4_written_documents", "k1_serialized"), ("j1_stream_links", "j1_resolve_links")):
+        _ORACLES[name] = _ORACLES[same]
+    return {"f5_totals": _PRELUDE + totals} | {k: _PRELUDE + extra.get(k, "") + "\n" + v for k, v in _ORACLES.items()} | {k: histories.PRELUDE + v for k, v in histories.ORACLES.items()} | _FORM_ORACLES | {"stream_late_sessions": _SESSIONS}

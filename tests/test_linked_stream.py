@@ -1,0 +1,29 @@
+"""Links kept up to date: after each trigger the stream tells what resolving all that has arrived tells."""
+
+from loomwright.plans.bundle import Bundle
+from loomwright.sources.bundle import from_rows
+from loomwright.streaming import linked
+
+
+def note(*targets):
+    return "---\ntype: Note\n---\n\n" + " ".join(f"[x]({t})" for t in targets) + "\n"
+
+
+def test_links_after_each_trigger_are_those_of_all_that_arrived(spark):
+    steps = [
+        [("a.md", note("b.md", "/gone.md", "my%20note.md")), ("d/c.md", note("../a.md", "../late.md"))],
+        [("b.md", note("b.md", "late.md")), *((f"m{i}.md", note("/hub.md", "/late.md")) for i in range(30))],
+        [("my note.md", note())],
+        [("hub.md", note("m3.md", "m99.md"))],
+        [("broken.md", "---\ntype: Note\n"), ("late.md", note("a.md")), ("my%20note.md", note())],
+        [("image.png", b"\x00"), ("index.md", "# Parts\n"), ("m99.md", note("https://example.com", "hub.md#part"))],
+        [("z.md", note("a.md", "nowhere.md"))],
+    ]
+    so_far = []
+    run = linked.linked_steps(spark, [from_rows(spark, s) for s in steps])
+    for step, made in zip(steps, run, strict=True):
+        so_far += step
+        whole = Bundle(from_rows(spark, so_far)).links
+        rows = lambda df: sorted((r.src_id, r.seq, r.target_id, r.exists, r.raw) for r in df.collect())
+        assert rows(made) == rows(whole)
+    assert spark.conf.get(linked._PROVIDER[0], "") != linked._PROVIDER[1]
