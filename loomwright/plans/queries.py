@@ -186,6 +186,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_log_entries": lambda spark, sf_dir: snapshots.log_table(spark, histories.history_files(spark, sf_dir).where("rel_path = 'log.md'")).groupBy("date_text").agg(F.count("*").alias("n")),
     "stream_concept_types": lambda spark, sf_dir: snapshots.type_table(spark, corpus_files(spark, sf_dir).where("rel_path not rlike '(^|/)(index|log)[.]md$'")).select("type", "n"),
     "s2_tree_load": lambda spark, sf_dir: written_tree(forms.forms_files(spark, sf_dir)).select("rel_path", F.decode("content", "utf-8").alias("content")),
+    "f13_segments": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("n"), F.coalesce(F.array_join(columns.valid_id(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 12)), "|"), F.lit("-")).alias("steps")),
+    "d2_epoch_days": _query(lambda b: b.rows.where("role = 'concept'").select("id", F.try_element_at("node", F.lit("stale_after"))["moment"]["day"].cast("long").alias("day")).where("day is not null")),
+    "k14_moment_texts": _form(lambda b: b.concepts.select("id", F.posexplode("verified").alias("seq", "v")).select("id", _long("seq").alias("seq"), F.col("v.moment.text").alias("shown"))),
+    "s18_index_rows": _form(lambda b: indexes.file_rows(b.rows).select(F.regexp_replace(F.concat_ws("/", "dir", "name"), r"\.md$", "").alias("id"), "type")),
+    "p4_usage_windows": _form(lambda b: b.concepts.where("usage_window is not null").select("id", F.col("usage_window.from.raw").alias("since"), F.col("usage_window.to.raw").alias("until"))),
+    "o5_directory_order": _form(lambda b: numbered_within(indexes.directories(b.files).withColumn("up", -F.col("depth")), "bundle", "up", "dir_segs").select("dir", (F.col("number") + 1).alias("seq"))),
     "j1_stream_links": _links_in_steps,
     "stream_late_sessions": _late_sessions,
     "p15_edited_documents": _query(_edited),
@@ -295,6 +301,9 @@ _BODY_LINES = [
 ]
 _WRITTEN = f"'---' || {_NL} || concat_ws({_NL}, {', '.join(_FRONT_LINES)}) || {_NL} || '---' || {_NL} || {_NL} || concat_ws({_NL}, {', '.join(_BODY_LINES)}) || {_NL}"
 
+_SEGMENTS = r"""SELECT doc_id::BIGINT AS n, CASE WHEN len(list_filter(s, lambda x: x IN ('', '.', '..') OR regexp_matches(x, '[/\\]|\p{Cc}'))) > 0 THEN '-' ELSE array_to_string(s, '|') END AS steps
+FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ')[1:12] AS s FROM documents)"""
+
 #: Late rows are those of the first part that the watermark has passed when the second comes.
 _SESSIONS = """WITH e AS (SELECT event_id, ts, user_id FROM events), m AS (SELECT make_timestamp((floor((epoch_us(min(ts)) + epoch_us(max(ts))) / 2e6) * 1000000)::BIGINT) AS half FROM e),
 first AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM e, m WHERE ts < half AND event_id % 7 <> 0),
@@ -311,6 +320,12 @@ _EDITED = [
 _FORM_ORACLES: dict[str, str] = {
     "s2_tree_load": "SELECT rel_path, content FROM (" + forms.expected(tuple((v, *f) for v, f in enumerate(forms.FORMS)), "rel_path", "content") + ") UNION ALL SELECT 'index.md', '---\nokf_version: \"0.2\"\n---\n\n# Parts\n'",
     "s2_tree_stream": "SELECT rel_path, content, step FROM (" + forms.expected(tuple((v, *f) for v, f in enumerate(forms.FORMS)), "rel_path", "content").replace("SELECT CASE", "SELECT (d.doc_id % 2)::BIGINT AS step, CASE", 1) + ")",
+    "k14_moment_texts": forms.expected(((16, 0, "2026-06-20T09:00:00+02:00"), (16, 1, "2026-06-20T07:30:00Z"), (16, 2, "2026-06-20T06:59:59.5Z")), "seq", "shown").replace('e."seq"', 'e."seq"::BIGINT AS "seq"'),
+    "s18_index_rows": forms.expected(tuple((v, "Note") for v in range(len(forms.FORMS)) if v != 25 and v not in {b[0] for b in forms.BROKEN}), "type"),
+    "p4_usage_windows": forms.expected(((21, "2026-01-01", "2026-02-01"), (30, "soon", "later{n}")), "since", "until"),
+    "o5_directory_order": f"""SELECT dir, row_number() OVER (ORDER BY -depth, dir) AS seq FROM (SELECT DISTINCT dir, CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END AS depth FROM (
+        SELECT '' AS dir UNION ALL SELECT 'v' || (doc_id % {len(forms.FORMS)}) FROM documents UNION ALL SELECT 'v25/n' || doc_id FROM documents WHERE doc_id % {len(forms.FORMS)} = 25
+        UNION ALL SELECT unnest(['v8/a', 'v8/a/b', 'v8/a/b/c']) FROM documents WHERE doc_id % {len(forms.FORMS)} = 8))""",
     "c2_link_forms": forms.expected(forms.LINKS, "seq", "text", "raw", "target", "exists").replace('e."seq"', 'e."seq"::BIGINT AS "seq"'),
     "p16_value_forms": forms.expected(forms.VALUES, "title", "description", "tags"),
     "v1_unreadable_files": forms.expected(forms.BROKEN, "path", "message"),
@@ -322,6 +337,7 @@ _FORM_ORACLES: dict[str, str] = {
 }
 
 _ORACLES: dict[str, str] = {
+    "d2_epoch_days": "SELECT id, datediff('day', DATE '1970-01-01', CAST(effective AS DATE))::BIGINT AS day FROM a WHERE effective <> '-'",
     "p15_edited_documents": f"SELECT id, sha256({_WRITTEN.replace(', '.join(_FRONT_LINES), ', '.join(_EDITED))}) AS sha FROM (SELECT a.*, d.text FROM a JOIN documents d ON d.doc_id = a.n)",
     "f15_document_errors": "SELECT id, 'Missing required frontmatter keys: type' AS error FROM a WHERE n % 53 = 0",
     "s1_files_by_role": "SELECT 'concept' AS role, count(*) AS n, 0::BIGINT AS n_errors FROM a UNION ALL SELECT 'log', 10, 0 UNION ALL SELECT 'index', 1 + count(DISTINCT n % 10), 0 FROM listed",
@@ -405,4 +421,4 @@ def oracle_sql() -> dict[str, str]:
     totals = f"SELECT {sums}, {severity.format('error')} IS NULL AS conformant FROM ({_ORACLES['a8_validate_codes']})"
     for name, same in (("k7_written_indexes", "k6_index_texts"), ("k4_written_documents", "k1_serialized"), ("j1_stream_links", "j1_resolve_links")):
         _ORACLES[name] = _ORACLES[same]
-    return {"f5_totals": _PRELUDE + totals} | {k: _PRELUDE + extra.get(k, "") + "\n" + v for k, v in _ORACLES.items()} | {k: histories.PRELUDE + v for k, v in histories.ORACLES.items()} | _FORM_ORACLES | {"stream_late_sessions": _SESSIONS}
+    return {"f5_totals": _PRELUDE + totals} | {k: _PRELUDE + extra.get(k, "") + "\n" + v for k, v in _ORACLES.items()} | {k: histories.PRELUDE + v for k, v in histories.ORACLES.items()} | _FORM_ORACLES | {"stream_late_sessions": _SESSIONS, "f13_segments": _SEGMENTS}
