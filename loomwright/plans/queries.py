@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import columns
 from ..operators import concepts as typed_columns
 from ..operators import diff, edits, graph, indexes, lint, logs, strict, validate
-from ..operators.ordering import numbered_within
+from ..operators.ordering import numbered_within, shared_folder
 from ..sources.bundle import written_tree
 from ..streaming import linked, snapshots
 from . import forms, histories, render
@@ -106,6 +106,13 @@ def _late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("user_id", F.date_format("began", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("began"), "n")
 
 
+def _graph_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and digest of the graph as one JSON file."""
+    path = f"{shared_folder(spark, 'graph')}/graph.json"
+    render.write_graph_json(bundle_of(spark, sf_dir), path, True)
+    return spark.read.format("binaryFile").load(path).select(F.col("length").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha"))
+
+
 def _edited(b: Bundle) -> DataFrame:
     """Every document with a new title, one key renamed, one removed and one set to a list, written out again."""
     own = edits.rename(edits.entries(), "description", "summary")
@@ -192,6 +199,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s18_index_rows": _form(lambda b: indexes.file_rows(b.rows).select(F.regexp_replace(F.concat_ws("/", "dir", "name"), r"\.md$", "").alias("id"), "type")),
     "p4_usage_windows": _form(lambda b: b.concepts.where("usage_window is not null").select("id", F.col("usage_window.from.raw").alias("since"), F.col("usage_window.to.raw").alias("until"))),
     "o5_directory_order": _form(lambda b: numbered_within(indexes.directories(b.files).withColumn("up", -F.col("depth")), "bundle", "up", "dir_segs").select("dir", (F.col("number") + 1).alias("seq"))),
+    "k10_graph_file": _graph_file,
     "j1_stream_links": _links_in_steps,
     "stream_late_sessions": _late_sessions,
     "p15_edited_documents": _query(_edited),
@@ -337,6 +345,10 @@ _FORM_ORACLES: dict[str, str] = {
 }
 
 _ORACLES: dict[str, str] = {
+    "k10_graph_file": """SELECT strlen(t)::BIGINT AS n_bytes, sha256(t) AS sha FROM (SELECT '{' || chr(10) || '  "concepts": [' || chr(10) || string_agg(block, ',' || chr(10) ORDER BY 'd' || (n % 10), 'doc_' || n || '.md') || chr(10) || '  ]' || chr(10) || '}' || chr(10) AS t FROM (
+        SELECT a.n, '    {' || chr(10) || '      "id": "' || a.id || '",' || chr(10) || '      "links": [' || chr(10) || string_agg('        {' || chr(10) || '          "target": "' || l.target || '",' || chr(10) || '          "exists": ' || l.ok || ',' || chr(10) || '          "text": "' ||
+        CASE WHEN l.raw LIKE '/gone/%' THEN 'gone' WHEN l.raw LIKE '/%' THEN 'next' WHEN l.raw LIKE '../%' THEN 'peer' ELSE 'me' END || '",' || chr(10) || '          "raw": "' || l.raw || '"' || chr(10) || '        }', ',' || chr(10) ORDER BY l.seq) || chr(10) || '      ],' || chr(10) || '      "sources": [' || coalesce('"' || max(d.concept_id) || '"', '') || ']' || chr(10) || '    }' AS block
+        FROM a JOIN links l ON l.src_id = a.id LEFT JOIN derived d ON d.src_id = a.id GROUP BY a.n, a.id))""",
     "d2_epoch_days": "SELECT id, datediff('day', DATE '1970-01-01', CAST(effective AS DATE))::BIGINT AS day FROM a WHERE effective <> '-'",
     "p15_edited_documents": f"SELECT id, sha256({_WRITTEN.replace(', '.join(_FRONT_LINES), ', '.join(_EDITED))}) AS sha FROM (SELECT a.*, d.text FROM a JOIN documents d ON d.doc_id = a.n)",
     "f15_document_errors": "SELECT id, 'Missing required frontmatter keys: type' AS error FROM a WHERE n % 53 = 0",

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..operators.ordering import numbered_within
+from ..sources.joined import write_joined
 from .bundle import Bundle
 
 _SECTION = r"§[0-9]+(?:\.[0-9]+)*"
@@ -81,21 +82,51 @@ def graph_rows(bundle: Bundle, sources: bool = False) -> DataFrame:
     return rows.join(made, ["bundle", "id"], "left")
 
 
-def _json(text: str) -> str:
-    return json.dumps(text, ensure_ascii=False).replace("\x7f", "\x7f")
+# Characters that JSON writes by a name (fixed values).
+_NAMED = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+
+
+def _json(text: Column) -> Column:
+    """A text as JSON writes it: quotes, backslashes and control characters escaped, all else as it is."""
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    rare = plain
+    for c in map(chr, range(32)):
+        rare = F.replace(rare, F.lit(c), F.lit(_NAMED.get(c, f"\\u{ord(c):04x}")))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), rare).otherwise(plain), F.lit('"'))
+
+
+def graph_json_blocks(bundle: Bundle, sources: bool = False) -> DataFrame:
+    """``bundle, path_segs, block``: the JSON text of each concept in a fixed layout."""
+    link = lambda k: F.concat(F.lit('        {\n          "target": '), _json(k["target"]), F.lit(',\n          "exists": '), k["exists"].cast("string"), F.lit(',\n          "text": '), _json(k["text"]), F.lit(',\n          "raw": '), _json(k["raw"]), F.lit("\n        }"))
+    shown = F.when(F.coalesce(F.size("links"), F.lit(0)) > 0, F.concat(F.lit("[\n"), F.array_join(F.transform("links", link), ",\n"), F.lit("\n      ]"))).otherwise("[]")
+    own = F.array_join(F.transform(F.coalesce("sources", F.array().cast("array<string>")), _json), ", ")
+    block = F.concat(F.lit('    {\n      "id": '), _json(F.col("id")), F.lit(',\n      "links": '), shown, F.lit(',\n      "sources": ['), own, F.lit("]\n    }"))
+    return graph_rows(bundle, sources).select("bundle", "path_segs", block.alias("block"))
+
+
+_JSON_HEAD, _JSON_TAIL = '{\n  "concepts": [\n', "  ]\n}\n"
 
 
 def graph_json(bundle: Bundle, sources: bool = False) -> str:
-    """The same as one JSON text in a fixed layout."""
-    blocks = []
-    for r in graph_rows(bundle, sources).orderBy("bundle", "path_segs").toLocalIterator():
-        links = ",\n".join(
-            f'        {{\n          "target": {_json(k.target)},\n          "exists": {str(k.exists).lower()},\n          "text": {_json(k.text)},\n          "raw": {_json(k.raw)}\n        }}'
-            for k in r.links or []
-        )
-        shown = f"[\n{links}\n      ]" if links else "[]"
-        blocks.append(f'    {{\n      "id": {_json(r.id)},\n      "links": {shown},\n      "sources": [{", ".join(map(_json, r.sources or []))}]\n    }}')
-    return '{\n  "concepts": [\n' + ",\n".join(blocks) + ("\n" if blocks else "") + "  ]\n}\n"
+    """The same of a small bundle as one JSON text."""
+    return "".join(graph_json_pieces(bundle, sources))
+
+
+def graph_json_pieces(bundle: Bundle, sources: bool = False) -> Iterator[str]:
+    """The pieces of that text, a concept at a time."""
+    yield _JSON_HEAD
+    first = True
+    for r in graph_json_blocks(bundle, sources).orderBy("bundle", "path_segs").toLocalIterator():
+        yield r.block if first else ",\n" + r.block
+        first = False
+    yield _JSON_TAIL if first else "\n" + _JSON_TAIL
+
+
+def write_graph_json(bundle: Bundle, path: str, sources: bool = False) -> None:
+    """The same as a file, written by tasks."""
+    blocks = graph_json_blocks(bundle, sources)
+    some = not bundle.concepts.isEmpty()
+    write_joined(blocks, "block", "bundle", "path_segs", path=path, head=_JSON_HEAD, between=",\n", tail="\n" + _JSON_TAIL if some else _JSON_TAIL)
 
 
 def event_text(event) -> str:
