@@ -16,7 +16,7 @@ from ..operators import diff, edits, graph, indexes, lint, logs, strict, validat
 from ..operators.ordering import numbered_within, shared_folder
 from ..sources.bundle import written_tree
 from ..streaming import linked, snapshots
-from . import forms, histories, render
+from . import forms, histories, render, tables
 from .bundle import Bundle
 from .corpus import LINK_SPAN, corpus_files
 
@@ -106,6 +106,20 @@ def _late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("user_id", F.date_format("began", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("began"), "n")
 
 
+def _loaded_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of the later snapshot from tables that were refreshed from those of the first."""
+    home = shared_folder(spark, "tables")
+    first = tables.save(bundle_of(spark, sf_dir), f"{home}/first")
+    later = first.refreshed(corpus_files(spark, sf_dir, True), f"{home}/later")
+    return later.links().select("src_id", _long("seq").alias("seq"), "target_id", "exists", "raw")
+
+
+def _changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that a refresh from the first snapshot to the later one has to parse."""
+    saved = tables.save(bundle_of(spark, sf_dir), f"{shared_folder(spark, 'tables')}/first")
+    return saved.changed(corpus_files(spark, sf_dir, True)).select("rel_path")
+
+
 def _graph_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and digest of the graph as one JSON file."""
     path = f"{shared_folder(spark, 'graph')}/graph.json"
@@ -200,6 +214,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_usage_windows": _form(lambda b: b.concepts.where("usage_window is not null").select("id", F.col("usage_window.from.raw").alias("since"), F.col("usage_window.to.raw").alias("until"))),
     "o5_directory_order": _form(lambda b: numbered_within(indexes.directories(b.files).withColumn("up", -F.col("depth")), "bundle", "up", "dir_segs").select("dir", (F.col("number") + 1).alias("seq"))),
     "k10_graph_file": _graph_file,
+    "j1_loaded_tables": _loaded_links,
+    "s4_changed_files": _changed_files,
     "j1_stream_links": _links_in_steps,
     "stream_late_sessions": _late_sessions,
     "p15_edited_documents": _query(_edited),
@@ -345,6 +361,8 @@ _FORM_ORACLES: dict[str, str] = {
 }
 
 _ORACLES: dict[str, str] = {
+    "j1_loaded_tables": "SELECT src_id, seq::BIGINT AS seq, target AS target_id, n2.id IS NOT NULL AS \"exists\", raw FROM links_b l LEFT JOIN b n2 ON n2.id = l.target",
+    "s4_changed_files": "SELECT id || '.md' AS rel_path FROM b WHERE n % 50 BETWEEN 1 AND 4 UNION ALL SELECT 'd0/index.md' WHERE EXISTS (SELECT 1 FROM listed WHERE n % 50 = 0)",
     "k10_graph_file": """SELECT strlen(t)::BIGINT AS n_bytes, sha256(t) AS sha FROM (SELECT '{' || chr(10) || '  "concepts": [' || chr(10) || string_agg(block, ',' || chr(10) ORDER BY 'd' || (n % 10), 'doc_' || n || '.md') || chr(10) || '  ]' || chr(10) || '}' || chr(10) AS t FROM (
         SELECT a.n, '    {' || chr(10) || '      "id": "' || a.id || '",' || chr(10) || '      "links": [' || chr(10) || string_agg('        {' || chr(10) || '          "target": "' || l.target || '",' || chr(10) || '          "exists": ' || l.ok || ',' || chr(10) || '          "text": "' ||
         CASE WHEN l.raw LIKE '/gone/%' THEN 'gone' WHEN l.raw LIKE '/%' THEN 'next' WHEN l.raw LIKE '../%' THEN 'peer' ELSE 'me' END || '",' || chr(10) || '          "raw": "' || l.raw || '"' || chr(10) || '        }', ',' || chr(10) ORDER BY l.seq) || chr(10) || '      ],' || chr(10) || '      "sources": [' || coalesce('"' || max(d.concept_id) || '"', '') || ']' || chr(10) || '    }' AS block
