@@ -48,7 +48,7 @@ def test_stages(spark, tmp_path):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_substring_matches_its_sql(spark):
