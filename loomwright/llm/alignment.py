@@ -28,11 +28,11 @@ from .bpe import _PLAIN, byte_letters
 from .common import byte_values, written
 
 #: Bytes of text in a block (a row counts as some more), of a dense stripe, and pairs that a task scores at most, beside one block's.
-BLOCK_BYTES, ROW_BYTES = 32 << 20, 256
+BLOCK_BYTES, ROW_BYTES = 16 << 20, 256
 STRIPE_BYTES = 64 << 20
 TASK_PAIRS = 8 << 20
 #: Bytes of text whose tokens are linked at once, and pairs that are written out at once.
-_SLICE_BYTES, _SLICE_PAIRS = 4 << 20, 4 << 20
+_SLICE_BYTES, _SLICE_PAIRS = 1 << 20, 1 << 20
 # The public pattern that splits texts before byte-level merges (fixed value).
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
