@@ -459,8 +459,10 @@ def _nests(value) -> bool:
 
 
 def _bracketed(value) -> str:
+    """A value in brackets; texts in it are quoted too where they hold what brackets mean something by."""
+    within = lambda v: _quote(v) if isinstance(v, str) and not (_safe(v) and not re.search(r"[,\[\]{}]", v)) else _bracketed(v)
     if isinstance(value, list) and value:
-        return "[" + ", ".join(_bracketed(v) if not isinstance(v, str) else (v if _safe(v) and not re.search(r"[,\[\]{}]", v) else _quote(v)) for v in value) + "]"
+        return "[" + ", ".join(map(within, value)) + "]"
     if isinstance(value, Pairs) and value.items:
-        return "{" + ", ".join(f"{_bracketed(k)}: {_bracketed(v)}" for k, v in value.items) + "}"
+        return "{" + ", ".join(f"{within(k)}: {within(v)}" for k, v in value.items) + "}"
     return inline(value)

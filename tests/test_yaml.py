@@ -93,3 +93,9 @@ def test_any_text_reads_or_fails_cleanly(text):
         y.parse(text)
     except y.YamlError as e:
         assert e.line >= 1
+
+
+def test_keys_and_texts_in_brackets_read_back():
+    for key in ("0}", "a]", "{", "x, y", "[z"):
+        value = y.Pairs([("k", [[y.Pairs([(key, None), ("b", key)])], [key]])])
+        assert y.parse(y.emit(value)) == value
