@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,15 +29,19 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is worked out a single time, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 # --- links and paths
 
 
 def link_kind(target: Column) -> Column:
-    t = trimmed(target)
-    return (
+    return once(trimmed(target), lambda t: (
         F.when(t == "", "other").when(t.startswith("#"), "anchor").when(t.rlike(r"^(//|[A-Za-z][A-Za-z0-9+.\-]*:)"), "external")
         .when(t.startswith("/"), "absolute").otherwise("relative")
-    )
+    ))
 
 
 def without_anchor(target: Column) -> Column:
@@ -71,7 +77,7 @@ def link_ids(target: Column, kind: Column, source: Column) -> Column:
     """Ids that a link target can mean when read as it stands: none or one, as an array."""
     base = F.when(kind == "absolute", F.array().cast("array<string>")).otherwise(parent(source))
     reads = kind.isin("absolute", "relative") & ~target.endswith("/") & ((kind == "absolute") | (target != ""))
-    return F.when(reads, valid_id(without_md(segments(target, base))))
+    return F.when(reads, once(segments(target, base), lambda s: once(without_md(s), valid_id)))
 
 
 def field_paths(raw: Column, source: Column) -> Column:

@@ -5,21 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import field_paths, link_ids, link_kind, valid_id, without_anchor
+from ..functions.columns import field_paths, link_ids, link_kind, once, valid_id, without_anchor
 
 
 def raw_links(concepts: DataFrame) -> DataFrame:
     """``bundle, src_id, src_segs, src_path, seq, text, raw, kind, candidates``: a row for each inline link."""
     each = concepts.select("bundle", F.col("id").alias("src_id"), F.col("id_segs").alias("src_segs"), F.col("path_segs").alias("src_path"), F.posexplode("links").alias("seq", "link"))
-    kind = link_kind(F.col("link.raw"))
-    plain = link_ids(without_anchor(F.col("link.raw")), kind, F.col("src_segs"))
-    decoded = F.when(F.col("link.decoded").isNotNull(), link_ids(F.col("link.decoded"), kind, F.col("src_segs")))
     return each.select(
-        "bundle", "src_id", "src_segs", "src_path", "seq", F.col("link.text").alias("text"), F.col("link.raw").alias("raw"), kind.alias("kind"),
-        F.array_distinct(F.array_compact(F.array(plain, decoded))).alias("candidates"),
+        "bundle", "src_id", "src_segs", "src_path", "seq", F.col("link.text").alias("text"), F.col("link.raw").alias("raw"), link_kind(F.col("link.raw")).alias("kind"),
+        _readings(F.col("src_segs")).alias("candidates"),
     )
 
 
+def _readings(source: Column) -> Column:
+    """The ids that ``link`` of a file can mean, the plain reading first."""
+
+    def read(kind: Column) -> Column:
+        plain = link_ids(without_anchor(F.col("link.raw")), kind, source)
+        decoded = F.when(F.col("link.decoded").isNotNull(), link_ids(F.col("link.decoded"), kind, source))
+        return F.array_distinct(F.array_compact(F.array(plain, decoded)))
+
+    return once(link_kind(F.col("link.raw")), read)
+
+
 def ids(concepts: DataFrame) -> DataFrame:
     return concepts.select("bundle", "id").distinct()
 
@@ -118,8 +126,4 @@ def index_listings(indexes: DataFrame) -> DataFrame:
         F.transform("path_segs", lambda s, i: F.when(i == F.size("path_segs") - 1, F.regexp_replace(s, r"\.md$", "")).otherwise(s)).alias("id_segs"), F.lit("").alias("id"),
     )
     raw = at.select("bundle", "rel_path", "path_segs", "dir_segs", "id_segs", F.explode("links").alias("link"))
-    kind = link_kind(F.col("link.raw"))
-    plain = link_ids(without_anchor(F.col("link.raw")), kind, F.col("id_segs"))
-    decoded = F.when(F.col("link.decoded").isNotNull(), link_ids(F.col("link.decoded"), kind, F.col("id_segs")))
-    ways = F.array_distinct(F.array_compact(F.array(plain, decoded)))
-    return raw.select("bundle", "rel_path", "path_segs", "dir_segs", F.col("link.raw").alias("raw"), F.explode(ways).alias("target_segs")).withColumn("target_id", F.array_join("target_segs", "/"))
+    return raw.select("bundle", "rel_path", "path_segs", "dir_segs", F.col("link.raw").alias("raw"), F.explode(_readings(F.col("id_segs"))).alias("target_segs")).withColumn("target_id", F.array_join("target_segs", "/"))
