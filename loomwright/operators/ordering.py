@@ -34,13 +34,19 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     """``df`` as a Parquet table of its own in the checkpoint folder: for tables that are too large to be kept row by row."""
-    folder = shared_folder(df.sparkSession, "table")
+    folder = folder or shared_folder(df.sparkSession, "table")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that ``written`` made, on whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered_within(df: DataFrame, by: str, *order, name: str = "number") -> DataFrame:
     """The same within each value of ``by``, which need not fit one task either."""
     every = cut_lineage(numbered(df, by, *order, name="_place"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import field_paths
 from ..operators import concepts as typed_columns
 from ..operators import diff, graph, indexes, lint, logs, strict, validate
-from ..sources.parse import parsed
+from ..operators.ordering import removed, shared_folder, written
+from ..sources.parse import digest, parsed, with_serialized
 
 
 class UnreadableConcept(ValueError):
@@ -20,18 +21,24 @@ class UnreadableConcept(ValueError):
 class Bundle:
     """All tables of one or many bundles, from rows of ``bundle, rel_path, content``.
 
-    The parsed rows, the typed concepts and the resolved links are persisted: every report reads them several
-    times. Everything else is planned from them on demand. ``release`` lets go of them.
+    The parsed rows and the links before they are resolved are written to the checkpoint folder, so that a report reads
+    the columns it needs, and the resolved links are persisted. Everything else is planned from them on demand.
+    ``release`` lets go of them.
     """
 
     def __init__(self, files: DataFrame, strict: bool = False) -> None:
         self.files = files
         self.strict = strict
+        self._folders: list[str] = []
+
+    def _written(self, df: DataFrame) -> DataFrame:
+        self._folders.append(shared_folder(df.sparkSession, "bundle"))
+        return written(df, self._folders[-1])
 
     @cached_property
     def rows(self) -> DataFrame:
-        """Every markdown file, parsed."""
-        rows = parsed(self.files).persist()
+        """Every markdown file, parsed, with the digest of its content."""
+        rows = with_serialized(self._written(parsed(self.files.withColumn("digest", digest()), keep="digest string").drop("serialized")))
         if self.strict:
             bad = rows.where("role = 'concept' and not utf8_ok").orderBy("bundle", "path_segs").limit(1).collect()
             if bad:
@@ -40,12 +47,17 @@ class Bundle:
 
     @cached_property
     def concepts(self) -> DataFrame:
-        return typed_columns.typed(self.rows.where("role = 'concept' and error is null")).persist()
-
-    def release(self) -> None:
-        for name in ("rows", "concepts", "links"):
-            if name in self.__dict__:
-                self.__dict__.pop(name).unpersist()
+        return typed_columns.typed(self.rows.where("role = 'concept' and error is null"))
+
+    def release(self, keep: bool = False) -> None:
+        """Let go of links and of written tables, or with ``keep`` of links alone, where frames that read the tables may be left."""
+        if "links" in self.__dict__:
+            self.links.unpersist()
+        if not keep:
+            for name in ("rows", "concepts", "valid_concepts", "indexes", "logs", "parse_errors", "links", "sources", "contracts", "attributions", "version"):
+                self.__dict__.pop(name, None)
+            while self._folders:
+                removed(self.files.sparkSession, self._folders.pop())
 
     @cached_property
     def valid_concepts(self) -> DataFrame:
@@ -66,7 +78,7 @@ class Bundle:
 
     @cached_property
     def links(self) -> DataFrame:
-        return graph.links(graph.raw_links(self.concepts), self.concepts).persist()
+        return graph.links(self._written(graph.raw_links(self.concepts)), self.concepts).persist()
 
     @cached_property
     def sources(self) -> DataFrame:

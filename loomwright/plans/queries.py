@@ -30,7 +30,7 @@ def _kept(spark: SparkSession, sf_dir: str, what: str, files: Callable[[], DataF
     for key in [k for k in _bundles if k[:2] != home]:
         old = _bundles.pop(key)
         if key[0] == home[0]:
-            old.release()
+            old.release(keep=True)
     if (*home, what) not in _bundles:
         _bundles[(*home, what)] = Bundle(files())
     return _bundles[(*home, what)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..sources.parse import parsed
+from ..sources.parse import digest, parsed
 from .bundle import Bundle
 
 #: Buckets of ids and links; more for larger bundles, and the same for both.
@@ -17,10 +17,6 @@ _IDS = "bundle string, id string"
 _LINKS = "bundle string, target_id string, src_id string, seq int, raw string"
 
 
-def _digest() -> F.Column:
-    return F.sha2(F.coalesce("content", F.lit(b"")), 256).alias("digest")
-
-
 class BundleTables:
     """What ``save`` wrote at ``path``. Buckets are part of the tables' definitions, which are made anew in each session; the files stay."""
 
@@ -68,11 +64,11 @@ class BundleTables:
 
     def changed(self, files: DataFrame) -> DataFrame:
         """Those of ``files`` that are new or whose content is not the one that was parsed."""
-        return files.withColumn("digest", _digest()).join(self.rows.select("bundle", "rel_path", "digest"), ["bundle", "rel_path", "digest"], "left_anti")
+        return files.withColumn("digest", digest()).join(self.rows.select("bundle", "rel_path", "digest"), ["bundle", "rel_path", "digest"], "left_anti")
 
     def refreshed(self, files: DataFrame, path: str) -> BundleTables:
         """Tables of ``files`` at another ``path``, for which only changed files are parsed."""
-        now = files.where(F.element_at(F.split("rel_path", "/"), -1).rlike(r"(?s).\.md\z")).select("bundle", "rel_path", _digest())
+        now = files.where(F.element_at(F.split("rel_path", "/"), -1).rlike(r"(?s).\.md\z")).select("bundle", "rel_path", digest())
         kept = self.rows.join(now, ["bundle", "rel_path", "digest"], "left_semi")
         new = parsed(self.changed(files), keep="digest string")
         return _written(self.spark, kept.unionByName(new), path, self.buckets)
@@ -80,8 +76,7 @@ class BundleTables:
 
 def save(bundle: Bundle, path: str, buckets: int = BUCKETS) -> BundleTables:
     """The tables of a bundle, to be read by ``BundleTables`` in any session."""
-    digests = bundle.files.select("bundle", "rel_path", _digest())
-    return _written(bundle.files.sparkSession, bundle.rows.join(digests, ["bundle", "rel_path"]), path, buckets)
+    return _written(bundle.files.sparkSession, bundle.rows, path, buckets)
 
 
 def _written(spark: SparkSession, rows: DataFrame, path: str, buckets: int) -> BundleTables:

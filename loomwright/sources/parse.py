@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, markdown
@@ -18,7 +18,7 @@ PARSED = (
     "node map<string,struct<kind:string,text:string,empty:boolean,n:int,day:int,moment:struct<day:int,has_time:boolean,second:long,nano:int,text:string>>>, "
     "links array<struct<text:string,raw:string,decoded:string>>, refs array<struct<label:string,line:int>>, "
     "defs array<struct<label:string,text:string,line:int>>, citations array<struct<number:long,text:string,target:string,raw:string>>, "
-    "inline struct<code:string,language:string,fenced:boolean>, serialized string"
+    "inline struct<code:string,language:string,fenced:boolean>, front string"
 )
 
 
@@ -31,7 +31,7 @@ _BATCH = pa.schema({
     "node": pa.map_(_TEXT, pa.struct({"kind": _TEXT, "text": _TEXT, "empty": _FLAG, "n": _INT, "day": _INT, "moment": _MOMENT})),
     "links": pa.list_(pa.struct({"text": _TEXT, "raw": _TEXT, "decoded": _TEXT})), "refs": pa.list_(pa.struct({"label": _TEXT, "line": _INT})),
     "defs": pa.list_(pa.struct({"label": _TEXT, "text": _TEXT, "line": _INT})), "citations": pa.list_(pa.struct({"number": _LONG, "text": _TEXT, "target": _TEXT, "raw": _TEXT})),
-    "inline": pa.struct({"code": _TEXT, "language": _TEXT, "fenced": _FLAG}), "serialized": _TEXT,
+    "inline": pa.struct({"code": _TEXT, "language": _TEXT, "fenced": _FLAG}), "front": _TEXT,
 })
 
 
@@ -53,9 +53,15 @@ def _has_nan(value) -> bool:
     return any(map(_has_nan, value)) if isinstance(value, list) else value != value
 
 
-def serialized(pairs: yaml.Pairs, body: str) -> str:
+def serialized(front: str, body: str) -> str:
     """A document written back in its normal form."""
-    return f"---\n{yaml.emit(pairs).rstrip()}\n---\n\n{body}" + ("" if body.endswith("\n") else "\n")
+    return f"---\n{front}\n---\n\n{body}" + ("" if body.endswith("\n") else "\n")
+
+
+def with_serialized(rows: DataFrame) -> DataFrame:
+    """The same of parsed rows: bodies are kept once and written back where they are read."""
+    body = F.col("body")
+    return rows.withColumn("serialized", F.concat(F.lit("---\n"), "front", F.lit("\n---\n\n"), body, F.when(body.endswith("\n"), "").otherwise("\n")))
 
 
 def parse_file(bundle: str, rel_path: str, content: bytes) -> dict:
@@ -86,6 +92,7 @@ def parse_file(bundle: str, rel_path: str, content: bytes) -> dict:
     flatten(pairs, "", nodes)
     nodes.pop("")
     refs, defs = markdown.footnotes(body)
+    written = yaml.emit(pairs).rstrip()
     return row | {
         "has_frontmatter": bool(pairs.items),
         "body": body,
@@ -96,10 +103,16 @@ def parse_file(bundle: str, rel_path: str, content: bytes) -> dict:
         "defs": [{"label": a, "text": t, "line": n} for a, t, n in defs],
         "citations": [{"number": n, "text": t, "target": g, "raw": r} for n, t, g, r in markdown.citations(body)],
         "inline": dict(zip(("code", "language", "fenced"), made, strict=True)) if (made := markdown.computation(body)) else None,
-        "serialized": serialized(pairs, body),
+        "front": written,
+        "serialized": serialized(written, body),
     }
 
 
+def digest() -> Column:
+    """Of a file's content."""
+    return F.sha2(F.coalesce("content", F.lit(b"")), 256).alias("digest")
+
+
 def parsed(files: DataFrame, keep: str | None = None) -> DataFrame:
     """A row for each markdown file of ``bundle, rel_path, content``, with ``path_segs`` and, for concepts, ``id`` and ``id_segs``;
     ``keep`` (a name and a type) is a further column that stays."""
@@ -117,7 +130,7 @@ def parsed(files: DataFrame, keep: str | None = None) -> DataFrame:
 
     rows = files.where(F.element_at(F.split("rel_path", "/"), -1).rlike(r"(?s).\.md\z")).select("bundle", "rel_path", "content", *([kept] if kept else [])).mapInArrow(run, PARSED + (f", {keep}" if keep else ""))
     segs = F.split("rel_path", "/")
-    rows = rows.withColumn("path_segs", segs)
+    rows = with_serialized(rows).withColumn("path_segs", segs)
     own = valid_id(F.transform(segs, lambda s, i: F.when(i == F.size(segs) - 1, F.regexp_replace(s, r"\.md$", "")).otherwise(s)))
     rows = rows.withColumn("id_segs", F.when(F.col("role") == "concept", own)).withColumn("id", F.array_join("id_segs", "/"))
     wrong = (F.col("role") == "concept") & F.col("id_segs").isNull() & F.col("error").isNull()
