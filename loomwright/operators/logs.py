@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import quoted, strict_date, trimmed
+from ..functions.columns import once, quoted, strict_date, trimmed
+from .ordering import written
+
+
+def _line(line: Column) -> Column:
+    def told(t: Column) -> Column:
+        kind = F.when(t == "", "blank").when(t.startswith("## "), "date").when(t.startswith("# "), "title").when(t.rlike("^[*-] "), "bullet").otherwise("other")
+        # a heading or bullet without text is cut to its sign, which is none of the three
+        rest = F.when(t.startswith("## "), trimmed(F.substr(t, F.lit(4)))).when(t.startswith("# ") | t.rlike("^[*-] "), trimmed(F.substr(t, F.lit(3))))
+        return F.struct(line.alias("line"), kind.alias("kind"), rest.alias("rest"))
+
+    return once(F.regexp_replace(F.regexp_replace(line, r"^\s+", ""), r"\s+$", ""), told)
 
 
 def lines(logs: DataFrame) -> DataFrame:
     """``bundle, rel_path, path_segs, no, line, kind, rest``; kind is date, title, bullet, blank or other."""
-    each = logs.where("utf8_ok").select("bundle", "rel_path", "path_segs", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"), F.size(F.split("text", "\n", -1)).alias("n"))
-    each = each.where("not (no = n - 1 and line = '')").withColumn("line", F.regexp_replace("line", "\r$", ""))
-    t = F.regexp_replace(F.regexp_replace("line", r"^\s+", ""), r"\s+$", "")
-    kind = F.when(t == "", "blank").when(t.startswith("## "), "date").when(t.startswith("# "), "title").when(t.rlike("^[*-] "), "bullet").otherwise("other")
-    rest = F.when(kind == "date", trimmed(F.substr(t, F.lit(4)))).when(kind == "title", trimmed(F.substr(t, F.lit(3)))).when(kind == "bullet", trimmed(F.substr(t, F.lit(3))))
-    # a heading or bullet without text is cut to its sign, which is none of the three
-    return each.select("bundle", "rel_path", "path_segs", (F.col("no") + 1).alias("no"), "line", kind.alias("kind"), rest.alias("rest"))
+    # what a line is stands beside it before lines become rows: then no later filter or column works it out again
+    told = F.transform(F.split("text", "\n", -1), lambda x: F.struct((x == "").alias("none"), once(F.regexp_replace(x, "\r$", ""), _line).alias("own")))
+    each = logs.where("utf8_ok").select("bundle", "rel_path", "path_segs", F.posexplode(told).alias("no", "l"), F.size(F.split("text", "\n", -1)).alias("n"))
+    return each.where("not (no = n - 1 and l.none)").select("bundle", "rel_path", "path_segs", (F.col("no") + 1).alias("no"), "l.own.line", "l.own.kind", "l.own.rest")
 
 
 def _file():
@@ -62,7 +70,8 @@ def out_of_order(log_days: DataFrame) -> DataFrame:
 
 def problems(logs: DataFrame) -> DataFrame:
     """``bundle, rel_path, path_segs, phase, item, message`` of every structural rule a log breaks, in report order."""
-    rows, per_day = lines(logs), days(lines(logs))
+    rows = written(lines(logs))  # lines are read by several windows
+    per_day = days(rows)
     base = ["bundle", "rel_path", "path_segs"]
     none = logs.where("utf8_ok").select(*base).join(per_day.select("bundle", "rel_path").distinct(), ["bundle", "rel_path"], "left_anti")
     found = none.select(*base, F.lit(0).alias("phase"), F.lit(0).alias("item"), F.lit("log contains no date groups").alias("message"))
@@ -86,7 +95,7 @@ def problems(logs: DataFrame) -> DataFrame:
 
 def to_markdown(logs: DataFrame) -> DataFrame:
     """``bundle, rel_path, markdown``: each log written out again from its rows."""
-    rows = lines(logs)
+    rows = written(lines(logs))
     bullets = entries(rows).withColumn("line", F.concat(F.lit("* "), F.when(F.col("kind").isNotNull(), F.concat(F.lit("**"), "kind", F.lit("**: "))).otherwise(""), "text"))
     bullets = bullets.groupBy("bundle", "rel_path", "day").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("b"))
     groups = days(rows).join(bullets, ["bundle", "rel_path", "day"], "left")

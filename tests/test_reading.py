@@ -1,6 +1,6 @@
 """Reports read the columns they need of what was parsed once, and work out each link once."""
 
-from loomwright.operators import graph
+from loomwright.operators import graph, logs
 from loomwright.plans import tables
 from loomwright.plans.bundle import Bundle
 from loomwright.sources.bundle import from_rows
@@ -32,3 +32,12 @@ def test_reports_read_no_texts_they_do_not_show(spark, tmp_path):
     assert saved.changed(from_rows(spark, [*FILES[:2], ("d/b c.md", "y")])).count() == 1
     assert "digest" in bundle.rows.columns
     bundle.release()
+
+
+def test_lines_of_logs_are_cut_once(spark):
+    bundle = Bundle(from_rows(spark, [("log.md", "# T\r\n\n## 2026-01-02\n* **New**: a \n  b\n# U\n## soon\n\r")]))
+    for made in (logs.problems(bundle.logs), logs.to_markdown(bundle.logs)):
+        assert "split(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.message for r in logs.problems(bundle.logs).collect()) == ['log contains non-log content at line 6', 'log date group "soon" has no entries', 'log date heading is not ISO-8601 `YYYY-MM-DD`: "soon"']
+    assert [(r.no, r.kind, r.rest, r.line) for r in logs.lines(bundle.logs).orderBy("no").collect()][-2:] == [(7, "date", "soon", "## soon"), (8, "blank", None, "")]
+    bundle.release()
