@@ -5,33 +5,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import graph
 from ..operators.ordering import shared_folder
 from ..sources.bundle import tree_stream, write_tree
 from ..sources.parse import parsed
 
-_LINK = "src_id string, seq int, pos int, raw string"
-_MET = "bundle string, target string, " + _LINK + ", exists boolean"
+_EVENT = "bundle string, target string, src_id string, seq int, pos int, raw string"
 _PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Each batch adds what it changed to a log, in place of a new snapshot of all; and a join keeps its state in one store a task, not four.
+_ON_DISK = (_PROVIDER, ("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true"), ("spark.sql.streaming.join.stateFormatVersion", "3"))
+
+
 @contextmanager
 def _kept_on_disk(spark: SparkSession) -> Iterator[None]:
-    """State on disk while a query starts, as keyed processors need it."""
-    before = spark.conf.get(_PROVIDER[0], None)
-    spark.conf.set(*_PROVIDER)
+    """State on disk while a query starts, so that what waits need not fit memory."""
+    before = {name: spark.conf.get(name, None) for name, _ in _ON_DISK}
+    for name, value in _ON_DISK:
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER[0])
-        else:
-            spark.conf.set(_PROVIDER[0], before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def link_events(rows: DataFrame) -> DataFrame:
@@ -46,43 +46,12 @@ def link_events(rows: DataFrame) -> DataFrame:
     return each.select("bundle", F.col("c.target").alias("target"), "src_id", "seq", F.col("c.pos").alias("pos"), "raw")
 
 
-class Meeting(StatefulProcessor):
-    """Of one id: whether its concept is there, and the links that wait for it. Links to a concept that is there exist; those that come
-    before it are told as broken and wait, a row of state each, and are told again as existing when it comes."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", "known boolean")
-        self.waiting = handle.getListState("waiting", _LINK)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known = was = self.known.exists()
-        told = lambda some, exists: some.assign(bundle=key[0], target=key[1], exists=exists)[[c.split()[0] for c in _MET.split(", ")]]
-        for batch in rows:
-            known = known or bool((batch["seq"] < 0).any())
-            links = batch[batch["seq"] >= 0][["src_id", "seq", "pos", "raw"]]
-            if len(links):
-                if not known:
-                    self.waiting.appendList([tuple(r) for r in links.astype({"seq": int, "pos": int}).itertuples(index=False)])
-                yield told(links, known)
-        if known and not was:
-            self.known.update((True,))
-            some: list[tuple] = []
-            for row in self.waiting.get():
-                some.append(tuple(row))
-                if len(some) == 10_000:
-                    yield told(pd.DataFrame(some, columns=["src_id", "seq", "pos", "raw"]), True)
-                    some = []
-            if some:
-                yield told(pd.DataFrame(some, columns=["src_id", "seq", "pos", "raw"]), True)
-            self.waiting.clear()
-
-    def close(self) -> None:
-        pass
-
-
-def met(events: DataFrame) -> DataFrame:
-    """What is told of links as ``events`` arrive: existing or broken, and again when that changes."""
-    return events.groupBy("bundle", "target").transformWithStateInPandas(Meeting(), outputStructType=_MET, outputMode="Update", timeMode="None")
+def met(links: DataFrame, there: DataFrame) -> DataFrame:
+    """Links whose concept is there, told once both have arrived, whichever comes first; both are ``link_events`` streams. What waits is rows
+    of the join's state, by the id they are about."""
+    links = links.where("seq >= 0")
+    there = there.where("seq < 0").select(F.col("bundle").alias("known_bundle"), F.col("target").alias("known"))
+    return links.join(there, (F.col("bundle") == F.col("known_bundle")) & (F.col("target") == F.col("known"))).select("bundle", "target", "src_id", "seq", "pos", "raw")
 
 
 def resolved(told: DataFrame) -> DataFrame:
@@ -93,21 +62,26 @@ def resolved(told: DataFrame) -> DataFrame:
 
 
 def linked_steps(spark: SparkSession, steps: list[DataFrame]) -> Iterator[DataFrame]:
-    """A tree that grows by each of ``steps`` (``bundle, rel_path, content`` of one bundle): its resolved links after each, by a stream
-    that is started anew and goes on from its checkpoint. Concepts are taken as they first arrive."""
+    """A tree that grows by each of ``steps`` (``bundle, rel_path, content`` of one bundle): its resolved links after each, by streams
+    that are started anew and go on from their checkpoints: one parses what is new, one brings links and concepts together. Concepts are
+    taken as they first arrive."""
     folder = shared_folder(spark, "linked")
 
-    def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/told/epoch={epoch}")
+    def run(made: DataFrame, what: str) -> None:
+        def keep(batch: DataFrame, epoch: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{folder}/{what}/epoch={epoch}")
+
+        made.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint-{what}").trigger(availableNow=True).start().awaitTermination()
 
     for files in steps:
         bundle = files.select("bundle").first()
         write_tree(files, f"{folder}/tree")
-        stream = tree_stream(spark, f"{folder}/tree", f"{folder}/listings", bundle.bundle if bundle else "main")
+        run(link_events(parsed(tree_stream(spark, f"{folder}/tree", f"{folder}/listings", bundle.bundle if bundle else "main"))), "events")
+        events = lambda: spark.readStream.schema(_EVENT).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/events/*")
         with _kept_on_disk(spark):
-            query = met(link_events(parsed(stream))).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
-        yield resolved(spark.read.schema(_MET).parquet(f"{folder}/told"))
+            run(met(events(), events()), "met")
+        read = lambda what: spark.read.schema(_EVENT).parquet(f"{folder}/{what}")
+        yield resolved(read("events").where("seq >= 0").withColumn("exists", F.lit(False)).unionByName(read("met").withColumn("exists", F.lit(True)), allowMissingColumns=True))
 
 
 def sessions(events: DataFrame, late: str = "2 days", gap: str = "6 hours") -> DataFrame:

@@ -27,3 +27,9 @@ def test_links_after_each_trigger_are_those_of_all_that_arrived(spark):
         rows = lambda df: sorted((r.src_id, r.seq, r.target_id, r.exists, r.raw) for r in df.collect())
         assert rows(made) == rows(whole)
     assert spark.conf.get(linked._PROVIDER[0], "") != linked._PROVIDER[1]
+
+
+def test_what_waits_is_state_of_a_join(spark, tmp_path):
+    events = lambda: spark.readStream.schema(linked._EVENT).parquet(str(tmp_path))
+    plan = linked.met(events(), events())._jdf.queryExecution().analyzed().toString()
+    assert "Join Inner" in plan and "TransformWithState" not in plan  # no call of Python for each id
