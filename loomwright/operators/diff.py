@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import tier_name
+from ..sources.parse import digest
 from .ordering import cut_lineage, numbered_within
 
 SECTIONS = ("added", "removed", "renamed", "content", "frontmatter", "trust", "added_links", "removed_links", "mended_links", "broken_links")
@@ -17,6 +18,15 @@ _ROW = "struct<section:string,kind:string,key:string,old:string,new:string>"
 _VERBS = {"added": "+", "removed": "-", "added_links": "+", "removed_links": "-", "mended_links": "+", "broken_links": "-"}
 
 
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``bundle, rel_path`` of the files by which two snapshots can differ: those that are not once in each with the same content. Files
+    that have a value that is no number stay too, since such a value always counts as changed."""
+    odd = F.lower(F.decode("content", "iso-8859-1")).contains(".nan")
+    side = lambda files, n: files.select("bundle", "rel_path", digest(), F.coalesce(odd, F.lit(False)).alias("odd"), F.lit(n).alias("side"))
+    met = side(a, 1).unionByName(side(b, 2)).groupBy("bundle", "rel_path").agg(F.count("*").alias("n"), F.sum("side").alias("sides"), F.min("digest").alias("low"), F.max("digest").alias("high"), F.bool_or("odd").alias("odd"))
+    return met.where("n <> 2 or sides <> 3 or low <> high or odd").select("bundle", "rel_path")
+
+
 def _row(section: str, kind: str = "", key: Column | None = None, old: Column | None = None, new: Column | None = None) -> Column:
     parts = {"section": F.lit(section), "kind": F.lit(kind), "key": key, "old": old, "new": new}
     return F.struct(*((c if c is not None else F.lit(None)).cast("string").alias(n) for n, c in parts.items()))
@@ -75,9 +85,9 @@ def link_changes(a_links: DataFrame, b_links: DataFrame) -> DataFrame:
     return each.select("bundle", names.alias("section"), "segs", "id", F.lit("link").alias("kind"), "key", none.alias("old"), none.alias("new"))
 
 
-def changes(a: DataFrame, b: DataFrame, a_links: DataFrame, b_links: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
+def changes(a: DataFrame, b: DataFrame, a_links: DataFrame | None, b_links: DataFrame | None, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
     """``bundle, section, segs, id, kind, key, old, new``: a and b are concepts of two snapshots of the same bundles, the
-    links their resolved links. Only what ``sections`` asks for is planned. Concepts are joined once; what changed in
+    links their resolved links (none where no section is about them). Only what ``sections`` asks for is planned. Concepts are joined once; what changed in
     one of them is an array expression over its row."""
     parts = []
     met = _met(a, b)

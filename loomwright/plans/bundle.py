@@ -30,6 +30,7 @@ class Bundle:
         self.files = files
         self.strict = strict
         self._folders: list[str] = []
+        self._differs: tuple[Bundle, DataFrame, DataFrame] | None = None
 
     def _written(self, df: DataFrame) -> DataFrame:
         self._folders.append(shared_folder(df.sparkSession, "bundle"))
@@ -56,6 +57,7 @@ class Bundle:
         if not keep:
             for name in ("rows", "concepts", "valid_concepts", "indexes", "logs", "parse_errors", "links", "sources", "contracts", "attributions", "version"):
                 self.__dict__.pop(name, None)
+            self._differs = None
             while self._folders:
                 removed(self.files.sparkSession, self._folders.pop())
 
@@ -166,8 +168,21 @@ class Bundle:
         return indexes.texts(indexes.entries(self.rows, self.files, synthesize), self.rows)
 
     def diff(self, other: Bundle, sections: tuple[str, ...] = diff.SECTIONS) -> DataFrame:
-        """Changes from this bundle to ``other``; each holds one snapshot."""
-        return diff.changes(self.concepts, other.concepts, self.links, other.links, sections)
+        """Changes from this bundle to ``other``; each holds one snapshot. Where no section is about links, and not both are parsed
+        already, only files that differ are parsed."""
+        if any(s.endswith("links") for s in sections):
+            return diff.changes(self.concepts, other.concepts, self.links, other.links, sections)
+        if self.strict or other.strict or ("rows" in self.__dict__ and "rows" in other.__dict__):
+            return diff.changes(self.concepts, other.concepts, None, None, sections)
+        return diff.changes(*(typed_columns.typed(rows.where("role = 'concept' and error is null")) for rows in self._differing(other)), None, None, sections)
+
+    def _differing(self, other: Bundle) -> tuple[DataFrame, DataFrame]:
+        """Parsed files of this bundle and of ``other``, those left out that both have alike; kept for the next report on the two."""
+        if self._differs is None or self._differs[0] is not other:
+            keys = self._written(diff.differing(self.files, other.files))
+            parse = lambda b: with_serialized(self._written(parsed(b.files.join(keys, ["bundle", "rel_path"], "left_semi")).drop("serialized")))
+            self._differs = (other, parse(self), parse(other))
+        return self._differs[1:]
 
     def summary(self, today: str | None = None) -> DataFrame:
         """``bundle, measure, value``: the counts of a bundle, a row for each measure."""
