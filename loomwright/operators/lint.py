@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -95,8 +96,20 @@ def stale_indexes(concepts: DataFrame, indexes: DataFrame, listings: DataFrame)
     return _report(rows, 3, 16, "warning", text_of("[L16] index.md is out of sync with its directory (", F.array_join(parts, "; "), ")"))
 
 
-def report(rows: DataFrame, concepts: DataFrame, resolved: DataFrame, today: str | None = None) -> DataFrame:
+def report(rows: DataFrame, concepts: DataFrame, resolved: Callable[[], DataFrame], today: str | None = None, codes: tuple[str, ...] = ()) -> DataFrame:
+    """All findings, or those of ``codes``; links are resolved only where a rule that is asked for is about them."""
     indexes = rows.where("role = 'index'")
-    listings = graph.index_listings(indexes)
-    parts = [concept_rules(concepts, today), deprecated_links(concepts, resolved), self_links(concepts, resolved), shared_titles(concepts), orphans(concepts, resolved, listings), stale_indexes(concepts, indexes, listings)]
-    return reduce(DataFrame.unionByName, [p.select(*REPORT) for p in parts])
+    asked = lambda *own: not codes or bool(set(own) & set(codes))
+    parts = [concept_rules(concepts, today)]
+    if asked("L10"):
+        parts.append(deprecated_links(concepts, resolved()))
+    if asked("L13"):
+        parts.append(self_links(concepts, resolved()))
+    if asked("L14"):
+        parts.append(shared_titles(concepts))
+    if asked("L15"):
+        parts.append(orphans(concepts, resolved(), graph.index_listings(indexes)))
+    if asked("L16"):
+        parts.append(stale_indexes(concepts, indexes, graph.index_listings(indexes)))
+    found = reduce(DataFrame.unionByName, [p.select(*REPORT) for p in parts])
+    return found.where(F.col("code").isin(*codes)) if codes else found

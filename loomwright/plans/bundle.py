@@ -161,8 +161,9 @@ class Bundle:
         """Findings by severity and whether a bundle conforms, a row for each bundle."""
         return validate.totals(self.validate(today), self.rows.select("bundle"))
 
-    def lint(self, today: str | None = None) -> DataFrame:
-        return lint.report(self.rows, self.concepts, self.links, today)
+    def lint(self, today: str | None = None, codes: tuple[str, ...] = ()) -> DataFrame:
+        """Health findings, or those of ``codes``."""
+        return lint.report(self.rows, self.concepts, lambda: self.links, today, codes)
 
     def index_texts(self, synthesize=None) -> DataFrame:
         return indexes.texts(indexes.entries(self.rows, self.files, synthesize), self.rows)

@@ -181,7 +181,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a8_lint_codes": _query(lambda b: _codes(b.lint(TODAY))),
     "v15_unresolved_paths": _query(lambda b: validate.unresolved_paths(b.concepts, b.files).select("concept", "message")),
     "v20_broken_link_findings": _query(lambda b: validate.broken(b.links).select("concept", "message")),
-    "l9_stale_verifications": _query(lambda b: b.lint(TODAY).where("code = 'L9'").select("concept", "message")),
+    "l9_stale_verifications": _query(lambda b: b.lint(TODAY, ("L9",)).select("concept", "message")),
     "l10_deprecated_links": _query(lambda b: lint.deprecated_links(b.concepts, b.links).select("concept", "message")),
     "l13_self_links": _query(lambda b: lint.self_links(b.concepts, b.links).select("concept")),
     "l14_duplicate_titles": _query(lambda b: lint.shared_titles(b.concepts).select("concept", "message")),
@@ -227,7 +227,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p16_value_forms": _form(lambda b: b.concepts.where(r"id rlike '^v(9|1[0-5])/'").select("id", F.coalesce("title", F.lit("-")).alias("title"), F.coalesce("description", F.lit("-")).alias("description"), F.array_join("tags", "|").alias("tags"))),
     "v1_unreadable_files": _form(lambda b: validate.unparsed(b.rows).select(F.regexp_replace("path", r"\.md$", "").alias("id"), "path", "message")),
     "v5_odd_values": _form(lambda b: b.validate().where("code in ('V5', 'V9', 'V10', 'V16', 'V17')").select(F.regexp_replace("path", r"\.md$", "").alias("id"), "code", "message")),
-    "l7_body_forms": _form(lambda b: b.lint().where("code in ('L7', 'L8')").select(F.col("concept").alias("id"), "code")),
+    "l7_body_forms": _form(lambda b: b.lint(None, ("L7", "L8")).select(F.col("concept").alias("id"), "code")),
     "l15_orphan_forms": _form(lambda b: lint.orphans(b.concepts, b.links, graph.index_listings(b.indexes)).select(F.col("concept").alias("id"))),
     "k1_written_forms": _form(lambda b: b.concepts.where(r"id rlike '^v1[1-6]/'").select("id", "serialized")),
     "d4_latest_instants": _form(lambda b: b.concepts.where("latest_verification is not null").select("id", F.col("latest_verification.by").alias("by_whom"), F.col("latest_verification.moment.text").alias("at_time"))),

@@ -28,3 +28,11 @@ def test_only_files_that_differ_are_parsed(spark):
         one.rows.count()
     assert found == rows(whole[0].diff(whole[1], SECTIONS)) and len(found) == 9
     assert rows(a.diff(b, ("added", "renamed"))) == rows(whole[0].diff(whole[1], ("added", "renamed")))
+
+
+def test_findings_of_one_rule_resolve_no_links(spark):
+    one = Bundle(from_rows(spark, [("a.md", "---\ntype: N\n---\n\n[b](b.md)\n"), ("b.md", "---\ntype: N\n---\n")]))
+    found = rows(one.lint(None, ("L7", "L8")))
+    assert "links" not in one.__dict__
+    assert found == rows(one.lint().where("code in ('L7', 'L8')")) and len(found) == 2
+    assert rows(one.lint(None, ("L13", "L15"))) == rows(one.lint().where("code in ('L13', 'L15')")) and len(found) == 2
