@@ -6,6 +6,10 @@ a table is a seeded sample of the test bits, and so many tables are taken that t
 differing bits share one with the stated recall. Those that meet are compared on all bits. Two pictures are
 copies when several of their matching corners agree on one turn, scale and shift.
 
+The tables of a family share some of their bits, so a descriptor travels once for each family and not for each
+table: to the task of its route, the value of the shared bits. There the family's tables are made and the members
+of an entry compared. Routes with too many descriptors for a task are dealt by the keys of their tables instead.
+
 Every pair that meets counts, however many members a table entry has. In crowded entries each member is first
 compared with one centre, in a few rounds of differently dealt tiles, which ties the pictures of a true group
 together in linear time. Then all pairs of members that are not yet of one class are compared, tile against
@@ -39,6 +43,8 @@ RECALL, MEET_BITS = 0.9, 12
 PEAK = 3
 #: Members of an entry from which centres come first, and members of a tile.
 CROWD, TILE = 64, 512
+#: Descriptors of a route in the mean, and from how many on it is dealt by keys. Share of the pairs at MEET_BITS that share a route.
+ROUTED, HOT, REACH = 32_768, 262_144, 0.94
 #: Rows of a task that compares.
 PART_ROWS = 100_000
 PICTURES_PER_TASK = 4096
@@ -154,22 +160,46 @@ def unpacked_places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return (at >> 36) / 2 + 1j * ((at >> 16 & 0xFFFFF) / 2), scale, (at & 4095) * (2 * np.pi / 4096)
 
 
+def _spared(bits: int, fixed: int = 0) -> float:
+    """Chance that none of MEET_BITS differing bits is among ``bits`` sampled ones, given that ``fixed`` others spared them."""
+    return math.prod((TESTS - fixed - MEET_BITS - i) / (TESTS - fixed - i) for i in range(bits))
+
+
+def routes_for(count: int) -> tuple[int, int]:
+    """(bits that a family's tables share, number of families): routes keep their size as descriptors grow."""
+    route = max(0, math.ceil(math.log2(max(1, count) / ROUTED)))
+    return route, math.ceil(math.log(1 - REACH) / math.log(1 - _spared(route))) if route else 1
+
+
 def tables_for(count: int) -> tuple[int, int]:
     """(bits of a key, number of tables): keys grow with the number of descriptors, so that strangers seldom meet."""
     bits = min(64, max(20, math.ceil(math.log2(max(2, count))) + 9))
-    meets = math.prod((TESTS - MEET_BITS - i) / (TESTS - i) for i in range(bits))
-    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - meets))
+    route, families = routes_for(count)
+    reached, meets = _spared(route), _spared(bits - route, route)
+    # a family misses a pair that does not share its route, or none of its tables
+    missed = ((1 - RECALL) ** (1 / families) - (1 - reached)) / reached
+    return bits, families * math.ceil(math.log(missed) / math.log(1 - meets))
 
 
-def table_masks(bits: int, tables: int) -> np.ndarray:
-    """The sampled bits of each table, as words."""
+def table_masks(bits: int, tables: int, route: int = 0, families: int = 1) -> np.ndarray:
+    """The sampled bits of each table, as words; those of a family share ``route`` of them."""
     rng = np.random.Generator(np.random.PCG64(bits))
     chosen = np.zeros((tables, TESTS), dtype=np.uint8)
-    for t in range(tables):
-        chosen[t, rng.choice(TESTS, bits, replace=False)] = 1
+    for own in np.split(chosen, families):
+        own[:, rng.choice(TESTS, route, replace=False)] = 1
+        for table in own:
+            table[rng.choice(np.flatnonzero(table == 0), bits - route, replace=False)] = 1
     return np.packbits(chosen, axis=1, bitorder="little").view("<u8")
 
 
+def keys(words: np.ndarray, mask: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Code of the masked bits of each descriptor (columns of ``words``)."""
+    key = np.broadcast_to(mix64(seed.astype(np.uint64)), words.shape[1:])
+    for w, m in zip(words, mask, strict=True):
+        key = mix64(key ^ (w & m))
+    return key
+
+
 def agree(at_a: np.ndarray, at_b: np.ndarray) -> bool:
     """Whether LEAST_CORNERS matches or more, of as many places in both pictures, agree on one turn, scale and shift.
 
@@ -214,6 +244,8 @@ def agree(at_a: np.ndarray, at_b: np.ndarray) -> bool:
 
 _LOCAL = "media_id long, content long, at array<long>, " + ", ".join(f"w{i} array<long>" for i in range(_WORDS))
 _MATCH = "a long, b long, at_a long, at_b long"
+_MET = "key long, members long, id long, at long, " + ", ".join(f"w{i} long" for i in range(_WORDS)) + ", " + _MATCH
+_FAMILIES = 64
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -235,20 +267,97 @@ def features(media: DataFrame) -> DataFrame:
     return media.select(F.col("media_id").cast("long"), "image").mapInArrow(run, _LOCAL)
 
 
-def entries(each: DataFrame, bits: int, tables: int) -> DataFrame:
-    """``key, d`` for each descriptor (``d, w0..``) and table."""
-    masks = table_masks(bits, tables)
+def _stacked(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([rows.column(f"w{i}").to_numpy().view(np.uint64) for i in range(_WORDS)])
+
+
+def entries(each: DataFrame, bits: int, tables: int, route: int = 0, families: int = 1) -> DataFrame:
+    """``key, d`` for each descriptor (``d, w0..``) and table; where there is a ``part``, for each table of its family."""
+    masks, dealt = table_masks(bits, tables, route, families), "part" in each.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [b.column(f"w{i}").to_numpy().view(np.uint64) for i in range(_WORDS)]
+            words, d = _stacked(b), b.column("d").to_numpy()
+            family = b.column("part").to_numpy() % _FAMILIES if dealt else None
             for t in range(tables):
-                key = np.full(b.num_rows, mix64(np.array([t], dtype=np.uint64))[0], dtype=np.uint64)
-                for i, w in enumerate(words):
-                    key = mix64(key ^ (w & masks[t, i]))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("d")], names=["key", "d"])
+                own = slice(None) if family is None else family == t * families // tables
+                key = keys(words[:, own], masks[t], np.array([t]))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(d[own])], names=["key", "d"])
+
+    return each.select("d", *(f"w{i}" for i in range(_WORDS)), *(["part"] if dealt else [])).mapInArrow(run, "key long, d long")
+
+
+def _routed(each: DataFrame, masks: np.ndarray, families: int, columns: list[str]) -> DataFrame:
+    """``part`` and the named columns of each descriptor, for each family; ``part`` is its route, with the family's number as remainder."""
+    shared = [np.bitwise_and.reduce(own) for own in np.split(masks, families)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = _stacked(b)
+            for f, mask in enumerate(shared):
+                part = keys(words, mask, np.array([f])) // np.uint64(2 * _FAMILIES) * np.uint64(_FAMILIES) + np.uint64(f)
+                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), *(b.column(c) for c in columns)], names=["part", *columns])
+
+    return each.select("id", "at", *(f"w{i}" for i in range(_WORDS))).mapInArrow(run, ", ".join(f"{c} long" for c in ["part", *columns]))
+
 
-    return each.select("d", *(f"w{i}" for i in range(_WORDS))).mapInArrow(run, "key long, d long")
+def _near(words: np.ndarray, i: np.ndarray, j: np.ndarray, key: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the descriptor pairs those within MOST_BITS whose first table in which they meet is that of ``key``: it alone reports them."""
+    differ = words[:, i] ^ words[:, j]
+    keep = np.bitwise_count(differ).sum(axis=0, dtype=np.int64) <= MOST_BITS
+    i, j, differ = i[keep], j[keep], differ[:, keep]
+    if not len(i):
+        return i, j
+    first = ((differ[None, :, :] & masks[:, :, None]) == 0).all(axis=1).argmax(axis=0)
+    keep = keys(words[:, i], masks[first].T, first).view(np.int64) == key[i]
+    return i[keep], j[keep]
+
+
+def _pairs(run_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within runs of equal values, by their distance."""
+    for d in range(1, int(np.bincount(run_of).max(initial=1)) if len(run_of) else 1):
+        i = np.flatnonzero(run_of[d:] == run_of[:-d])
+        yield i, i + d
+
+
+def _matched(ids: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray]:
+    swap = ids[i] > ids[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    return {"a": ids[i], "b": ids[j], "at_a": at[i], "at_b": at[j]}
+
+
+def _met(routed: DataFrame, masks: np.ndarray, families: int) -> DataFrame:
+    """The family's tables of each route: descriptor pairs of unlike pictures within MOST_BITS (``a, b, at_a, at_b``), each of
+    them once in all tables, from entries of at most CROWD members; of larger ones the members (``key, members, id, at, w0..``)."""
+    crowd, per = CROWD, len(masks) // families
+
+    def run(group: pa.Table) -> pa.Table:
+        first = int(group["part"][0].as_py()) % _FAMILIES * per
+        words, ids, at = _stacked(group), group["id"].to_numpy(), group["at"].to_numpy()
+        rows, pairs, schema = [], [np.zeros((2, 0), np.int64)], pa.schema([(c.split()[0], pa.int64()) for c in _MET.split(", ")])
+        for t in range(first, first + per):
+            key = keys(words, masks[t], np.array([t])).view(np.int64)
+            order = np.argsort(key, kind="stable")
+            run_of = np.cumsum(np.concatenate(([False], key[order[1:]] != key[order[:-1]])))
+            begin = np.flatnonzero(np.concatenate(([True], run_of[1:] != run_of[:-1])))
+            unlike = (np.minimum.reduceat(ids[order], begin) != np.maximum.reduceat(ids[order], begin))[run_of]
+            members = np.bincount(run_of)[run_of]
+            many = unlike & (members > crowd)
+            if many.any():
+                d = order[many]
+                named = {"key": key[d], "members": members[many], "id": ids[d], "at": at[d], **{f"w{i}": w[d].view(np.int64) for i, w in enumerate(words)}}
+                rows.append(pa.table({c: pa.array(named[c]) if c in named else pa.nulls(len(d), pa.int64()) for c in schema.names}))
+            few = unlike & (members <= crowd)
+            d = order[few]
+            for i, j in _pairs(run_of[few]):
+                i, j = d[i], d[j]
+                differ = ids[i] != ids[j]
+                pairs.append(np.stack(_near(words, i[differ], j[differ], key, masks)))
+        named = _matched(ids, at, *np.concatenate(pairs, axis=1))
+        rows.append(pa.table({c: pa.array(named[c]) if c in named else pa.nulls(len(named["a"]), pa.int64()) for c in schema.names}))
+        return pa.concat_tables(rows).cast(schema)
+
+    return routed.groupBy("part").applyInArrow(run, _MET)
 
 
 def _compared(members: DataFrame, parts: int, masks: np.ndarray, every: bool) -> DataFrame:
@@ -263,45 +372,18 @@ def _compared(members: DataFrame, parts: int, masks: np.ndarray, every: bool) ->
         order = np.lexsort((rank, tile, key))
         key, tile = key[order], tile[order]
         ids, comp, side, at = (group[c].to_numpy()[order] for c in ("id", "comp", "side", "at"))
-        words = np.stack([group[f"w{i}"].to_numpy()[order].view(np.uint64) for i in range(_WORDS)])
+        words = _stacked(group)[:, order]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])))
         run_of = np.cumsum(new) - 1
         begin = np.flatnonzero(new)
-        out = [np.zeros((2, 0), np.int64)]
-
-        def check(i: np.ndarray, j: np.ndarray) -> None:
-            keep = (comp[i] != comp[j]) & (~two_sided[run_of[i]] | (side[i] != side[j]))
-            i, j = i[keep], j[keep]
-            differ = words[:, i] ^ words[:, j]
-            keep = np.bitwise_count(differ).sum(axis=0, dtype=np.int64) <= MOST_BITS
-            i, j, differ = i[keep], j[keep], differ[:, keep]
-            if not len(i):
-                return
-            # the first table in which they meet reports them: that of this key
-            meets = ((differ[None, :, :] & masks[:, :, None]) == 0).all(axis=1)
-            first = meets.argmax(axis=0)
-            expect = mix64(first.astype(np.uint64))
-            for k in range(_WORDS):
-                expect = mix64(expect ^ (words[k, i] & masks[first, k]))
-            keep = expect.view(np.int64) == key[i]
-            out.append(np.stack((i[keep], j[keep])))
-
         two_sided = np.zeros(len(begin), dtype=bool)
         np.logical_or.at(two_sided, run_of, side > 0)
-        if every:
-            size = np.diff(np.concatenate((begin, [len(key)])))
-            for d in range(1, int(size.max(initial=1))):
-                i = np.flatnonzero(run_of[d:] == run_of[:-d])
-                if not len(i):
-                    break
-                check(i, i + d)
-        else:
-            i = np.flatnonzero(~new)
-            check(begin[run_of[i]], i)
-        i, j = np.concatenate(out, axis=1)
-        swap = ids[i] > ids[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return pa.table({"a": ids[i], "b": ids[j], "at_a": at[i], "at_b": at[j]})
+        out = [np.zeros((2, 0), np.int64)]
+        others = np.flatnonzero(~new)
+        for i, j in _pairs(run_of) if every else [(begin[run_of[others]], others)]:
+            keep = (comp[i] != comp[j]) & (~two_sided[run_of[i]] | (side[i] != side[j]))
+            out.append(np.stack(_near(words, i[keep], j[keep], key, masks)))
+        return pa.table(_matched(ids, at, *np.concatenate(out, axis=1)))
 
     return members.groupBy(F.pmod(F.xxhash64("key", "tile"), F.lit(parts)).alias("part")).applyInArrow(run, _MATCH)
 
@@ -321,10 +403,9 @@ def _links(matches: DataFrame, parts: int) -> DataFrame:
 
 
 def _each(known: DataFrame) -> DataFrame:
-    """A row for each descriptor of ``id, comp, at, w0..`` (lists), with a code ``d`` of its own."""
+    """A row for each descriptor of ``id, at, w0..`` (lists)."""
     columns = ["at", *(f"w{i}" for i in range(_WORDS))]
-    rows = known.select("id", "comp", F.explode(F.arrays_zip(*columns)).alias("c")).select("id", "comp", "c.*")
-    return rows.withColumn("d", F.xxhash64("id", "at"))
+    return known.select("id", F.explode(F.arrays_zip(*columns)).alias("c")).select("id", "c.*")
 
 
 def copies(media: DataFrame) -> DataFrame:
@@ -338,23 +419,34 @@ def copies(media: DataFrame) -> DataFrame:
     known = local.where("media_id is not null and content is not null")
     columns = ["at", *(f"w{i}" for i in range(_WORDS))]
     one = written(known.groupBy("content").agg(F.min(F.struct("media_id", *columns)).alias("r")).select("content", "r.*"))
-    each = _each(one.select(F.col("media_id").alias("id"), F.col("media_id").alias("comp"), *columns))
-    bits, tables = tables_for(each.count())
-    masks = table_masks(bits, tables)
-    # keys alone are matched first; only descriptors that share one travel with their bits
-    slim = entries(each, bits, tables)
-    counts = slim.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = written(slim.join(counts.hint("merge"), "key"))
+    each = _each(one.select(F.col("media_id").alias("id"), *columns))
+    count = each.count()
+    (bits, tables), (route, families) = tables_for(count), routes_for(count)
+    masks = table_masks(bits, tables, route, families)
+    whole = ["id", *columns]
+    routed = _routed(each, masks, families, whole)
+    hot = cut_lineage(_routed(each, masks, families, []).groupBy("part").agg(F.count("*").alias("members")).where(F.col("members") > HOT).select("part"))
+    full = not hot.isEmpty()
+    met = written(_met(routed.join(hot, "part", "left_anti") if full else routed, masks, families))
+    shared = met.where("key is not null").select("key", "members", *whole)
+    if full:  # keys alone are matched first; only descriptors that share one travel with their bits
+        apart = routed.join(hot, "part", "left_semi").withColumn("d", F.xxhash64("id", "at"))
+        slim = entries(apart, bits, tables, route, families)
+        counts = slim.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+        slim = slim.join(counts.hint("merge"), "key")
+        shared = shared.unionByName(written(slim.join(each.withColumn("d", F.xxhash64("id", "at")).hint("merge"), "d").select(*shared.columns)))
     size = shared.agg(F.count("*").alias("rows"), F.max("members").alias("most")).first()
-    parts = max(8, size.rows // PART_ROWS)
+    parts = max(8, (size.rows + met.where("key is null").count()) // PART_ROWS)
     # for crowds, a round of centres for each power of TILE that the largest entry holds
     rounds = 0 if (size.most or 0) <= CROWD else max(1, math.ceil(math.log(size.most) / math.log(TILE)))
     links, classes = None, None
     for turn in range(rounds + 1):
-        known = one if classes is None else one.join(classes, one.media_id == classes.node, "left")
-        known = known.select(F.col("media_id").alias("id"), (F.coalesce("component", "media_id") if classes is not None else F.col("media_id")).alias("comp"), *columns)
         now = shared if turn == rounds else shared.where(F.col("members") > CROWD)
-        now = now.join(_each(known).hint("merge"), "d").withColumn("rank", F.lit(0).cast("long") if turn == rounds else F.xxhash64("id", F.lit(turn)))
+        if classes is None:
+            now = now.withColumn("comp", F.col("id"))
+        else:
+            now = now.join(classes, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "id"))
+        now = now.withColumn("d", F.xxhash64("id", "at")).withColumn("rank", F.lit(0).cast("long") if turn == rounds else F.xxhash64("id", F.lit(turn)))
         if turn == rounds:  # of crowded entries only those of several classes are left; they are compared tile against tile
             if rounds:
                 mixed = now.where(F.col("members") > CROWD).groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low = high").select("key")
@@ -367,6 +459,8 @@ def copies(media: DataFrame) -> DataFrame:
             tiles = F.greatest(F.lit(1).cast("long"), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("members") / TILE))).cast("long"))
             now = now.withColumn("tile", F.pmod(F.xxhash64("id", F.lit(-1 - turn)), tiles)).withColumn("side", F.lit(0).cast("byte"))
         matches = _compared(now.select("key", "tile", "side", "id", "comp", "rank", *columns), parts, masks, turn == rounds)
+        if turn == rounds:  # with those of the other entries: a picture's corners may meet in either
+            matches = matches.unionByName(met.where("key is null").select("a", "b", "at_a", "at_b"))
         found = _links(matches, parts)
         links = cut_lineage(found if links is None else found.unionByName(links))
         classes = connected_components(links)

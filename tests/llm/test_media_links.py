@@ -132,3 +132,56 @@ def test_headers_of_pictures():
     assert (media.read_pgm(b"P5 3 2 65535\n" + (pixels.astype(">u2") * 257).tobytes()) == pixels).all()
     for bad in (None, b"", b"P5 3 2 255\n123", b"P6 1 1 255\nx", b"P5 0 0 255\n"):
         assert media.read_pgm(bad) is None
+
+
+def shuffled(spark):
+    return sum(e.totalShuffleWrite() for e in spark.sparkContext._gateway.jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+
+
+def test_descriptors_travel_by_family(spark):
+    """What is shuffled stays within some times the descriptors' 40 bytes: they travel for each family of tables, not for each table."""
+    table = media.written(media.pictures(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")))
+    count = sum(len(media.described(media.read_pgm(bytes(r.image)))[0]) for r in table.collect())
+    before = shuffled(spark)
+    assert media.copies(table).count() == 500
+    assert shuffled(spark) - before < 6 * 40 * count
+
+
+@pytest.fixture(scope="module")
+def brute_classes(album):
+    """The smallest picture reachable over the links that a comparison of all descriptors finds."""
+    local = [media.described(media.read_pgm(x)) for x in album[0]]
+    least = list(range(len(local)))
+    for i, (place, bits) in enumerate(local):
+        for j in range(i):
+            a, b = np.nonzero(np.bitwise_count(words(bits)[:, None] ^ words(local[j][1])[None]).sum(2) <= media.MOST_BITS)
+            if len(a) >= media.LEAST_CORNERS and media.agree(media.packed_places(place)[a], media.packed_places(local[j][0])[b]):
+                least = [min(least[i], least[j]) if x in (least[i], least[j]) else x for x in least]
+    return least
+
+
+@pytest.mark.parametrize("hot", [10**9, 40, 1])
+def test_routes_lose_no_copies(spark, album, brute_classes, monkeypatch, hot):
+    """Short routes in several families, ordinary ones, some and all of them too hot for a task: copies are found as before."""
+    monkeypatch.setattr(media, "ROUTED", 64)
+    monkeypatch.setattr(media, "HOT", hot)
+    pictures, origin = album
+    got = {r.media_id: r.class_id for r in media.copies(spark.createDataFrame(list(enumerate(pictures)), "media_id long, image binary")).collect()}
+    true = [(a, b) for a in range(len(origin)) for b in range(a + 1, len(origin)) if origin[a] == origin[b]]
+    assert np.mean([got[a] == got[b] for a, b in true]) >= 0.9
+    assert all(brute_classes[k] == brute_classes[got[k]] for k in got)
+
+
+@pytest.mark.parametrize("count", [0, 1500, 33_000, 333_000, 1_660_000, 10**8, 10**10])
+def test_families_keep_the_recall(count):
+    """The share of pairs at MEET_BITS that meet in a table, drawn at random, at any number of descriptors."""
+    (bits, tables), (route, families) = media.tables_for(count), media.routes_for(count)
+    masks = media.table_masks(bits, tables, route, families)
+    assert masks.shape == (tables, media.TESTS // 64) and tables % families == 0 and (np.bitwise_count(masks).sum(axis=1) == bits).all()
+    assert all(np.bitwise_count(np.bitwise_and.reduce(own)).sum() >= route for own in np.split(masks, families))
+    assert count / 2**route <= media.ROUTED or count <= media.ROUTED
+    rng = np.random.Generator(np.random.PCG64(count))
+    differ = np.zeros((4000, media.TESTS), dtype=np.uint8)
+    np.put_along_axis(differ, rng.random(differ.shape).argsort(axis=1)[:, : media.MEET_BITS], 1, axis=1)
+    meet = ((words(differ)[:, None] & masks[None]) == 0).all(axis=2).any(axis=1)
+    assert meet.mean() >= media.RECALL - 0.03
