@@ -389,14 +389,15 @@ def _compared(members: DataFrame, parts: int, masks: np.ndarray, every: bool) ->
 
 
 def _links(matches: DataFrame, parts: int) -> DataFrame:
-    """``a, b`` of the pictures whose matching corners agree."""
+    """``a, b`` of the pictures whose matching corners agree; pairs without a ``fresh`` match have been judged before."""
 
     def run(group: pa.Table) -> pa.Table:
         a, b, at_a, at_b = (group[c].to_numpy() for c in ("a", "b", "at_a", "at_b"))
         order = np.lexsort((at_b, at_a, b, a))
         a, b, at_a, at_b = a[order], b[order], at_a[order], at_b[order]
+        fresh = group["fresh"].to_numpy()[order]
         cuts = np.concatenate(([0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, [len(a)]))
-        good = [i for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i >= LEAST_CORNERS and agree(at_a[i:j], at_b[i:j])]
+        good = [i for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i >= LEAST_CORNERS and fresh[i:j].any() and agree(at_a[i:j], at_b[i:j])]
         return pa.table({"a": a[good], "b": b[good]})
 
     return matches.groupBy(F.pmod(F.xxhash64("a", "b"), F.lit(parts)).alias("part")).applyInArrow(run, "a long, b long")
@@ -459,8 +460,9 @@ def copies(media: DataFrame) -> DataFrame:
             tiles = F.greatest(F.lit(1).cast("long"), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("members") / TILE))).cast("long"))
             now = now.withColumn("tile", F.pmod(F.xxhash64("id", F.lit(-1 - turn)), tiles)).withColumn("side", F.lit(0).cast("byte"))
         matches = _compared(now.select("key", "tile", "side", "id", "comp", "rank", *columns), parts, masks, turn == rounds)
-        if turn == rounds:  # with those of the other entries: a picture's corners may meet in either
-            matches = matches.unionByName(met.where("key is null").select("a", "b", "at_a", "at_b"))
+        matches = matches.withColumn("fresh", F.lit(True))
+        if turn in (0, rounds):  # with those of the other entries: they tie many before the last turn, and a picture's corners may meet in either
+            matches = matches.unionByName(met.where("key is null").select("a", "b", "at_a", "at_b", F.lit(turn == 0).alias("fresh")))
         found = _links(matches, parts)
         links = cut_lineage(found if links is None else found.unionByName(links))
         classes = connected_components(links)
