@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
+import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -23,6 +25,8 @@ _LISTED = "folder string, name string, is_dir boolean, size long, modified long"
 TASK_FILES, TASK_BYTES = 10_000, 64 << 20
 _BATCH_ROWS, _BATCH_BYTES = 4096, 8 << 20
 _MOVERS = 16
+#: Parts of a stream's listing that are compared one after the other; tasks of a batch at most, so that larger batches have larger tasks.
+_BUCKETS, _MOST_TASKS = 128, 1024
 
 
 class NotABundle(ValueError):
@@ -118,7 +122,7 @@ class _TreeWriter(DataSourceWriter):
         staged, root = Store(self.staging), Store(self.root)
         into = Store(f"{self.staging}/whole") if self.overwrite else root
         into.make_folder()
-        made: set[str] = set()
+        made = None  # files of a folder come one after the other
 
         def place(from_path: str, rel: str) -> None:
             staged.fs.move(staged.at(from_path), into.at(rel))
@@ -131,9 +135,9 @@ class _TreeWriter(DataSourceWriter):
                 for path, _ in staged.walk(message.folder):
                     rel = path.partition("/")[2]
                     above = rel.rpartition("/")[0]
-                    if above not in made:
+                    if above != made:
                         into.make_folder(above)
-                        made.add(above)
+                        made = above
                     waiting.append(movers.submit(place, path, rel))
                     if len(waiting) > 64 * _MOVERS:
                         waiting.popleft().result()
@@ -150,9 +154,23 @@ class _TreeWriter(DataSourceWriter):
         Store(self.staging).remove()
 
 
+@dataclass
+class _Slice(InputPartition):
+    """Every ``of``-th file, from number ``first`` on, of what listings have in a range of buckets."""
+
+    ranges: list[tuple[str, int, int]]  # file of lines, begin, length
+    trees: list[list[tuple[str, str]]]
+    first: int
+    of: int
+
+
 class _TreeStream(DataSourceStreamReader):
     """New and changed files of a tree. An offset is the number of a listing kept in the ``state`` folder, each with what it has
-    beyond those before; a batch that is planned again reads the same listings, so it has the same files."""
+    beyond those before; a batch that is planned again reads the same listings, so it has the same files.
+
+    A listing is a file of lines (number of the tree, path as JSON, size and time) by buckets of the path, and, once that is whole, a
+    small one that says where each bucket is. The driver's Python holds one bucket at a time, and what was listed before waits in
+    temporary files; tasks get ranges of the listing and read the names there."""
 
     def __init__(self, options: dict) -> None:
         if not options.get("state"):
@@ -160,17 +178,24 @@ class _TreeStream(DataSourceStreamReader):
         self.trees, self.state = _named(options), Store(options["state"])
         self.all_files = options.get("allfiles", "true") == "true"
         self.per_part = int(options.get("filesperpartition", "256"))
-        self.known: dict[tuple[str, str], tuple[int, int]] | None = None
+        self.known: list | None = None
         self.last = 0
 
-    def _listing(self, number: int) -> list[list]:
+    def _about(self, number: int) -> dict:
         return json.loads(self.state.read(f"{number:012d}.json"))
 
     def _load(self) -> None:
         self.state.make_folder()
-        self.known = {}
+        self.known = [tempfile.TemporaryFile() for _ in range(_BUCKETS)]
+        own = {bundle: tree for tree, (bundle, _) in enumerate(self.trees)}
         for number in sorted(int(e.name[:-5]) for e in self.state.entries() if e.name.endswith(".json")):
-            self.known |= {(b, p): (size, modified) for b, _, p, size, modified in self._listing(number)}
+            about = self._about(number)
+            for known, (begin, length, _) in zip(self.known, about["buckets"], strict=True):
+                for line in _lines(self.state, about["lines"], begin, length):
+                    tree, rest = line.split(b"\t", 1)
+                    bundle = about["trees"][int(tree)][0]
+                    if bundle in own:
+                        known.write(b"%d\t%s\n" % (own[bundle], rest))
             self.last = number
 
     def initialOffset(self) -> dict:  # noqa: N802
@@ -179,33 +204,92 @@ class _TreeStream(DataSourceStreamReader):
     def latestOffset(self) -> dict:  # noqa: N802
         if self.known is None:
             self._load()
-        new = []
-        for bundle, root in self.trees:
+        found = [tempfile.TemporaryFile() for _ in range(_BUCKETS)]
+        for tree, (_, root) in enumerate(self.trees):
             for rel, e in Store(root).walk():
-                if (self.all_files or rel.endswith(".md")) and self.known.get((bundle, rel)) != (e.size, e.modified):
-                    new.append([bundle, root, rel, e.size, e.modified])
-        if new:
-            # a listing is there whole or not at all
-            self.state.write("next", json.dumps(sorted(new)).encode())
-            self.state.fs.move(self.state.at("next"), self.state.at(f"{self.last + 1:012d}.json"))
-            self.last += 1
-            self.known |= {(b, p): (size, modified) for b, _, p, size, modified in new}
+                if self.all_files or rel.endswith(".md"):
+                    path = json.dumps(rel).encode()
+                    found[zlib.crc32(path) % _BUCKETS].write(b"%d\t%s\t%d %d\n" % (tree, path, e.size, e.modified))
+        buckets, at, listing, name = [], 0, None, f"{uuid.uuid4().hex}.lines"
+        try:
+            for known, now in zip(self.known, found, strict=True):
+                known.seek(0)
+                now.seek(0)
+                before = dict(line.rsplit(b"\t", 1) for line in known)
+                new = [line for line in now for path, about in [line.rsplit(b"\t", 1)] if before.get(path) != about]
+                now.close()
+                lines = b"".join(new)
+                buckets.append((at, len(lines), len(new)))
+                at += len(lines)
+                if new:
+                    listing = listing or self.state.fs.open_output_stream(self.state.at(name))
+                    listing.write(lines)
+                    known.write(lines)
+            if listing:
+                listing.close()
+                # a listing is there whole or not at all
+                self.state.write("next", json.dumps({"lines": name, "trees": self.trees, "buckets": buckets}).encode())
+                self.state.fs.move(self.state.at("next"), self.state.at(f"{self.last + 1:012d}.json"))
+                self.last += 1
+        except BaseException:
+            self.known = None  # it may hold what no listing tells
+            raise
         return {"listing": self.last}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        newest = {(b, root, p): None for number in range(start["listing"] + 1, end["listing"] + 1) for b, root, p, _, _ in self._listing(number)}
-        by_tree: dict[tuple[str, str], list[str]] = {}
-        for bundle, root, path in newest:
-            by_tree.setdefault((bundle, root), []).append(path)
-        return [_Part(b, root, paths[i : i + self.per_part], []) for (b, root), paths in by_tree.items() for i in range(0, len(paths), self.per_part)]
-
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        store = Store(partition.root)
-        for rel in partition.files:
+        abouts = [self._about(number) for number in range(start["listing"] + 1, end["listing"] + 1)]
+        trees = [about["trees"] for about in abouts]
+        counts = [sum(about["buckets"][i][2] for about in abouts) for i in range(_BUCKETS)]
+        most = max(self.per_part, -(-sum(counts) // _MOST_TASKS))
+
+        def part(first: int, last: int) -> list[_Slice]:
+            """Of the buckets from ``first`` to ``last``, which lie together in each listing."""
+            ranges = [(about["lines"], about["buckets"][first][0], sum(about["buckets"][last][:2]) - about["buckets"][first][0]) for about in abouts]
+            tasks = max(1, -(-sum(counts[first : last + 1]) // most))
+            return [_Slice(ranges, trees, i, tasks) for i in range(tasks)]
+
+        parts, first = [], 0
+        for i in range(_BUCKETS):
+            if i + 1 == _BUCKETS or sum(counts[first : i + 2]) > most:
+                parts += part(first, i)
+                first = i + 1
+        return parts
+
+    def read(self, partition: _Slice) -> Iterator[pa.RecordBatch]:
+        stores: dict[str, Store] = {}
+        names: list[str] = []
+        paths: list[str] = []
+        contents: list[bytes | None] = []
+        held = 0
+        for bundle, root, rel in self._files(partition):
+            store = stores.get(root) or stores.setdefault(root, Store(root))
             try:
-                yield partition.bundle, rel, _content(store, rel)
+                contents.append(_content(store, rel))
             except FileNotFoundError:  # gone since it was listed
                 continue
+            names.append(bundle)
+            paths.append(rel)
+            held += len(contents[-1] or b"")
+            if held > _BATCH_BYTES or len(paths) == _BATCH_ROWS:
+                yield _contents(names, paths, contents)
+                names, paths, contents, held = [], [], [], 0
+        yield _contents(names, paths, contents)
+
+    def _files(self, part: _Slice) -> Iterator[tuple[str, str, str]]:
+        lines = ((trees, line.split(b"\t")) for (name, *at), trees in zip(part.ranges, part.trees, strict=True) for line in _lines(self.state, name, *at))
+        each = ((*trees[int(tree)], json.loads(path)) for trees, (tree, path, _) in lines)
+        # a file that changed between two listings of a batch is in both
+        for i, file in enumerate(each if len(part.ranges) == 1 else dict.fromkeys(each)):
+            if i % part.of == part.first:
+                yield file
+
+
+def _lines(state: Store, name: str, begin: int, length: int) -> Iterator[bytes]:
+    """Lines of a part of a listing."""
+    if length:
+        with state.fs.open_input_file(state.at(name)) as lines:
+            lines.seek(begin)
+            yield from lines.read(length).splitlines()
 
 
 class BundleSource(DataSource):
@@ -305,15 +389,15 @@ def read_tree(spark: SparkSession, root: str, bundle: str = "main") -> DataFrame
                 paths.append(rel)
                 held += len(contents[-1] or b"")
                 if held > _BATCH_BYTES:
-                    yield _contents(bundle, paths, contents)
+                    yield _contents([bundle] * len(paths), paths, contents)
                     paths, contents, held = [], [], 0
-            yield _contents(bundle, paths, contents)
+            yield _contents([bundle] * len(paths), paths, contents)
 
     return files.select("rel_path").repartition(tasks, "rel_path").mapInArrow(run, FILES)
 
 
-def _contents(bundle: str, paths: list[str], contents: list[bytes | None]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bundle] * len(paths), pa.string()), pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["bundle", "rel_path", "content"])
+def _contents(bundles: list[str], paths: list[str], contents: list[bytes | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bundles, pa.string()), pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["bundle", "rel_path", "content"])
 
 
 def write_tree(files: DataFrame, root: str, mode: str = "append", by_bundle: bool = False) -> None:
