@@ -48,6 +48,8 @@ ROUTED, HOT, REACH = 32_768, 262_144, 0.94
 #: Rows of a task that compares.
 PART_ROWS = 100_000
 PICTURES_PER_TASK = 4096
+#: Pixels that are described side by side, and that wait for others of their size.
+BESIDE, WAITING = 1 << 17, 1 << 21
 
 _RNG = np.random.Generator(np.random.PCG64(11))
 _POINTS = np.clip(_RNG.normal(0, RADIUS / 2, (TESTS, 2, 2)), -RADIUS + 3, RADIUS - 3)
@@ -79,7 +81,7 @@ def write_pgm(pixels: np.ndarray) -> bytes:
 
 
 def resized(pixels: np.ndarray, scale: float) -> np.ndarray:
-    """Bilinear resampling."""
+    """Bilinear resampling. Like all of this, of one picture or of pictures of one size, one beside the other in the last axis."""
     if scale == 1.0:
         return pixels
     out = pixels
@@ -88,7 +90,7 @@ def resized(pixels: np.ndarray, scale: float) -> np.ndarray:
         at = np.clip((np.arange(n) + 0.5) / scale - 0.5, 0, out.shape[axis] - 1)
         low = np.minimum(at.astype(int), max(0, out.shape[axis] - 2))
         part = (at - low).astype(np.float32)
-        part = part[:, None] if axis == 0 else part[None, :]
+        part = part.reshape([-1 if a == axis else 1 for a in range(out.ndim)])
         out = np.take(out, low, axis) * (1 - part) + np.take(out, np.minimum(low + 1, out.shape[axis] - 1), axis) * part
     return out
 
@@ -96,26 +98,40 @@ def resized(pixels: np.ndarray, scale: float) -> np.ndarray:
 def _box(x: np.ndarray, r: int) -> np.ndarray:
     """Mean over squares of 2 r + 1, by running sums."""
     for axis in (0, 1):
-        pad = np.concatenate([np.repeat(np.take(x, [0], axis), r + 1, axis), x, np.repeat(np.take(x, [-1], axis), r, axis)], axis)
-        total = np.cumsum(pad, axis, dtype=np.float64)
-        n = x.shape[axis]
-        x = (np.take(total, range(2 * r + 1, 2 * r + 1 + n), axis) - np.take(total, range(n), axis)) / (2 * r + 1)
+        x = np.moveaxis(x, axis, 0)
+        n = len(x)
+        pad = np.clip(np.arange(-r - 1, n + r), 0, n - 1)
+        if x[0].size < 512:
+            total = np.cumsum(x[pad], 0, dtype=np.float64)
+        else:  # a row at a time is quicker than running sums of each column
+            total = np.empty((len(pad), *x.shape[1:]))
+            total[0] = x[0]
+            for i in range(1, len(pad)):
+                np.add(total[i - 1], x[pad[i]], out=total[i])
+        x = np.moveaxis((total[2 * r + 1 :] - total[:n]) / (2 * r + 1), 0, axis)
     return x
 
 
 def corners(pixels: np.ndarray) -> np.ndarray:
     """(row, column) of all corners that a patch fits around: local peaks of the structure tensor's strength."""
-    if min(pixels.shape) < 2 * RADIUS + 3:
-        return np.zeros((0, 2), dtype=int)
-    gy, gx = np.gradient(pixels)
-    a, b, c = _box(gx * gx, 2), _box(gx * gy, 2), _box(gy * gy, 2)
+    return _corners(pixels[:, :, None])[:, 1:]
+
+
+def _corners(pixels: np.ndarray) -> np.ndarray:
+    """(picture, row, column) of pictures of one size."""
+    height, width, count = pixels.shape
+    if min(height, width) < 2 * RADIUS + 3:
+        return np.zeros((0, 3), dtype=int)
+    gy, gx = np.gradient(pixels, axis=(0, 1))
+    a, b, c = (x.reshape(height, width, count) for x in np.split(_box(np.concatenate((gx * gx, gx * gy, gy * gy), axis=2), 2), 3, axis=2))
     strength = a * c - b * b - 0.05 * (a + c) ** 2
-    peak = strength
-    for axis in (0, 1):
-        peak = np.maximum.reduce([np.roll(peak, d, axis) for d in range(-PEAK, PEAK + 1)])
-    fit = np.zeros_like(strength, dtype=bool)
-    fit[RADIUS + 1 : -RADIUS - 1, RADIUS + 1 : -RADIUS - 1] = True
-    return np.argwhere(fit & (strength >= peak) & (strength > 1.0))
+    # where a patch fits nothing beyond the border is near
+    at = RADIUS + 1
+    peak = strength[at - PEAK : height - at + PEAK, at - PEAK : width - at + PEAK]
+    peak = np.maximum.reduce([peak[i : i + height - 2 * at] for i in range(2 * PEAK + 1)])
+    peak = np.maximum.reduce([peak[:, i : i + width - 2 * at] for i in range(2 * PEAK + 1)])
+    own = strength[at : height - at, at : width - at]
+    return np.argwhere(((own >= peak) & (own > 1.0)).transpose(2, 0, 1)) + (0, at, at)
 
 
 def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,25 +142,52 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def described(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each corner: (x, y, scale number, direction), and its test bits."""
-    places, bits = [np.zeros((0, 4))], [np.zeros((0, TESTS), bool)]
+    return described_all([pixels])[0]
+
+
+def described_all(pictures: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same of several pictures; those of one size are described side by side."""
+    by_size: dict[tuple[int, ...], list[int]] = {}
+    for i, pixels in enumerate(pictures):
+        by_size.setdefault(pixels.shape, []).append(i)
+    out: list = [None] * len(pictures)
+    for (height, width), own in by_size.items():
+        step = max(1, BESIDE // (height * width))
+        for k in range(0, len(own), step):
+            some = own[k : k + step]
+            places, bits, of = _described(np.stack([pictures[i] for i in some], axis=2))
+            for i, first, last in zip(some, np.searchsorted(of, range(len(some))), np.searchsorted(of, range(1, len(some) + 1)), strict=True):
+                out[i] = places[first:last], bits[first:last]
+    return out
+
+
+def _described(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, bits and numbers of their pictures, of pictures of one size."""
+    places, bits, of = [np.zeros((0, 4))], [np.zeros((0, TESTS), bool)], [np.zeros(0, int)]
     d = np.arange(-RADIUS, RADIUS + 1)
     disc = d[:, None] ** 2 + d[None, :] ** 2 <= RADIUS**2
     x, y = _POINTS[None, :, :, 0], _POINTS[None, :, :, 1]
     for number, scale in enumerate(SCALES):
         level = resized(pixels, scale)
-        found = corners(level)
-        smooth = _box(_box(level, 1), 1)
+        height, width = level.shape[:2]
+        found = _corners(level)
+        if not len(found):
+            continue
+        smooth = np.ascontiguousarray(_box(_box(level, 1), 1).transpose(2, 0, 1)).reshape(-1)
+        near = d[:, None] * width + d[None, :]
         for i in range(0, len(found), 1024):
             at = found[i : i + 1024]
-            patch = smooth[at[:, 0, None, None] + d[None, :, None], at[:, 1, None, None] + d[None, None, :]] * disc
+            patch = smooth[(((at[:, 0] * height) + at[:, 1]) * width + at[:, 2])[:, None, None] + near] * disc
             angle = np.arctan2((patch * d[None, :, None]).sum((1, 2)), (patch * d[None, None, :]).sum((1, 2)))
             cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-            col = np.clip(np.rint(at[:, 1, None, None] + cos * x - sin * y).astype(int), 0, level.shape[1] - 1)
-            row = np.clip(np.rint(at[:, 0, None, None] + sin * x + cos * y).astype(int), 0, level.shape[0] - 1)
-            value = smooth[row, col]
+            col = np.clip(np.rint(at[:, 2, None, None] + cos * x - sin * y).astype(int), 0, width - 1)
+            row = np.clip(np.rint(at[:, 1, None, None] + sin * x + cos * y).astype(int), 0, height - 1)
+            value = smooth[(at[:, 0, None, None] * height + row) * width + col]
             bits.append(value[:, :, 0] < value[:, :, 1])
-            places.append(np.column_stack(((at[:, 1] + 0.5) / scale - 0.5, (at[:, 0] + 0.5) / scale - 0.5, np.full(len(at), number), angle)))
-    return np.concatenate(places), np.concatenate(bits)
+            places.append(np.column_stack(((at[:, 2] + 0.5) / scale - 0.5, (at[:, 1] + 0.5) / scale - 0.5, np.full(len(at), number), angle)))
+            of.append(at[:, 0])
+    order = np.argsort(np.concatenate(of), kind="stable")
+    return np.concatenate(places)[order], np.concatenate(bits)[order], np.concatenate(of)[order]
 
 
 # A corner's place packed into a long: x and y in half pixels, scale number, direction in 4096ths of a turn.
@@ -200,6 +243,38 @@ def keys(words: np.ndarray, mask: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return key
 
 
+def _cells(at_a: np.ndarray, at_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What matches vote on: steps of scale and twelfths of a turn."""
+    _, sa, da = unpacked_places(at_a)
+    _, sb, db = unpacked_places(at_b)
+    return np.rint(np.log(sb / sa) * 100).astype(int), np.floor(np.mod(da - db, 2 * np.pi) / (2 * np.pi / 12)).astype(int) % 12
+
+
+def hopeful(pair: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+    """Whether ``agree`` can be true of the matches of each pair (its number with each match, in order from zero): that takes LEAST_CORNERS
+    votes for one cell and its neighbours, and as many places in both pictures. No pair that agrees is left out."""
+    if not len(pair):
+        return np.zeros(0, dtype=bool)
+    count = int(pair[-1]) + 1
+    size, cell = _cells(at_a, at_b)
+    row = (pair * (np.ptp(size) + 1) + size - size.min()) * 12
+    filled, held = np.unique(row + cell, return_counts=True)
+    votes = np.zeros(len(pair), dtype=int)
+    for d in (-1, 0, 1):
+        look = row + (cell + d) % 12
+        at = np.minimum(np.searchsorted(filled, look), len(filled) - 1)
+        votes += np.where(filled[at] == look, held[at], 0)
+    out = np.zeros(count, dtype=bool)
+    out[pair[votes >= LEAST_CORNERS]] = True
+    for at in (at_a, at_b):
+        x, y = (np.rint(v / 8).astype(np.int64) for v in (at >> 36, at >> 16 & 0xFFFFF))
+        place = x << 20 | y
+        order = np.lexsort((place, pair))
+        new = np.concatenate(([True], (place[order[1:]] != place[order[:-1]]) | (pair[order[1:]] != pair[order[:-1]])))
+        out &= np.bincount(pair[order[new]], minlength=count) >= LEAST_CORNERS
+    return out
+
+
 def agree(at_a: np.ndarray, at_b: np.ndarray) -> bool:
     """Whether LEAST_CORNERS matches or more, of as many places in both pictures, agree on one turn, scale and shift.
 
@@ -208,8 +283,8 @@ def agree(at_a: np.ndarray, at_b: np.ndarray) -> bool:
     za, sa, da = unpacked_places(at_a)
     zb, sb, db = unpacked_places(at_b)
     turn, ratio = np.exp(1j * (da - db)), sb / sa
-    cell = np.floor(np.mod(da - db, 2 * np.pi) / (2 * np.pi / 12)).astype(int) % 12
-    _, size = np.unique(np.rint(np.log(ratio) * 100), return_inverse=True)
+    size, cell = _cells(at_a, at_b)
+    _, size = np.unique(size, return_inverse=True)
     held = np.zeros((size.max(initial=0) + 1, 12), dtype=int)
     np.add.at(held, (size, cell), 1)
     votes = (held + np.roll(held, 1, axis=1) + np.roll(held, -1, axis=1))[size, cell]
@@ -253,14 +328,21 @@ def features(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            content, columns = [], [[] for _ in range(1 + _WORDS)]
-            for data in b.column("image").to_pylist():
+            content, columns, waiting, held = [], [[] for _ in range(1 + _WORDS)], [], 0
+            for row, data in enumerate(b.column("image").to_pylist(), 1):
                 pixels = read_pgm(data)
-                place, bits = described(pixels) if pixels is not None else (np.zeros((0, 4)), np.zeros((0, TESTS), bool))
-                words = np.packbits(bits, axis=1, bitorder="little").view("<i8") if len(bits) else np.zeros((0, _WORDS), np.int64)
+                waiting.append(pixels)
+                held += 0 if pixels is None else pixels.size
                 content.append(None if data is None else xxhash.xxh64_intdigest(data) - 2**63)
-                for column, values in zip(columns, (packed_places(place), *words.T), strict=True):
-                    column.append(values)
+                if held < WAITING and row < b.num_rows:
+                    continue
+                known = iter(described_all([pixels for pixels in waiting if pixels is not None]))
+                for pixels in waiting:
+                    place, bits = next(known) if pixels is not None else (np.zeros((0, 4)), np.zeros((0, TESTS), bool))
+                    words = np.packbits(bits, axis=1, bitorder="little").view("<i8") if len(bits) else np.zeros((0, _WORDS), np.int64)
+                    for column, values in zip(columns, (packed_places(place), *words.T), strict=True):
+                        column.append(values)
+                waiting, held = [], 0
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("media_id"), pa.array(content, pa.int64()), *(pa.array(c, lists) for c in columns)], names=[c.split()[0] for c in _LOCAL.split(", ")])
 
@@ -396,8 +478,14 @@ def _links(matches: DataFrame, parts: int) -> DataFrame:
         order = np.lexsort((at_b, at_a, b, a))
         a, b, at_a, at_b = a[order], b[order], at_a[order], at_b[order]
         fresh = group["fresh"].to_numpy()[order]
+        pair = np.cumsum(np.concatenate(([False], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))[: len(a)]
+        keep = ((np.bincount(pair, fresh) > 0) & (np.bincount(pair) >= LEAST_CORNERS))[pair]
+        a, b, at_a, at_b = a[keep], b[keep], at_a[keep], at_b[keep]
+        _, pair = np.unique(pair[keep], return_inverse=True)
+        keep = hopeful(pair, at_a, at_b)[pair]
+        a, b, at_a, at_b = a[keep], b[keep], at_a[keep], at_b[keep]
         cuts = np.concatenate(([0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, [len(a)]))
-        good = [i for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i >= LEAST_CORNERS and fresh[i:j].any() and agree(at_a[i:j], at_b[i:j])]
+        good = [i for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i and agree(at_a[i:j], at_b[i:j])]
         return pa.table({"a": a[good], "b": b[good]})
 
     return matches.groupBy(F.pmod(F.xxhash64("a", "b"), F.lit(parts)).alias("part")).applyInArrow(run, "a long, b long")
